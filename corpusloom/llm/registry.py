@@ -1,8 +1,8 @@
 """All queries of this subpackage, and SQL where SQL can express them."""
 
-from corpusloom.llm import substring_dedup
+from corpusloom.llm import byte_quality, language_id, packing, substring_dedup, url_filter
 
-MODULES = [substring_dedup]
+MODULES = [packing, substring_dedup, language_id, url_filter, byte_quality]
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
