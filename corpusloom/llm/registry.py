@@ -1,8 +1,8 @@
 """All queries of this subpackage, and SQL where SQL can express them."""
 
-from corpusloom.llm import byte_quality, decontamination, language_id, near_dedup, packing, pii, substring_dedup, url_filter
+from corpusloom.llm import byte_quality, decontamination, hamming_search, language_id, near_dedup, packing, pii, substring_dedup, toxicity, url_filter
 
-MODULES = [pii, near_dedup, decontamination, packing, substring_dedup, language_id, url_filter, byte_quality]
+MODULES = [hamming_search, toxicity, pii, near_dedup, decontamination, packing, substring_dedup, language_id, url_filter, byte_quality]
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
