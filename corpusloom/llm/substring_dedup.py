@@ -22,6 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,13 +31,47 @@ from corpusloom.llm import textarrays as ta
 
 WINDOW = 50
 _ENTRY = "bucket int, kind int, hashes binary, docs binary, keys binary, counts binary, places binary"
-_FLAG = "doc_id long, text_key long, places binary"
+_FLAG = "home int, docs binary, keys binary, counts binary, places binary"
+_INTERVALS = "doc_id long, text_key long, starts array<long>, ends array<long>"
+_KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, intervals array<struct<start:long,end:long>>, kept_text string"
 
 
-def _runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of each run of equal neighbours."""
-    at = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, np.int64)
-    return at, np.diff(np.r_[at, len(rows)])
+def _runs(*rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each run of neighbours that are equal in all arrays."""
+    if not len(rows[0]):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.zeros(len(rows[0]) - 1, bool)
+    for r in rows:
+        new |= r[1:] != r[:-1]
+    at = np.flatnonzero(np.r_[True, new])
+    return at, np.diff(np.r_[at, len(rows[0])])
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Differences of neighbours, byte plane by byte plane, compressed: most planes are zero."""
+    step = np.diff(values, prepend=values[:1] * 0)
+    return zstandard.compress(step.view(np.uint8).reshape(len(step), -1).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes, dtype: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+    size = np.dtype(dtype).itemsize
+    return np.cumsum(np.ascontiguousarray(planes.reshape(size, -1).T).view(dtype).ravel(), dtype=dtype)
+
+
+def _fields(docs: np.ndarray, keys: np.ndarray, places: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    """Windows in document order as one run for each document: docs, keys, counts, places."""
+    at, count = _runs(docs, keys)
+    return _packed(docs[at]), keys[at].tobytes(), _packed(count.astype(np.uint32)), _packed(places.astype(np.uint32))
+
+
+def _windows(docs: list[bytes], keys: list[bytes], counts: list[bytes], places: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = [_unpacked(x, np.uint32) for x in counts]
+    return (
+        np.concatenate([np.repeat(_unpacked(d, np.int64), c) for d, c in zip(docs, n, strict=True)]),
+        np.concatenate([np.repeat(np.frombuffer(k, np.int32), c) for k, c in zip(keys, n, strict=True)]),
+        np.concatenate([_unpacked(p, np.uint32) for p in places]).astype(np.int64),
+    )
 
 
 def _entries(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -47,100 +83,94 @@ def _entries(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterato
             hashes, rows, places = ta.windows(ta.word_hashes(buf, starts, ends), first, k)
             if not len(hashes):
                 continue
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-            keys = part.column("text_key").to_numpy(zero_copy_only=False)
-            docs = ids[rows]
+            docs = part.column("doc_id").to_numpy(zero_copy_only=False)[rows]
+            keys = part.column("text_key").to_numpy(zero_copy_only=False)[rows]
             order = np.argsort(hashes, kind="stable")
             at, size = _runs(hashes[order])
             least = np.empty(len(hashes), np.int64)
             least[order] = np.repeat(np.minimum.reduceat(docs[order], at), size)
             beaten = docs > least
-            # one entry of the smallest document is enough to beat others, but each of its windows may be beaten elsewhere
             bucket = (hashes >> ta.U64(40)).astype(np.int64) % buckets
             out: list[tuple] = []
-            for kind, chosen in ((0, np.flatnonzero(~beaten)), (1, np.flatnonzero(beaten))):
-                if not len(chosen):
-                    continue
-                if kind:
-                    groups = [(int(keys[rows[chosen[0]]]) % buckets, chosen)]
-                else:
-                    b = bucket[chosen]
-                    chosen = chosen[np.argsort(b, kind="stable")]
-                    at, size = _runs(bucket[chosen])
-                    groups = [(int(bucket[chosen[i]]), chosen[i : i + n]) for i, n in zip(at, size, strict=True)]
-                for b, own in groups:
-                    start, count = _runs(rows[own])
-                    r = rows[own][start]
-                    out.append((b, kind, b"" if kind else hashes[own].tobytes(), ids[r].tobytes(), keys[r].tobytes(), count.astype(np.uint32).tobytes(), places[own].astype(np.uint32).tobytes()))
+            sent = np.flatnonzero(~beaten)
+            sent = sent[np.argsort(bucket[sent], kind="stable")]
+            for i, n in zip(*_runs(bucket[sent]), strict=True):
+                own = sent[i : i + n]
+                out.append((int(bucket[own[0]]), 0, hashes[own].tobytes(), *_fields(docs[own], keys[own], places[own])))
+            if len(own := np.flatnonzero(beaten)):
+                out.append((int(keys[own[0]]) % buckets, 1, b"", *_fields(docs[own], keys[own], places[own])))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
-def _settle(table: pa.Table) -> pa.Table:
-    """The repeated windows among one bucket's entries, by document."""
-    cols = {c: table.column(c).to_pylist() for c in table.column_names}
-    local = [i for i, kind in enumerate(cols["kind"]) if kind]
-    sent = [i for i, kind in enumerate(cols["kind"]) if not kind]
-
-    def gather(name: str, rows: list[int], dtype: type) -> np.ndarray:
-        return np.frombuffer(b"".join(cols[name][i] for i in rows), dtype)
-
-    docs, keys, places = [], [], []
-    if local:
-        n = gather("counts", local, np.uint32)
-        docs.append(np.repeat(gather("docs", local, np.int64), n))
-        keys.append(np.repeat(gather("keys", local, np.int64), n))
-        places.append(gather("places", local, np.uint32))
-    if sent:
-        n = gather("counts", sent, np.uint32)
-        d, hashes = np.repeat(gather("docs", sent, np.int64), n), gather("hashes", sent, ta.U64)
-        order = np.argsort(hashes)
-        at, size = _runs(hashes[order])
-        beaten = np.zeros(len(d), bool)
-        beaten[order] = d[order] > np.repeat(np.minimum.reduceat(d[order], at), size)
-        docs.append(d[beaten])
-        keys.append(np.repeat(gather("keys", sent, np.int64), n)[beaten])
-        places.append(gather("places", sent, np.uint32)[beaten])
-    d, k, p = np.concatenate(docs), np.concatenate(keys), np.concatenate(places)
-    order = np.lexsort((k, d))
+def _settle(table: pa.Table, homes: int) -> pa.Table:
+    """The repeated windows among one bucket's entries, gathered by the home of their documents."""
+    found = []
+    for kind in (0, 1):
+        own = table.filter(pc.equal(table.column("kind"), kind))
+        if not own.num_rows:
+            continue
+        d, k, p = _windows(*(own.column(c).to_pylist() for c in ("docs", "keys", "counts", "places")))
+        if not kind:
+            hashes = np.frombuffer(b"".join(own.column("hashes").to_pylist()), ta.U64)
+            order = np.argsort(hashes)
+            at, size = _runs(hashes[order])
+            beaten = np.zeros(len(d), bool)
+            beaten[order] = d[order] > np.repeat(np.minimum.reduceat(d[order], at), size)
+            d, k, p = d[beaten], k[beaten], p[beaten]
+        found.append((d, k, p))
+    d, k, p = (np.concatenate(x) for x in zip(*found, strict=True))
+    home = (ta.mix(d.astype(ta.U64)) % ta.U64(homes)).astype(np.int32)
+    order = np.lexsort((p, k, d, home))
+    d, k, p, home = d[order], k[order], p[order], home[order]
+    rows = [(int(home[i]), *_fields(d[i : i + n], k[i : i + n], p[i : i + n])) for i, n in zip(*_runs(home), strict=True)]
+    types = [pa.int32(), *[pa.binary()] * 4]
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["home", "docs", "keys", "counts", "places"])
+
+
+def _merge(table: pa.Table, window: int) -> pa.Table:
+    """One home's repeated windows as maximal intervals of each document."""
+    d, k, p = _windows(*(table.column(c).to_pylist() for c in ("docs", "keys", "counts", "places")))
+    order = np.lexsort((p, k, d))
     d, k, p = d[order], k[order], p[order]
-    at = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (k[1:] != k[:-1])]) if len(d) else np.zeros(0, np.int64)
-    ends = np.r_[at[1:], len(d)][: len(at)]
-    return pa.table({"doc_id": pa.array(d[at], pa.int64()), "text_key": pa.array(k[at], pa.int64()), "places": pa.array([p[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())})
+    rows = []
+    for i, n in zip(*_runs(d, k), strict=True):
+        own = p[i : i + n]
+        gap = np.flatnonzero(own[1:] > own[:-1] + window)
+        rows.append((int(d[i]), int(k[i]), own[np.r_[0, gap + 1]], own[np.r_[gap, n - 1]] + window))
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["doc_id", "text_key", "starts", "ends"])
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text_key, places): each document's repeated windows, as packed 32-bit word offsets.
+def _rows(docs: DataFrame) -> DataFrame:
+    """The text key is a 32-bit hash of the text: rows that share a doc_id but not a text stay apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.hash(text).cast("long").alias("text_key"))
 
-    ``text_key`` is the hash of the row's text, so rows that share a doc_id but not a text stay apart.
-    """
+
+def removal_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, text_key, starts, ends) of each document that has repeated windows, in words."""
     buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    sent = rows.mapInArrow(lambda it: _entries(it, window, buckets), _ENTRY)
-    return sent.groupBy("bucket").applyInArrow(_settle, _FLAG)
+    rows = _rows(docs).filter("doc_id is not null and text is not null").withColumn("text_key", F.col("text_key").cast("int"))
+    flags = rows.mapInArrow(lambda it: _entries(it, window, buckets), _ENTRY).groupBy("bucket").applyInArrow(lambda t: _settle(t, buckets), _FLAG)
+    return flags.groupBy("home").applyInArrow(lambda t: _merge(t, window), _INTERVALS)
 
 
-def _keep(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, counts, removed, digests, spans, kept_texts = batch.column("doc_id"), [], [], [], [], []
-        for text, places in zip(batch.column("text"), batch.column("places"), strict=True):
+        counts, digests, kept_texts, removed = [], [], [], []
+        starts, ends = batch.column("starts").to_pylist(), batch.column("ends").to_pylist()
+        for text, a, b in zip(batch.column("text"), starts, ends, strict=True):
             words = (text.as_py() or "").encode().split()
-            n, cut = len(words), []
-            if places.is_valid:
-                at = np.frombuffer(b"".join(places.as_py()), np.uint32).astype(np.int64)
-                edge = np.zeros(n + 1, np.int32)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + k, -1)
-                gone = np.cumsum(edge[:n]) > 0
-                flips = np.flatnonzero(np.diff(np.r_[False, gone, False]))
-                cut = list(zip(flips[::2].tolist(), flips[1::2].tolist(), strict=True))
-                words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+            counts.append(len(words))
+            for i, j in zip(reversed(a or []), reversed(b or []), strict=True):
+                del words[i:j]
+            removed.append(counts[-1] - len(words))
             kept = b" ".join(words)
-            counts.append(n)
-            removed.append(n - len(words))
             digests.append(hashlib.sha256(kept).hexdigest())
             kept_texts.append(kept.decode())
-            spans.append([{"start": a, "end": b} for a, b in cut])
-        yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept_texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "intervals", "kept_text"])
+        spans = [[{"start": i, "end": j} for i, j in zip(a or [], b or [], strict=True)] for a, b in zip(starts, ends, strict=True)]
+        spans = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), spans, pa.array(kept_texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "intervals", "kept_text"])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -149,10 +179,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     An empty table gives an empty result; columns beyond doc_id and text are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
-    flags = repeated_windows(docs, window).groupBy("doc_id", "text_key").agg(F.collect_list("places").alias("places"))
-    joined = rows.join(flags, ["doc_id", "text_key"], "left").select("doc_id", "text", "places")
-    return joined.mapInArrow(lambda it: _keep(it, window), "doc_id long, n_words long, n_removed long, kept_sha256 string, intervals array<struct<start:long,end:long>>, kept_text string")
+    joined = _rows(docs).join(removal_intervals(docs, window), ["doc_id", "text_key"], "left").select("doc_id", "text", "starts", "ends")
+    return joined.mapInArrow(_keep, _KEPT)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
