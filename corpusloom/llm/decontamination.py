@@ -140,13 +140,13 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
             tiles = tile(a, b, k)
             rows.append((sum(t[2] for t in tiles), len(tiles), max((t[2] for t in tiles), default=0), [{"item_word": i, "doc_word": int(words[j]), "words": n} for i, j, n in sorted(tiles)]))
         types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("item_word", pa.int64()), ("doc_word", pa.int64()), ("words", pa.int64())]))]
-        keep = ["doc_id", "item_id", "n_item"]
+        keep = ["doc_id", "doc_key", "item_id", "n_item"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=[*keep, "n_covered", "n_tiles", "longest", "tiles"])
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document and benchmark item whose tiles cover the threshold: doc_id, item_id,
-    n_item (words), n_covered, n_tiles, longest, coverage, and the tiles themselves."""
+    """One row per document and benchmark item whose tiles cover the threshold: doc_id, doc_key (xxhash64 of
+    the text), item_id, n_item (words), n_covered, n_tiles, longest, coverage, and the tiles themselves."""
     sc = docs.sparkSession.sparkContext
     side = lambda rows, name: rows.select(F.col(name).cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key")).filter("text is not null")
     items = side(benchmark, "item_id").distinct().mapInArrow(lambda it: _seeds(it, min_match, None), _SEEDS)
@@ -157,8 +157,14 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, min_match: int = M
     pairs = left.join(right, "seed").groupBy("doc_id", "doc_key", "item_id", "item_key", "n_item").agg(F.collect_list(F.struct("seed", "in_doc", "in_item")).alias("shared"))
     # n seeds in common cover n + min_match - 1 words a run at most, so min_match * n in all
     pairs = pairs.filter(F.aggregate("shared", F.lit(0), lambda n, s: n + F.size(s["in_item"])) * min_match >= F.col("n_item") * threshold)
-    tiled = pairs.mapInArrow(lambda it: _tile_pairs(it, min_match), "doc_id long, item_id long, n_item long, n_covered long, n_tiles long, longest long, tiles array<struct<item_word:long,doc_word:long,words:long>>")
-    return tiled.withColumn("coverage", F.col("n_covered") / F.col("n_item")).filter(F.col("coverage") >= threshold).dropDuplicates(["doc_id", "item_id", "n_item", "n_covered", "n_tiles", "longest"])
+    tiled = pairs.mapInArrow(lambda it: _tile_pairs(it, min_match), "doc_id long, doc_key long, item_id long, n_item long, n_covered long, n_tiles long, longest long, tiles array<struct<item_word:long,doc_word:long,words:long>>")
+    return tiled.withColumn("coverage", F.col("n_covered") / F.col("n_item")).filter(F.col("coverage") >= threshold).dropDuplicates(["doc_id", "doc_key", "item_id", "n_item", "n_covered", "n_tiles", "longest"])
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows that some benchmark item contaminates."""
+    bad = contaminated_pairs(docs, benchmark, min_match, threshold).select(F.col("doc_id").alias("_doc"), F.col("doc_key").alias("_key")).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_doc"]) & (F.xxhash64(docs["text"].cast("string")) == bad["_key"]), "left_anti")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

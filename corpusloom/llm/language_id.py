@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm import textarrays as ta
 from corpusloom.llm.shared import fold, thinned
@@ -104,23 +105,23 @@ def train(docs: DataFrame, bound: int = TRAIN_ROWS) -> NaiveBayes:
     return NaiveBayes(languages, counts, np.array([by_lang[x] for x in languages], float))
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model, text: str, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    languages = model.value.languages
     for whole in batches:
-        for part in ta.slices(whole, limit=1 << 20):
-            texts = [t if t is not None and any(map(str.isalpha, t)) else None for t in part.column("text").to_pylist()]
-            own = [t for t in texts if t is not None]
-            best, score = model.value.predict(own) if own and model.value.languages else ([], [])
-            found = iter(zip(best, score, strict=True))
-            got = [("und", 0.0) if t is None or not model.value.languages else (model.value.languages[(f := next(found))[0]], float(f[1])) for t in texts]
-            keep = [c for c in part.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*keep, "lang_pred", "score"])
-
-
-def identify(docs: DataFrame, training: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, lang_pred, score of every row of ``docs``, by a model fitted on ``training`` (doc_id, text, lang)."""
+        for part in ta.slices(whole, text, 1 << 20):
+            texts = [t if t is not None and any(map(str.isalpha, t)) else None for t in part.column(text).to_pylist()]
+            own = [t for t in texts if t is not None and languages]
+            found = iter(zip(*model.value.predict(own), strict=True)) if own else iter(())
+            got = [("und", 0.0) if t is None or not languages else (languages[(f := next(found))[0]], f[1]) for t in texts]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*part.schema.names, *names])
+
+
+def identify(docs: DataFrame, training: DataFrame, bound: int = TRAIN_ROWS, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with two columns more, the predicted language and its probability, by a model fitted
+    on ``training`` (doc_id, text, lang). ``names`` are the new columns' names."""
     model = docs.sparkSession.sparkContext.broadcast(train(training, bound))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _predict(it, model), "doc_id long, lang_pred string, score double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return docs.mapInArrow(lambda it: _predict(it, model, "text", names), schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -130,7 +131,7 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = identify(docs, training_rows(docs))
+    found = identify(docs.select("doc_id", "text"), training_rows(docs))
     return found.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
