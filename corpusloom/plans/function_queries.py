@@ -1 +1,230 @@
-"""Queries."""
+"""Queries for column expressions."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.functions import expressions as fn
+from corpusloom.plans.registry import query
+from corpusloom.plans.views import Views
+
+S = lambda c: F.col(c).cast("string")
+_JSON = """with j as (select id, case when id % 13 = 0 then '{bad' when id % 11 = 0 then concat('{"a": ', cast(id as varchar), '}') when id % 7 = 0 then '[]'
+else concat('[{"a": ', cast(id as varchar), '}, 5, {"b": 1}]') end as payload from doc) """
+_NAMED = """with n as (select *, case when id % 5 = 0 then concat('Board_Pack_', strftime(meeting_date, '%m-%d-%Y'), '.pdf') when id % 5 = 1 then concat('agenda ', strftime(meeting_date, '%Y%m%d'), '.pdf')
+when id % 5 = 2 then concat('minutes-', strftime(meeting_date, '%Y-%m-%d')) when id % 5 = 3 then 'Quarterly report' else concat('CAFR ', strftime(meeting_date, '%Y')) end as name from doc) """
+
+
+def _json(v: Views) -> DataFrame:
+    one = F.concat(F.lit('[{"a": '), S("id"), F.lit('}, 5, {"b": 1}]'))
+    payload = F.when(F.col("id") % 13 == 0, "{bad").when(F.col("id") % 11 == 0, F.concat(F.lit('{"a": '), S("id"), F.lit("}"))).when(F.col("id") % 7 == 0, "[]").otherwise(one)
+    return v.doc.select("id", payload.alias("payload"))
+
+
+def _named(v: Views) -> DataFrame:
+    day = lambda f: F.date_format("meeting_date", f)
+    name = (
+        F.when(F.col("id") % 5 == 0, F.concat(F.lit("Board_Pack_"), F.coalesce(day("MM-dd-yyyy"), F.lit("")), F.lit(".pdf"))).when(F.col("id") % 5 == 1, F.concat(F.lit("agenda "), F.coalesce(day("yyyyMMdd"), F.lit("")), F.lit(".pdf")))
+        .when(F.col("id") % 5 == 2, F.concat(F.lit("minutes-"), F.coalesce(day("yyyy-MM-dd"), F.lit("")))).when(F.col("id") % 5 == 3, "Quarterly report").otherwise(F.concat(F.lit("CAFR "), F.coalesce(day("yyyy"), F.lit(""))))
+    )
+    return v.doc.withColumn("name", name)
+
+
+_KNOWN = "case when id % 5 <= 2 and year(meeting_date) between 2000 and 2035 then meeting_date end"
+
+
+@query(_JSON + "select id, case when id % 13 = 0 or id % 11 = 0 or id % 7 = 0 then cast(0 as bigint) else 2 end as n, case when id % 13 = 0 or id % 11 = 0 or id % 7 = 0 then null else id end as a from j")
+def json_list_tolerant(v: Views) -> DataFrame:
+    rows = _json(v).withColumn("items", fn.json_list_tolerant("payload"))
+    return rows.select("id", F.size("items").cast("bigint").alias("n"), F.try_variant_get(F.get("items", F.lit(0)), "$.a", "bigint").alias("a"))
+
+
+@query("select id, concat('{\"a\": ', cast(id as varchar), '}') as body, id as a from plan")
+def json_fence_strip(v: Views) -> DataFrame:
+    rows = v.plan.select("id", fn.json_fence_strip(F.concat(F.lit('```json\n{"a": '), S("id"), F.lit("}\n```"))).alias("body"))
+    return rows.withColumn("a", F.try_variant_get(F.try_parse_json("body"), "$.a", "bigint"))
+
+
+@query("select id, case when id % 4 = 0 then null when id % 4 = 1 then null else cast(id as double) / 2 end as number from plan")
+def coerce_number(v: Views) -> DataFrame:
+    text = F.when(F.col("id") % 4 == 0, "None").when(F.col("id") % 4 == 1, " ").otherwise(F.concat(F.lit(" "), (F.col("id") / 2).cast("string")))
+    return v.plan.select("id", fn.coerce_number(text).alias("number"))
+
+
+@query("select id, md5(text) as digest from txt")
+def md5_text(v: Views) -> DataFrame:
+    return v.txt.select("id", F.md5("text").alias("digest"))
+
+
+@query("""select id, sha256(concat('{"id":', cast(id as varchar), ',"region":', coalesce(cast(region_id as varchar), 'null'), '}')) as digest from plan""")
+def sha256_json(v: Views) -> DataFrame:
+    return v.plan.select("id", fn.sha256_json(region="region_id", id="id").alias("digest"))
+
+
+@query("""select id, left(sha256(concat_ws('|', cast(plan_id as varchar), coalesce(doc_type, ''), cast(coalesce(meeting_date, downloaded_on) as varchar), concat('h ', cast(id % 9000 as varchar), ' pdf'))), 16) as key from doc""")
+def deterministic_id(v: Views) -> DataFrame:
+    return v.doc.select("id", fn.deterministic_id("plan_id", "doc_type", ["meeting_date", "downloaded_on"], F.replace("url", F.lit("https://"), F.lit(""))).alias("key"))
+
+
+@query(_NAMED + "select id, case when id % 5 = 0 then 'board_pack' when id % 5 = 1 then 'agenda' when id % 5 = 2 then 'minutes' when id % 5 = 3 then 'performance' else 'cafr' end as kind from n")
+def classify_doc_type(v: Views) -> DataFrame:
+    return _named(v).select("id", fn.classify_doc_type("name").alias("kind"))
+
+
+@query("select id, case when id % 3 = 0 then 'audit' when id % 3 = 1 then 'investment' else 'board' end as kind from txt")
+def classify_meeting(v: Views) -> DataFrame:
+    name = F.when(F.col("id") % 3 == 0, "Audit notes").when(F.col("id") % 3 == 1, "the Investment Committee").otherwise("regular")
+    return v.txt.select("id", fn.classify_meeting("text", name).alias("kind"))
+
+
+@query("select id, regexp_matches(lower(url), '\\.(html)([?#].*)?$') as is_page, false as is_doc, (contains(url, '/en/') or contains(url, '/de/')) and not contains(url, 'utm_') as in_focus from pg")
+def is_doc_url(v: Views) -> DataFrame:
+    return v.pg.select("id", F.lower("url").rlike(r"\.(html)([?#].*)?$").alias("is_page"), fn.is_doc_url("url").alias("is_doc"), fn.focus_exclude("url", ["/en/", "/de/"], ["utm_"]).alias("in_focus"))
+
+
+@query("select id, concat(cast(id % 9000 as varchar), '.pdf') as filename from doc")
+def make_filename(v: Views) -> DataFrame:
+    return v.doc.select("id", fn.make_filename("url", F.lit("x")).alias("filename"))
+
+
+@query(_NAMED + f"select id, {_KNOWN} as found from n")
+def date_from_name(v: Views) -> DataFrame:
+    return _named(v).select("id", fn.date_from_name("name").alias("found"))
+
+
+@query(_NAMED + f""", i as (select *, {_KNOWN} as found from n)
+select id, coalesce(case when meeting_date <= downloaded_on + 60 and meeting_date >= downloaded_on - 1825 and id % 2 = 0 then meeting_date end,
+case when found <= downloaded_on + 60 and found >= downloaded_on - 1825 then found end) as inferred from i""")
+def date_infer(v: Views) -> DataFrame:
+    existing = F.when(F.col("id") % 2 == 0, F.col("meeting_date"))
+    return _named(v).select("id", fn.date_infer(existing, "name", F.lit("no date"), "downloaded_on").alias("inferred"))
+
+
+@query(_NAMED + f""", i as (select *, {_KNOWN} as found, case when id % 3 = 0 then downloaded_on + 90 else meeting_date end as stored from n)
+select id, case when stored > downloaded_on + 60 then case when found <= downloaded_on + 60 then found end else stored end as repaired from i""")
+def date_repair(v: Views) -> DataFrame:
+    stored = F.when(F.col("id") % 3 == 0, F.date_add("downloaded_on", 90)).otherwise(F.col("meeting_date"))
+    return _named(v).select("id", fn.date_repair(stored, "name", "downloaded_on").alias("repaired"))
+
+
+@query("select id, case when coalesce(year(meeting_date), 0) between 2000 and 2039 then cast(year(meeting_date) as int) when id % 2 = 0 then 2021 else 2019 end as year from doc")
+def year_infer(v: Views) -> DataFrame:
+    name = F.concat_ws(" ", F.when(F.col("id") % 2 == 0, "x 3.14.21").otherwise("b 190228"), F.when(F.year("meeting_date") >= 2000, F.concat(F.lit("y"), F.year("meeting_date").cast("string"))))
+    return v.doc.select("id", fn.year_infer(name).alias("year"))
+
+
+@query("select id, case when year(downloaded_on) >= 2000 then cast(year(downloaded_on) as int) end as year from doc")
+def year_from_url(v: Views) -> DataFrame:
+    url = F.concat(F.lit("https://h/files/"), F.year("downloaded_on").cast("string"), F.lit("/r_17.pdf"))
+    return v.doc.select("id", fn.year_from_url(url).alias("year"))
+
+
+@query("select id, cast(year(downloaded_on) - case when strftime(downloaded_on, '%m-%d') < '06-30' then 1 else 0 end as int) as year from doc")
+def expected_fiscal_year(v: Views) -> DataFrame:
+    return v.doc.select("id", fn.expected_fiscal_year("downloaded_on", F.lit("06-30")).alias("year"))
+
+
+@query("""select id, downloaded_on - cast(case when dayofweek(downloaded_on) = 6 then 7 else dayofweek(downloaded_on) + 1 end as int) as week_end,
+cast(date_trunc('month', downloaded_on) - interval 1 month as date) as month_start, cast(date_trunc('month', downloaded_on) - interval 1 day as date) as month_end,
+cast(date_trunc('quarter', downloaded_on) - interval 3 month as date) as quarter_start from doc""")
+def period_bounds(v: Views) -> DataFrame:
+    month, quarter = fn.prior_period("downloaded_on", "month"), fn.prior_period("downloaded_on", "quarter")
+    return v.doc.select("id", fn.week_end("downloaded_on").alias("week_end"), month[0].alias("month_start"), month[1].alias("month_end"), quarter[0].alias("quarter_start"))
+
+
+@query("""with p as (select id, downloaded_on as a, downloaded_on + 9 as b from doc)
+select id, case when strftime(a, '%Y%m') = strftime(b, '%Y%m') then concat(strftime(a, '%b %-d'), '-', strftime(b, '%-d, %Y')) when year(a) = year(b) then concat(strftime(a, '%b %-d'), ' - ', strftime(b, '%b %-d, %Y'))
+else concat(strftime(a, '%b %-d, %Y'), ' - ', strftime(b, '%b %-d, %Y')) end as label from p""")
+def period_label(v: Views) -> DataFrame:
+    return v.doc.select("id", fn.period_label("downloaded_on", F.date_add("downloaded_on", 9)).alias("label"))
+
+
+@query("select id, case when id >= 3600 then concat(cast(id // 3600 as varchar), 'h', lpad(cast(id % 3600 // 60 as varchar), 2, '0'), 'm') else concat(cast(id // 60 as varchar), 'm ', cast(id % 60 as varchar), 's') end as duration from doc")
+def duration_text(v: Views) -> DataFrame:
+    return v.doc.select("id", fn.duration_text("id").alias("duration"))
+
+
+@query("""with b as (select extract_id, seq, actual_bp - target_bp as bp from alloc)
+select extract_id, seq, case when bp is null then '' else concat(case when bp < 0 then '-' else '+' end, cast(abs(bp) // 100 as varchar), '.', lpad(cast(abs(bp) % 100 as varchar), 2, '0'), '%') end as shown from b""")
+def number_format(v: Views) -> DataFrame:
+    return v.alloc.select("extract_id", "seq", fn.signed_percent(F.col("actual_bp") - F.col("target_bp")).alias("shown"))
+
+
+@query("select id, case when length(text) > 80 then concat(rtrim(left(text, 80), ' '), '…') else text end as excerpt from txt")
+def excerpt(v: Views) -> DataFrame:
+    return v.txt.select("id", fn.excerpt("text", 80).alias("excerpt"))
+
+
+@query("select id, array_to_string(regexp_split_to_array(trim(text, ' '), '[ \\t\\n\\r]+')[1:12], ' ') as words from txt")
+def truncate_words(v: Views) -> DataFrame:
+    return v.txt.select("id", fn.truncate_words("text", 12).alias("words"))
+
+
+@query()
+def preview(v: Views) -> DataFrame:
+    return v.txt.select("id", fn.preview("text").alias("preview"))
+
+
+@query("select id, concat('Title one name', cast(id as varchar), ' item') as plain from plan")
+def strip_markup(v: Views) -> DataFrame:
+    return v.plan.select("id", fn.strip_markup(F.concat(F.lit("## Title\n\n**one** [name"), S("id"), F.lit("](http://x/y)\n- item"))).alias("plain"))
+
+
+@query("select id, regexp_replace(name, '(customer)', '<mark>\\1</mark>', 'gi') as shown from plan")
+def highlight(v: Views) -> DataFrame:
+    return v.plan.select("id", fn.highlight("name", "customer").alias("shown"))
+
+
+@query("select id, concat('see [', i, '](/d/', i, ') and [', i, '](/d/', i, ') [7](/d/7)') as linked from (select id, cast(id as varchar) as i from plan) p")
+def rewrite_citations(v: Views) -> DataFrame:
+    i = S("id")
+    return v.plan.select("id", fn.rewrite_citations(F.concat(F.lit("see ["), i, F.lit("] and ["), i, F.lit(", 7]")), "/d").alias("linked"))
+
+
+@query("select id, case when id % 3 = 0 then 'transient' when id % 3 = 1 then 'gone' else 'unknown' end as class, id % 3 = 0 as blocked from plan")
+def error_class(v: Views) -> DataFrame:
+    message = F.when(F.col("id") % 3 == 0, "404 after Timeout").when(F.col("id") % 3 == 1, "Not Found")
+    return v.plan.select("id", fn.error_class(message).alias("class"), fn.block_detect(F.when(F.col("id") % 3 == 0, 403).otherwise(200), F.lit("Access denied")).alias("blocked"))
+
+
+@query("select id, case when length(trim(text, ' ')) < 100 then 'too short' when source = 'src3' then 'no content' end as reason, case when source = 'src1' or n_chars > 60000 then 'large' when n_chars > 8000 then 'medium' else 'small' end as tier from txt")
+def skip_reason(v: Views) -> DataFrame:
+    name, kind = F.when(F.col("source") == "src3", "Calendar.pdf").otherwise("x.pdf"), F.when(F.col("source") == "src1", "cafr").otherwise("minutes")
+    return v.txt.select("id", fn.skip_reason("text", name).alias("reason"), fn.route_by_size("n_chars", kind).alias("tier"))
+
+
+@query("select id, id % 3 = 0 as placeholder from plan")
+def placeholder_only(v: Views) -> DataFrame:
+    text = F.when(F.col("id") % 3 == 0, "[Page 1]\n\n[Page 2]\n").when(F.col("id") % 3 == 1, "[Page 1]\ntext\n")
+    return v.plan.select("id", fn.placeholder_only(text).alias("placeholder"))
+
+
+@query("select id, id % 2 = 0 as matches from plan")
+def title_match(v: Views) -> DataFrame:
+    return v.plan.select("id", fn.title_match(F.when(F.col("id") % 2 == 0, "Board of Trustees Meeting 3").otherwise("Town hall")).alias("matches"))
+
+
+@query("""select id, case when id % 3 = 0 then 'youtube' when id % 3 = 1 then 'vimeo' end as platform, case when id % 3 = 0 then lpad(cast(id as varchar), 11, 'a') when id % 3 = 1 then cast(id as varchar) end as key,
+case when id % 3 = 0 then concat('https://www.youtube.com/watch?v=', lpad(cast(id as varchar), 11, 'a')) when id % 3 = 1 then concat('https://vimeo.com/', cast(id as varchar)) else 'https://x/y' end as canonical from plan""")
+def url_classify(v: Views) -> DataFrame:
+    url = F.when(F.col("id") % 3 == 0, F.concat(F.lit("https://youtu.be/"), F.lpad(S("id"), 11, "a"))).when(F.col("id") % 3 == 1, F.concat(F.lit("https://vimeo.com/video/"), S("id"))).otherwise("https://x/y")
+    rows = v.plan.select("id", url.alias("url")).withColumn("c", fn.url_classify("url"))
+    return rows.select("id", F.col("c.platform").alias("platform"), F.col("c.id").alias("key"), fn.video_url("c.platform", "c.id", "url").alias("canonical"))
+
+
+@query("select id, case when id % 3 = 0 then 'https://h/2024/r.pdf' when id % 3 = 1 then 'https://l/acfr-2024.pdf' end as url from plan")
+def url_for_year(v: Views) -> DataFrame:
+    template = F.when(F.col("id") % 3 == 0, "https://h/{year}/r.pdf")
+    linked = F.when(F.col("id") % 3 == 1, "https://l/acfr-2024.pdf")
+    return v.plan.select("id", template.alias("t"), linked.alias("l"), F.lit("https://s/2019.pdf").alias("s")).select("id", fn.url_for_year("t", "l", "s", 2024).alias("url"))
+
+
+@query("select d.id, concat(lower(replace(p.name, '#', '-')), '/', coalesce(cast(d.meeting_date as varchar), 'undated'), '/', cast(d.id as varchar)) as path from doc d join plan p on p.id = d.plan_id")
+def safe_path(v: Views) -> DataFrame:
+    rows = v.doc.join(v.plan.select(F.col("id").alias("plan_id"), "name"), "plan_id")
+    return rows.select("id", fn.safe_path("name", "meeting_date", "id").alias("path"))
+
+
+@query("select id, case when id % 2 = 0 then concat(cast(downloaded_on as varchar), 'T10:00:00Z') else concat(cast(downloaded_on as varchar), 'T10:00:00+00:00') end as stamp from doc")
+def utc_stamp(v: Views) -> DataFrame:
+    naive = F.concat(S("downloaded_on"), F.lit("T10:00:00"))
+    return v.doc.select("id", fn.utc_stamp(F.when(F.col("id") % 2 == 0, F.concat(naive, F.lit("Z"))).otherwise(naive)).alias("stamp"))
