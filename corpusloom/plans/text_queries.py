@@ -1 +1,112 @@
-"""Queries."""
+"""Queries for text search, sections and links."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.operators import textsearch as op
+from corpusloom.plans.registry import query
+from corpusloom.plans.views import Views
+from corpusloom.sources import links
+
+_TOKENS = """with tok as (select id, unnest(list_filter(regexp_split_to_array(translate(lower(concat_ws(' ', text, source)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) as term from txt),
+tf as (select id, term, count(*) as tf from tok group by 1, 2), len as (select id, count(*) as length from tok group by 1),
+m as (select id from tf where term in ('the', 'with', 'src5') group by 1 having count(*) = 3)"""
+
+
+@query(_TOKENS + """, df as (select term, count(*) as df from tf where term in ('the', 'with', 'src5') group by 1), s as (select tf.id,
+round(sum(ln(1 + ((select count(*) from len) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (select avg(length) from len)))), 6) as score
+from tf join df on df.term = tf.term join len on len.id = tf.id where tf.id in (select id from m) group by 1) select id, score from s order by score desc, id limit 20""")
+def search_bm25(v: Views) -> DataFrame:
+    return op.search_bm25(op.postings(v.txt, "id", "text", "source"), "id", "the WITH (src5)", 20)
+
+
+@query("select id from txt where regexp_matches(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '(^|[^\\p{L}\\p{N}])of[^\\p{L}\\p{N}]+the([^\\p{L}\\p{N}]|$)') and not regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])what([^\\p{L}\\p{N}]|$)')")
+def search_phrase(v: Views) -> DataFrame:
+    return op.search_phrase(op.postings(v.txt, "id", "text"), "id", '"of the"', ["what"])
+
+
+@query("select id, lang from txt where contains(lower(text), 'tion an') or contains(lower(source), 'tion an')")
+def search_substring(v: Views) -> DataFrame:
+    return op.search_substring(v.txt, ["text", "source"], "TION an", [F.col("n_chars").desc(), F.col("id")]).select("id", "lang")
+
+
+@query(_TOKENS + " select count(*) as n from m")
+def search_count(v: Views) -> DataFrame:
+    return op.matching(op.postings(v.txt, "id", "text", "source"), "id", ["the", "with", "src5"]).agg(F.count("*").alias("n"))
+
+
+@query("with l as (select id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as page from txt) select id, cast(page as int) as page, trim(line, ' ') as text from l")
+def page_split(v: Views) -> DataFrame:
+    marked = v.txt.select("id", F.expr("array_join(transform(split(text, '\n', -1), (x, i) -> concat('[Page ', i + 1, ']', x)), '')").alias("text"))
+    return op.page_split(marked, "id", "text")
+
+
+_LINES = "with l as (select id, unnest(string_split(text, chr(10))) as line, cast(generate_subscripts(string_split(text, chr(10)), 1) as int) as page from txt)"
+
+
+@query(_LINES + """, f as (select id, min(page) as first from l where regexp_matches(line, '(?i)^the ') group by 1)
+select l.id, f.first, coalesce(min(case when page > f.first and regexp_matches(line, '(?i)^(and|of) ') then page end) - 1, max(page)) as last from l join f on f.id = l.id group by 1, 2""")
+def section_range(v: Views) -> DataFrame:
+    return op.section_range(op.line_pages(v.txt, "id", "text"), "id", "(?i)^the ", "(?i)^(and|of) ")
+
+
+@query(_LINES + """, k as (select * from l where page >= 3), f as (select id, coalesce(min(case when regexp_matches(line, '^The ') then page end), min(case when regexp_matches(line, 'the') and length(line) <= 120 then page end)) as first from k group by 1)
+select k.id, f.first, coalesce(min(case when page > f.first and regexp_matches(line, '^(And|Of) ') then page end) - 1, least(max(page), f.first + 9)) as last from k join f on f.id = k.id where f.first is not null group by 1, 2""")
+def section_range_ranked(v: Views) -> DataFrame:
+    return op.section_range_ranked(op.line_pages(v.txt, "id", "text"), "id", "^The ", "the", "^(And|Of) ", 3, 120, 10)
+
+
+_SPAN = """, h as (select id, min(page) as a, max(page) as b, count(*) as n from l where contains(line, 'tion of') group by 1), e as (select id, max(page) as z from l group by 1),
+s as (select h.id, case when n = 1 then greatest(a - 3, 1) else a end as first, case when n = 1 then least(b + 3, z) else b end as last from h join e on e.id = h.id),
+r as (select id, first, least(last, first + 7) as last from s)"""
+
+
+def _span(v: Views) -> DataFrame:
+    return op.phrase_span(op.line_pages(v.txt, "id", "text"), "id", "tion of", 3, 8)
+
+
+@query(_LINES + _SPAN + " select * from r")
+def phrase_span(v: Views) -> DataFrame:
+    return _span(v)
+
+
+@query(_LINES + _SPAN + " select r.id, cast(sum(length(line)) as bigint) as chars, count(*) as pages, sum(length(line)) >= 150 * count(*) as dense from r join l on l.id = r.id and page between first and last group by 1")
+def text_density(v: Views) -> DataFrame:
+    return op.text_density(op.line_pages(v.txt, "id", "text"), _span(v), "id", 150)
+
+
+@query(_LINES + _SPAN + ", c as (select r.id, string_agg(line, chr(10) order by page) as t from r join l on l.id = r.id and page between first and last group by 1) select id, md5(t) as digest, left(t, 500) as text from c")
+def section_concat(v: Views) -> DataFrame:
+    return op.section_concat(op.line_pages(v.txt, "id", "text"), _span(v), "id", 500)
+
+
+@query()
+def keyword_excerpt(v: Views) -> DataFrame:
+    return op.keyword_excerpt(v.txt.select("id", "text"), "id", "text", "(?i)worthless|token", 200, 500, 300, 2000)
+
+
+@query("select id, md5(text) as digest, min(id) over (partition by md5(text)) as source, id <> min(id) over (partition by md5(text)) as reused from txt")
+def dedup_by_hash(v: Views) -> DataFrame:
+    return op.dedup_by_hash(v.txt, "id", "text")
+
+
+@query()
+def extract_links(v: Views) -> DataFrame:
+    return links.extract_links(v.pg, F.col("target").startswith("http"))
+
+
+@query()
+def sub_page_links(v: Views) -> DataFrame:
+    return links.sub_page_links(v.pg, "^http", "[?]", 3)
+
+
+@query("""with u as (select id, unnest(regexp_extract_all(concat('see ', url, '. and ', url, '#top'), 'https?://[^\\s"''<>)\\]]+')) as raw from pg)
+select distinct id, regexp_replace(regexp_replace(raw, '#.*$', ''), '[.,;:!?]+$', '') as url from u""")
+def mine_urls(v: Views) -> DataFrame:
+    return links.mine_urls(v.pg.select("id", F.concat(F.lit("see "), "url", F.lit(". and "), "url", F.lit("#top")).alias("text")), "id", "text")
+
+
+@query()
+def harvest_media(v: Views) -> DataFrame:
+    frame = F.concat(F.col("html"), F.lit('<a href="https://youtu.be/'), F.lpad((F.col("id") % 40).cast("string"), 11, "a"), F.lit('">Board video</a>'))
+    return links.harvest_media(v.pg.withColumn("html", frame), "board")
