@@ -1 +1,175 @@
-"""Queries."""
+"""Queries for incremental operators."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.operators import incremental as op
+from corpusloom.plans.registry import query
+from corpusloom.plans.views import Views
+
+STAMP = F.lit("2024-01-25").cast("timestamp_ntz")
+MARK = F.lit("2024-01-23").cast("timestamp_ntz")
+
+
+@query("select id, entity_id, ts from ev where ts > timestamp '2024-01-23' and ts < timestamp '2024-01-25'")
+def new_since(v: Views) -> DataFrame:
+    return op.new_since(v.ev.select("id", "entity_id", "ts"), "ts", MARK, STAMP)
+
+
+@query("select count(*) as n, count(*) > 10 as high_volume, min(case when status in ('purchase', 'error') then id end) as first_hit from ev where ts > timestamp '2024-01-24' and ts < timestamp '2024-01-25'")
+def batch_triggers(v: Views) -> DataFrame:
+    return op.batch_triggers(op.new_since(v.ev, "ts", None, STAMP), "status", ["purchase", "error"], 10)
+
+
+@query("select plan_id, count(*) as n, string_agg(concat(coalesce(doc_type, 'document'), ' ', url), chr(10) order by downloaded_on, id) as body from doc where downloaded_on >= date '2001-06-01' group by 1")
+def digest_rows(v: Views) -> DataFrame:
+    line = F.concat_ws(" ", F.coalesce("doc_type", F.lit("document")), "url")
+    return op.digest_rows(v.doc.filter("downloaded_on >= date'2001-06-01'"), "plan_id", line, ["downloaded_on", "id"])
+
+
+@query("""with c as (select *, row_number() over (partition by plan_id order by id, url) as n from doc)
+select plan_id, id, url from c where n <= 5 and url not in (select url from doc where id % 10 = 0) and url not in (select url from doc where id % 9 = 0)""")
+def ingest_dedupe(v: Views) -> DataFrame:
+    return op.ingest_dedupe(v.doc.select("plan_id", "id", "url"), "plan_id", "url", "id", v.doc.filter("id % 10 = 0"), v.doc.filter("id % 9 = 0"), 5)
+
+
+@query("""with t as (select id, source, md5(text) as digest from txt), s as (select distinct source, digest from t where id % 4 = 0), n as (select * from t where id % 4 <> 0)
+select id, case when (source, digest) not in (select source, digest from s) and row_number() over (partition by source, digest order by id) = 1 then 'new' else 'already_have' end as outcome from n""")
+def content_version(v: Views) -> DataFrame:
+    rows = v.txt.select("id", "source", F.md5("text").alias("digest"))
+    return op.content_version(rows.filter("id % 4 <> 0"), rows.filter("id % 4 = 0"), ["source", "digest"], [F.col("id")]).select("id", "outcome")
+
+
+@query("select id, case when id % 3 = 0 then 'insert' when id % 5 = 0 or id % 7 = 0 then 'replace' else 'skip' end as outcome from txt")
+def reextract_gate(v: Views) -> DataFrame:
+    now = v.txt.select("id", F.md5("text").alias("digest"), F.lit(2).alias("version"))
+    stored = now.filter("id % 3 <> 0").select("id", F.when(F.col("id") % 5 == 0, "x").otherwise(F.col("digest")).alias("digest"), F.when(F.col("id") % 7 == 0, 1).otherwise(2).alias("version"))
+    return op.reextract_gate(now, stored, "id").select("id", "outcome")
+
+
+@query("select extract_id, seq, asset_class, actual_bp from alloc where extract_id % 6 <> 0 union all select distinct extract_id, 99, 'NEW', 0 from alloc where extract_id % 6 = 0")
+def replace_children(v: Views) -> DataFrame:
+    rows = v.alloc.select("extract_id", "seq", "asset_class", "actual_bp")
+    fresh = rows.filter("extract_id % 6 = 0").select("extract_id").distinct().select("extract_id", F.lit(99).alias("seq"), F.lit("NEW").alias("asset_class"), F.lit(0).alias("actual_bp"))
+    return op.replace_children(rows, fresh, "extract_id")
+
+
+@query("""with o as (select entity_id, status, id % 3 as grade, row_number() over (partition by entity_id order by ts desc, id desc) as n from ev where ts < timestamp '2024-01-15'),
+i as (select entity_id, status, id % 3 as grade, row_number() over (partition by entity_id order by ts desc, id desc) as n from ev)
+select i.entity_id, i.status, i.grade, concat(case when i.status is distinct from o.status then 'status' else '' end, case when i.grade is distinct from o.grade then 'grade' else '' end) as changed
+from i left join (select * from o where n = 1) o on o.entity_id = i.entity_id where i.n = 1 and (o.entity_id is null or i.status <> o.status or i.grade <> o.grade)""")
+def snapshot_on_change(v: Views) -> DataFrame:
+    from corpusloom.operators.joins import latest_per_group
+
+    order = [F.col("ts").desc(), F.col("id").desc()]
+    rows = v.ev.withColumn("grade", F.col("id") % 3)
+    now = latest_per_group(rows, ["entity_id"], order).select("entity_id", "status", "grade")
+    out = op.snapshot_on_change(rows.filter("ts < timestamp_ntz'2024-01-15'"), now, "entity_id", ["status", "grade"], order)
+    return out.withColumn("changed", F.array_join("changed", ""))
+
+
+_BOTH = """with s as (select id, status, case when id % 4 = 0 then null else amount end as amount from doc where id % 5 <> 0),
+i as (select id, case when id % 6 = 0 then 'done' else status end as status, case when id % 3 = 0 then null else amount end as amount from doc where id % 7 <> 0),"""
+
+
+def _both(v: Views) -> tuple[DataFrame, DataFrame]:
+    stored = v.doc.filter("id % 5 <> 0").select("id", "status", F.when(F.col("id") % 4 != 0, F.col("amount")).alias("amount"))
+    incoming = v.doc.filter("id % 7 <> 0").select("id", F.when(F.col("id") % 6 == 0, "done").otherwise(F.col("status")).alias("status"), F.when(F.col("id") % 3 != 0, F.col("amount")).alias("amount"))
+    return stored, incoming
+
+
+@query(_BOTH + """ m as (select coalesce(s.id, i.id) as id, coalesce(i.status, s.status) as status, coalesce(i.amount, s.amount) as amount, s.id as a, i.id as b, s.status as os, s.amount as oa from s full join i on i.id = s.id)
+select id, status, amount, case when a is null then 'I' when b is null or (status is not distinct from os and amount is not distinct from oa) then '=' else 'U' end as op from m""")
+def upsert_update(v: Views) -> DataFrame:
+    return op.upsert(*_both(v), "id", ["status", "amount"])
+
+
+@query("select id, plan_id, 'old' as origin from doc where id % 5 <> 0 union all select id, plan_id, 'new' from doc where id % 5 = 0")
+def upsert_insert_only(v: Views) -> DataFrame:
+    rows = v.doc.select("id", "plan_id")
+    return op.upsert_insert_only(rows.filter("id % 5 <> 0").withColumn("origin", F.lit("old")), rows.withColumn("origin", F.lit("new")), "id")
+
+
+@query(_BOTH + """ m as (select coalesce(s.id, i.id) as id, case when s.id % 11 = 0 then s.status else coalesce(s.status, i.status) end as status, case when s.id % 11 = 0 then s.amount else coalesce(s.amount, i.amount) end as amount, s.id as a, i.id as b, s.status as os, s.amount as oa from s full join i on i.id = s.id)
+select id, status, amount, case when a is null then 'I' when b is null or (status is not distinct from os and amount is not distinct from oa) then '=' else 'U' end as op from m""")
+def upsert_fill_null(v: Views) -> DataFrame:
+    return op.upsert(*_both(v), "id", ["status", "amount"], fill_only=True, protected=F.col("id") % 11 == 0)
+
+
+@query(_BOTH + """ m as (select coalesce(s.id, i.id) as id, case when s.id is null then 'I' when i.id is null then 'D' when s.status is not distinct from i.status and s.amount is not distinct from i.amount then '=' else 'U' end as op from s full join i on i.id = s.id) select * from m""")
+def upsert_changed_only(v: Views) -> DataFrame:
+    return op.upsert_changed_only(*_both(v), "id", ["status", "amount"])
+
+
+@query("select id, 'old' as reason from doc where id % 4 = 0 and id % 6 <> 0 union all select id, 'short' from doc where id % 6 = 0 and id % 12 <> 0")
+def detail_sync(v: Views) -> DataFrame:
+    details = v.doc.filter("id % 4 = 0").select("id", F.lit("old").alias("reason"))
+    passes = v.doc.filter("id % 6 = 0").select("id", F.when(F.col("id") % 12 != 0, "short").alias("reason"))
+    return op.detail_sync(details, passes, "id")
+
+
+_OLD = "coalesce(coalesce(meeting_date, downloaded_on) < date '1996-01-01', false)"
+
+
+@query(f"""select 'docs' as table_name, count(*) as n from doc where not {_OLD} union all select 'children', count(*) from summ where document_id not in (select id from doc where {_OLD})
+union all select 'tombstones', count(*) from (select url from doc where id % 1000 = 0 and id < 9000 union select url from doc where {_OLD}) t""")
+def prune_with_tombstone(v: Views) -> DataFrame:
+    old = F.coalesce("meeting_date", "downloaded_on") < F.lit("1996-01-01").cast("date")
+    tombs = v.doc.filter("id % 1000 = 0 and id < 9000").select("url").distinct()
+    parts = op.prune_with_tombstone(v.doc, v.summ, tombs, "id", "document_id", "url", old)
+    counts = [p.agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "n") for t, p in zip(("docs", "children", "tombstones"), parts, strict=True)]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("""select id, case when text_id in (select id from txt where id % 30 <> 0) then text_id end as text_id, 'null' as policy from summ
+union all select id, text_id, 'delete' from summ where text_id is null or text_id in (select id from txt where id % 30 <> 0)""")
+def orphan_repair(v: Views) -> DataFrame:
+    rows, parents = v.summ.select("id", "text_id"), v.txt.filter("id % 30 <> 0")
+    out = [op.orphan_repair(rows, "text_id", parents, "id", p).withColumn("policy", F.lit(p)) for p in ("null", "delete")]
+    return out[0].unionByName(out[1])
+
+
+@query("""with r as (select id, status, case when id % 3 = 0 then 'done' when id % 3 = 1 then 'pending' else 'failed' end as wanted from doc),
+a as (select *, (status = 'pending' and wanted in ('done', 'failed')) or (status = 'failed' and wanted = 'pending') as accepted from r) select id, case when accepted then wanted else status end as status, accepted from a""")
+def status_transition(v: Views) -> DataFrame:
+    wanted = F.when(F.col("id") % 3 == 0, "done").when(F.col("id") % 3 == 1, "pending").otherwise("failed")
+    return op.status_transition(v.doc, v.doc.select("id", wanted.alias("wanted")), "id", {"pending": ["done", "failed"], "failed": ["pending"]})
+
+
+@query("""with w as (select distinct cast(date_trunc('week', downloaded_on) as date) as period from doc) select 'weekly' as cadence, period from w""")
+def find_or_create(v: Views) -> DataFrame:
+    wanted = v.doc.select(F.lit("weekly").alias("cadence"), F.trunc("downloaded_on", "week").alias("period")).distinct()
+    stored = wanted.filter("day(period) <= 15")
+    return stored.unionByName(wanted.join(stored, ["cadence", "period"], "left_anti"))
+
+
+@query("""with l as (select distinct id % 3 as run_id, plan_id from doc where id % 4 = 0)
+select r.i as run_id, p.id as plan_id, case when l.plan_id is not null then 'completed' else 'pending' end as status from plan p cross join (select cast(i as bigint) as i from range(0, 3) t(i)) r left join l on l.run_id = r.i and l.plan_id = p.id""")
+def run_ledger(v: Views) -> DataFrame:
+    ledger = v.doc.filter("id % 4 = 0").select((F.col("id") % 3).alias("run_id"), "plan_id").distinct().withColumn("status", F.lit("completed"))
+    runs = v.doc.select((F.col("id") % 3).alias("run_id")).distinct()
+    return op.run_ledger(runs, v.plan.select(F.col("id").alias("plan_id")), ledger, "run_id", "plan_id")
+
+
+@query("select id, entity_id, ts from ev where not (id % 3 = 0) and value >= 40 order by ts, id limit 15")
+def pending_alerts(v: Views) -> DataFrame:
+    rows = v.ev.withColumn("sent", F.col("id") % 3 == 0)
+    return op.pending_alerts(rows, "sent", "value", 40, [F.col("ts"), F.col("id")], 15).select("id", "entity_id", "ts")
+
+
+@query("""with a as (select entity_id, id, status, status in ('purchase', 'error') as t from ev),
+r as (select *, row_number() over (partition by entity_id order by t desc, case when t then id else -id end) as n from a) select entity_id, id, status from r where n = 1""")
+def outcome_ladder(v: Views) -> DataFrame:
+    return op.outcome_ladder(v.ev.select("entity_id", "id", "status"), "entity_id", "id", F.col("status").isin("purchase", "error"))
+
+
+@query("""select id, case when segment = 'MACHINERY' and id % 2 = 0 and id % 3 = 0 then 'noisy; was ok' else 'was ok' end as notes, id % 3 = 0 and not (segment = 'MACHINERY' and id % 2 = 0) as active from plan""")
+def deactivate_noise(v: Views) -> DataFrame:
+    rows = v.plan.select("id", "segment", F.lit("was ok").alias("notes"), (F.col("id") % 3 == 0).alias("active"))
+    return op.deactivate(rows, (F.col("segment") == "MACHINERY") & (F.col("id") % 2 == 0), "noisy").select("id", "notes", "active")
+
+
+@query("select date_trunc('month', downloaded_on)::date as period, count(*) as n, min(id) as first_source from doc where status in ('done', 'pending') group by 1")
+def cascade_rollup(v: Views) -> DataFrame:
+    rolled = op.cascade_rollup(v.doc, F.trunc("downloaded_on", "month"), "id", F.col("status").isin("done", "pending"))
+    return rolled.select("period", F.size("sources").cast("bigint").alias("n"), F.col("sources")[0].alias("first_source"))
