@@ -33,7 +33,7 @@ from corpusloom.llm.shared import ensure_checkpoint_dir
 CAPACITY = 2048
 END_ID = 0
 #: Distinct words a task remembers the ids of.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 _SPACE_RUN = re.compile(r"\s ")
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm import textarrays as ta
 
 WINDOW = 50
+#: Bytes of text that are settled together before the exchange.
+SLICE = 4 << 20
 _ENTRY = "bucket int, kind int, hashes binary, docs binary, keys binary, counts binary, places binary"
 _FLAG = "home int, docs binary, keys binary, counts binary, places binary"
 _INTERVALS = "doc_id long, text_key long, starts array<long>, ends array<long>"
@@ -77,7 +79,7 @@ def _windows(docs: list[bytes], keys: list[bytes], counts: list[bytes], places:
 def _entries(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("hashes", "docs", "keys", "counts", "places"))])
     for whole in batches:
-        for part in ta.slices(whole):
+        for part in ta.slices(whole, limit=SLICE):
             buf, offs = ta.utf8(part.column("text"))
             starts, ends, first = ta.word_bounds(buf, offs)
             hashes, rows, places = ta.windows(ta.word_hashes(buf, starts, ends), first, k)

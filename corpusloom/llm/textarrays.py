@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 
 #: Bytes that are not U+0020 or U+0009..U+000D.

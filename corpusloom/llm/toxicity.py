@@ -196,6 +196,7 @@ class GatedNet:
     def fit(self, rows: list[tuple[str, int, float]], epochs: int = EPOCHS, size: int = 64, rate: float = 0.02, seed: int = 13) -> GatedNet:
         rng = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
+        epochs = max(epochs, min(30, 12_000 // max(1, len(rows))))  # few rows are seen more often
         t, steps = 0, epochs * -(-len(rows) // size)
         for _ in range(epochs):
             order = rng.permutation(len(rows))
