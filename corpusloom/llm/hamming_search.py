@@ -47,11 +47,22 @@ def _entries(codes: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-def _segments(n_codes: int) -> list[tuple[int, int]]:
-    """(first bit, bits): as many as make a segment about log2(codes) bits long."""
-    m = min(16, max(2, round(BITS / max(1.0, math.log2(max(2, n_codes))))))
-    cuts = [BITS * i // m for i in range(m + 1)]
-    return list(zip(cuts, (b - a for a, b in zip(cuts, cuts[1:], strict=False)), strict=False))
+def _segments(n_codes: int, k: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of the segments: as many as cost the fewest look-ups and hits a query, were the
+    codes spread evenly. More segments need a smaller radius, but each look-up then hits more codes."""
+    within, distance = 0.0, -1
+    while within < k and distance < BITS:
+        distance += 1
+        within += math.comb(BITS, distance) / 2**BITS * n_codes
+
+    def cut(m: int) -> list[tuple[int, int]]:
+        cuts = [BITS * i // m for i in range(m + 1)]
+        return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def cost(m: int) -> float:
+        return sum(sum(math.comb(n, r) for r in range(distance // m + 1)) * (1 + n_codes / 2**n) for _, n in cut(m))
+
+    return cut(min(range(2, 17), key=cost))
 
 
 def _part(code: str, at: int, size: int) -> str:
@@ -70,7 +81,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     ensure_checkpoint_dir(spark)
     entries = _entries(codes, k).checkpoint()
     n_codes = entries.count()
-    segments = _segments(n_codes)
+    segments = _segments(n_codes, k)
     m = len(segments)
     index = entries.select("code", "ids", F.posexplode(F.array(*(F.expr(_part("code", a, n)) for a, n in segments))).alias("segment", "value"))
     parts = [f"bit_count({_part('(query ^ code)', a, n)})" for a, n in segments]
