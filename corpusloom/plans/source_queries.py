@@ -17,7 +17,7 @@ def scan_table(v: Views) -> DataFrame:
 def scan_json_registry(v: Views) -> DataFrame:
     path = src.shared_folder(v.spark)
     objects = v.plan.select(F.struct("id", "name", F.initcap("segment").alias("segment")).alias("o"), (F.col("id") % 4).alias("file"))
-    objects.groupBy("file").agg(F.to_json(F.collect_list("o")).alias("value")).select("value").write.text(path)
+    objects.groupBy("file").agg(F.to_json(F.collect_list("o")).alias("value")).write.partitionBy("file").text(path)
     return src.scan_json_registry(v.spark, path, "id bigint, name string, segment string", "segment", "building").select("id", "name")
 
 
