@@ -7,7 +7,9 @@ from corpusloom.operators import aggregates as op
 from corpusloom.plans.registry import query
 from corpusloom.plans.views import Views
 
-NOW = F.lit("2000-01-01").cast("date")
+
+def now():
+    return F.lit("2000-01-01").cast("date")
 
 
 @query("select (select count(*) from plan) as plans, (select count(*) from doc) as docs, (select count(*) from doc where status = 'done') as extracted, (select count(*) from summ) as summaries")
@@ -213,7 +215,7 @@ select (select count(*) from plan where id in (select plan_id from d)) as n_enti
 min(meeting_date) as first_date, least(max(meeting_date), date '2000-01-01') as last_date, count(*) as n_docs from d""")
 def period_totals(v: Views) -> DataFrame:
     plans = v.plan.withColumn("cents", F.round(F.col("size") * 100).cast("bigint"))
-    return op.period_totals(v.doc.filter("downloaded_on >= date'1999-06-01'"), plans, "meeting_date", NOW, "cents")
+    return op.period_totals(v.doc.filter("downloaded_on >= date'1999-06-01'"), plans, "meeting_date", now(), "cents")
 
 
 @query("select entity_id, count(*) as n, count(*) filter (where value > 50) as n_active, count(*) filter (where status = 'click') as n_done, count(distinct status) as n_platforms, bool_or(value > 90) as any_live from ev group by 1")

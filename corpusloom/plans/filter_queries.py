@@ -7,20 +7,25 @@ from corpusloom.operators import filters as op
 from corpusloom.plans.registry import query
 from corpusloom.plans.views import Views
 
-NOW = F.lit("2000-01-01").cast("date")
-STAMP = F.lit("2024-01-25").cast("timestamp_ntz")
+
+def now():
+    return F.lit("2000-01-01").cast("date")
+
+
+def stamp():
+    return F.lit("2024-01-25").cast("timestamp_ntz")
 
 
 @query("""select d.id, d.plan_id, d.doc_type, d.meeting_date, s.id as summary_id from doc d join summ s on s.document_id = d.id
 where doc_type not in ('cafr', 'performance') and (meeting_date is null or meeting_date <= date '2000-01-01' + 60)""")
 def feed_filter(v: Views) -> DataFrame:
     rows = v.doc.alias("d").join(v.summ.alias("s"), F.col("s.document_id") == F.col("d.id")).select("d.id", "plan_id", "doc_type", "meeting_date", F.col("s.id").alias("summary_id"))
-    return op.feed_filter(rows, ["cafr", "performance"], NOW, 60)
+    return op.feed_filter(rows, ["cafr", "performance"], now(), 60)
 
 
 @query("select id, plan_id, downloaded_on from doc where downloaded_on >= date '2000-01-01' - 30")
 def lookback_filter(v: Views) -> DataFrame:
-    return op.lookback_filter(v.doc.select("id", "plan_id", "downloaded_on"), NOW, 30, "downloaded_on")
+    return op.lookback_filter(v.doc.select("id", "plan_id", "downloaded_on"), now(), 30, "downloaded_on")
 
 
 @query("""select t.id, l.quality, cast(least(n_chars, 2000) as double) / 2000 as confidence, cast(least(n_chars, 2000) as double) / 2000 < 0.7 as needs_review
@@ -89,7 +94,7 @@ r as (select lower(trim(cast(entity_id as varchar))) as email, count(*) as n fro
 select k.email, cast(coalesce(n, 0) as bigint) as recent, coalesce(n, 0) < 3 as allowed from k left join r on r.email = k.email""")
 def signup_throttle(v: Views) -> DataFrame:
     rows = v.ev.select(F.col("entity_id").cast("string").alias("email"), "ts")
-    return op.signup_throttle(rows, rows, "email", "ts", STAMP, 86_400, 3)
+    return op.signup_throttle(rows, rows, "email", "ts", stamp(), 86_400, 3)
 
 
 @query("select id, name, segment from plan where segment = 'BUILDING'")
@@ -104,4 +109,4 @@ def publications_by_status(v: Views) -> DataFrame:
 
 @query("select id, plan_id, meeting_date from doc where meeting_date is null or meeting_date >= date '2000-01-01'")
 def min_date_gate(v: Views) -> DataFrame:
-    return op.min_date_gate(v.doc.select("id", "plan_id", "meeting_date"), "meeting_date", NOW)
+    return op.min_date_gate(v.doc.select("id", "plan_id", "meeting_date"), "meeting_date", now())

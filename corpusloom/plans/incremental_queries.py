@@ -7,18 +7,23 @@ from corpusloom.operators import incremental as op
 from corpusloom.plans.registry import query
 from corpusloom.plans.views import Views
 
-STAMP = F.lit("2024-01-25").cast("timestamp_ntz")
-MARK = F.lit("2024-01-23").cast("timestamp_ntz")
+
+def stamp():
+    return F.lit("2024-01-25").cast("timestamp_ntz")
+
+
+def mark():
+    return F.lit("2024-01-23").cast("timestamp_ntz")
 
 
 @query("select id, entity_id, ts from ev where ts > timestamp '2024-01-23' and ts < timestamp '2024-01-25'")
 def new_since(v: Views) -> DataFrame:
-    return op.new_since(v.ev.select("id", "entity_id", "ts"), "ts", MARK, STAMP)
+    return op.new_since(v.ev.select("id", "entity_id", "ts"), "ts", mark(), stamp())
 
 
 @query("select count(*) as n, count(*) > 10 as high_volume, min(case when status in ('purchase', 'error') then id end) as first_hit from ev where ts > timestamp '2024-01-24' and ts < timestamp '2024-01-25'")
 def batch_triggers(v: Views) -> DataFrame:
-    return op.batch_triggers(op.new_since(v.ev, "ts", None, STAMP), "status", ["purchase", "error"], 10)
+    return op.batch_triggers(op.new_since(v.ev, "ts", None, stamp()), "status", ["purchase", "error"], 10)
 
 
 @query("select plan_id, count(*) as n, string_agg(concat(coalesce(doc_type, 'document'), ' ', url), chr(10) order by downloaded_on, id) as body from doc where downloaded_on >= date '2001-06-01' group by 1")

@@ -7,7 +7,9 @@ from corpusloom.operators import windows as op
 from corpusloom.plans.registry import query
 from corpusloom.plans.views import Views
 
-NOW = F.lit("2000-01-01").cast("date")
+
+def now():
+    return F.lit("2000-01-01").cast("date")
 
 
 @query("with r as (select plan_id, id, fiscal_year, row_number() over (partition by plan_id order by fiscal_year desc nulls last, id desc) as n from doc) select plan_id, id, fiscal_year from r where n = 1")
@@ -72,7 +74,7 @@ g as (select plan_id, manager, arg_max(action, (meeting_date, doc_id, ord, actio
 select *, case when last_action = 'fire' then 'terminated' when last_seen >= date '2000-01-01' - 730 then 'current' else 'unknown' end as status from g""")
 def last_action_status(v: Views) -> DataFrame:
     rows = v.act.filter("manager is not null").join(v.doc.select(F.col("id").alias("doc_id"), "plan_id", "meeting_date"), "doc_id").withColumn("action", F.coalesce("action", F.lit("")))
-    return op.last_action_status(rows, ["plan_id", "manager"], "action", ["meeting_date", "doc_id", "ord", "action"], "fire", NOW, 730)
+    return op.last_action_status(rows, ["plan_id", "manager"], "action", ["meeting_date", "doc_id", "ord", "action"], "fire", now(), 730)
 
 
 @query("""with b as (select * from doc where downloaded_on >= date '2000-06-01'), t as (select min(downloaded_on) as t0 from b),
