@@ -91,6 +91,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     open_queries = queries.select(F.col("code").alias("query")).distinct().checkpoint()
     found = entries.select(F.col("code").alias("query"), "code", "ids", F.lit(0).alias("distance")).limit(0)
     done: list[DataFrame] = []
+    own = F.array(*(F.struct(F.expr(_part("query", a, n)).alias("value"), F.lit(n).alias("size")) for a, n in segments))
+    probes = open_queries.select("query", F.posexplode(own).alias("segment", "s")).select("query", "segment", "s.value", "s.size", F.lit(-1).alias("last"))
     values, radius = 0, 0
     while not open_queries.isEmpty():
         values += sum(math.comb(n, radius) for _, n in segments)
@@ -100,12 +102,11 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             every = spread.join(entries.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int")), "block")
             done.append(_nearest(every.select("query", "code", "ids", F.expr("bit_count(query ^ code)").alias("distance")), k))
             break
-        # the values at exactly this radius: bits are flipped in ascending order, so each value comes once
-        probes = open_queries.select("query", F.posexplode(F.array(*(F.struct(F.expr(_part("query", a, n)).alias("value"), F.lit(n).alias("size")) for a, n in segments))).alias("segment", "s"))
-        probes = probes.select("query", "segment", "s.value", "s.size", F.lit(-1).alias("last"))
-        for _ in range(radius):
+        # the values at exactly this radius grow from those before: bits are flipped in ascending order, so each value comes once
+        if radius:
             flips = F.expr("filter(sequence(0, size - 1), b -> b > last)")
-            probes = probes.select("query", "segment", "value", "size", F.explode(flips).alias("last")).withColumn("value", F.expr("value ^ shiftleft(1L, last)"))
+            probes = probes.join(open_queries, "query", "left_semi").select("query", "segment", "value", "size", F.explode(flips).alias("last"))
+            probes = probes.withColumn("value", F.expr("value ^ shiftleft(1L, last)")).checkpoint()
         hits = probes.select("query", "segment", "value").join(index, ["segment", "value"])
         # a code that several segments find is taken from the first of its closest segments only
         hits = hits.filter(F.expr(f"{least} = {radius} and segment = {first}")).select("query", "code", "ids", F.expr("bit_count(query ^ code)").alias("distance"))
