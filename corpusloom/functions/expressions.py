@@ -282,3 +282,57 @@ def safe_path(entity: Column | str, date: Column | str, key: Column | str) -> Co
 def utc_stamp(text: Column | str) -> Column:
     """Naive time stamps get ``+00:00``; stamps with a zone stay."""
     return F.when(_col(text).rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$"), _col(text)).otherwise(F.concat(_col(text), F.lit("+00:00")))
+
+
+def relevance(text: Column | str, keywords: Sequence[str]) -> Column:
+    """How many of the keywords the lower-cased text contains."""
+    low = F.lower(_col(text))
+    return sum((low.contains(k).cast("int") for k in keywords), F.lit(0))
+
+
+def date_from_text(text: Column | str) -> Column:
+    """The first ``Month D, YYYY`` of a text, else its first ``M/D/YYYY``."""
+    c = _col(text)
+    part = lambda p, i: F.nullif(F.regexp_extract(c, p, i), F.lit(""))
+    worded, slashed = _MONTH + r"\s+([0-9]{1,2}),?\s+(20[0-9]{2})", r"(?<![0-9])([0-9]{1,2})/([0-9]{1,2})/(20[0-9]{2})(?![0-9])"
+    month = F.date_format(F.try_to_date(F.concat(F.initcap(part(worded, 1)), F.lit(" 2000")), "MMM yyyy"), "MM")
+    return F.coalesce(_date(part(worded, 3), month, part(worded, 2)), _date(part(slashed, 3), part(slashed, 1), part(slashed, 2)))
+
+
+def date_from_title(title: Column | str) -> Column:
+    """A date as in a text, else as in a name."""
+    return F.coalesce(date_from_text(title), date_from_name(title))
+
+
+def fiscal_year_text(text: Column | str) -> Column:
+    """The year of ``fiscal year ended Month D, YYYY``, else of ``for the year ended ...``, else the greatest year of the first 5,000 characters."""
+    c = _col(text)
+    year = lambda p: F.nullif(F.regexp_extract(c, p, 1), F.lit("")).cast("int")
+    return F.coalesce(year(r"(?i)fiscal years? end(?:ed|ing)\s+[a-z]+\s+[0-9]{1,2},?\s+(20[0-9]{2})"), year(r"(?i)for the year ended\s+[a-z]+\s+[0-9]{1,2},?\s+(20[0-9]{2})"), year_from_url(F.substring(c, 1, 5000)))
+
+
+#: Kinds of checkable claims and their patterns.
+CLAIMS = {"id": r"\[([0-9]+)\]", "dollars": r"(\$[0-9][0-9,.]*[0-9](?:\s?(?:million|billion))?)", "percent": r"([0-9]+(?:\.[0-9]+)?%)", "bps": r"([0-9]+)\s?(?:bps|basis points)", "vote": r"(?i)\b([0-9]+-[0-9]+) vote"}
+
+
+def claim_extract(text: Column | str) -> Column:
+    """Distinct (kind, value) of the claims in a text."""
+
+    def found(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(_col(text), F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
+
+    return F.array_distinct(F.concat(*(found(k, p) for k, p in CLAIMS.items())))
+
+
+def table_rows(html: Column | str) -> Column:
+    """(clip, title, day, minutes) of an archive table's rows that link a clip."""
+    parts = F.transform(
+        F.filter(F.split(_col(html), r"(?i)<tr[^>]*>", -1), lambda r: r.rlike(r"clip_id=[0-9]+")),
+        lambda r: F.struct(
+            F.regexp_extract(r, r"clip_id=([0-9]+)", 1).cast("bigint").alias("clip"),
+            F.trim(F.regexp_replace(F.regexp_extract(r, r"(?is)<td[^>]*>(.*?)</td>", 1), r"<[^>]+>", "")).alias("title"),
+            F.try_to_date(F.regexp_extract(r, r"([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), "yyyy-MM-dd").alias("day"),
+            (F.coalesce(F.regexp_extract(r, r"([0-9]+)h\s*[0-9]+m", 1).try_cast("int"), F.lit(0)) * 60 + F.coalesce(F.regexp_extract(r, r"([0-9]+)m\b", 1).try_cast("int"), F.lit(0))).alias("minutes"),
+        ),
+    )
+    return F.array_distinct(parts)

@@ -228,3 +228,75 @@ def safe_path(v: Views) -> DataFrame:
 def utc_stamp(v: Views) -> DataFrame:
     naive = F.concat(S("downloaded_on"), F.lit("T10:00:00"))
     return v.doc.select("id", fn.utc_stamp(F.when(F.col("id") % 2 == 0, F.concat(naive, F.lit("Z"))).otherwise(naive)).alias("stamp"))
+
+
+@query("select id, cast(contains(lower(text), 'the') as int) + cast(contains(lower(text), 'des') as int) + cast(contains(lower(text), 'que') as int) as score from txt")
+def relevance(v: Views) -> DataFrame:
+    return v.txt.select("id", fn.relevance("text", ["the", "des", "que"]).alias("score"))
+
+
+@query("select id, regexp_matches(lower(url), '/en/|/de/') and not regexp_matches(lower(url), 'utm_|page=') as kept from pg")
+def focus_exclude(v: Views) -> DataFrame:
+    return v.pg.select("id", fn.focus_exclude("url", ["/en/", "/de/"], ["utm_", "page="]).alias("kept"))
+
+
+@query("select id, case when year(meeting_date) between 2000 and 2035 then meeting_date end as found from doc")
+def date_from_text(v: Views) -> DataFrame:
+    worded, slashed = F.date_format("meeting_date", "MMMM d, yyyy"), F.date_format("meeting_date", "M/d/yyyy")
+    text = F.concat(F.lit("held on "), F.when(F.col("id") % 2 == 0, worded).otherwise(slashed), F.lit(" at noon"))
+    return v.doc.select("id", fn.date_from_text(text).alias("found"))
+
+
+@query("select id, case when year(meeting_date) between 2000 and 2035 then meeting_date end as found from doc")
+def date_from_title(v: Views) -> DataFrame:
+    title = F.when(F.col("id") % 2 == 0, F.concat(F.lit("Board Meeting - "), F.date_format("meeting_date", "MMM d yyyy"))).otherwise(F.concat(F.lit("Board "), F.date_format("meeting_date", "yyyy-MM-dd")))
+    return v.doc.select("id", fn.date_from_title(title).alias("found"))
+
+
+@query("select id, cast(case when id % 3 = 0 then 2000 + id % 30 when id % 3 = 1 then 2010 else 2031 end as int) as year from doc")
+def fiscal_year_text(v: Views) -> DataFrame:
+    ended = F.concat(F.lit("2031. For the Fiscal Year Ended June 30, "), (2000 + F.col("id") % 30).cast("string"))
+    text = F.when(F.col("id") % 3 == 0, ended).when(F.col("id") % 3 == 1, "2035 report for the year ended December 31, 2010").otherwise("2007 and 2031")
+    return v.doc.select("id", fn.fiscal_year_text(text).alias("year"))
+
+
+@query("""select id, 'id' as kind, cast(id as varchar) as value from plan union all select id, 'dollars', '$1,250.5 million' from plan union all select id, 'percent', concat(cast(id as varchar), '.5%') from plan
+union all select id, 'bps', '25' from plan union all select id, 'vote', '7-2' from plan""")
+def claim_extract(v: Views) -> DataFrame:
+    i = S("id")
+    text = F.concat(F.lit("By a 7-2 vote ["), i, F.lit("] the board put $1,250.5 million, "), i, F.lit(".5% of all, at 25 bps, again ["), i, F.lit("]"))
+    return v.plan.select("id", F.inline(fn.claim_extract(text)))
+
+
+@query("select id, id % 4 = 0 as blocked from plan")
+def block_detect(v: Views) -> DataFrame:
+    body = F.when(F.col("id") % 4 == 0, "Please solve the CAPTCHA").otherwise("hello")
+    return v.plan.select("id", fn.block_detect(F.when(F.col("id") % 2 == 0, 429).otherwise(200), body).alias("blocked"))
+
+
+@query("select id, case when source in ('src1', 'src2') or n_chars > 60000 then 'large' when n_chars > 8000 then 'medium' else 'small' end as tier from txt")
+def route_by_size(v: Views) -> DataFrame:
+    kind = F.when(F.col("source") == "src1", "cafr").when(F.col("source") == "src2", "performance")
+    return v.txt.select("id", fn.route_by_size("n_chars", kind).alias("tier"))
+
+
+@query("select id, case when id % 3 = 0 then concat('https://www.youtube.com/watch?v=', cast(id as varchar)) when id % 3 = 1 then concat('https://vimeo.com/', cast(id as varchar)) else name end as url from plan")
+def video_url(v: Views) -> DataFrame:
+    platform = F.when(F.col("id") % 3 == 0, "youtube").when(F.col("id") % 3 == 1, "vimeo")
+    return v.plan.select("id", fn.video_url(platform, F.col("id").cast("string"), "name").alias("url"))
+
+
+@query("select id, id as clip, concat('Board ', cast(id as varchar)) as title, date '2024-01-05' as day, 65 as minutes from plan")
+def scrape_rows(v: Views) -> DataFrame:
+    row = F.concat(F.lit("<tr class='r'><td><b>Board "), S("id"), F.lit("</b></td><td>2024-01-05</td><td>1h 05m</td><td><a href='/p?clip_id="), S("id"), F.lit("'>go</a></td></tr>"))
+    html = F.concat(F.lit("<table><tr><th>Name</th></tr>"), row, row, F.lit("</table>"))
+    return v.plan.select("id", F.inline(fn.table_rows(html)))
+
+
+@query("""select plan_id, meeting_date, concat('## ', coalesce(cast(meeting_date as varchar), 'undated'), chr(10), string_agg(concat('- ', coalesce(doc_type, 'document'), ' [', cast(id as varchar), ']'), chr(10) order by id)) as block
+from doc where plan_id < 200 group by plan_id, meeting_date""")
+def format_blocks(v: Views) -> DataFrame:
+    items = F.sort_array(F.collect_list(F.struct("id", "doc_type")))
+    grouped = v.doc.filter("plan_id < 200").groupBy("plan_id", "meeting_date").agg(items.alias("items"))
+    lines = F.transform("items", lambda d: F.concat(F.lit("- "), F.coalesce(d["doc_type"], F.lit("document")), F.lit(" ["), d["id"].cast("string"), F.lit("]")))
+    return grouped.select("plan_id", "meeting_date", F.concat(F.lit("## "), F.coalesce(F.col("meeting_date").cast("string"), F.lit("undated")), F.lit("\n"), F.array_join(lines, "\n")).alias("block"))
