@@ -43,7 +43,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' tokens into sequences of 2048."""
-    return packing.pack(docs)
+    return packing.pack(docs, added=packing.added_tokens())
 
 
 STAGES = [

@@ -14,10 +14,16 @@ cells before, and the rank alone decides sequence and offset.
 
 Rows: null text is empty and still yields the end token; rows that share a
 doc_id are packed as separate documents; an empty table gives an empty result.
+
+The registered query takes ids as the tokenizer's file gives them by default: the
+content of an added token, such as ``<|endoftext|>``, is that token wherever it
+stands in a text. Without ``added`` it is plain text, as under the tokenizer's
+``encode_special_tokens``.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_right
@@ -38,6 +44,17 @@ _SPACE_RUN = re.compile(r"\s ")
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
+def added_tokens(path: str | None = None) -> dict[str, int]:
+    """Content -> id of a tokenizer file's added tokens; None takes the installed byte-level BPE with 50k entries."""
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("only added tokens that match their exact content are known")
+    return {t["content"]: t["id"] for t in added}
+
+
 class _WordIds(dict):
     """The packed token ids of a blank-led word, remembered up to a limit."""
 
@@ -59,8 +76,15 @@ class _WordIds(dict):
             self[word] = ids
         return ids
 
+    def whole(self, text: str, added: dict[str, int]) -> bytes:
+        """Ids of a whole text. Added tokens cut it into parts that are encoded by themselves."""
+        if not any(t in text for t in added):
+            return self.text(text)
+        parts = re.split(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})", text)
+        return b"".join(np.array([added[p]], "<u4").tobytes() if i % 2 else self.text(p) for i, p in enumerate(parts))
+
     def text(self, text: str) -> bytes:
-        """Ids of a whole text. A token never spans the gap between a non-blank and a blank, so
+        """Ids of a text without added tokens. A token never spans the gap between a non-blank and a blank, so
         words are encoded by themselves, unless blanks stand in runs that end in a space."""
         if _SPACE_RUN.search(text):
             return np.array(self.encode(text), "<u4").tobytes()
@@ -71,14 +95,14 @@ class _WordIds(dict):
 _encoders: dict[str | None, _WordIds] = {}
 
 
-def _tokenise(batches: Iterator[pa.RecordBatch], capacity: int, ranks_path: str | None, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def _tokenise(batches: Iterator[pa.RecordBatch], capacity: int, ranks_path: str | None, with_ids: bool, added: dict[str, int]) -> Iterator[pa.RecordBatch]:
     if ranks_path not in _encoders:
         _encoders[ranks_path] = _WordIds(ranks_path)
     words, end = _encoders[ranks_path], np.array([END_ID], "<u4").tobytes()
     for batch in batches:
         rows: list[tuple] = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            ids = words.text(text.as_py() or "") + end
+            ids = words.whole(text.as_py() or "", added) + end
             n = len(ids) // 4
             first = (n - 1) % capacity + 1
             for piece, start in enumerate([0, *range(first, n, capacity)]):
@@ -89,13 +113,14 @@ def _tokenise(batches: Iterator[pa.RecordBatch], capacity: int, ranks_path: str
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
 
-def tokenise(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = None, with_ids: bool = False) -> DataFrame:
+def tokenise(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = None, with_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, the packed 32-bit ids of every piece.
 
     ``ranks_path`` is the vocabulary as ranks; None takes the installed byte-level BPE with 50k entries.
+    ``added`` are the tokens (content -> id) that are found inside texts; None finds none.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _tokenise(it, capacity, ranks_path, with_ids), _PIECES)
+    return rows.mapInArrow(lambda it: _tokenise(it, capacity, ranks_path, with_ids, added or {}), _PIECES)
 
 
 def fullest(room: int, counts: dict[int, int], lengths: list[int]) -> dict[int, int]:
@@ -176,13 +201,13 @@ def _place(batches: Iterator[pa.RecordBatch], table: dict) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64())], names=[*keep, "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = None, with_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     cells = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the row number is fixed by the checkpoint, so a rerun task ranks its rows as before
-    pieces = tokenise(docs, capacity, ranks_path, with_ids).withColumn("row", F.monotonically_increasing_id()).checkpoint()
+    pieces = tokenise(docs, capacity, ranks_path, with_ids, added).withColumn("row", F.monotonically_increasing_id()).checkpoint()
     pieces = pieces.withColumn("cell", F.pmod(F.xxhash64("row"), F.lit(cells)).cast("int"))
     by_cell = pieces.groupBy("length", "cell").agg(F.count("*").alias("n"))
     before = by_cell.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)))
@@ -197,7 +222,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = Non
 
 
 def op3_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), added=added_tokens())
 
 
 QUERIES = {"op3_bin_packing": op3_bin_packing}
