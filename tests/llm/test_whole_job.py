@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from corpusloom.llm import packing
+from corpusloom.llm import near_dedup, packing
 from tests.llm.test_operators import docs
 
 # --- 3, packing
@@ -25,3 +25,26 @@ def test_packing_finds_added_tokens_as_the_tokenizers_file_does(spark, tmp_path)
         ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
         want[i] = (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
     assert {r.doc_id: (r.length, r.ids_crc32) for r in packing.op3_bin_packing(spark, str(tmp_path)).collect()} == want
+
+
+# --- 9, near-duplicates
+
+
+def test_pairs_with_one_common_band_in_a_large_bucket(spark):
+    """2,000 nodes share one bucket and nothing else; of 300 pairs among them each sample agrees with a chance of 0.8."""
+    rng = np.random.default_rng(22)
+    n, pairs, bands = 2000, 300, near_dedup.BANDS
+    sketch = rng.integers(-(1 << 15), 1 << 15, (n, near_dedup.SKETCH))
+    keep = rng.random((pairs, near_dedup.SKETCH)) < 0.8
+    sketch[1 : 2 * pairs : 2] = np.where(keep, sketch[: 2 * pairs : 2], sketch[1 : 2 * pairs : 2])
+    keys = rng.integers(0, 1 << 62, (n, bands))
+    keys[:, 3] = 7
+    name = lambda i: f"{i:05d}".encode()
+    nodes = spark.createDataFrame([(name(i), 1.0, keys[i].tolist(), sketch[i].tolist()) for i in range(n)], "node binary, weight double, bands array<long>, sketch array<smallint>")
+    members = nodes.selectExpr("node", "posexplode(bands) as (band, key)").filter("band = 3")
+    classes = spark.createDataFrame([], "node binary, class binary")
+    got = [(bytes(r.a), bytes(r.b)) for r in near_dedup._rest(members, classes, nodes, 0.8).collect()]
+    agree = (sketch[: 2 * pairs : 2] == sketch[1 : 2 * pairs : 2]).sum(1)
+    need = int(near_dedup.SKETCH * 0.8 - near_dedup.SLACK * (near_dedup.SKETCH * 0.8 * 0.2) ** 0.5)
+    want = {(name(2 * i), name(2 * i + 1)) for i in np.flatnonzero(agree >= need)}
+    assert len(want) >= 290 and len(got) == len(set(got)) and set(got) == want
