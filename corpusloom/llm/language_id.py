@@ -1,7 +1,9 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Training counts the hashed n-grams of a bounded sample of labelled rows in
-Spark; the log-probability matrix has a fixed number of buckets for each
+Spark, chosen by language, so that rare languages are learned from all their
+rows however large the table; the priors are the languages' shares in all
+labelled rows. The log-probability matrix has a fixed number of buckets for each
 language and is broadcast. A batch is scored sparsely in numpy: the matrix rows
 of the n-grams that a text holds, summed by document.
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import textarrays as ta
-from corpusloom.llm.shared import fold, thinned
+from corpusloom.llm.shared import fold
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -88,14 +90,30 @@ class NaiveBayes:
         return best.tolist(), (1 / np.exp(sums).sum(1)).tolist()
 
 
+def _most(counts: list[int], bound: int) -> int:
+    """The most rows of a language with which all languages together stay within the bound; one at least."""
+    most = 1
+    for i, n in enumerate(sorted(counts)):
+        most = max(1, bound // (len(counts) - i))
+        if n > most:
+            break
+        bound -= n
+    return most
+
+
 def train(docs: DataFrame, bound: int = TRAIN_ROWS) -> NaiveBayes:
-    """Fits text -> lang on about ``bound`` of the rows that ``docs`` has with a doc_id, a text and a lang."""
+    """Fits text -> lang on about ``bound`` of the rows that ``docs`` has with a doc_id, a text and a lang: all
+    rows of rare languages, and about as many of each other language, chosen by a hash of the doc_id."""
     rows = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).dropna()
     by_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(by_lang) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} values of lang")
     languages = sorted(by_lang)
-    sample = thinned(rows, "doc_id", sum(by_lang.values()), bound, 5).select("lang", "text")
+    most, full = _most(list(by_lang.values()), bound), 1 << 20
+    # at most MAX_LANGUAGES rows
+    shares = docs.sparkSession.createDataFrame([(x, n <= most, most / n) for x, n in by_lang.items()], "lang string, all boolean, share double")
+    chosen = F.col("all") | (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(full)) < F.col("share") * full)
+    sample = rows.join(F.broadcast(shares), "lang").filter(chosen).select("lang", "text")
     counted = sample.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros((BUCKETS, len(languages)))
     at = {x: i for i, x in enumerate(languages)}

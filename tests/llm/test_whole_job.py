@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from corpusloom.llm import near_dedup, packing
+from corpusloom.llm import language_id, near_dedup, packing
 from tests.llm.test_operators import docs
 
 # --- 3, packing
@@ -48,3 +48,32 @@ def test_pairs_with_one_common_band_in_a_large_bucket(spark):
     need = int(near_dedup.SKETCH * 0.8 - near_dedup.SLACK * (near_dedup.SKETCH * 0.8 * 0.2) ** 0.5)
     want = {(name(2 * i), name(2 * i + 1)) for i in np.flatnonzero(agree >= need)}
     assert len(want) >= 290 and len(got) == len(set(got)) and set(got) == want
+
+
+# --- 5, language
+
+
+def test_rare_languages_are_learned_whatever_the_table_size(spark):
+    """A language with 6 of 6,006 rows, and a bound of 200."""
+    rng = random.Random(23)
+    alphabets = {"xx": "abcde", "yy": "efghé", "zz": "uvwxy"}
+    make = lambda lang: " ".join("".join(rng.choice(alphabets[lang]) for _ in range(6)) for _ in range(15))
+    rows = [(i, make(lang), lang) for i, lang in enumerate(["xx"] * 5000 + ["yy"] * 1000 + ["zz"] * 6)]
+    unseen = [(10_000 + i, make("zz" if i % 2 else "xx")) for i in range(40)]
+    model = language_id.train(docs(spark, rows), 200)
+    assert model.languages == ["xx", "yy", "zz"]
+    assert np.allclose(model.priors, np.log(np.array([5000, 1000, 6]) / 6006))
+    # all six rows of zz are counted: no bucket of theirs is at the smoothing alone
+    own = {int(b) for buckets, _ in language_id._grams([t for _, t, lang in rows if lang == "zz"]) for b in buckets}
+    assert (model.logs[sorted(own), 2] > model.logs[:, 2].min()).all()
+    out = language_id.identify(docs(spark, unseen).select("doc_id", "text"), docs(spark, rows), 200).collect()
+    assert all(r.lang_pred == ("zz" if r.doc_id % 2 else "xx") for r in out) and len(out) == 40
+
+
+def test_most_rows_of_a_language_fill_the_bound():
+    rng = random.Random(24)
+    for _ in range(300):
+        counts, bound = [rng.randrange(1, 60) for _ in range(rng.randrange(1, 9))], rng.randrange(9, 300)
+        most = language_id._most(counts, bound)
+        assert sum(min(n, most) for n in counts) <= bound
+        assert max(counts) <= most or sum(min(n, most + 1) for n in counts) > bound
