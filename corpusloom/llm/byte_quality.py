@@ -8,8 +8,9 @@ document's probability comes from the chunks' largest and mean hidden values.
 The network is trained by Adam on a bounded sample of labelled rows; scoring
 reads whole texts, in pieces of bounded size.
 
-Rows: null and empty texts are scored as one blank chunk. Rows are scored one
-by one, so repeated rows get equal scores; columns beyond doc_id and text are ignored.
+Rows: null and empty texts are scored as one blank chunk. Blanks follow every
+text, whatever text is next to it, so a row's score is its own (but for the
+rounding of float32 products); columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -64,10 +65,13 @@ class ByteNet:
             "wh": r.normal(0, 0.3, (FILTERS, HIDDEN)).astype(f), "bh": np.zeros(HIDDEN, f), "wo": r.normal(0, 0.3, 2 * HIDDEN).astype(f), "bo": np.zeros(1, f),
         }
 
-    def _conv(self, flat: np.ndarray) -> np.ndarray:
+    def _conv(self, flat: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Responses by block and position. ``last`` are the blocks that end a text: blanks follow them."""
         x = self.p["emb"][flat].reshape(-1, STRIDE * EMBED)
         half = STRIDE * EMBED
-        return (x[:-2] @ self.p["w"][:half] + x[1:-1] @ self.p["w"][half:]).reshape(-1, _POSITIONS, FILTERS)
+        after = x[1:-1] @ self.p["w"][half:]
+        after[(last + 1) * _POSITIONS - 1] = np.tile(self.p["emb"][0], STRIDE) @ self.p["w"][half:]
+        return (x[:-2] @ self.p["w"][:half] + after).reshape(-1, _POSITIONS, FILTERS)
 
     def _head(self, pooled: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
         hidden = np.tanh(pooled @ self.p["wh"] + self.p["bh"])
@@ -81,7 +85,9 @@ class ByteNet:
         step, most = 1024, []
         for at in range(0, first[-1], step):  # bounded memory for a text of any length
             to = min(at + step, first[-1])
-            most.append(self._conv(flat[at * BLOCK : to * BLOCK + 2 * STRIDE]).max(1))
+            last = first[1:] - 1
+            last = last[(last >= at) & (last < to)] - at
+            most.append(self._conv(flat[at * BLOCK : to * BLOCK + 2 * STRIDE], last).max(1))
         blocks = np.maximum(np.concatenate(most) + self.p["b"], 0)
         left, right, starts = _chunks(first)
         return self._head(np.maximum(blocks[left], blocks[right]), starts)[-1]
@@ -89,7 +95,7 @@ class ByteNet:
     def _gradients(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
         flat, first = _blocks(texts)
-        conv = self._conv(flat)
+        conv = self._conv(flat, first[1:] - 1)
         where, most = conv.argmax(1), conv.max(1)
         left, right, starts = _chunks(first)
         use_right = most[right] > most[left]
@@ -105,11 +111,13 @@ class ByteNet:
         dp = (dh @ p["wh"].T) * (pooled > 0)
         g["b"] = dp.sum(0)
         block = np.where(use_right, right[:, None], left[:, None])
-        place = block * BLOCK + where[block, np.arange(FILTERS)] * STRIDE
+        at = where[block, np.arange(FILTERS)]
+        place = block * BLOCK + at * STRIDE
+        edge = np.isin(block, first[1:] - 1) & (at == _POSITIONS - 1)
         g["w"], g["emb"] = np.zeros_like(p["w"]), np.zeros_like(p["emb"])
         w = p["w"].reshape(2 * STRIDE, EMBED, FILTERS)
         for i in range(2 * STRIDE):
-            byte = flat[place + i]
+            byte = flat[place + i] if i < STRIDE else np.where(edge, 0, flat[place + i])
             g["w"].reshape(2 * STRIDE, EMBED, FILTERS)[i] = np.einsum("cf,cfe->ef", dp, p["emb"][byte])
             np.add.at(g["emb"], byte, dp[..., None] * w[i].T)
         return g

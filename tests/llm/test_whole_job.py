@@ -4,8 +4,9 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
-from corpusloom.llm import language_id, near_dedup, packing
+from corpusloom.llm import byte_quality, language_id, near_dedup, packing
 from tests.llm.test_operators import docs
 
 # --- 3, packing
@@ -77,3 +78,45 @@ def test_most_rows_of_a_language_fill_the_bound():
         most = language_id._most(counts, bound)
         assert sum(min(n, most) for n in counts) <= bound
         assert max(counts) <= most or sum(min(n, most + 1) for n in counts) > bound
+
+
+# --- 8, quality
+
+
+@pytest.mark.parametrize("size", [0, 5, 252, 253, 256, 257, 600, 1024, 256 * 1024])
+def test_byte_net_scores_a_text_alike_beside_any_neighbour(size):
+    rng = np.random.default_rng(25)
+    net = byte_quality.ByteNet()
+    # filters that answer to the bytes after a gap
+    net.p["w"][: byte_quality.STRIDE * byte_quality.EMBED] = 0
+    text = rng.integers(97, 123, size).astype(np.uint8).tobytes()
+    alone = net.score([text])[0]
+    for other in (b"", b"\xff" * 300, b"zzzz", rng.integers(1, 256, 900).astype(np.uint8).tobytes()):
+        assert np.allclose(net.score([text, other])[0], alone, rtol=0, atol=1e-6)
+        assert np.allclose(net.score([other, text, other, text])[[1, 3]], alone, rtol=0, atol=1e-6)
+
+
+def test_byte_net_gradients_stop_at_a_texts_end():
+    net = byte_quality.ByteNet()
+    net.p = {k: x.astype(np.float64) for k, x in net.p.items()}
+    rng = np.random.default_rng(26)
+    texts = [rng.integers(97, 123, 256).astype(np.uint8).tobytes() for _ in range(4)]
+    y, w = np.array([1.0, 0.0, 1.0, 0.0]), np.ones(4)
+    net.p["w"][: byte_quality.STRIDE * byte_quality.EMBED] *= 0.1
+    net.p["emb"][0] *= 6  # blanks matter
+
+    def loss():
+        p = net.score(texts)
+        return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+
+    g = net._gradients(texts, y, w)
+    for name in ("w", "emb"):
+        flat = net.p[name].reshape(-1)
+        for i in np.argsort(-np.abs(g[name].reshape(-1)))[:12]:
+            old, e = flat[i], 1e-5
+            flat[i] = old + e
+            up = loss()
+            flat[i] = old - e
+            down = loss()
+            flat[i] = old
+            assert abs((up - down) / (2 * e) - g[name].reshape(-1)[i]) < 1e-4 + 0.02 * abs(g[name].reshape(-1)[i]), name
