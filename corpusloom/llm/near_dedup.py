@@ -14,12 +14,16 @@ nodes that agree on a whole band share a bucket. Links are looked for in two ste
    its most central node, the one whose buckets are largest, which in a group of
    edited copies is the original: as many pairs as nodes, whatever the size;
 2. in buckets that still hold several classes, nodes of different classes whose
-   samples and weights make a link possible are verified. The nodes of buckets of
-   over ``SPLIT`` nodes, which a common passage alone can fill, are compared where
-   they agree on one of ``FINE`` finer bands, made of the samples that the bands
-   leave over: of the pairs at the similarity these miss one in 22,000, while
-   14 bands miss one in 1,600. The sketch has more samples than the bands need, so that
-   pairs well below the similarity are told apart from those that reach it.
+   longer sketches and weights make a link possible are verified. Only the nodes of
+   such buckets get a sketch. The nodes of buckets of over ``SPLIT`` nodes, which a
+   common passage alone can fill, are compared where they agree on one of ``FINE``
+   finer bands, made of the samples that the bands leave over: of the pairs at the
+   similarity these miss one in 22,000, while 14 bands miss one in 1,600. Groups of
+   over ``SPLIT`` nodes that agree on such a band are compared block by block, so
+   that no task holds more than the pairs of two blocks.
+
+Rows of a large bucket, and the pairs of a node with many partners, are dealt over
+``_SALTS`` tasks before they are joined.
 
 Verification computes the weighted Jaccard similarity from the texts. Classes
 are the connected components of the verified links.
@@ -37,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textarrays as ta
@@ -55,11 +59,12 @@ SKETCH = 256
 FINE_ROWS = 6
 FINE = (SKETCH - BANDS * ROWS) // FINE_ROWS
 #: Standard deviations that a sketch may stay below the wanted similarity.
-SLACK = 3
+SLACK = 4
 DF_BUCKETS = 1 << 20
 IDF_SHARE = 0.1
 _CHUNK = 1 << 12
 _SALTS = 32
+_PAIRS = 256
 _TABLE_BITS = 13
 _TABLE = 1 << _TABLE_BITS
 _STEP = 1 << 20
@@ -143,11 +148,11 @@ def _draws() -> list[tuple[np.ndarray, ...]]:
     return _tables
 
 
-def samples(hashes: np.ndarray, log_weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Each row's samples, one column each: the shingle and the quantised weight with the least ln a."""
-    out = np.empty((len(starts), SKETCH), ta.U64)
+def samples(hashes: np.ndarray, log_weights: np.ndarray, starts: np.ndarray, n: int = SKETCH) -> np.ndarray:
+    """Each row's first n samples, one column each: the shingle and the quantised weight with the least ln a."""
+    out = np.empty((len(starts), n), ta.U64)
     low = hashes >> ta.U64(32)
-    for i, (odd, r, inverse, beta, log_c) in enumerate(_draws()):
+    for i, (odd, r, inverse, beta, log_c) in enumerate(_draws()[:n]):
         at = (hashes * odd >> ta.U64(64 - _TABLE_BITS)).astype(np.int64)
         b = beta[at]
         ln_a = log_c[at] - r[at] * (np.floor(log_weights * inverse[at] + b) - b + np.float32(1))
@@ -157,22 +162,44 @@ def samples(hashes: np.ndarray, log_weights: np.ndarray, starts: np.ndarray) ->
     return ta.mix(out)
 
 
+def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """A list for each row of a table."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel(), kind))
+
+
+def _sampled(part: pa.RecordBatch, weights, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(row, weight, samples) of the rows with a shingle; None without any."""
+    rows, hashes, counts = shingles(part.column("text"))
+    if not len(rows):
+        return None
+    w = weights.value(hashes, counts)
+    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    return rows[starts], np.add.reduceat(w, starts).astype(np.float64), samples(hashes, np.log(w), starts, n)
+
+
 def _sign(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for part in ta.slices(whole, limit=_STEP):
-            rows, hashes, counts = shingles(part.column("text"))
-            if not len(rows):
+            if (got := _sampled(part, weights, BANDS * ROWS)) is None:
                 continue
-            w = weights.value(hashes, counts)
-            starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            found = samples(hashes, np.log(w), starts)
-            bands = found[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
+            rows, weight, found = got
+            bands = found.reshape(-1, BANDS, ROWS)
             key = bands[:, :, 0]
             for i in range(1, ROWS):
                 key = ta.mix(key ^ bands[:, :, i]) * ta.U64(0x9E3779B97F4A7C15)
-            fixed = lambda x, kind, n: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * n), pa.array(x.ravel(), kind))
-            keep = [part.column(c).take(pa.array(rows[starts])) for c in ("node", "doc_id")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(np.add.reduceat(w, starts).astype(np.float64)), fixed(key.view(np.int64), pa.int64(), BANDS), fixed((found >> ta.U64(48)).astype(np.uint16).view(np.int16), pa.int16(), SKETCH)], names=["node", "doc_id", "weight", "bands", "sketch"])
+            keep = [part.column(c).take(pa.array(rows)) for c in ("node", "doc_id")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(weight), _lists(key.view(np.int64), pa.int64())], names=["node", "doc_id", "weight", "bands"])
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.RecordBatch]:
+    """Adds 16 bits of each sample to rows that have a shingle."""
+    for whole in batches:
+        for part in ta.slices(whole, limit=_STEP):
+            if (got := _sampled(part, weights, SKETCH)) is None:
+                continue
+            keep = [c for c in part.schema.names if c != "text"]
+            short = (got[2] >> ta.U64(48)).astype(np.uint16).view(np.int16)
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(got[0])) for c in keep), _lists(short, pa.int16())], names=[*keep, "sketch"])
 
 
 def _similarity(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.RecordBatch]:
@@ -192,41 +219,65 @@ def _similarity(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(least / np.maximum(total - least, 1e-12))], names=["a", "b", "similarity"])
 
 
+def _salt(node: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(_SALTS)).cast("int")
+
+
+def _salts() -> Column:
+    """The salts whose bits are set in ``mask``: a row for each salt that occurs, and no other."""
+    return F.explode(F.expr(f"filter(sequence(0, {_SALTS - 1}), i -> mask & shiftleft(1L, i) != 0)"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, weights, similarity: float) -> DataFrame:
-    """The pairs (a, b) of at least the similarity, computed from their texts."""
-    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    """The pairs (a, b) of at least the similarity, computed from their texts. The pairs of an a with over
+    ``_PAIRS`` of them are dealt over several tasks."""
+    salted = pairs.withColumn("salt", _salt("b"))
+    many = salted.groupBy("a", "salt").agg(F.count("*").alias("n")).groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") > _PAIRS).select("a")
+    spread = many.select("a", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"), F.lit(True).alias("many"))
+    dealt = salted.join(spread, ["a", "salt"], "left").withColumn("salt", F.when(F.col("many"), F.col("salt")).otherwise(0)).drop("many")
+    side = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(many.withColumn("many", F.lit(True)), "a", "left")
+    side = side.select("a", "text_a", F.explode(F.when(F.col("many"), F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    with_a = dealt.join(side, ["a", "salt"])
     both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(lambda it: _similarity(it, weights), "a binary, b binary, similarity double").filter(F.col("similarity") >= similarity)
 
 
-def _rest(members: DataFrame, classes: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+def _rest(members: DataFrame, classes: DataFrame, nodes: DataFrame, texts: DataFrame, weights, similarity: float) -> DataFrame:
     """Pairs of nodes that share a bucket, are in different classes as yet, and whose samples and weights allow a link."""
     own = members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    mixed = own.groupBy("band", "key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n")).filter("x != y").select("band", "key", "n")
-    own = own.join(mixed, ["band", "key"])
+    mixed = own.groupBy("band", "key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.expr("bit_or(shiftleft(1L, salt))").alias("mask")).filter("x != y")
+    own = own.join(mixed.select("band", "key", _salts().alias("salt")), ["band", "key", "salt"]).select("node", "class", "band", "key", "n").checkpoint()
     facts = ("node", "class", "weight", "sketch", "bands")
-    nodes = nodes.select("node", "weight", "sketch", "bands")
-    small = own.filter(F.col("n") <= SPLIT).join(nodes, "node").select(F.xxhash64("band", "key").alias("cell"), "band", F.lit(-1).alias("fine"), *facts)
-    large = own.filter(F.col("n") > SPLIT).select("node", "class").distinct()
+    needed = own.select("node", "class").distinct().join(nodes.select("node", "weight", "bands"), "node").join(texts, "node")
+    sketched = needed.select("node", "class", "weight", "bands", "text").mapInArrow(lambda it: _sketch(it, weights), "node binary, class binary, weight double, bands array<long>, sketch array<smallint>").checkpoint()
+    small = own.filter(F.col("n") <= SPLIT).select("node", F.xxhash64("band", "key").alias("cell"), "band").join(sketched, "node").select("cell", "band", F.lit(-1).alias("fine"), F.lit(0).alias("x"), F.lit(0).alias("y"), *facts)
     keys = F.transform(F.sequence(F.lit(0), F.lit(FINE - 1)), lambda i: F.xxhash64(i, F.slice("sketch", i * FINE_ROWS + BANDS * ROWS + 1, FINE_ROWS)))
-    fine = large.join(nodes, "node").select("node", "class", F.posexplode(keys).alias("fine", "cell"))
-    # the sketches only go where several classes agree
-    split = fine.groupBy("fine", "cell").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x != y").select("fine", "cell")
-    fine = fine.join(split, ["fine", "cell"]).join(nodes, "node").select("cell", F.lit(-1).alias("band"), "fine", *facts)
-    cells = small.unionByName(fine)
-    a = cells.select("cell", "band", "fine", *(F.col(c).alias(f"{c}_a") for c in facts))
-    b = cells.select("cell", F.col("fine").alias("fine_b"), *(F.col(c).alias(f"{c}_b") for c in facts))
+    fine = own.filter(F.col("n") > SPLIT).select("node").distinct().join(sketched, "node").select("node", "class", F.posexplode(keys).alias("fine", "cell")).withColumn("salt", _salt("node"))
+    # the sketches only go where several classes agree, and to as many pairs of blocks as the cell needs
+    split = fine.groupBy("fine", "cell").agg(F.min("class").alias("u"), F.max("class").alias("v"), F.count("*").alias("m"), F.expr("bit_or(shiftleft(1L, salt))").alias("mask")).filter("u != v")
+    split = split.select("fine", "cell", F.ceil(F.col("m") / SPLIT).cast("int").alias("blocks"), _salts().alias("salt"))
+    fine = fine.join(split, ["fine", "cell", "salt"]).select("node", "fine", "cell", "blocks", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("blocks")).cast("int").alias("own"))
+
+    def blocks(first: bool) -> DataFrame:
+        """The nodes as members of the first or of the second block of each pair of blocks (x <= y)."""
+        other = F.explode(F.sequence(F.col("own"), F.col("blocks") - 1) if first else F.sequence(F.lit(0), F.col("own"))).alias("o")
+        x, y = (F.col("own"), F.col("o")) if first else (F.col("o"), F.col("own"))
+        placed = fine.select("node", "fine", "cell", "own", other).select("node", "cell", F.lit(-1).alias("band"), "fine", x.alias("x"), y.alias("y"))
+        return small.unionByName(placed.join(sketched, "node").select("cell", "band", "fine", "x", "y", *facts))
+
+    a = blocks(True).select("cell", "x", "y", "fine", "band", *(F.col(c).alias(f"{c}_a") for c in facts))
+    b = blocks(False).select("cell", "x", "y", "fine", *(F.col(c).alias(f"{c}_b") for c in facts))
     need = int(SKETCH * similarity - SLACK * (SKETCH * similarity * (1 - similarity)) ** 0.5)
     agree = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    apart = (F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b"))
+    apart = ((F.col("x") < F.col("y")) | (F.col("node_a") < F.col("node_b"))) & (F.col("class_a") != F.col("class_b"))
     near = F.least("weight_a", "weight_b") >= F.greatest("weight_a", "weight_b") * similarity
     # a pair comes from one small bucket only, its first common band's, and from its first common finer band
     first = (F.col("fine") >= 0) | (F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("band") + 1)
     same = F.zip_with("sketch_a", "sketch_b", lambda x, y: x == y)
     earlier = F.exists(F.sequence(F.lit(0), F.greatest("fine", F.lit(0))), lambda i: (i < F.col("fine")) & F.forall(F.slice(same, i * FINE_ROWS + BANDS * ROWS + 1, FINE_ROWS), lambda x: x))
     # the cheap tests come first: the sketches of most pairs need not be compared
-    pairs = a.join(b, "cell").filter((F.col("fine") == F.col("fine_b")) & apart & near & first & (agree >= need) & ~earlier)
-    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    pairs = a.join(b, ["cell", "x", "y", "fine"]).filter(apart & near & first & (agree >= need) & ~earlier)
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -238,21 +289,25 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("node"))
     present = rows.filter("text is not null")
     weights = spark.sparkContext.broadcast(document_frequencies(present))
-    signed = present.select("node", "doc_id", "text").mapInArrow(lambda it: _sign(it, weights), "node binary, doc_id long, weight double, bands array<long>, sketch array<smallint>")
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).checkpoint()
+    signed = present.select("node", "doc_id", "text").mapInArrow(lambda it: _sign(it, weights), "node binary, doc_id long, weight double, bands array<long>")
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("weight").alias("weight"), F.first("bands").alias("bands")).checkpoint()
 
-    banded = nodes.select("node", "doc_id", F.posexplode("bands").alias("band", "key"))
-    shared = banded.join(banded.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"), ["band", "key"])
+    banded = nodes.select("node", "doc_id", F.posexplode("bands").alias("band", "key")).withColumn("salt", _salt("node"))
+    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.expr("bit_or(shiftleft(1L, salt))").alias("mask")).filter("n > 1")
+    shared = banded.join(buckets.select("band", "key", "n", "mask", _salts().alias("salt")), ["band", "key", "salt"])
     central = shared.groupBy("node").agg(F.sum("n").alias("score"))
-    members = shared.join(central, "node").select("node", "doc_id", "band", "key", "score").checkpoint()
-    texts = present.select("node", "text").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).checkpoint()
-
-    pivots = members.groupBy("band", "key").agg(F.min_by("node", F.struct("doc_id", "node")).alias("first"), F.max_by("node", F.struct("score", "node")).alias("center"))
-    pairs = members.select("band", "key", F.col("node").alias("b")).join(pivots, ["band", "key"]).select("b", F.explode(F.array("first", "center")).alias("a")).filter("a != b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    members = shared.join(central, "node").select("node", "doc_id", "band", "key", "salt", "n", "mask", "score").checkpoint()
+    # one row a node: copies are spread by their doc_id, and the node's least one is taken
+    chosen = members.select("node", "doc_id").distinct()
+    of_rows = present.select("node", F.coalesce("doc_id", F.lit(-1 << 63)).alias("doc_id"), "text")
+    texts = of_rows.join(chosen.select("node", F.coalesce("doc_id", F.lit(-1 << 63)).alias("doc_id")), ["node", "doc_id"], "left_semi").groupBy("node").agg(F.first("text").alias("text")).checkpoint()
+
+    pivots = members.groupBy("band", "key").agg(F.min_by("node", F.struct("doc_id", "node")).alias("first"), F.max_by("node", F.struct("score", "node")).alias("center"), F.first("mask").alias("mask"))
+    pivots = pivots.select("band", "key", "first", "center", _salts().alias("salt"))
+    pairs = members.select("band", "key", "salt", F.col("node").alias("b")).join(pivots, ["band", "key", "salt"]).select("b", F.explode(F.array("first", "center")).alias("a")).filter("a != b").distinct()
     links = _verified(pairs, texts, weights, similarity).select("a", "b").checkpoint()
     classes = components(links).withColumnRenamed("component", "class")
-    more = _verified(_rest(members.select("node", "band", "key"), classes, nodes, similarity), texts, weights, similarity).select("a", "b").checkpoint()
+    more = _verified(_rest(members.select("node", "band", "key", "salt", "n"), classes, nodes, texts, weights, similarity), texts, weights, similarity).select("a", "b").checkpoint()
     if not more.isEmpty():
         classes = components(links.unionByName(more)).withColumnRenamed("component", "class")
 
