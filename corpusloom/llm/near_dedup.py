@@ -242,42 +242,66 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights, similarity: float) ->
     return both.mapInArrow(lambda it: _similarity(it, weights), "a binary, b binary, similarity double").filter(F.col("similarity") >= similarity)
 
 
-def _rest(members: DataFrame, classes: DataFrame, nodes: DataFrame, texts: DataFrame, weights, similarity: float) -> DataFrame:
-    """Pairs of nodes that share a bucket, are in different classes as yet, and whose samples and weights allow a link."""
-    own = members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    mixed = own.groupBy("band", "key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.expr("bit_or(shiftleft(1L, salt))").alias("mask")).filter("x != y")
-    own = own.join(mixed.select("band", "key", _salts().alias("salt")), ["band", "key", "salt"]).select("node", "class", "band", "key", "n").checkpoint()
-    facts = ("node", "class", "weight", "sketch", "bands")
-    needed = own.select("node", "class").distinct().join(nodes.select("node", "weight", "bands"), "node").join(texts, "node")
-    sketched = needed.select("node", "class", "weight", "bands", "text").mapInArrow(lambda it: _sketch(it, weights), "node binary, class binary, weight double, bands array<long>, sketch array<smallint>").checkpoint()
-    small = own.filter(F.col("n") <= SPLIT).select("node", F.xxhash64("band", "key").alias("cell"), "band").join(sketched, "node").select("cell", "band", F.lit(-1).alias("fine"), F.lit(0).alias("x"), F.lit(0).alias("y"), *facts)
-    keys = F.transform(F.sequence(F.lit(0), F.lit(FINE - 1)), lambda i: F.xxhash64(i, F.slice("sketch", i * FINE_ROWS + BANDS * ROWS + 1, FINE_ROWS)))
-    fine = own.filter(F.col("n") > SPLIT).select("node").distinct().join(sketched, "node").select("node", "class", F.posexplode(keys).alias("fine", "cell")).withColumn("salt", _salt("node"))
-    # the sketches only go where several classes agree, and to as many pairs of blocks as the cell needs
-    split = fine.groupBy("fine", "cell").agg(F.min("class").alias("u"), F.max("class").alias("v"), F.count("*").alias("m"), F.expr("bit_or(shiftleft(1L, salt))").alias("mask")).filter("u != v")
-    split = split.select("fine", "cell", F.ceil(F.col("m") / SPLIT).cast("int").alias("blocks"), _salts().alias("salt"))
-    fine = fine.join(split, ["fine", "cell", "salt"]).select("node", "fine", "cell", "blocks", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("blocks")).cast("int").alias("own"))
-
-    def blocks(first: bool) -> DataFrame:
-        """The nodes as members of the first or of the second block of each pair of blocks (x <= y)."""
-        other = F.explode(F.sequence(F.col("own"), F.col("blocks") - 1) if first else F.sequence(F.lit(0), F.col("own"))).alias("o")
-        x, y = (F.col("own"), F.col("o")) if first else (F.col("o"), F.col("own"))
-        placed = fine.select("node", "fine", "cell", "own", other).select("node", "cell", F.lit(-1).alias("band"), "fine", x.alias("x"), y.alias("y"))
-        return small.unionByName(placed.join(sketched, "node").select("cell", "band", "fine", "x", "y", *facts))
-
-    a = blocks(True).select("cell", "x", "y", "fine", "band", *(F.col(c).alias(f"{c}_a") for c in facts))
-    b = blocks(False).select("cell", "x", "y", "fine", *(F.col(c).alias(f"{c}_b") for c in facts))
+def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, class, band, key, n): the members of the buckets that still hold several classes."""
+    own = members.select("node", "band", "key", _salt("node").alias("salt")).join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    mixed = own.groupBy("band", "key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n"), F.expr("bit_or(shiftleft(1L, salt))").alias("mask")).filter("x != y")
+    return own.join(mixed.select("band", "key", "n", _salts().alias("salt")), ["band", "key", "salt"]).select("node", "class", "band", "key", "n")
+
+
+def _likely(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (cell, x, y), the pairs of each cell's nodes of blocks x and y that may be a link: of
+    different classes, of weights that allow the similarity, and of sketches that agree often enough."""
     need = int(SKETCH * similarity - SLACK * (SKETCH * similarity * (1 - similarity)) ** 0.5)
-    agree = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    apart = ((F.col("x") < F.col("y")) | (F.col("node_a") < F.col("node_b"))) & (F.col("class_a") != F.col("class_b"))
-    near = F.least("weight_a", "weight_b") >= F.greatest("weight_a", "weight_b") * similarity
-    # a pair comes from one small bucket only, its first common band's, and from its first common finer band
-    first = (F.col("fine") >= 0) | (F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("band") + 1)
-    same = F.zip_with("sketch_a", "sketch_b", lambda x, y: x == y)
-    earlier = F.exists(F.sequence(F.lit(0), F.greatest("fine", F.lit(0))), lambda i: (i < F.col("fine")) & F.forall(F.slice(same, i * FINE_ROWS + BANDS * ROWS + 1, FINE_ROWS), lambda x: x))
-    # the cheap tests come first: the sketches of most pairs need not be compared
-    pairs = a.join(b, ["cell", "x", "y", "fine"]).filter(apart & near & first & (agree >= need) & ~earlier)
-    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+    def pairs(part: pa.Table) -> pa.RecordBatch | None:
+        nodes, own = part.column("node").to_pylist(), part.column("own").to_numpy()
+        numbers: dict[bytes, int] = {}
+        classes = np.array([numbers.setdefault(c, len(numbers)) for c in part.column("class").to_pylist()])
+        w, x, y = part.column("weight").to_numpy(), part.column("x")[0].as_py(), part.column("y")[0].as_py()
+        sketch = pc.list_flatten(part.column("sketch").combine_chunks()).to_numpy().reshape(len(nodes), -1)
+        left = np.flatnonzero(own == x)
+        right = left if x == y else np.flatnonzero(own == y)
+        may = (classes[left][:, None] != classes[right]) & (np.minimum(w[left][:, None], w[right]) >= similarity * np.maximum(w[left][:, None], w[right]))
+        i, j = np.nonzero(np.triu(may) if x == y else may)
+        i, j = left[i], right[j]
+        ok = [at + np.flatnonzero((sketch[i[at : at + _STEP >> 8]] == sketch[j[at : at + _STEP >> 8]]).sum(1) >= need) for at in range(0, len(i), _STEP >> 8)]
+        ok = np.concatenate(ok) if ok else np.zeros(0, np.int64)
+        found = [(nodes[p], nodes[q]) if nodes[p] < nodes[q] else (nodes[q], nodes[p]) for p, q in zip(i[ok], j[ok], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"]) if found else None
+
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "x", "y")])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+        if kept and any(kept[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in ("cell", "x", "y")):
+            cuts = np.r_[0, cuts]
+        for at, to in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows], strict=True):
+            if to > at:
+                kept.append(batch.slice(at, to - at))
+            if to < batch.num_rows:  # the group ends here
+                if kept and (out := pairs(pa.Table.from_batches(kept))):
+                    yield out
+                kept = []
+    if kept and (out := pairs(pa.Table.from_batches(kept))):
+        yield out
+
+
+def _rest(mixed: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes that share a bucket, or in large buckets a finer band, and whose
+    samples and weights allow a link. sketched: (node, class, weight, sketch) of every node of ``mixed``."""
+    small = mixed.filter(F.col("n") <= SPLIT).select("node", F.xxhash64("band", "key").alias("cell"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("own"))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(FINE - 1)), lambda i: F.xxhash64(i, F.slice("sketch", i * FINE_ROWS + BANDS * ROWS + 1, FINE_ROWS)))
+    large = mixed.filter(F.col("n") > SPLIT).select("node").distinct().join(sketched, "node")
+    fine = large.select("node", "class", F.explode(keys).alias("cell")).withColumn("salt", _salt("node"))
+    # nodes only go where several classes agree, and to as many pairs of blocks as the cell needs
+    split = fine.groupBy("cell").agg(F.min("class").alias("u"), F.max("class").alias("v"), F.count("*").alias("m"), F.expr("bit_or(shiftleft(1L, salt))").alias("mask")).filter("u != v")
+    split = split.select("cell", F.ceil(F.col("m") / SPLIT).cast("int").alias("blocks"), _salts().alias("salt"))
+    fine = fine.join(split, ["cell", "salt"]).withColumn("own", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("blocks")).cast("int"))
+    fine = fine.select("node", "cell", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("node", "cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own")
+    cells = small.unionByName(fine).join(sketched, "node").select("cell", "x", "y", "own", "node", "class", "weight", "sketch")
+    dealt = cells.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y")
+    return dealt.mapInArrow(lambda it: _likely(it, similarity), "a binary, b binary").distinct()
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -296,7 +320,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     buckets = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.expr("bit_or(shiftleft(1L, salt))").alias("mask")).filter("n > 1")
     shared = banded.join(buckets.select("band", "key", "n", "mask", _salts().alias("salt")), ["band", "key", "salt"])
     central = shared.groupBy("node").agg(F.sum("n").alias("score"))
-    members = shared.join(central, "node").select("node", "doc_id", "band", "key", "salt", "n", "mask", "score").checkpoint()
+    members = shared.join(central, "node").select("node", "doc_id", "band", "key", "salt", "mask", "score").checkpoint()
     # one row a node: copies are spread by their doc_id, and the node's least one is taken
     chosen = members.select("node", "doc_id").distinct()
     of_rows = present.select("node", F.coalesce("doc_id", F.lit(-1 << 63)).alias("doc_id"), "text")
@@ -307,7 +331,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     pairs = members.select("band", "key", "salt", F.col("node").alias("b")).join(pivots, ["band", "key", "salt"]).select("b", F.explode(F.array("first", "center")).alias("a")).filter("a != b").distinct()
     links = _verified(pairs, texts, weights, similarity).select("a", "b").checkpoint()
     classes = components(links).withColumnRenamed("component", "class")
-    more = _verified(_rest(members.select("node", "band", "key", "salt", "n"), classes, nodes, texts, weights, similarity), texts, weights, similarity).select("a", "b").checkpoint()
+    mixed = _mixed(members, classes).checkpoint()
+    unsure = mixed.select("node", "class").distinct().join(nodes.select("node", "weight"), "node").join(texts, "node").select("node", "class", "weight", "text")
+    sketched = unsure.mapInArrow(lambda it: _sketch(it, weights), "node binary, class binary, weight double, sketch array<smallint>").checkpoint()
+    more = _verified(_rest(mixed, sketched, similarity), texts, weights, similarity).select("a", "b").checkpoint()
     if not more.isEmpty():
         classes = components(links.unionByName(more)).withColumnRenamed("component", "class")
 

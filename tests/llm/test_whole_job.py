@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import byte_quality, language_id, near_dedup, packing
 from tests.llm.test_operators import docs
@@ -44,7 +45,7 @@ def test_pairs_with_one_common_band_in_a_large_bucket(spark):
     nodes = spark.createDataFrame([(name(i), 1.0, keys[i].tolist(), sketch[i].tolist()) for i in range(n)], "node binary, weight double, bands array<long>, sketch array<smallint>")
     members = nodes.selectExpr("node", "posexplode(bands) as (band, key)").filter("band = 3")
     classes = spark.createDataFrame([], "node binary, class binary")
-    got = [(bytes(r.a), bytes(r.b)) for r in near_dedup._rest(members, classes, nodes, 0.8).collect()]
+    got = [(bytes(r.a), bytes(r.b)) for r in near_dedup._rest(near_dedup._mixed(members, classes), nodes.withColumn("class", F.col("node")), 0.8).collect()]
     agree = (sketch[: 2 * pairs : 2] == sketch[1 : 2 * pairs : 2]).sum(1)
     need = int(near_dedup.SKETCH * 0.8 - near_dedup.SLACK * (near_dedup.SKETCH * 0.8 * 0.2) ** 0.5)
     want = {(name(2 * i), name(2 * i + 1)) for i in np.flatnonzero(agree >= need)}
