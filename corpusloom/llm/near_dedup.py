@@ -54,17 +54,18 @@ BANDS = 14
 ROWS = 4
 SPLIT = 200
 #: Samples compared before texts are; the first BANDS * ROWS make the bands.
-SKETCH = 256
+SKETCH = 512
 #: Finer bands for the nodes of large buckets, of the samples after the bands'.
 FINE_ROWS = 6
-FINE = (SKETCH - BANDS * ROWS) // FINE_ROWS
+FINE = 33
 #: Standard deviations that a sketch may stay below the wanted similarity.
-SLACK = 4
+SLACK = 3.5
 DF_BUCKETS = 1 << 20
 IDF_SHARE = 0.1
 _CHUNK = 1 << 12
 _SALTS = 32
 _PAIRS = 256
+_CELL = ("cell", "fine", "x", "y")
 _TABLE_BITS = 13
 _TABLE = 1 << _TABLE_BITS
 _STEP = 1 << 20
@@ -192,14 +193,14 @@ def _sign(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.RecordBatch
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.RecordBatch]:
-    """Adds 16 bits of each sample to rows that have a shingle."""
+    """Adds 8 bits of each sample to rows that have a shingle."""
     for whole in batches:
         for part in ta.slices(whole, limit=_STEP):
             if (got := _sampled(part, weights, SKETCH)) is None:
                 continue
             keep = [c for c in part.schema.names if c != "text"]
-            short = (got[2] >> ta.U64(48)).astype(np.uint16).view(np.int16)
-            yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(got[0])) for c in keep), _lists(short, pa.int16())], names=[*keep, "sketch"])
+            short = (got[2] >> ta.U64(56)).astype(np.uint8).view(np.int8)
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(got[0])) for c in keep), _lists(short, pa.int8())], names=[*keep, "sketch"])
 
 
 def _similarity(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.RecordBatch]:
@@ -250,31 +251,38 @@ def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _likely(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (cell, x, y), the pairs of each cell's nodes of blocks x and y that may be a link: of
-    different classes, of weights that allow the similarity, and of sketches that agree often enough."""
+    """Of rows sorted by ``_CELL``, the pairs of each cell's nodes of blocks x and y that may be a link: of
+    different classes, of weights that allow the similarity, and of sketches that agree often enough. A pair of
+    two finer bands comes from the first of them."""
     need = int(SKETCH * similarity - SLACK * (SKETCH * similarity * (1 - similarity)) ** 0.5)
 
     def pairs(part: pa.Table) -> pa.RecordBatch | None:
         nodes, own = part.column("node").to_pylist(), part.column("own").to_numpy()
         numbers: dict[bytes, int] = {}
         classes = np.array([numbers.setdefault(c, len(numbers)) for c in part.column("class").to_pylist()])
-        w, x, y = part.column("weight").to_numpy(), part.column("x")[0].as_py(), part.column("y")[0].as_py()
+        w, x, y, fine = part.column("weight").to_numpy(), *(part.column(c)[0].as_py() for c in ("x", "y", "fine"))
         sketch = pc.list_flatten(part.column("sketch").combine_chunks()).to_numpy().reshape(len(nodes), -1)
         left = np.flatnonzero(own == x)
         right = left if x == y else np.flatnonzero(own == y)
         may = (classes[left][:, None] != classes[right]) & (np.minimum(w[left][:, None], w[right]) >= similarity * np.maximum(w[left][:, None], w[right]))
         i, j = np.nonzero(np.triu(may) if x == y else may)
         i, j = left[i], right[j]
-        ok = [at + np.flatnonzero((sketch[i[at : at + _STEP >> 8]] == sketch[j[at : at + _STEP >> 8]]).sum(1) >= need) for at in range(0, len(i), _STEP >> 8)]
-        ok = np.concatenate(ok) if ok else np.zeros(0, np.int64)
+        ok = np.zeros(len(i), bool)
+        for at in range(0, len(i), _STEP // SKETCH):
+            part_of = slice(at, at + _STEP // SKETCH)
+            same = sketch[i[part_of]] == sketch[j[part_of]]
+            ok[part_of] = same.sum(1) >= need
+            if fine > 0:
+                ok[part_of] &= ~same[:, BANDS * ROWS : BANDS * ROWS + fine * FINE_ROWS].reshape(-1, fine, FINE_ROWS).all(2).any(1)
+        ok = np.flatnonzero(ok)
         found = [(nodes[p], nodes[q]) if nodes[p] < nodes[q] else (nodes[q], nodes[p]) for p, q in zip(i[ok], j[ok], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"]) if found else None
 
     kept: list[pa.RecordBatch] = []
     for batch in batches:
-        keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "x", "y")])
+        keys = np.stack([batch.column(c).to_numpy() for c in _CELL])
         cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
-        if kept and any(kept[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in ("cell", "x", "y")):
+        if kept and any(kept[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in _CELL):
             cuts = np.r_[0, cuts]
         for at, to in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows], strict=True):
             if to > at:
@@ -290,17 +298,17 @@ def _likely(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
 def _rest(mixed: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of nodes of different classes that share a bucket, or in large buckets a finer band, and whose
     samples and weights allow a link. sketched: (node, class, weight, sketch) of every node of ``mixed``."""
-    small = mixed.filter(F.col("n") <= SPLIT).select("node", F.xxhash64("band", "key").alias("cell"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("own"))
+    small = mixed.filter(F.col("n") <= SPLIT).select("node", F.xxhash64("band", "key").alias("cell"), F.lit(-1).alias("fine"), *(F.lit(0).alias(c) for c in ("x", "y", "own")))
     keys = F.transform(F.sequence(F.lit(0), F.lit(FINE - 1)), lambda i: F.xxhash64(i, F.slice("sketch", i * FINE_ROWS + BANDS * ROWS + 1, FINE_ROWS)))
     large = mixed.filter(F.col("n") > SPLIT).select("node").distinct().join(sketched, "node")
-    fine = large.select("node", "class", F.explode(keys).alias("cell")).withColumn("salt", _salt("node"))
+    fine = large.select("node", "class", F.posexplode(keys).alias("fine", "cell")).withColumn("salt", _salt("node"))
     # nodes only go where several classes agree, and to as many pairs of blocks as the cell needs
-    split = fine.groupBy("cell").agg(F.min("class").alias("u"), F.max("class").alias("v"), F.count("*").alias("m"), F.expr("bit_or(shiftleft(1L, salt))").alias("mask")).filter("u != v")
-    split = split.select("cell", F.ceil(F.col("m") / SPLIT).cast("int").alias("blocks"), _salts().alias("salt"))
-    fine = fine.join(split, ["cell", "salt"]).withColumn("own", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("blocks")).cast("int"))
-    fine = fine.select("node", "cell", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("node", "cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own")
-    cells = small.unionByName(fine).join(sketched, "node").select("cell", "x", "y", "own", "node", "class", "weight", "sketch")
-    dealt = cells.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y")
+    split = fine.groupBy("fine", "cell").agg(F.min("class").alias("u"), F.max("class").alias("v"), F.count("*").alias("m"), F.expr("bit_or(shiftleft(1L, salt))").alias("mask")).filter("u != v")
+    split = split.select("fine", "cell", F.ceil(F.col("m") / SPLIT).cast("int").alias("blocks"), _salts().alias("salt"))
+    fine = fine.join(split, ["fine", "cell", "salt"]).withColumn("own", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("blocks")).cast("int"))
+    fine = fine.select("node", "fine", "cell", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("node", "cell", "fine", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own")
+    cells = small.unionByName(fine).join(sketched, "node").select("cell", "fine", "x", "y", "own", "node", "class", "weight", "sketch")
+    dealt = cells.repartition(*_CELL).sortWithinPartitions(*_CELL)
     return dealt.mapInArrow(lambda it: _likely(it, similarity), "a binary, b binary").distinct()
 
 
@@ -333,7 +341,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     classes = components(links).withColumnRenamed("component", "class")
     mixed = _mixed(members, classes).checkpoint()
     unsure = mixed.select("node", "class").distinct().join(nodes.select("node", "weight"), "node").join(texts, "node").select("node", "class", "weight", "text")
-    sketched = unsure.mapInArrow(lambda it: _sketch(it, weights), "node binary, class binary, weight double, sketch array<smallint>").checkpoint()
+    sketched = unsure.mapInArrow(lambda it: _sketch(it, weights), "node binary, class binary, weight double, sketch array<tinyint>").checkpoint()
     more = _verified(_rest(mixed, sketched, similarity), texts, weights, similarity).select("a", "b").checkpoint()
     if not more.isEmpty():
         classes = components(links.unionByName(more)).withColumnRenamed("component", "class")
