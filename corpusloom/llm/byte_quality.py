@@ -5,8 +5,9 @@ A text is covered by overlapping chunks of two 256-byte blocks; each filter is
 max-pooled over a chunk, a hidden layer reads the pooled filters, and the
 document's probability comes from the chunks' largest and mean hidden values.
 
-The network is trained by Adam on a bounded sample of labelled rows; scoring
-reads whole texts, in pieces of bounded size.
+The network is trained by Adam on a bounded sample of labelled rows, with ``STEPS``
+updates whatever the number of rows; scoring reads whole texts, in pieces of bounded
+size. Without a labelled row the network stays as it was drawn.
 
 Rows: null and empty texts are scored as one blank chunk. Blanks follow every
 text, whatever text is next to it, so a row's score is its own (but for the
@@ -30,10 +31,10 @@ STRIDE = 4
 EMBED = 8
 FILTERS = 24
 HIDDEN = 12
-#: Labelled rows that are trained on, at most (about), and the longest of them.
+#: Labelled rows that are trained on, at most (about), the characters of each at most, and the updates made.
 TRAIN_ROWS = 3000
 TRAIN_CHARS = 20_000
-EPOCHS = 6
+STEPS = 1000
 _POSITIONS = BLOCK // STRIDE
 
 
@@ -122,17 +123,18 @@ class ByteNet:
             np.add.at(g["emb"], byte, dp[..., None] * w[i].T)
         return g
 
-    def fit(self, rows: list[tuple[str, int, float]], epochs: int = EPOCHS, size: int = 16, rate: float = 4e-3, seed: int = 11) -> ByteNet:
+    def fit(self, rows: list[tuple[str, int, float]], epochs: int | None = None, size: int = 16, rate: float = 4e-3, seed: int = 11) -> ByteNet:
         rng = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         t = 0
         data = [(text.encode(), y, w) for text, y, w in rows]
-        epochs = max(epochs, min(40, 8000 // max(1, len(data))))
-        steps = epochs * -(-len(data) // size)
-        for _ in range(epochs):
+        steps = STEPS if epochs is None else epochs * -(-len(data) // size)
+        while t < steps and data:
             order = rng.permutation(len(data))
             for i in range(0, len(order), size):
                 part = [data[j] for j in order[i : i + size]]
+                if t == steps:
+                    break
                 g = self._gradients([x[0] for x in part], np.array([x[1] for x in part], np.float32), np.array([x[2] for x in part], np.float32))
                 t += 1
                 lr = rate * (1 - t / (steps + 1))

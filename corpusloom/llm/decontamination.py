@@ -12,6 +12,10 @@ whatever order they stand.
 Every common run of at least ``min_match`` words is a run of common seeds, so
 the seeds and their places are all that tiling needs of the texts.
 
+Of runs that are equally long, the one that starts first in the item is marked, then
+the one that starts first in the document. The length of a text costs no more than
+its seeds: a pair is tiled from the seeds in common alone.
+
 Rows: null and empty texts, and items of fewer than ``min_match`` words, match
 nothing. Rows that share a doc_id (or item_id) are tiled by themselves; equal
 pairs are reported once. A null id is kept as null. An empty table on either
@@ -35,6 +39,7 @@ THRESHOLD = 0.5
 #: Bits of a seed that number its place in the bitmap, and the bytes of a bitmap row.
 BITMAP_BITS = 26
 _ROW_BITS = 13
+_SALTS = 32
 _SEEDS = "id long, text_key long, n_words long, seed long, places array<int>"
 
 
@@ -107,12 +112,14 @@ def tile(a: np.ndarray, b: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     tiles, length = [], max(k, len(a))
     while True:
         found = sorted(_matches(a, b, free_a, free_b, length, k), key=lambda m: (-m[2], m[0], m[1]))
+        clash = False
         for i, j, n in found:
-            if free_a[i : i + n].all() and free_b[j : j + n].all():
-                free_a[i : i + n] = free_b[j : j + n] = False
-                tiles.append((i, j, n))
-        if any(not (free_a[i : i + n].all() and free_b[j : j + n].all()) and (i, j, n) not in tiles for i, j, n in found):
-            continue  # runs that lost words to a tile may have long parts left
+            if clash := not (free_a[i : i + n].all() and free_b[j : j + n].all()):
+                break  # what is left of this run may still be longer than the next one
+            free_a[i : i + n] = free_b[j : j + n] = False
+            tiles.append((i, j, n))
+        if clash:
+            continue
         if length == k:
             return tiles
         length = max(k, length // 2)
@@ -154,7 +161,11 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, min_match: int = M
     found = side(docs, "doc_id").mapInArrow(lambda it: _seeds(it, min_match, bitmap), _SEEDS)
     left = found.select(F.col("id").alias("doc_id"), F.col("text_key").alias("doc_key"), "seed", F.col("places").alias("in_doc"))
     right = items.select(F.col("id").alias("item_id"), F.col("text_key").alias("item_key"), F.col("n_words").alias("n_item"), "seed", F.col("places").alias("in_item"))
-    pairs = left.join(right, "seed").groupBy("doc_id", "doc_key", "item_id", "item_key", "n_item").agg(F.collect_list(F.struct("seed", "in_doc", "in_item")).alias("shared"))
+    # a seed that many documents hold is dealt over several tasks, and its items go to those that have it
+    left = left.withColumn("salt", F.pmod(F.xxhash64("doc_id", "doc_key"), F.lit(_SALTS)).cast("int"))
+    held = left.groupBy("seed").agg(F.expr("bit_or(shiftleft(1L, salt))").alias("mask"))
+    right = right.join(held, "seed").withColumn("salt", F.explode(F.expr(f"filter(sequence(0, {_SALTS - 1}), i -> mask & shiftleft(1L, i) != 0)"))).drop("mask")
+    pairs = left.join(right, ["seed", "salt"]).groupBy("doc_id", "doc_key", "item_id", "item_key", "n_item").agg(F.collect_list(F.struct("seed", "in_doc", "in_item")).alias("shared"))
     # n seeds in common cover n + min_match - 1 words a run at most, so min_match * n in all
     pairs = pairs.filter(F.aggregate("shared", F.lit(0), lambda n, s: n + F.size(s["in_item"])) * min_match >= F.col("n_item") * threshold)
     tiled = pairs.mapInArrow(lambda it: _tile_pairs(it, min_match), "doc_id long, doc_key long, item_id long, n_item long, n_covered long, n_tiles long, longest long, tiles array<struct<item_word:long,doc_word:long,words:long>>")

@@ -7,6 +7,9 @@ labelled rows. The log-probability matrix has a fixed number of buckets for each
 language and is broadcast. A batch is scored sparsely in numpy: the matrix rows
 of the n-grams that a text holds, summed by document.
 
+Of over ``MAX_LANGUAGES`` values of lang the most frequent are learned, ties by name.
+An empty table gives an empty result; without a training row all texts are ``und``.
+
 Rows: null text, and text without a letter, is ``und`` with score 0. A null
 doc_id is not held out and never trained on. Rows are scored one by one, so
 repeated rows get equal results; columns beyond doc_id, text and lang are ignored.
@@ -31,6 +34,7 @@ ORDERS = (1, 2, 3)
 TRAIN_ROWS = 12_000
 #: Added to each count.
 SMOOTHING = 0.5
+#: The most frequent values of lang that are learned; each has a column of the broadcast matrix.
 MAX_LANGUAGES = 1000
 _STEP = 1 << 19
 
@@ -105,9 +109,7 @@ def train(docs: DataFrame, bound: int = TRAIN_ROWS) -> NaiveBayes:
     """Fits text -> lang on about ``bound`` of the rows that ``docs`` has with a doc_id, a text and a lang: all
     rows of rare languages, and about as many of each other language, chosen by a hash of the doc_id."""
     rows = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).dropna()
-    by_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(by_lang) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} values of lang")
+    by_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect()}
     languages = sorted(by_lang)
     most, full = _most(list(by_lang.values()), bound), 1 << 20
     # at most MAX_LANGUAGES rows
@@ -136,7 +138,8 @@ def _predict(batches: Iterator[pa.RecordBatch], model, text: str, names: tuple[s
 
 def identify(docs: DataFrame, training: DataFrame, bound: int = TRAIN_ROWS, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with two columns more, the predicted language and its probability, by a model fitted
-    on ``training`` (doc_id, text, lang). ``names`` are the new columns' names."""
+    on ``training`` (doc_id, text, lang). ``names`` are the new columns' names; columns that have them are replaced."""
+    docs = docs.drop(*names)
     model = docs.sparkSession.sparkContext.broadcast(train(training, bound))
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return docs.mapInArrow(lambda it: _predict(it, model, "text", names), schema)

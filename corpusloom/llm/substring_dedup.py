@@ -157,7 +157,7 @@ def removal_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return flags.groupBy("home").applyInArrow(lambda t: _merge(t, window), _INTERVALS)
 
 
-def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keep(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, digests, kept_texts, removed = [], [], [], []
         starts, ends = batch.column("starts").to_pylist(), batch.column("ends").to_pylist()
@@ -169,25 +169,25 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(counts[-1] - len(words))
             kept = b" ".join(words)
             digests.append(hashlib.sha256(kept).hexdigest())
-            kept_texts.append(kept.decode())
+            kept_texts.append(kept.decode() if with_text else None)
         spans = [[{"start": i, "end": j} for i, j in zip(a or [], b or [], strict=True)] for a, b in zip(starts, ends, strict=True)]
         spans = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), spans, pa.array(kept_texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "intervals", "kept_text"])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, the removed word
-    intervals (start, end exclusive) and the kept text (words joined by one space).
+    intervals (start, end exclusive) and, if asked for, the kept text (words joined by one space).
 
     An empty table gives an empty result; columns beyond doc_id and text are ignored.
     """
     joined = _rows(docs).join(removal_intervals(docs, window), ["doc_id", "text_key"], "left").select("doc_id", "text", "starts", "ends")
-    return joined.mapInArrow(_keep, _KEPT)
+    return joined.mapInArrow(lambda it: _keep(it, with_text), _KEPT)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("intervals").cast("long").alias("n_intervals"))
+    return remove_repeats(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("intervals").cast("long").alias("n_intervals"))
 
 
 QUERIES = {"op4_substring_dedup": op4_substring_dedup}

@@ -9,6 +9,9 @@ whole text; a document's score is that of its most toxic window.
 The network is trained by back-propagation through time and Adam on a bounded
 sample of labelled rows: of each document, its highest-scoring window.
 
+Training makes ``STEPS`` updates, whatever the number of rows. Without a labelled
+row the network stays as it was drawn.
+
 Rows: null and empty texts are scored as a window without words. Rows are
 scored one by one, so repeated rows get equal scores; columns beyond doc_id and
 text are ignored.
@@ -34,10 +37,10 @@ DIM = 8
 WORD_ROWS = 1 << 13
 CHAR_ROWS = 1 << 13
 GRAMS = (3, 4, 5)
-#: Labelled rows that are trained on, at most (about), and the longest of them.
+#: Labelled rows that are trained on, at most (about), the characters of each at most, and the updates made.
 TRAIN_ROWS = 2400
 TRAIN_CHARS = 8_000
-EPOCHS = 8
+STEPS = 300
 _BATCH = 1 << 18
 f32 = np.float32
 
@@ -193,17 +196,19 @@ class GatedNet:
         del there
         return g
 
-    def fit(self, rows: list[tuple[str, int, float]], epochs: int = EPOCHS, size: int = 64, rate: float = 0.02, seed: int = 13) -> GatedNet:
+    def fit(self, rows: list[tuple[str, int, float]], steps: int = STEPS, size: int = 64, rate: float = 0.02, seed: int = 13) -> GatedNet:
         rng = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
-        epochs = max(epochs, min(30, 12_000 // max(1, len(rows))))  # few rows are seen more often
-        t, steps = 0, epochs * -(-len(rows) // size)
-        for _ in range(epochs):
+        t, steps = 0, steps if rows else 0
+        while t < steps:
             order = rng.permutation(len(rows))
             for i in range(0, len(order), size):
                 part = [rows[j] for j in order[i : i + size]]
+                if t == steps:
+                    break
                 vocabulary = Vocabulary(pa.array([x[0] for x in part], pa.string()))
                 if not len(vocabulary.word_row):
+                    steps -= 1  # a part without a word teaches nothing
                     continue
                 logit = self.logits(vocabulary)
                 chosen = np.array([a + int(logit[a:b].argmax()) for a, b in zip(vocabulary.text_start, vocabulary.text_start[1:], strict=False)])

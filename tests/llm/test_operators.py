@@ -338,8 +338,7 @@ def test_tiling_against_brute_force(spark):
         for i, w in items:
             if n := brute_tiles(re.findall(r"[a-z0-9]+", t.lower()), w, 4):
                 want[d, i] = n
-    assert set(got) == set(want)
-    assert sum(got[p] != want[p] for p in want) <= len(want) // 20  # ties between equally long runs may be marked in another order
+    assert got == want
     flagged = {r.doc_id for r in decontamination.contaminated_pairs(table, bench, 4, 0.6).collect()}
     assert {d for d in range(1, 40, 2)} - {1} <= flagged | {1} and all(want.get((d, i), 0) >= 0.5 * len(w) for d in flagged for i, w in items if (d, i) in got and got[d, i] >= 0.6 * len(w))
     left = decontamination.without_contaminated(table, bench, 4, 0.6)
