@@ -56,22 +56,34 @@ def regex_ladder(text: Column | str, rules: Sequence[tuple[str, str]], default:
     return out
 
 
-#: Ordered keywords of a document's kind.
-DOC_KINDS = [(["agenda"], "agenda"), (["minutes", "minute"], "minutes"), (["cafr", "acfr", "annual report", "comprehensive"], "cafr"), (["performance", "quarterly"], "performance")]
-#: Ordered patterns of a meeting's kind.
-MEETING_KINDS = [("(?i)investment committee", "investment"), ("(?i)audit", "audit"), ("(?i)special (board )?meeting", "special")]
+#: Ordered keywords of a document's kind; what none of them names is a board pack.
+DOC_KINDS = [(["minute"], "minutes"), (["agenda"], "agenda"), (["performance", "return", "investment report"], "performance"), (["pack", "material", "board book"], "board_pack")]
+#: Ordered patterns of a meeting's kind.
+MEETING_KINDS = [
+    (r"(?i)investment\s+committee|investment\s+board|portfolio", "investment"),
+    (r"(?i)audit\s+committee|risk\s+committee", "audit"),
+    (r"(?i)board\s+of\s+(?:trustees|directors|retirement)|full\s+board", "board"),
+    (r"(?i)actuarial|funded\s+status", "actuarial"),
+]
+#: Extensions of documents, and paths that serve documents without one.
+DOC_EXTENSIONS = ["pdf", "docx", "doc", "xlsx"]
+DOC_PATHS = [r"/documents/[^/]+/download", r"/media/[0-9]+/download", r"/download\?", r"/files/.*\?", r"documentdownload\.ashx", r"/iip/\w+/file/getfile/", r"/documents/files/governance/"]
 
 
 def classify_doc_type(text: Column | str) -> Column:
+    """The kind that a url with its link's text names: minutes before agenda before performance."""
     return ladder(text, DOC_KINDS, "board_pack")
 
 
 def classify_meeting(text: Column | str, name: Column | str) -> Column:
+    """The kind named in the first 2,000 characters or the file name; ``board`` where none is."""
     return regex_ladder(F.concat_ws(" ", F.substring(_col(text), 1, 2000), _col(name)), MEETING_KINDS, "board")
 
 
 def is_doc_url(url: Column | str) -> Column:
-    return F.lower(_col(url)).rlike(r"\.(pdf|docx?|xlsx?)([?#].*)?$")
+    """Whether the path ends in a document's extension, or the url has a form that serves documents without one."""
+    low = F.lower(_col(url))
+    return low.rlike(rf"^[^?#]*\.(?:{'|'.join(DOC_EXTENSIONS)})(?:[?#].*)?$") | low.rlike("|".join(DOC_PATHS))
 
 
 def focus_exclude(text: Column | str, focus: Sequence[str], excluded: Sequence[str]) -> Column:
@@ -92,40 +104,74 @@ def make_filename(url: Column | str, link_text: Column | str) -> Column:
     return F.when(name.rlike(r"\.(pdf|docx?|xlsx?)$"), name).otherwise(F.concat(name, F.lit(".pdf")))
 
 
-_MONTH = r"(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
-
-
-def _plausible(date: Column) -> Column:
-    return F.when(F.year(date).between(2000, 2035), date)
-
-
-def _date(year: Column, month: Column, day: Column) -> Column:
-    return _plausible(F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd"))
+_MONTHS = "january february march april may june july august september october november december".split()
+_LONG, _SHORT = "|".join(_MONTHS), "|".join(m[:3] for m in _MONTHS)
+
+
+def first_date(text: Column, shapes: Sequence[tuple[str, tuple[int, int, int]]], first_year: int = 2000, last_year: int = 2035) -> Column:
+    """The date of the first shape (pattern, groups of year, month and day; group 0: the first day) whose first match is a
+    valid date of those years. Months are numbers or names, two-digit years are of this century. Every match is
+    taken out once, and one expression makes dates of them all, so the plan stays small."""
+    part = lambda pattern, group: F.regexp_extract(text, pattern, group) if group else F.lit("1")
+    found = F.array(*(F.struct(*(part(p, g).alias(n) for n, g in zip(("y", "m", "d"), groups, strict=True))) for p, groups in shapes))
+
+    def day(f: Column) -> Column:
+        place = F.call_function("locate", F.lower(F.substring(f["m"], 1, 3)), F.lit("".join(m[:3] for m in _MONTHS)))
+        month = F.when(f["m"].rlike("^[0-9]"), f["m"]).otherwise(((place + 2) / 3).cast("int").cast("string"))
+        year = F.when(F.length(f["y"]) == 2, F.concat(F.lit("20"), f["y"])).otherwise(f["y"])
+        date = F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(f["d"], 2, "0")), "yyyy-MM-dd")
+        return F.when((f["y"] != "") & F.year(date).between(first_year, last_year), date)
+
+    return F.get(F.array_compact(F.transform(found, day)), F.lit(0))
+
+
+#: Shapes of dates in file names, in order, with their groups of year, month and day.
+NAME_DATES = [
+    (r"(?<![0-9])([0-9]{2})[-_.]?([0-9]{2})[-_.]?([0-9]{4})(?![0-9])", (3, 1, 2)),
+    (r"(?<![0-9])([0-9]{1,2})[-./]([0-9]{1,2})[-./]([0-9]{2})(?![0-9])", (3, 1, 2)),
+    (r"(?<![0-9])([0-9]{4})[-_.]?([0-9]{2})[-_.]?([0-9]{2})(?![0-9])", (1, 2, 3)),
+    (rf"(?i)({_LONG})[\s_-]+([0-9]{{1,2}})[\s_,-]+([0-9]{{4}})", (3, 1, 2)),
+    (rf"(?i)({_LONG})[\s_-]+([0-9]{{4}})", (2, 1, 0)),
+]
+#: Shapes of dates next to a link.
+TEXT_DATES = [
+    (r"(?<![0-9])([0-9]{4})[_-]([0-9]{2})[_-]([0-9]{2})(?![0-9])", (1, 2, 3)),
+    (rf"(?i)\b({_LONG})\s+([0-9]{{1,2}}),?\s+([0-9]{{4}})\b", (3, 1, 2)),
+    (r"(?<![0-9])([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4}|[0-9]{2})(?![0-9])", (3, 1, 2)),
+]
+#: Shapes of dates in titles of recordings.
+TITLE_DATES = [
+    (rf"(?i)\b({_LONG}|{_SHORT}|sept)\.?\s+([0-9]{{1,2}})(?:st|nd|rd|th)?,?\s+([0-9]{{4}})\b", (3, 1, 2)),
+    (rf"(?i)\b([0-9]{{1,2}})\s+({_LONG}|{_SHORT}|sept)\.?\s+([0-9]{{4}})\b", (3, 2, 1)),
+    (r"\b([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})\b", (1, 2, 3)),
+    (r"\b([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})\b", (3, 1, 2)),
+    (r"\b([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{2})\b", (3, 1, 2)),
+]
+#: Days ahead of the load date, and behind it, that a meeting's date may be.
+DAYS_AHEAD, DAYS_BEHIND = 60, 5 * 365
 
 
 def date_from_name(name: Column | str) -> Column:
-    """The first valid date in a name: y-m-d, m-d-y, eight digits (y first, then m first), month day year."""
-    c = _col(name)
-    part = lambda p, i: F.nullif(F.regexp_extract(c, p, i), F.lit(""))
-    ymd, mdy = r"(?<![0-9])(20[0-9]{2})[-_.]([0-9]{1,2})[-_.]([0-9]{1,2})(?![0-9])", r"(?<![0-9])([0-9]{1,2})[-_.]([0-9]{1,2})[-_.](20[0-9]{2})(?![0-9])"
-    packed, packed_us = r"(?<![0-9])(20[0-9]{2})([0-9]{2})([0-9]{2})(?![0-9])", r"(?<![0-9])([0-9]{2})([0-9]{2})(20[0-9]{2})(?![0-9])"
-    worded = _MONTH + r"[-_. ]*([0-9]{1,2})[-_., ]+(20[0-9]{2})"
-    month = F.date_format(F.try_to_date(F.concat(F.initcap(part(worded, 1)), F.lit(" 2000")), "MMM yyyy"), "MM")
-    return F.coalesce(
-        _date(part(ymd, 1), part(ymd, 2), part(ymd, 3)), _date(part(mdy, 3), part(mdy, 1), part(mdy, 2)), _date(part(packed, 1), part(packed, 2), part(packed, 3)),
-        _date(part(packed_us, 3), part(packed_us, 1), part(packed_us, 2)), _date(part(worded, 3), month, part(worded, 2)),
-    )
+    """The date in a file name without its extension, by the first of ``NAME_DATES`` that gives a valid one."""
+    return first_date(F.regexp_replace(_col(name), r"\.[a-zA-Z0-9]+$", ""), NAME_DATES)
 
 
 def date_infer(existing: Column | str, name: Column | str, text: Column | str, loaded: Column | str) -> Column:
-    """The existing date if plausible at the load date (60 days ahead, five years back), else one from the name, else from the text."""
-    near = lambda d: F.when((d <= F.date_add(_col(loaded), 60)) & (d >= F.date_sub(_col(loaded), 5 * 365)), d)
-    return F.coalesce(near(_col(existing)), near(date_from_name(name)), near(date_from_name(F.substring(_col(text), 1, 2000))))
+    """The first plausible date of: the existing one, the file name's, the first ``Month D, YYYY`` of the first 2,000
+    characters. Plausible is near the load date; without one every date is."""
+    worded = first_date(F.substring(_col(text), 1, 2000), TEXT_DATES[1:2], 1, 9999)
+    near = lambda d: _col(loaded).isNull() | ((d <= F.date_add(_col(loaded), DAYS_AHEAD)) & (d >= F.date_sub(_col(loaded), DAYS_BEHIND)))
+    return F.get(F.filter(F.array_compact(F.array(_col(existing), date_from_name(name), worded)), near), F.lit(0))
 
 
-def date_repair(stored: Column | str, name: Column | str, loaded: Column | str) -> Column:
-    """A date over 60 days after the load date is read again from the name, or becomes null."""
-    return F.when(_col(stored) > F.date_add(_col(loaded), 60), F.when(date_from_name(name) <= F.date_add(_col(loaded), 60), date_from_name(name))).otherwise(_col(stored))
+def date_repair(stored: Column | str, name: Column | str, loaded: Column | str) -> tuple[Column, Column]:
+    """(date, outcome): a date too far after the load date is read again from the name (``updated``), or becomes null
+    (``cleared``); other dates are ``kept``."""
+    last = F.date_add(_col(loaded), DAYS_AHEAD)
+    again = F.get(F.filter(F.array_compact(F.array(date_from_name(name))), lambda d: d <= last), F.lit(0))
+    late = F.coalesce(_col(stored) > last, F.lit(False))
+    date = F.when(late, again).otherwise(_col(stored))
+    return date, F.when(~late, "kept").when(again.isNull(), "cleared").otherwise("updated")
 
 
 def year_from_url(url: Column | str) -> Column:
@@ -133,14 +179,15 @@ def year_from_url(url: Column | str) -> Column:
     return F.array_max(F.transform(F.regexp_extract_all(_col(url), F.lit(r"(?<![0-9])(20[0-3][0-9])(?![0-9])"), F.lit(1)), lambda x: x.cast("int")))
 
 
-def year_infer(name: Column | str) -> Column:
-    """A four-digit year, else m.d.yy, else six digits as yymmdd or mmddyy."""
+def year_infer(name: Column | str, meeting_date: Column | str | None = None) -> Column:
+    """The meeting date's year, else from the name: a year from 2000 to 2029, m.d.yy, or six digits as yymmdd or mmddyy."""
     c = _col(name)
     part = lambda p, i: F.nullif(F.regexp_extract(c, p, i), F.lit("")).cast("int")
-    dotted, six = r"(?<![0-9])[0-9]{1,2}[.][0-9]{1,2}[.]([0-9]{2})(?![0-9])", r"(?<![0-9])([0-9]{2})([0-9]{2})([0-9]{2})(?![0-9])"
+    four, parted, six = r"(?<![0-9])(20[0-2][0-9])(?![0-9])", r"(?<![0-9])[0-9]{1,2}[._ -][0-9]{1,2}[._ -]([0-9]{2})(?![0-9])", r"(?<![0-9])([0-9]{2})([0-9]{2})([0-9]{2})(?![0-9])"
     a, b, d = (part(six, i) for i in (1, 2, 3))
-    packed = F.when(a.between(10, 35) & b.between(1, 12) & d.between(1, 31), 2000 + a).when(a.between(1, 12) & b.between(1, 31) & d.between(0, 35), 2000 + d)
-    return F.coalesce(year_from_url(c), 2000 + part(dotted, 1), packed)
+    packed = F.when(a.between(20, 29) & b.between(1, 12) & d.between(1, 31), 2000 + a).when(a.between(1, 12) & b.between(1, 31) & (d <= 29), 2000 + d)
+    from_name = F.coalesce(part(four, 1), F.when(part(parted, 1) <= 29, 2000 + part(parted, 1)), packed)
+    return from_name if meeting_date is None else F.coalesce(F.year(_col(meeting_date)), from_name)
 
 
 def expected_fiscal_year(day: Column | str, month_day: Column | str) -> Column:
@@ -180,6 +227,11 @@ def signed_percent(basis_points: Column | str) -> Column:
     return F.when(b.isNull(), "").otherwise(F.concat(F.when(b < 0, "-").otherwise("+"), F.floor(F.abs(b) / 100).cast("string"), F.lit("."), F.lpad((F.abs(b) % 100).cast("string"), 2, "0"), F.lit("%")))
 
 
+def dollars(amount: Column | str, unit: str = "") -> Column:
+    """``$1,234.5`` and a unit; blank for null."""
+    return F.when(_col(amount).isNull(), "").otherwise(F.concat(F.lit("$"), F.format_number(_col(amount), 1), F.lit(unit)))
+
+
 def excerpt(text: Column | str, chars: int) -> Column:
     """At most so many characters, with an ellipsis if cut."""
     return F.when(F.length(_col(text)) > chars, F.concat(F.rtrim(F.left(_col(text), F.lit(chars))), F.lit("…"))).otherwise(_col(text))
@@ -214,8 +266,11 @@ def highlight(text: Column | str, term: str) -> Column:
 
 def rewrite_citations(text: Column | str, base: str) -> Column:
     """``[12]`` and each id of ``[12, 15]`` as a link; links stay as they are."""
-    spread = F.regexp_replace(_col(text), r"(?<=\[[0-9, ]{0,200}[0-9])\s*,\s*(?=[0-9][0-9, ]*\](?!\())", "] [")
-    return F.regexp_replace(spread, r"\[([0-9]+)\](?!\()", rf"[$1]({base}/$1)")
+    # a list of any length: the text between lists stays, every list is parted by itself
+    listed = r"\[[0-9]+(?:\s*,\s*[0-9]+)*\](?!\()"
+    lists, between = F.regexp_extract_all(_col(text), F.lit(listed), F.lit(0)), F.split(_col(text), listed, -1)
+    linked = F.transform(lists, lambda x: F.regexp_replace(F.regexp_replace(x, r"\s*,\s*", "] ["), r"\[([0-9]+)\]", rf"[$1]({base}/$1)"))
+    return F.array_join(F.transform(F.arrays_zip(between.alias("b"), linked.alias("l")), lambda p: F.concat(p["b"], F.coalesce(p["l"], F.lit("")))), "")
 
 
 def error_class(message: Column | str) -> Column:
@@ -247,20 +302,35 @@ def title_match(title: Column | str) -> Column:
     return F.coalesce(_col(title).rlike(r"(?i)\b(board|committee|trustees?)\b.*\bmeeting\b|\bmeeting of\b"), F.lit(False))
 
 
-def url_classify(url: Column | str) -> Column:
-    """(platform, kind, id) of a media url by its host."""
+#: Fixed values: (platform, kind, pattern of the whole url, canonical url with the id as ``{id}``), in order. A directory
+#: lists recordings, a video is one of them.
+MEDIA_URLS = [
+    ("youtube", "directory", r"(?i)^https?://(?:www\.|m\.)?youtube\.com/((?:channel/UC[0-9A-Za-z_-]{20,})|(?:@|c/|user/)[A-Za-z0-9_.-]+)", "https://www.youtube.com/{id}"),
+    ("youtube", "directory", r"(?i)^https?://(?:www\.|m\.)?youtube\.com/playlist\?list=([A-Za-z0-9_-]{10,})", "https://www.youtube.com/playlist?list={id}"),
+    ("youtube", "directory", r"(?i)^https?://(?:www\.|m\.)?youtube\.com/(?!(?:watch|embed|shorts|playlist|results|feed|channel|c|user|about|account|t|hashtag|live)(?:[/?#]|$))([A-Za-z0-9_.-]{3,})(?:[/?#]|$)", "https://www.youtube.com/{id}"),
+    ("youtube", "video", r"^https?://(?:(?:www\.|m\.)?youtube\.com/(?:.*[?&]v=|embed/|shorts/)|youtu\.be/)([A-Za-z0-9_-]{11})", None),
+    ("vimeo", "directory", r"(?i)^https?://(?:[a-z0-9-]+\.)*vimeo\.com/(channels/[A-Za-z0-9_-]+|showcase/[0-9]+)(?:[/?#]|$)", "https://vimeo.com/{id}"),
+    ("vimeo", "directory", r"(?i)^https?://(?:[a-z0-9-]+\.)*vimeo\.com/(?!(?:events?|watch|explore|categories|channels|showcase|ondemand|stock|features|pricing|upgrade|log_in|join|search|settings|help|manage|live|about|jobs|blog|videos?|api|embed|player|create|home|feed|following|library|tags)(?:[/?#]|$))([a-z][a-z0-9_-]{2,})(?:[/?#]|$)", "https://vimeo.com/{id}"),
+    ("vimeo", "video", r"(?i)^https?://(?:[a-z0-9-]+\.)*vimeo\.com/(?:video/)?([0-9]+)/?(?:[?#]|$)", None),
+    ("granicus", "directory", r"(?i)^https?://([a-z0-9-]+)\.granicus\.com(?:[/?#:]|$)", "https://{id}.granicus.com/ViewPublisher.php?view_id=2"),
+    ("swagit", "directory", r"(?i)^https?://([a-z0-9-]+)\.swagit\.com(?:[/?#:]|$)", "https://{id}.swagit.com/"),
+    ("cablecast", "directory", r"(?i)^https?://([a-z0-9.-]+\.cablecast\.tv)(?:[/?#:]|$)", "https://{id}/"),
+    ("boxcast", "directory", r"(?i)^https?://(?:www\.)?boxcast\.(?:com|tv)/(?:channel|view|s)/([A-Za-z0-9_-]+)", "https://www.boxcast.com/channel/{id}"),
+    ("civicplus", "directory", r"(?i)^https?://([a-z0-9.-]+\.civic(?:clerk|plus)\.com)(?:[/?#:]|$)", "https://{id}/"),
+    ("zoom", "directory", r"(?i)^https?://((?:[a-z0-9-]+\.)*zoom\.us)/rec/", "https://{id}/rec/"),
+    ("facebook", "directory", r"(?i)^https?://(?:www\.|m\.|web\.)?facebook\.com/(?!(?:videos|live|watch|posts)(?:[/?#]|$))([A-Za-z0-9.-]+)", "https://www.facebook.com/{id}/"),
+]
+
+
+def url_classify(url: Column | str, videos: bool = True) -> Column:
+    """(platform, kind, id, canonical) of a media url by the first of ``MEDIA_URLS`` that fits; null for other urls, and
+    for single videos where only directories are wanted. A video's canonical url is the url itself."""
     u = _col(url)
-    pick = lambda p: F.nullif(F.regexp_extract(u, p, 1), F.lit(""))
-    rules = [
-        ("youtube", "video", r"(?:youtube\.com/watch\?(?:.*&)?v=|youtu\.be/|youtube\.com/embed/)([A-Za-z0-9_-]{11})"),
-        ("youtube", "channel", r"youtube\.com/(?:channel/|@|c/|user/)([A-Za-z0-9_.-]+)"),
-        ("vimeo", "video", r"vimeo\.com/(?:video/)?([0-9]+)"),
-        ("granicus", "archive", r"([a-z0-9-]+)\.granicus\.com"),
-    ]
-    found = F.lit(None).cast("struct<platform:string,kind:string,id:string>")
-    for platform, kind, pattern in reversed(rules):
-        found = F.when(pick(pattern).isNotNull(), F.struct(F.lit(platform).alias("platform"), F.lit(kind).alias("kind"), pick(pattern).alias("id"))).otherwise(found)
-    return found
+    rules = [r for r in MEDIA_URLS if videos or r[1] != "video"]
+    found = F.array(*(F.struct(F.lit(platform).alias("platform"), F.lit(kind).alias("kind"), F.regexp_extract(u, pattern, 1).alias("id"), F.lit(canonical).alias("canonical")) for platform, kind, pattern, canonical in rules))
+    first = F.filter(found, lambda f: f["id"] != "")
+    named = F.transform(first, lambda f: F.struct(f["platform"].alias("platform"), f["kind"].alias("kind"), f["id"].alias("id"), F.coalesce(F.replace(f["canonical"], F.lit("{id}"), f["id"]), u).alias("canonical")))
+    return F.get(named, F.lit(0))
 
 
 def url_for_year(template: Column | str, linked: Column | str, static: Column | str, year: int) -> Column:
@@ -291,17 +361,13 @@ def relevance(text: Column | str, keywords: Sequence[str]) -> Column:
 
 
 def date_from_text(text: Column | str) -> Column:
-    """The first ``Month D, YYYY`` of a text, else its first ``M/D/YYYY``."""
-    c = _col(text)
-    part = lambda p, i: F.nullif(F.regexp_extract(c, p, i), F.lit(""))
-    worded, slashed = _MONTH + r"\s+([0-9]{1,2}),?\s+(20[0-9]{2})", r"(?<![0-9])([0-9]{1,2})/([0-9]{1,2})/(20[0-9]{2})(?![0-9])"
-    month = F.date_format(F.try_to_date(F.concat(F.initcap(part(worded, 1)), F.lit(" 2000")), "MMM yyyy"), "MM")
-    return F.coalesce(_date(part(worded, 3), month, part(worded, 2)), _date(part(slashed, 3), part(slashed, 1), part(slashed, 2)))
+    """The date of a link's text by the first of ``TEXT_DATES``: year first, ``Month D, YYYY``, or M/D/Y."""
+    return first_date(_col(text), TEXT_DATES, 1, 9999)
 
 
 def date_from_title(title: Column | str) -> Column:
-    """A date as in a text, else as in a name."""
-    return F.coalesce(date_from_text(title), date_from_name(title))
+    """The date of a recording's title by the first of ``TITLE_DATES`` that gives a valid one."""
+    return first_date(_col(title), TITLE_DATES, 2000, 2100)
 
 
 def fiscal_year_text(text: Column | str) -> Column:
@@ -311,19 +377,50 @@ def fiscal_year_text(text: Column | str) -> Column:
     return F.coalesce(year(r"(?i)fiscal years? end(?:ed|ing)\s+[a-z]+\s+[0-9]{1,2},?\s+(20[0-9]{2})"), year(r"(?i)for the year ended\s+[a-z]+\s+[0-9]{1,2},?\s+(20[0-9]{2})"), year_from_url(F.substring(c, 1, 5000)))
 
 
-#: Kinds of checkable claims and their patterns.
-CLAIMS = {"id": r"\[([0-9]+)\]", "dollars": r"(\$[0-9][0-9,.]*[0-9](?:\s?(?:million|billion))?)", "percent": r"([0-9]+(?:\.[0-9]+)?%)", "bps": r"([0-9]+)\s?(?:bps|basis points)", "vote": r"(?i)\b([0-9]+-[0-9]+) vote"}
+#: Kinds of checkable claims and their patterns.
+CLAIMS = {
+    "id": r"(?:doc_id=|\?doc=)([0-9]+)",
+    "dollars": r"(?i)(\$[0-9,]+(?:\.[0-9]+)?(?:\s*(?:trillion|billion|million|thousand|T|B|M|K)\b)?)",
+    "percent": r"(-?[0-9]+(?:\.[0-9]+)?%)",
+    "bps": r"(?i)(\b[0-9]+(?:\.[0-9]+)?\s*(?:basis\s+points|bps)\b)",
+    "vote": r"(?i)\b(?:approved|voted?|passed)\s+\**([0-9]+-[0-9]+)\**\b",
+    "entity": r"\*\*([^*]+)\*\*",
+}
+#: Bold phrases that are headings and no claims, without their colons.
+BOLD_HEADINGS = ["bottom line", "practical implication", "sources", "emerging signal — limited data", "emerging signal"]
 
 
 def claim_extract(text: Column | str) -> Column:
-    """Distinct (kind, value) of the claims in a text."""
+    """Distinct (kind, value) of the claims in a note: document ids anywhere, all else outside link targets and lines of
+    sources. A bold phrase is an entity unless it is a heading, starts like a number, or carries its size in brackets."""
+    raw = _col(text)
+    body = F.regexp_replace(F.regexp_replace(raw, r"\]\([^)]+\)", "]"), r"(?m)^\*Sources:.*$", "")
 
     def found(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(_col(text), F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
+        values = F.regexp_extract_all(raw if kind == "id" else body, F.lit(pattern), F.lit(1))
+        if kind == "entity":
+            plain = lambda v: F.rtrim(F.regexp_replace(F.lower(v), r"[:\s]+$", ""))
+            values = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: (v != "") & ~plain(v).isin(*BOLD_HEADINGS) & ~v.rlike(r"^[0-9$+-]") & ~v.rlike(r"(?i).\(\s*~?\$[0-9,.]+\s*[bmtk][^)]*\)$"))
+        return F.transform(values, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
 
     return F.array_distinct(F.concat(*(found(k, p) for k, p in CLAIMS.items())))
 
 
+def claim_variants(kind: Column | str, value: Column | str) -> Column:
+    """The ways in which a text may write a claim: without commas or sign, units long and short, percent and points in words."""
+    k, v = _col(kind), _col(value)
+    plain = F.regexp_replace(v, ",", "")
+    long, short = plain, plain
+    for unit in ("trillion", "billion", "million"):
+        long = F.regexp_replace(long, rf"(?i)([0-9])\s*{unit[0]}\b", f"$1 {unit}")
+        short = F.regexp_replace(short, rf"(?i)\s*{unit}\b", unit[0].upper())
+    dollars = F.array(v, plain, long, short, F.ltrim(v, F.lit("$")), F.ltrim(plain, F.lit("$")), F.ltrim(long, F.lit("$")), F.ltrim(short, F.lit("$")))
+    percent = F.array(v, F.replace(v, F.lit("%"), F.lit(" percent")), F.replace(v, F.lit("%"), F.lit("pct")))
+    number = F.regexp_extract(v, r"^[0-9]+(?:\.[0-9]+)?", 0)
+    points = F.array(v, *(F.concat(number, F.lit(u)) for u in (" basis points", " bps", "bps")))
+    return F.array_distinct(F.when(k == "dollars", dollars).when(k == "percent", percent).when(k == "bps", points).otherwise(F.array(v)))
+
+
 def table_rows(html: Column | str) -> Column:
     """(clip, title, day, minutes) of an archive table's rows that link a clip."""
     parts = F.transform(

@@ -10,8 +10,9 @@ from corpusloom.plans.views import Views
 S = lambda c: F.col(c).cast("string")
 _JSON = """with j as (select id, case when id % 13 = 0 then '{bad' when id % 11 = 0 then concat('{"a": ', cast(id as varchar), '}') when id % 7 = 0 then '[]'
 else concat('[{"a": ', cast(id as varchar), '}, 5, {"b": 1}]') end as payload from doc) """
-_NAMED = """with n as (select *, case when id % 5 = 0 then concat('Board_Pack_', strftime(meeting_date, '%m-%d-%Y'), '.pdf') when id % 5 = 1 then concat('agenda ', strftime(meeting_date, '%Y%m%d'), '.pdf')
-when id % 5 = 2 then concat('minutes-', strftime(meeting_date, '%Y-%m-%d')) when id % 5 = 3 then 'Quarterly report' else concat('CAFR ', strftime(meeting_date, '%Y')) end as name from doc) """
+_NAMED = """with n as (select *, case when id % 7 = 0 then concat('Board_Pack_', strftime(meeting_date, '%m-%d-%Y'), '.pdf') when id % 7 = 1 then concat('agenda.board.', strftime(meeting_date, '%m%d%Y'), '.pdf')
+when id % 7 = 2 then concat('minutes-and-agenda-', strftime(meeting_date, '%Y-%m-%d')) when id % 7 = 3 then 'Investment Report' when id % 7 = 4 then concat('IC_Agenda_', strftime(meeting_date, '%-m.%-d.%y'), '.pdf')
+when id % 7 = 5 then concat(strftime(meeting_date, '%B-%Y'), '-Board-Highlights.pdf') else concat('Returns ', strftime(meeting_date, '%B %-d, %Y')) end as name from doc) """
 
 
 def _json(v: Views) -> DataFrame:
@@ -21,15 +22,18 @@ def _json(v: Views) -> DataFrame:
 
 
 def _named(v: Views) -> DataFrame:
-    day = lambda f: F.date_format("meeting_date", f)
-    name = (
-        F.when(F.col("id") % 5 == 0, F.concat(F.lit("Board_Pack_"), F.coalesce(day("MM-dd-yyyy"), F.lit("")), F.lit(".pdf"))).when(F.col("id") % 5 == 1, F.concat(F.lit("agenda "), F.coalesce(day("yyyyMMdd"), F.lit("")), F.lit(".pdf")))
-        .when(F.col("id") % 5 == 2, F.concat(F.lit("minutes-"), F.coalesce(day("yyyy-MM-dd"), F.lit("")))).when(F.col("id") % 5 == 3, "Quarterly report").otherwise(F.concat(F.lit("CAFR "), F.coalesce(day("yyyy"), F.lit(""))))
-    )
-    return v.doc.withColumn("name", name)
+    day = lambda f: F.coalesce(F.date_format("meeting_date", f), F.lit(""))
+    shapes = [
+        F.concat(F.lit("Board_Pack_"), day("MM-dd-yyyy"), F.lit(".pdf")), F.concat(F.lit("agenda.board."), day("MMddyyyy"), F.lit(".pdf")), F.concat(F.lit("minutes-and-agenda-"), day("yyyy-MM-dd")), F.lit("Investment Report"),
+        F.concat(F.lit("IC_Agenda_"), day("M.d.yy"), F.lit(".pdf")), F.concat(day("MMMM-yyyy"), F.lit("-Board-Highlights.pdf")), F.concat(F.lit("Returns "), day("MMMM d, yyyy")),
+    ]
+    return v.doc.withColumn("name", F.get(F.array(*shapes), (F.col("id") % 7).cast("int")))
 
 
-_KNOWN = "case when id % 5 <= 2 and year(meeting_date) between 2000 and 2035 then meeting_date end"
+#: What each shape of name gives: the day, the day in this century, nothing, or the month's first day.
+_KNOWN = """case when id % 7 = 4 then make_date(2000 + year(meeting_date) % 100, month(meeting_date), day(meeting_date)) when id % 7 = 3 then null
+when year(meeting_date) between 2000 and 2035 then case when id % 7 = 5 then date_trunc('month', meeting_date)::date else meeting_date end end"""
+_KNOWN = f"case when year({_KNOWN}) between 2000 and 2035 then {_KNOWN} end"
 
 
 @query(_JSON + "select id, case when id % 13 = 0 or id % 11 = 0 or id % 7 = 0 then cast(0 as bigint) else 2 end as n, case when id % 13 = 0 or id % 11 = 0 or id % 7 = 0 then null else id end as a from j")
@@ -65,20 +69,23 @@ def deterministic_id(v: Views) -> DataFrame:
     return v.doc.select("id", fn.deterministic_id("plan_id", "doc_type", ["meeting_date", "downloaded_on"], F.replace("url", F.lit("https://"), F.lit(""))).alias("key"))
 
 
-@query(_NAMED + "select id, case when id % 5 = 0 then 'board_pack' when id % 5 = 1 then 'agenda' when id % 5 = 2 then 'minutes' when id % 5 = 3 then 'performance' else 'cafr' end as kind from n")
+@query(_NAMED + "select id, case id % 7 when 0 then 'board_pack' when 1 then 'agenda' when 2 then 'minutes' when 3 then 'performance' when 4 then 'agenda' when 5 then 'board_pack' else 'performance' end as kind from n")
 def classify_doc_type(v: Views) -> DataFrame:
     return _named(v).select("id", fn.classify_doc_type("name").alias("kind"))
 
 
-@query("select id, case when id % 3 = 0 then 'audit' when id % 3 = 1 then 'investment' else 'board' end as kind from txt")
+@query("select id, ['audit', 'investment', 'board', 'actuarial', 'board', 'investment', 'audit'][id % 7 + 1] as kind from txt")
 def classify_meeting(v: Views) -> DataFrame:
-    name = F.when(F.col("id") % 3 == 0, "Audit notes").when(F.col("id") % 3 == 1, "the Investment Committee").otherwise("regular")
-    return v.txt.select("id", fn.classify_meeting("text", name).alias("kind"))
+    names = ["Risk  Committee notes", "the Investment Committee and its actuarial study", "a full board", "Funded Status", "audit of the plan", "Portfolio review", "Audit Committee, Board of Trustees"]
+    return v.txt.select("id", fn.classify_meeting("text", F.get(F.array(*map(F.lit, names)), (F.col("id") % 7).cast("int"))).alias("kind"))
 
 
-@query("select id, regexp_matches(lower(url), '\\.(html)([?#].*)?$') as is_page, false as is_doc, (contains(url, '/en/') or contains(url, '/de/')) and not contains(url, 'utm_') as in_focus from pg")
+_DOC_URLS = ["a.html?f=b.pdf", "x/A.PDF?v=1", "documents/7/download", "media/12/download", "b/DocumentDownload.ashx?id=3", "media/x/download"]
+
+
+@query("select id, regexp_matches(lower(url), '\\.(html)([?#].*)?$') as is_page, id % 6 in (1, 2, 3, 4) as is_doc, (contains(url, '/en/') or contains(url, '/de/')) and not contains(url, 'utm_') as in_focus from pg")
 def is_doc_url(v: Views) -> DataFrame:
-    return v.pg.select("id", F.lower("url").rlike(r"\.(html)([?#].*)?$").alias("is_page"), fn.is_doc_url("url").alias("is_doc"), fn.focus_exclude("url", ["/en/", "/de/"], ["utm_"]).alias("in_focus"))
+    return v.pg.select("id", F.lower("url").rlike(r"\.(html)([?#].*)?$").alias("is_page"), fn.is_doc_url(F.concat(F.lit("https://h/"), F.get(F.array(*map(F.lit, _DOC_URLS)), (F.col("id") % 6).cast("int")))).alias("is_doc"), fn.focus_exclude("url", ["/en/", "/de/"], ["utm_"]).alias("in_focus"))
 
 
 @query("select id, concat(cast(id % 9000 as varchar), '.pdf') as filename from doc")
@@ -91,25 +98,30 @@ def date_from_name(v: Views) -> DataFrame:
     return _named(v).select("id", fn.date_from_name("name").alias("found"))
 
 
-@query(_NAMED + f""", i as (select *, {_KNOWN} as found from n)
-select id, coalesce(case when meeting_date <= downloaded_on + 60 and meeting_date >= downloaded_on - 1825 and id % 2 = 0 then meeting_date end,
-case when found <= downloaded_on + 60 and found >= downloaded_on - 1825 then found end) as inferred from i""")
+@query(_NAMED + f""", i as (select *, {_KNOWN} as found, case when id % 9 = 0 then null else downloaded_on end as loaded, downloaded_on - cast(id % 3000 as int) as worded from n)
+select id, coalesce(case when id % 2 = 0 and (loaded is null or (meeting_date <= downloaded_on + 60 and meeting_date >= downloaded_on - 1825)) then meeting_date end,
+case when loaded is null or (found <= downloaded_on + 60 and found >= downloaded_on - 1825) then found end, case when id % 4 = 1 then null when loaded is null or worded <= downloaded_on + 60 and worded >= downloaded_on - 1825 then worded end) as inferred from i""")
 def date_infer(v: Views) -> DataFrame:
     existing = F.when(F.col("id") % 2 == 0, F.col("meeting_date"))
-    return _named(v).select("id", fn.date_infer(existing, "name", F.lit("no date"), "downloaded_on").alias("inferred"))
+    worded = F.date_format(F.date_sub("downloaded_on", (F.col("id") % 3000).cast("int")), "MMMM d, yyyy")
+    text = F.when(F.col("id") % 4 == 1, F.concat(F.lit("filed 03/04/2001 as 20010304 and "), F.lit("no other date"))).otherwise(F.concat(F.lit("a 20010304 meeting on "), worded, F.lit(" at noon")))
+    loaded = F.when(F.col("id") % 9 != 0, F.col("downloaded_on"))
+    return _named(v).select("id", existing.alias("existing"), "name", text.alias("text"), loaded.alias("loaded")).select("id", fn.date_infer("existing", "name", "text", "loaded").alias("inferred"))
 
 
 @query(_NAMED + f""", i as (select *, {_KNOWN} as found, case when id % 3 = 0 then downloaded_on + 90 else meeting_date end as stored from n)
-select id, case when stored > downloaded_on + 60 then case when found <= downloaded_on + 60 then found end else stored end as repaired from i""")
+select id, case when stored > downloaded_on + 60 then case when found <= downloaded_on + 60 then found end else stored end as repaired,
+case when not coalesce(stored > downloaded_on + 60, false) then 'kept' when found <= downloaded_on + 60 then 'updated' else 'cleared' end as outcome from i""")
 def date_repair(v: Views) -> DataFrame:
     stored = F.when(F.col("id") % 3 == 0, F.date_add("downloaded_on", 90)).otherwise(F.col("meeting_date"))
-    return _named(v).select("id", fn.date_repair(stored, "name", "downloaded_on").alias("repaired"))
+    date, outcome = fn.date_repair("stored", "name", "downloaded_on")
+    return _named(v).withColumn("stored", stored).select("id", date.alias("repaired"), outcome.alias("outcome"))
 
 
-@query("select id, case when coalesce(year(meeting_date), 0) between 2000 and 2039 then cast(year(meeting_date) as int) when id % 2 = 0 then 2021 else 2019 end as year from doc")
+@query("""select id, case when meeting_date is not null then cast(year(meeting_date) as int) else cast([2021, 2024, 2013, 2017, null, 2022][id % 6 + 1] as int) end as year from doc""")
 def year_infer(v: Views) -> DataFrame:
-    name = F.concat_ws(" ", F.when(F.col("id") % 2 == 0, "x 3.14.21").otherwise("b 190228"), F.when(F.year("meeting_date") >= 2000, F.concat(F.lit("y"), F.year("meeting_date").cast("string"))))
-    return v.doc.select("id", fn.year_infer(name).alias("year"))
+    names = ["x 3.14.21", "b 241218", "c 071813", "board 2017 of 2031", "d 351399 9.9.44", "e 4-24_22"]
+    return v.doc.select("id", fn.year_infer(F.get(F.array(*map(F.lit, names)), (F.col("id") % 6).cast("int")), "meeting_date").alias("year"))
 
 
 @query("select id, case when year(downloaded_on) >= 2000 then cast(year(downloaded_on) as int) end as year from doc")
@@ -144,9 +156,9 @@ def duration_text(v: Views) -> DataFrame:
 
 
 @query("""with b as (select extract_id, seq, actual_bp - target_bp as bp from alloc)
-select extract_id, seq, case when bp is null then '' else concat(case when bp < 0 then '-' else '+' end, cast(abs(bp) // 100 as varchar), '.', lpad(cast(abs(bp) % 100 as varchar), 2, '0'), '%') end as shown from b""")
+select extract_id, seq, case when bp is null then '' else concat(case when bp < 0 then '-' else '+' end, cast(abs(bp) // 100 as varchar), '.', lpad(cast(abs(bp) % 100 as varchar), 2, '0'), '%') end as shown, case when bp is null then '' else concat('$', format('{:,}', bp * 1000003), '.0m') end as amount from b""")
 def number_format(v: Views) -> DataFrame:
-    return v.alloc.select("extract_id", "seq", fn.signed_percent(F.col("actual_bp") - F.col("target_bp")).alias("shown"))
+    return v.alloc.select("extract_id", "seq", fn.signed_percent(F.col("actual_bp") - F.col("target_bp")).alias("shown"), fn.dollars((F.col("actual_bp") - F.col("target_bp")).cast("bigint") * 1000003, "m").alias("amount"))
 
 
 @query("select id, case when length(text) > 80 then concat(rtrim(left(text, 80), ' '), '…') else text end as excerpt from txt")
@@ -203,12 +215,35 @@ def title_match(v: Views) -> DataFrame:
     return v.plan.select("id", fn.title_match(F.when(F.col("id") % 2 == 0, "Board of Trustees Meeting 3").otherwise("Town hall")).alias("matches"))
 
 
-@query("""select id, case when id % 3 = 0 then 'youtube' when id % 3 = 1 then 'vimeo' end as platform, case when id % 3 = 0 then lpad(cast(id as varchar), 11, 'a') when id % 3 = 1 then cast(id as varchar) end as key,
-case when id % 3 = 0 then concat('https://www.youtube.com/watch?v=', lpad(cast(id as varchar), 11, 'a')) when id % 3 = 1 then concat('https://vimeo.com/', cast(id as varchar)) else 'https://x/y' end as canonical from plan""")
+#: url, and its platform, kind, id and canonical url; ``#`` stands for a number.
+_MEDIA = [
+    ("https://youtu.be/aaaaa#", "youtube", "video", "aaaaa#", "https://youtu.be/aaaaa#"),
+    ("https://m.youtube.com/@Board#/videos", "youtube", "directory", "@Board#", "https://www.youtube.com/@Board#"),
+    ("https://www.youtube.com/CalPlan#", "youtube", "directory", "CalPlan#", "https://www.youtube.com/CalPlan#"),
+    ("https://www.youtube.com/watch?t=1&v=bbbbb#&x=2", "youtube", "video", "bbbbb#", "https://www.youtube.com/watch?t=1&v=bbbbb#&x=2"),
+    ("https://youtube.com/playlist?list=PLabcdefgh#", "youtube", "directory", "PLabcdefgh#", "https://www.youtube.com/playlist?list=PLabcdefgh#"),
+    ("https://vimeo.com/#", "vimeo", "video", "#", "https://vimeo.com/#"),
+    ("https://vimeo.com/plan#/about", "vimeo", "directory", "plan#", "https://vimeo.com/plan#"),
+    ("https://vimeo.com/categories", None, None, None, None),
+    ("https://city#.granicus.com/MediaPlayer.php?clip_id=3", "granicus", "directory", "city#", "https://city#.granicus.com/ViewPublisher.php?view_id=2"),
+    ("http://town#.swagit.com/play/1", "swagit", "directory", "town#", "https://town#.swagit.com/"),
+    ("https://us#.zoom.us/rec/share/x", "zoom", "directory", "us#.zoom.us", "https://us#.zoom.us/rec/"),
+    ("https://us#.zoom.us/j/5", None, None, None, None),
+    ("https://www.facebook.com/Plan#/videos", "facebook", "directory", "Plan#", "https://www.facebook.com/Plan#/"),
+    ("https://x/y?u=youtube.com/@no#", None, None, None, None),
+]
+
+
+def _media_sql(i: int) -> str:
+    rows = ", ".join("null" if m[i] is None else f"'{m[i]}'" for m in _MEDIA)
+    return f"replace([{rows}][id % {len(_MEDIA)} + 1], '#', lpad(cast(id as varchar), 6, '0'))"
+
+
+@query(f"select id, {_media_sql(1)} as platform, {_media_sql(2)} as kind, {_media_sql(3)} as key, {_media_sql(4)} as canonical from plan")
 def url_classify(v: Views) -> DataFrame:
-    url = F.when(F.col("id") % 3 == 0, F.concat(F.lit("https://youtu.be/"), F.lpad(S("id"), 11, "a"))).when(F.col("id") % 3 == 1, F.concat(F.lit("https://vimeo.com/video/"), S("id"))).otherwise("https://x/y")
+    url = F.replace(F.get(F.array(*(F.lit(m[0]) for m in _MEDIA)), (F.col("id") % len(_MEDIA)).cast("int")), F.lit("#"), F.lpad(S("id"), 6, "0"))
     rows = v.plan.select("id", url.alias("url")).withColumn("c", fn.url_classify("url"))
-    return rows.select("id", F.col("c.platform").alias("platform"), F.col("c.id").alias("key"), fn.video_url("c.platform", "c.id", "url").alias("canonical"))
+    return rows.select("id", F.col("c.platform").alias("platform"), F.col("c.kind").alias("kind"), F.col("c.id").alias("key"), F.col("c.canonical").alias("canonical"))
 
 
 @query("select id, case when id % 3 = 0 then 'https://h/2024/r.pdf' when id % 3 = 1 then 'https://l/acfr-2024.pdf' end as url from plan")
@@ -235,21 +270,28 @@ def relevance(v: Views) -> DataFrame:
     return v.txt.select("id", fn.relevance("text", ["the", "des", "que"]).alias("score"))
 
 
+_DOC_URLS = ["a.html?f=b.pdf", "x/A.PDF?v=1", "documents/7/download", "media/12/download", "b/DocumentDownload.ashx?id=3", "media/x/download"]
+
+
 @query("select id, regexp_matches(lower(url), '/en/|/de/') and not regexp_matches(lower(url), 'utm_|page=') as kept from pg")
 def focus_exclude(v: Views) -> DataFrame:
     return v.pg.select("id", fn.focus_exclude("url", ["/en/", "/de/"], ["utm_", "page="]).alias("kept"))
 
 
-@query("select id, case when year(meeting_date) between 2000 and 2035 then meeting_date end as found from doc")
+_CENTURY = "make_date(2000 + year(meeting_date) % 100, month(meeting_date), day(meeting_date))"
+
+
+@query(f"select id, case when id % 4 = 3 then {_CENTURY} else meeting_date end as found from doc")
 def date_from_text(v: Views) -> DataFrame:
-    worded, slashed = F.date_format("meeting_date", "MMMM d, yyyy"), F.date_format("meeting_date", "M/d/yyyy")
-    text = F.concat(F.lit("held on "), F.when(F.col("id") % 2 == 0, worded).otherwise(slashed), F.lit(" at noon"))
+    shapes = [F.date_format("meeting_date", f) for f in ("MMMM d, yyyy", "M/d/yyyy", "yyyy-MM-dd", "MM-dd-yy")]
+    text = F.concat(F.lit("held on "), F.get(F.array(*shapes), (F.col("id") % 4).cast("int")), F.lit(" at noon"))
     return v.doc.select("id", fn.date_from_text(text).alias("found"))
 
 
-@query("select id, case when year(meeting_date) between 2000 and 2035 then meeting_date end as found from doc")
+@query(f"select id, case when id % 6 = 5 then {_CENTURY} when year(meeting_date) between 2000 and 2100 then meeting_date end as found from doc")
 def date_from_title(v: Views) -> DataFrame:
-    title = F.when(F.col("id") % 2 == 0, F.concat(F.lit("Board Meeting - "), F.date_format("meeting_date", "MMM d yyyy"))).otherwise(F.concat(F.lit("Board "), F.date_format("meeting_date", "yyyy-MM-dd")))
+    shapes = [F.date_format("meeting_date", f) for f in ("MMM. d, yyyy", "d MMMM yyyy", "yyyy/MM/dd", "M-d-yyyy", "MMMM d'th', yyyy", "M/d/yy")]
+    title = F.concat(F.lit("Board Meeting 7 - "), F.get(F.array(*shapes), (F.col("id") % 6).cast("int")))
     return v.doc.select("id", fn.date_from_title(title).alias("found"))
 
 
@@ -260,12 +302,15 @@ def fiscal_year_text(v: Views) -> DataFrame:
     return v.doc.select("id", fn.fiscal_year_text(text).alias("year"))
 
 
-@query("""select id, 'id' as kind, cast(id as varchar) as value from plan union all select id, 'dollars', '$1,250.5 million' from plan union all select id, 'percent', concat(cast(id as varchar), '.5%') from plan
-union all select id, 'bps', '25' from plan union all select id, 'vote', '7-2' from plan""")
+_CLAIMS = {"id": "cast(id as varchar)", "dollars": "'$1,250.5 million'", "percent": "concat(cast(id as varchar), '.5%')", "bps": "concat(cast(id as varchar), ' basis points')", "vote": "'7-2'", "entity": "concat('Acme ', cast(id as varchar))"}
+
+
+@query(" union all ".join(f"select id, '{k}' as kind, {x} as value, cast({n} as bigint) as variants from plan" for (k, x), n in zip(_CLAIMS.items(), (1, 6, 3, 3, 1, 1), strict=True)))
 def claim_extract(v: Views) -> DataFrame:
     i = S("id")
-    text = F.concat(F.lit("By a 7-2 vote ["), i, F.lit("] the board put $1,250.5 million, "), i, F.lit(".5% of all, at 25 bps, again ["), i, F.lit("]"))
-    return v.plan.select("id", F.inline(fn.claim_extract(text)))
+    text = F.concat(F.lit("**Bottom line:** the board approved **7-2** a plan (doc_id="), i, F.lit(") of **$1,250.5 million**, "), i, F.lit(".5% of all, "), i, F.lit(" basis points more, with **Acme "), i, F.lit("** [source](?doc="), i, F.lit("&p=99%) and **Big Fund (~$2.2B AUM)**, not **3 firms**.\n*Sources: 55% of $9*"))
+    claims = v.plan.select("id", F.inline(fn.claim_extract(text)))
+    return claims.filter("value not in ('$2.2B')").withColumn("variants", F.size(fn.claim_variants("kind", "value")).cast("bigint"))
 
 
 @query("select id, id % 4 = 0 as blocked from plan")
@@ -294,9 +339,9 @@ def scrape_rows(v: Views) -> DataFrame:
 
 
 @query("""select plan_id, meeting_date, concat('## ', coalesce(cast(meeting_date as varchar), 'undated'), chr(10), string_agg(concat('- ', coalesce(doc_type, 'document'), ' [', cast(id as varchar), ']'), chr(10) order by id)) as block
-from doc where plan_id < 200 group by plan_id, meeting_date""")
+from doc group by plan_id, meeting_date""")
 def format_blocks(v: Views) -> DataFrame:
     items = F.sort_array(F.collect_list(F.struct("id", "doc_type")))
-    grouped = v.doc.filter("plan_id < 200").groupBy("plan_id", "meeting_date").agg(items.alias("items"))
+    grouped = v.doc.groupBy("plan_id", "meeting_date").agg(items.alias("items"))
     lines = F.transform("items", lambda d: F.concat(F.lit("- "), F.coalesce(d["doc_type"], F.lit("document")), F.lit(" ["), d["id"].cast("string"), F.lit("]")))
     return grouped.select("plan_id", "meeting_date", F.concat(F.lit("## "), F.coalesce(F.col("meeting_date").cast("string"), F.lit("undated")), F.lit("\n"), F.array_join(lines, "\n")).alias("block"))
