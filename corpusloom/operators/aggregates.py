@@ -37,18 +37,24 @@ def pipeline_status(coverage: DataFrame) -> DataFrame:
     return coverage.filter("n_docs > 0").select("plan_id", "name", "n_docs", "n_done", "n_summaries")
 
 
-def coverage_status(entities: DataFrame, reports: DataFrame, extracts: DataFrame, aggregators: Sequence[str]) -> DataFrame:
-    """Per entity the newest report, its extract, and one of Missing, Aggregator, Pending, Extracted.
+def coverage_status(entities: DataFrame, reports: DataFrame, extracts: DataFrame, aggregators: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """Per entity the newest report, one of Missing, Aggregator, Pending, Extracted, the extract's year, and how many
+    rows each table of ``parts`` (name -> extract_id) has for it. What an aggregator reports is never extracted.
 
-    reports (plan_id, id, fiscal_year, downloaded_on, host), extracts (document_id).
+    reports (plan_id, id, fiscal_year, downloaded_on), extracts (extract_id, document_id, extract_year), aggregators (plan_id).
     """
     order = [F.coalesce("fiscal_year", F.lit(0)).desc(), F.coalesce("downloaded_on", F.lit("1900-01-01").cast("date")).desc(), F.col("id").asc()]
     newest = latest_per_group(reports, ["plan_id"], order)
-    had = extracts.select(F.col("document_id").alias("id")).distinct().withColumn("_x", F.lit(True))
+    had = latest_per_group(extracts, ["document_id"], [F.col("extract_id").desc()]).withColumnRenamed("document_id", "id")
     n = reports.groupBy("plan_id").agg(F.count("*").alias("n_reports"))
-    joined = entities.select(F.col("id").alias("plan_id")).join(newest.join(had, "id", "left"), "plan_id", "left").join(n, "plan_id", "left")
-    status = F.when(F.col("id").isNull(), "Missing").when(F.col("_x"), "Extracted").when(F.col("host").isin(*aggregators), "Aggregator").otherwise("Pending")
-    return joined.select("plan_id", F.col("id").alias("report_id"), "fiscal_year", F.coalesce("n_reports", F.lit(0)).alias("n_reports"), status.alias("status"))
+    flagged = aggregators.select("plan_id").distinct().withColumn("_aggregator", F.lit(True))
+    joined = entities.select(F.col("id").alias("plan_id")).join(newest.join(had, "id", "left"), "plan_id", "left").join(n, "plan_id", "left").join(flagged, "plan_id", "left")
+    status = F.when(F.col("id").isNull(), "Missing").when(F.col("_aggregator"), "Aggregator").when(F.col("extract_id").isNull(), "Pending").otherwise("Extracted")
+    joined = joined.withColumn("status", status).withColumn("extract_id", F.when(F.col("status") == "Extracted", F.col("extract_id")))
+    for name, rows in parts.items():
+        joined = joined.join(rows.groupBy("extract_id").agg(F.count("*").alias(name)), "extract_id", "left")
+    year = F.when(F.col("status") == "Extracted", F.col("extract_year")).alias("extract_year")
+    return joined.select("plan_id", F.col("id").alias("report_id"), "fiscal_year", F.coalesce("n_reports", F.lit(0)).alias("n_reports"), "status", year, *(F.coalesce(c, F.lit(0)).alias(c) for c in parts))
 
 
 def counts_by(rows: DataFrame, *keys: str, name: str = "n") -> DataFrame:

@@ -16,16 +16,30 @@ def new_since(rows: DataFrame, at: str, mark: Column | None, now: Column, fallba
     return rows.filter((F.col(at) > start) & (F.col(at) < now))
 
 
-def batch_triggers(batch: DataFrame, title: str, keywords: Sequence[str], volume: int) -> DataFrame:
-    """One row: size, whether it is over the volume, and the first row that names a keyword."""
-    hit = F.lower(title).rlike("|".join(keywords))
-    return batch.agg(F.count("*").alias("n"), (F.count("*") > volume).alias("high_volume"), F.min(F.when(hit, F.col("id"))).alias("first_hit"))
-
-
-def digest_rows(batch: DataFrame, key: str, line: Column, order: Sequence[str]) -> DataFrame:
-    """One text per entity with a line for each document; one row that says so for an empty batch."""
+def batch_triggers(batch: DataFrame, title: str, keywords: Sequence[str], volume: int, history: DataFrame | None = None, entity: str = "entity_id", at: str = "ts", now: Column | None = None, days: int = 30) -> DataFrame:
+    """One row: size, whether it is over the volume, the first row that names a keyword (literally, whatever the case), and
+    how many entities reappear: whose newest row of ``history`` before the whole batch is over so many days before
+    ``now``. Entities without such a row are new and do not count."""
+    low, hit = F.lower(title), F.lit(False)
+    for k in keywords:
+        hit = hit | F.coalesce(low.contains(k.lower()), F.lit(False))
+    facts = batch.agg(F.count("*").alias("n"), (F.count("*") > volume).alias("high_volume"), F.min(F.when(hit, F.col("id"))).alias("first_hit"))
+    if history is None:
+        return facts.withColumn("n_reappear", F.lit(0).cast("bigint"))
+    began = batch.agg(F.min(at).alias("_began"))  # one row
+    prior = history.select(entity, at).join(batch.select(entity).distinct(), entity, "left_semi").crossJoin(F.broadcast(began)).filter(F.col(at) < F.col("_began"))
+    last = prior.groupBy(entity).agg(F.max(at).alias("_last"))
+    late = last.filter(F.col("_last") < (now if now is not None else F.current_timestamp()) - F.expr(f"interval {days} days"))
+    return facts.crossJoin(late.agg(F.count("*").alias("n_reappear")))
+
+
+def digest_rows(batch: DataFrame, key: str, line: Column, order: Sequence[str], quiet: str = "No new documents.") -> DataFrame:
+    """One text per entity with a line for each document; one row with a null key that says so for an empty batch."""
     lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, line.alias("_line")))), lambda x: x["_line"]), "\n")
-    return batch.groupBy(key).agg(F.count("*").alias("n"), lines.alias("body"))
+    rows = batch.groupBy(key).agg(F.count("*").alias("n"), lines.alias("body"))
+    kind = dict(batch.dtypes)[key]
+    none = batch.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit(None).cast(kind).alias(key), "n", F.lit(quiet).alias("body"))
+    return rows.unionByName(none)
 
 
 def ingest_dedupe(candidates: DataFrame, key: str, url: str, order: str, existing: DataFrame, tombstones: DataFrame, most: int) -> DataFrame:
@@ -60,9 +74,13 @@ def snapshot_on_change(history: DataFrame, incoming: DataFrame, key: str, facets
     return incoming.join(last, key, "left").withColumn("changed", changed).filter(F.col("_had").isNull() | (F.size("changed") > 0)).select(*incoming.columns, "changed")
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, key: str, columns: Sequence[str], stamp: Column | None = None, fill_only: bool = False, protected: Column | None = None) -> DataFrame:
+def upsert(stored: DataFrame, incoming: DataFrame, key: str, columns: Sequence[str], stamp: Column | None = None, fill_only: bool = False, protected: Column | None = None, ranked: tuple[str, Sequence[str]] | None = None) -> DataFrame:
     """Rows of both by key: incoming values win, or with ``fill_only`` only fill nulls. Rows that
-    ``protected`` (on the stored columns) holds for stay as they are. ``op``: I, U or =."""
+    ``protected`` (on the stored columns) holds for stay as they are. ``op``: I, U or =.
+
+    ``ranked`` names one of the columns and its values, best first: an incoming value that ranks higher than the
+    stored one replaces it under ``fill_only`` too. Values that are not named rank last.
+    """
     guard = protected if protected is not None else F.lit(False)
     a = stored.select(key, *(F.col(c).alias(f"_old_{c}") for c in columns), F.lit(True).alias("_s"), guard.alias("_guard"))
     b = incoming.select(key, *(F.col(c).alias(f"_new_{c}") for c in columns), F.lit(True).alias("_i"))
@@ -71,6 +89,9 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str, columns: Sequence[s
     def merged(c: str) -> Column:
         old, new = F.col(f"_old_{c}"), F.col(f"_new_{c}")
         value = F.coalesce(old, new) if fill_only else F.coalesce(new, old)
+        if ranked and c == ranked[0]:
+            place = lambda x: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ranked[1])), x), F.lit(0)), F.lit(len(ranked[1]) + 1))
+            value = F.when(place(new) < place(old), new).otherwise(F.coalesce(old, new))
         return F.when(F.coalesce("_guard", F.lit(False)), old).otherwise(value)
 
     same = F.lit(True)
@@ -125,21 +146,52 @@ def status_transition(rows: DataFrame, requests: DataFrame, key: str, allowed: d
     return joined.select(key, F.when(ok, F.col("wanted")).otherwise(F.col("status")).alias("status"), ok.alias("accepted"))
 
 
+def find_or_create(stored: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The stored rows, and one row for each wanted key that has none, with nulls in all other columns. ``created`` tells them apart."""
+    new = wanted.select(*keys).distinct().join(stored.select(*keys), list(keys), "left_anti")
+    return stored.withColumn("created", F.lit(False)).unionByName(new.withColumn("created", F.lit(True)), allowMissingColumns=True)
+
+
 def run_ledger(runs: DataFrame, entities: DataFrame, ledger: DataFrame, run: str, entity: str) -> DataFrame:
-    """The ledger with a pending row for every missing (run, entity). The runs are few."""
-    wanted = entities.select(entity).crossJoin(F.broadcast(runs.select(run)))
+    """The ledger with a pending row for every missing (run, entity), and whether a resumed run has to take it up: all but
+    succeeded and failed rows are. Every run has a row of every entity, as many as the result."""
+    wanted = runs.select(run).crossJoin(entities.select(entity))
     missing = wanted.join(ledger.select(run, entity), [run, entity], "left_anti").withColumn("status", F.lit("pending"))
-    return ledger.select(run, entity, "status").unionByName(missing.select(run, entity, "status"))
+    rows = ledger.select(run, entity, "status").unionByName(missing.select(run, entity, "status"))
+    return rows.withColumn("resume", ~F.col("status").isin("succeeded", "failed"))
+
 
+def run_progress(ledger: DataFrame, run: str) -> DataFrame:
+    """(run, total, completed, open): rows of each run, those that succeeded, and those a resumed run takes up."""
+    return ledger.groupBy(run).agg(F.count("*").alias("total"), F.count_if(F.col("status") == "succeeded").alias("completed"), F.count_if("resume").alias("open"))
 
-def pending_alerts(rows: DataFrame, sent: str, measure: str, least: int, order: Sequence[Column], cap: int) -> DataFrame:
-    """The first unsent rows of at least the measure."""
-    return rows.filter(~F.col(sent) & (F.col(measure) >= least)).orderBy(*order).limit(cap)
 
+def pending_alerts(rows: DataFrame, sent: str, order: Sequence[Column], cap: int, min_count: int = 1) -> DataFrame:
+    """The first unsent rows; none where fewer than ``min_count`` are unsent."""
+    waiting = rows.filter(~F.col(sent))
+    enough = waiting.agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_count).select(F.lit(1).alias("_one"))  # one row or none
+    return waiting.orderBy(*order).limit(cap).join(F.broadcast(enough), F.lit(True), "left_semi")
 
-def outcome_ladder(attempts: DataFrame, key: str, order: str, terminal: Column) -> DataFrame:
-    """Each entity's first terminal attempt, else its last one."""
-    return latest_per_group(attempts.withColumn("_t", F.coalesce(terminal, F.lit(False))), [key], [F.col("_t").desc(), F.when(F.col("_t"), F.col(order)).otherwise(-F.col(order)).asc()]).drop("_t")
+
+def mark_sent(rows: DataFrame, sent: str, key: str, alerts: DataFrame | None, stamp: Column) -> DataFrame:
+    """The rows with those of ``alerts`` marked as sent at the stamp; with None, the baseline, all that are unsent."""
+    if alerts is None:
+        return rows.withColumn("sent_at", F.when(~F.col(sent), stamp)).withColumn(sent, F.lit(True))
+    hit = alerts.select(key).distinct().withColumn("_hit", F.lit(True))
+    return rows.join(hit, key, "left").withColumn("sent_at", F.when(F.col("_hit"), stamp)).withColumn(sent, F.col(sent) | F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+def outcome_log(attempts: DataFrame, key: str, order: str, stops: Column) -> DataFrame:
+    """The attempts that were made, numbered: of each entity those up to the first whose outcome ends its ladder."""
+    w = Window.partitionBy(key).orderBy(order)
+    ended = F.sum(F.coalesce(stops, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    made = attempts.withColumn("attempt", F.row_number().over(w)).withColumn("_ended", F.coalesce(ended, F.lit(0)))
+    return made.filter("_ended = 0").drop("_ended")
+
+
+def outcome_ladder(attempts: DataFrame, key: str, order: str, stops: Column) -> DataFrame:
+    """Each entity's outcome: the attempt that ended its ladder, else its last one."""
+    return latest_per_group(outcome_log(attempts, key, order, stops), [key], [F.col("attempt").desc()])
 
 
 def deactivate(rows: DataFrame, noisy: Column, note: str) -> DataFrame:
@@ -148,6 +200,16 @@ def deactivate(rows: DataFrame, noisy: Column, note: str) -> DataFrame:
     return rows.withColumn("notes", F.when(hit, F.concat_ws("; ", F.lit(note), "notes")).otherwise(F.col("notes"))).withColumn("active", F.col("active") & ~hit)
 
 
-def cascade_rollup(rows: DataFrame, period: Column, key: str, wanted: Column) -> DataFrame:
-    """Periods with the sorted keys of their approved parts."""
-    return rows.filter(wanted).groupBy(period.alias("period")).agg(F.sort_array(F.collect_list(key)).alias("sources"))
+def cascade_rollup(parts: DataFrame, period: Column, wanted: Column, most: int | None = None) -> DataFrame:
+    """One level of a chain of periods: parts (key, start, end, status, text) to (start, sources, n, block).
+
+    A part counts in the period that holds its start and its end, if ``wanted`` holds for it; of over ``most`` parts the
+    newest count. The block has the parts' texts oldest first, each under its own start's label, so gaps keep
+    their names. The result's parts feed the next level once they have a key, an end and a status.
+    """
+    inside = parts.filter(wanted).withColumn("period", period)
+    if most:
+        inside = inside.withColumn("_n", F.row_number().over(Window.partitionBy("period").orderBy(F.col("start").desc(), F.col("key").desc()))).filter(F.col("_n") <= most)
+    grouped = inside.groupBy("period").agg(F.sort_array(F.collect_list(F.struct("start", "key", "text"))).alias("p"))
+    block = F.array_join(F.transform("p", lambda x: F.concat(F.lit("=== "), F.date_format(x["start"], "MMMM d, yyyy"), F.lit(" ===\n"), F.trim(x["text"]))), "\n\n")
+    return grouped.select("period", F.transform("p", lambda x: x["key"]).alias("sources"), F.size("p").cast("bigint").alias("n"), block.alias("block"))

@@ -34,14 +34,18 @@ def pipeline_status(v: Views) -> DataFrame:
 
 _STATUS = """with r as (select plan_id, id, fiscal_year, count(*) over (partition by plan_id) as n_reports,
 row_number() over (partition by plan_id order by coalesce(fiscal_year, 0) desc, coalesce(downloaded_on, date '1900-01-01') desc, id) as n from doc where doc_type = 'cafr'),
-c as (select p.id as plan_id, r.id as report_id, r.fiscal_year, coalesce(r.n_reports, 0) as n_reports,
-case when r.id is null then 'Missing' when exists (select 1 from summ s where s.document_id = r.id) then 'Extracted' when r.id % 4 = 0 then 'Aggregator' else 'Pending' end as status
-from plan p left join r on r.plan_id = p.id and r.n = 1) """
+g as (select p.id as plan_id, r.id as report_id, r.fiscal_year, coalesce(r.n_reports, 0) as n_reports, s.id as summary_id,
+case when r.id is null then 'Missing' when p.id % 6 = 0 then 'Aggregator' when s.id is null then 'Pending' else 'Extracted' end as status
+from plan p left join r on r.plan_id = p.id and r.n = 1 left join summ s on s.document_id = r.id),
+c as (select plan_id, report_id, fiscal_year, n_reports, status, case when status = 'Extracted' then cast(2000 + summary_id % 25 as int) end as extract_year,
+case when status = 'Extracted' then (select count(*) from alloc where extract_id = report_id) else 0 end as n_allocations,
+case when status = 'Extracted' then (select count(*) from act where doc_id = report_id and action = 'hire') else 0 end as n_performance from g) """
 
 
 def _status(v: Views) -> DataFrame:
-    reports = v.doc.filter("doc_type = 'cafr'").withColumn("host", (F.col("id") % 4).cast("string"))
-    return op.coverage_status(v.plan, reports, v.summ, ["0"])
+    extracts = v.summ.select(F.col("document_id").alias("extract_id"), "document_id", (2000 + F.col("id") % 25).cast("int").alias("extract_year"))
+    parts = {"n_allocations": v.alloc, "n_performance": v.act.filter("action = 'hire'").select(F.col("doc_id").alias("extract_id"))}
+    return op.coverage_status(v.plan, v.doc.filter("doc_type = 'cafr'"), extracts, v.plan.filter("id % 6 = 0").select(F.col("id").alias("plan_id")), parts)
 
 
 @query(_STATUS + "select * from c")
@@ -87,12 +91,12 @@ def _dated_actions(v: Views) -> DataFrame:
 
 
 @query("""with a as (select trim(manager) as name, coalesce(lower(nullif(trim(action), '')), 'other') as action, doc_id, plan_id, meeting_date from act join doc on doc.id = act.doc_id where trim(manager) <> '')
-select name, count(*) as mentions, count(distinct plan_id) as n_entities, count(distinct doc_id) as n_docs, min(meeting_date) as first_date, max(meeting_date) as last_date,
+select name, count(*) as mentions, count(distinct plan_id) as n_entities, array_to_string(list_sort(list_distinct(list(doc_id))), ' ') as docs, min(meeting_date) as first_date, max(meeting_date) as last_date,
 count(*) filter (where action = 'hire') as n_hire, count(*) filter (where action = 'other') as n_other from a group by 1""")
 def mention_rollup(v: Views) -> DataFrame:
     rolled = op.mention_rollup(_dated_actions(v), "manager", "action", "plan_id", "doc_id", "meeting_date")
     of = lambda a: F.coalesce(F.col("actions")[a], F.lit(0)).alias(f"n_{a}")
-    return rolled.select("name", "mentions", "n_entities", F.size("doc_ids").cast("bigint").alias("n_docs"), "first_date", "last_date", of("hire"), of("other"))
+    return rolled.select("name", "mentions", "n_entities", F.array_join(F.col("doc_ids").cast("array<string>"), " ").alias("docs"), "first_date", "last_date", of("hire"), of("other"))
 
 
 @query("""with a as (select trim(manager) as raw, plan_id from act join doc on doc.id = act.doc_id where trim(manager) <> ''),
@@ -110,13 +114,13 @@ def action_mode(v: Views) -> DataFrame:
     return op.action_mode(_dated_actions(v), ["plan_id"], "manager", "doc_id")
 
 
-@query("""with b as (select plan_id, doc_id, cast(ord as int) as ord, meeting_date, 'action' as kind from act join doc on doc.id = act.doc_id where action is not null and plan_id < 100
-union all select plan_id, id, 0, meeting_date, 'decision' from doc where doc_type = 'minutes' and plan_id < 100),
+@query("""with b as (select plan_id, doc_id, cast(ord as int) as ord, meeting_date, 'action' as kind from act join doc on doc.id = act.doc_id where action is not null
+union all select plan_id, id, 0, meeting_date, 'decision' from doc where doc_type = 'minutes'),
 d as (select distinct * from b), r as (select *, row_number() over (partition by plan_id order by meeting_date desc nulls last, kind, doc_id, ord) as position, count(*) over (partition by plan_id) as total from d)
 select plan_id, doc_id, ord, meeting_date, kind, cast(position as int) as position, total from r where position <= 15""")
 def activity_timeline(v: Views) -> DataFrame:
-    actions = _dated_actions(v).filter("action is not null and plan_id < 100").select("plan_id", "doc_id", "ord", "meeting_date").distinct()
-    decisions = v.doc.filter("doc_type = 'minutes' and plan_id < 100").select("plan_id", F.col("id").alias("doc_id"), F.lit(0).alias("ord"), "meeting_date")
+    actions = _dated_actions(v).filter("action is not null").select("plan_id", "doc_id", "ord", "meeting_date").distinct()
+    decisions = v.doc.filter("doc_type = 'minutes'").select("plan_id", F.col("id").alias("doc_id"), F.lit(0).alias("ord"), "meeting_date")
     return op.activity_timeline(actions, decisions, "plan_id", "meeting_date", ["doc_id", "ord"], 15)
 
 
@@ -167,9 +171,9 @@ def target_sum_check(v: Views) -> DataFrame:
     return op.target_sum_check(v.alloc, "extract_id", "target_bp", 1000, 100)
 
 
-@query("select extract_id, seq, actual_bp - target_bp as excess from alloc where asset_class like '%A%'")
+@query("select extract_id, seq, actual_bp - target_bp as excess from alloc")
 def excess_return(v: Views) -> DataFrame:
-    return op.excess_return(v.alloc.filter("asset_class like '%A%'"), "actual_bp", "target_bp").select("extract_id", "seq", "excess")
+    return op.excess_return(v.alloc, "actual_bp", "target_bp").select("extract_id", "seq", "excess")
 
 
 @query("""select extract_id, arg_min(actual_bp, seq) filter (where seq = 1) as "1", arg_min(actual_bp, seq) filter (where seq = 2) as "2", arg_min(actual_bp, seq) filter (where seq = 3) as "3"
@@ -185,11 +189,11 @@ def run_outcomes(v: Views) -> DataFrame:
     return op.run_outcomes(v.ev, "entity_id", "status", ["click", "view"], ["purchase", "error"])
 
 
-@query("""select plan_id, count(*) filter (where status = 'failed') as n_failed, count(*) filter (where id % 4 = 0) as n_skipped, min(case when status = 'failed' then id end) as first_failed
+@query("""select plan_id, count(*) filter (where status = 'failed') as n_failed, count(*) filter (where id % 4 = 0) as n_skipped, coalesce(string_agg(case when status = 'failed' then cast(id as varchar) end, ' ' order by id), '') as failed
 from doc group by 1 having count(*) filter (where status = 'failed' or id % 4 = 0) > 0""")
 def failure_rollup(v: Views) -> DataFrame:
     rows = v.doc.select("plan_id", "id", "status")
-    return op.failure_rollup(rows.filter("status = 'failed'"), rows.filter("id % 4 = 0"), "plan_id", "id").select("plan_id", "n_failed", "n_skipped", F.get("failed", F.lit(0)).alias("first_failed"))
+    return op.failure_rollup(rows.filter("status = 'failed'"), rows.filter("id % 4 = 0"), "plan_id", "id").select("plan_id", "n_failed", "n_skipped", F.array_join(F.col("failed").cast("array<string>"), " ").alias("failed"))
 
 
 @query("""select case when doc_type is null then 'untyped' when amount < 50000 then 'too small' when meeting_date is null then 'undated' else 'unknown' end as reason, count(*) as n from doc where status = 'failed' group by 1""")

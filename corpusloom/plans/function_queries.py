@@ -305,12 +305,12 @@ def fiscal_year_text(v: Views) -> DataFrame:
 _CLAIMS = {"id": "cast(id as varchar)", "dollars": "'$1,250.5 million'", "percent": "concat(cast(id as varchar), '.5%')", "bps": "concat(cast(id as varchar), ' basis points')", "vote": "'7-2'", "entity": "concat('Acme ', cast(id as varchar))"}
 
 
-@query(" union all ".join(f"select id, '{k}' as kind, {x} as value, cast({n} as bigint) as variants from plan" for (k, x), n in zip(_CLAIMS.items(), (1, 6, 3, 3, 1, 1), strict=True)))
+@query(" union all ".join(f"select id, '{k}' as kind, {x} as value, cast({n} as bigint) as variants from plan" for (k, x), n in zip(_CLAIMS.items(), (1, 6, 3, 3, 1, 1), strict=True)) + " union all select id, 'dollars', '$2.2B', 4 from plan")
 def claim_extract(v: Views) -> DataFrame:
     i = S("id")
     text = F.concat(F.lit("**Bottom line:** the board approved **7-2** a plan (doc_id="), i, F.lit(") of **$1,250.5 million**, "), i, F.lit(".5% of all, "), i, F.lit(" basis points more, with **Acme "), i, F.lit("** [source](?doc="), i, F.lit("&p=99%) and **Big Fund (~$2.2B AUM)**, not **3 firms**.\n*Sources: 55% of $9*"))
     claims = v.plan.select("id", F.inline(fn.claim_extract(text)))
-    return claims.filter("value not in ('$2.2B')").withColumn("variants", F.size(fn.claim_variants("kind", "value")).cast("bigint"))
+    return claims.withColumn("variants", F.size(fn.claim_variants("kind", "value")).cast("bigint"))
 
 
 @query("select id, id % 4 = 0 as blocked from plan")

@@ -21,15 +21,18 @@ def new_since(v: Views) -> DataFrame:
     return op.new_since(v.ev.select("id", "entity_id", "ts"), "ts", mark(), stamp())
 
 
-@query("select count(*) as n, count(*) > 10 as high_volume, min(case when status in ('purchase', 'error') then id end) as first_hit from ev where ts > timestamp '2024-01-24' and ts < timestamp '2024-01-25'")
+@query("""with b as (select * from ev where ts > timestamp '2024-01-24' and ts < timestamp '2024-01-25'), t as (select min(ts) as t0 from b),
+l as (select entity_id, max(ts) as last from ev, t where ts < t0 and entity_id in (select entity_id from b) group by 1)
+select count(*) as n, count(*) > 10 as high_volume, min(case when status in ('purchase', 'error') then id end) as first_hit, (select count(*) from l where last < timestamp '2024-01-25' - interval 3 day) as n_reappear from b""")
 def batch_triggers(v: Views) -> DataFrame:
-    return op.batch_triggers(op.new_since(v.ev, "ts", None, stamp()), "status", ["purchase", "error"], 10)
+    return op.batch_triggers(op.new_since(v.ev, "ts", None, stamp()), "status", ["Purchase", "error"], 10, v.ev, now=stamp(), days=3)
 
 
-@query("select plan_id, count(*) as n, string_agg(concat(coalesce(doc_type, 'document'), ' ', url), chr(10) order by downloaded_on, id) as body from doc where downloaded_on >= date '2001-06-01' group by 1")
+@query("select plan_id, count(*) as n, string_agg(concat(coalesce(doc_type, 'document'), ' ', url), chr(10) order by downloaded_on, id) as body from doc where downloaded_on >= date '2001-06-01' group by 1 union all select null, 0, 'No new documents.' from (select count(*) as n from doc where downloaded_on >= date '2101-01-01') q where n = 0")
 def digest_rows(v: Views) -> DataFrame:
     line = F.concat_ws(" ", F.coalesce("doc_type", F.lit("document")), "url")
-    return op.digest_rows(v.doc.filter("downloaded_on >= date'2001-06-01'"), "plan_id", line, ["downloaded_on", "id"])
+    made = [op.digest_rows(v.doc.filter(f"downloaded_on >= date'{day}'"), "plan_id", line, ["downloaded_on", "id"]) for day in ("2001-06-01", "2101-01-01")]
+    return made[0].unionByName(made[1])
 
 
 @query("""with c as (select *, row_number() over (partition by plan_id order by id, url) as n from doc)
@@ -95,10 +98,11 @@ def upsert_insert_only(v: Views) -> DataFrame:
     return op.upsert_insert_only(rows.filter("id % 5 <> 0").withColumn("origin", F.lit("old")), rows.withColumn("origin", F.lit("new")), "id")
 
 
-@query(_BOTH + """ m as (select coalesce(s.id, i.id) as id, case when s.id % 11 = 0 then s.status else coalesce(s.status, i.status) end as status, case when s.id % 11 = 0 then s.amount else coalesce(s.amount, i.amount) end as amount, s.id as a, i.id as b, s.status as os, s.amount as oa from s full join i on i.id = s.id)
+@query(_BOTH + """ k as (select i.status in ('done') and s.status in ('pending', 'failed') or i.status = 'pending' and s.status = 'failed' as better, s.id as a, i.id as b, s.status as os, s.amount as oa, i.status as ns, i.amount as na from s full join i on i.id = s.id),
+m as (select coalesce(a, b) as id, case when a % 11 = 0 then os when better then ns else coalesce(os, ns) end as status, case when a % 11 = 0 then oa else coalesce(oa, na) end as amount, a, b, os, oa from k)
 select id, status, amount, case when a is null then 'I' when b is null or (status is not distinct from os and amount is not distinct from oa) then '=' else 'U' end as op from m""")
 def upsert_fill_null(v: Views) -> DataFrame:
-    return op.upsert(*_both(v), "id", ["status", "amount"], fill_only=True, protected=F.col("id") % 11 == 0)
+    return op.upsert(*_both(v), "id", ["status", "amount"], fill_only=True, protected=F.col("id") % 11 == 0, ranked=("status", ["done", "pending", "failed"]))
 
 
 @query(_BOTH + """ m as (select coalesce(s.id, i.id) as id, case when s.id is null then 'I' when i.id is null then 'D' when s.status is not distinct from i.status and s.amount is not distinct from i.amount then '=' else 'U' end as op from s full join i on i.id = s.id) select * from m""")
@@ -141,31 +145,42 @@ def status_transition(v: Views) -> DataFrame:
     return op.status_transition(v.doc, v.doc.select("id", wanted.alias("wanted")), "id", {"pending": ["done", "failed"], "failed": ["pending"]})
 
 
-@query("""with w as (select distinct cast(date_trunc('week', downloaded_on) as date) as period from doc) select 'weekly' as cadence, period from w""")
+@query("""with w as (select distinct cast(date_trunc('week', downloaded_on) as date) as period from doc) select 'weekly' as cadence, period, case when day(period) <= 15 then 'kept' end as note, day(period) > 15 as created from w""")
 def find_or_create(v: Views) -> DataFrame:
-    wanted = v.doc.select(F.lit("weekly").alias("cadence"), F.trunc("downloaded_on", "week").alias("period")).distinct()
-    stored = wanted.filter("day(period) <= 15")
-    return stored.unionByName(wanted.join(stored, ["cadence", "period"], "left_anti"))
+    wanted = v.doc.select(F.lit("weekly").alias("cadence"), F.trunc("downloaded_on", "week").alias("period"))
+    return op.find_or_create(wanted.distinct().filter("day(period) <= 15").withColumn("note", F.lit("kept")), wanted, ["cadence", "period"])
 
 
-@query("""with l as (select distinct id % 3 as run_id, plan_id from doc where id % 4 = 0)
-select r.i as run_id, p.id as plan_id, case when l.plan_id is not null then 'completed' else 'pending' end as status from plan p cross join (select cast(i as bigint) as i from range(0, 3) t(i)) r left join l on l.run_id = r.i and l.plan_id = p.id""")
+@query("""with l as (select id % 3 as run_id, plan_id, min(id) as d from doc where id % 4 = 0 group by 1, 2),
+a as (select r.i as run_id, p.id as plan_id, case when l.plan_id is null then 'pending' when d % 5 = 0 then 'failed' when d % 7 = 0 then 'fetching' else 'succeeded' end as status from plan p cross join (select cast(i as bigint) as i from range(0, 3) t(i)) r left join l on l.run_id = r.i and l.plan_id = p.id)
+select *, status in ('pending', 'fetching') as resume, count(*) over (partition by run_id) as total, count(*) filter (where status = 'succeeded') over (partition by run_id) as completed, count(*) filter (where status in ('pending', 'fetching')) over (partition by run_id) as open from a""")
 def run_ledger(v: Views) -> DataFrame:
-    ledger = v.doc.filter("id % 4 = 0").select((F.col("id") % 3).alias("run_id"), "plan_id").distinct().withColumn("status", F.lit("completed"))
+    rows = v.doc.filter("id % 4 = 0").groupBy((F.col("id") % 3).alias("run_id"), "plan_id").agg(F.min("id").alias("d"))
+    ledger = rows.withColumn("status", F.when(F.col("d") % 5 == 0, "failed").when(F.col("d") % 7 == 0, "fetching").otherwise("succeeded"))
     runs = v.doc.select((F.col("id") % 3).alias("run_id")).distinct()
-    return op.run_ledger(runs, v.plan.select(F.col("id").alias("plan_id")), ledger, "run_id", "plan_id")
+    filled = op.run_ledger(runs, v.plan.select(F.col("id").alias("plan_id")), ledger, "run_id", "plan_id")
+    return filled.join(op.run_progress(filled, "run_id"), "run_id")
 
 
-@query("select id, entity_id, ts from ev where not (id % 3 = 0) and value >= 40 order by ts, id limit 15")
+@query("""with w as (select id from ev where id % 3 <> 0 and value >= 40), f as (select ev.id from ev join w on w.id = ev.id order by ts, ev.id limit 15)
+select id, 'first' as run, id in (select id from f) as alerted, id not in (select id from w) or id in (select id from f) as sent from ev
+union all select id, 'few', false, id not in (select id from w) from ev union all select id, 'baseline', id in (select id from w), true from ev""")
 def pending_alerts(v: Views) -> DataFrame:
-    rows = v.ev.withColumn("sent", F.col("id") % 3 == 0)
-    return op.pending_alerts(rows, "sent", "value", 40, [F.col("ts"), F.col("id")], 15).select("id", "entity_id", "ts")
+    rows = v.ev.select("id", "ts", ((F.col("id") % 3 == 0) | (F.col("value") < 40) | F.col("value").isNull()).alias("sent"))
+    order, out = [F.col("ts"), F.col("id")], None
+    for run, alerts in (("first", op.pending_alerts(rows, "sent", order, 15)), ("few", op.pending_alerts(rows, "sent", order, 15, min_count=1_000_000_000)), ("baseline", None)):
+        made = op.mark_sent(rows, "sent", "id", alerts, stamp()).select("id", F.lit(run).alias("run"), F.col("sent_at").isNotNull().alias("alerted"), "sent")
+        out = made if out is None else out.unionByName(made)
+    return out
 
 
-@query("""with a as (select entity_id, id, status, status in ('purchase', 'error') as t from ev),
-r as (select *, row_number() over (partition by entity_id order by t desc, case when t then id else -id end) as n from a) select entity_id, id, status from r where n = 1""")
+@query("""with a as (select entity_id, id, status, row_number() over (partition by entity_id order by id) as attempt, coalesce(sum(case when status in ('purchase', 'error') then 1 end) over (partition by entity_id order by id rows between unbounded preceding and 1 preceding), 0) as ended from ev),
+m as (select * from a where ended = 0) select entity_id, id, status, cast(attempt as bigint) as attempt, attempt = max(attempt) over (partition by entity_id) as final from m""")
 def outcome_ladder(v: Views) -> DataFrame:
-    return op.outcome_ladder(v.ev.select("entity_id", "id", "status"), "entity_id", "id", F.col("status").isin("purchase", "error"))
+    attempts, stops = v.ev.select("entity_id", "id", "status"), F.col("status").isin("purchase", "error")
+    last = op.outcome_ladder(attempts, "entity_id", "id", stops).select("entity_id", F.col("attempt").alias("_last"))
+    log = op.outcome_log(attempts, "entity_id", "id", stops).join(last, "entity_id")
+    return log.select("entity_id", "id", "status", F.col("attempt").cast("bigint").alias("attempt"), (F.col("attempt") == F.col("_last")).alias("final"))
 
 
 @query("""select id, case when segment = 'MACHINERY' and id % 2 = 0 and id % 3 = 0 then 'noisy; was ok' else 'was ok' end as notes, id % 3 = 0 and not (segment = 'MACHINERY' and id % 2 = 0) as active from plan""")
@@ -174,7 +189,17 @@ def deactivate_noise(v: Views) -> DataFrame:
     return op.deactivate(rows, (F.col("segment") == "MACHINERY") & (F.col("id") % 2 == 0), "noisy").select("id", "notes", "active")
 
 
-@query("select date_trunc('month', downloaded_on)::date as period, count(*) as n, min(id) as first_source from doc where status in ('done', 'pending') group by 1")
+@query("""with w as (select date_trunc('week', downloaded_on)::date as start, count(*) as docs from doc group by 1), k as (select *, date_trunc('month', start)::date as period from w where docs % 5 <> 0 and date_trunc('month', start) = date_trunc('month', start + 6)),
+f as (select *, row_number() over (partition by period order by start desc) as n from k),
+m as (select period, string_agg(strftime(start, '%Y%m%d'), ' ' order by start) as sources, count(*) as n, string_agg(concat('=== ', strftime(start, '%B %-d, %Y'), ' ===', chr(10), cast(docs as varchar), ' documents'), chr(10) || chr(10) order by start) as block from f where n <= 4 group by 1),
+q as (select date_trunc('quarter', period)::date as q, string_agg(strftime(period, '%Y%m%d'), ' ' order by period) as sources, count(*) as n, string_agg(concat('=== ', strftime(period, '%B %-d, %Y'), ' ===', chr(10), block), chr(10) || chr(10) order by period) as block from m group by 1)
+select 'month' as cadence, period, sources, n, block from m union all select 'quarter', q, sources, n, block from q""")
 def cascade_rollup(v: Views) -> DataFrame:
-    rolled = op.cascade_rollup(v.doc, F.trunc("downloaded_on", "month"), "id", F.col("status").isin("done", "pending"))
-    return rolled.select("period", F.size("sources").cast("bigint").alias("n"), F.col("sources")[0].alias("first_source"))
+    weeks = v.doc.groupBy(F.trunc("downloaded_on", "week").alias("start")).agg(F.count("*").alias("docs"))
+    weeks = weeks.select(F.date_format("start", "yyyyMMdd").alias("key"), "start", F.date_add("start", 6).alias("end"), F.when(F.col("docs") % 5 == 0, "draft").otherwise("approved").alias("status"), F.concat(F.col("docs").cast("string"), F.lit(" documents ")).alias("text"))
+    approved = F.col("status").isin("approved", "published")
+    months = op.cascade_rollup(weeks, F.trunc("start", "month"), approved & (F.trunc("start", "month") == F.trunc("end", "month")), 4)
+    parts = months.select(F.date_format("period", "yyyyMMdd").alias("key"), F.col("period").alias("start"), F.lit("approved").alias("status"), F.col("block").alias("text"))
+    quarters = op.cascade_rollup(parts, F.trunc("start", "quarter"), approved)
+    named = [x.select(F.lit(c).alias("cadence"), "period", F.array_join("sources", " ").alias("sources"), "n", "block") for c, x in (("month", months), ("quarter", quarters))]
+    return named[0].unionByName(named[1])

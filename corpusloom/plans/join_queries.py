@@ -92,9 +92,9 @@ def label_lookup(v: Views) -> DataFrame:
 
 
 @query("""with x as (select plan_id, id as extract_id, fiscal_year, row_number() over (partition by plan_id order by fiscal_year desc nulls last, id desc) as n from doc where doc_type = 'cafr')
-select p.id as plan_id, x.extract_id, x.fiscal_year, a.seq, a.asset_class, a.actual_bp from plan p left join (select * from x where n = 1) x on x.plan_id = p.id left join alloc a on a.extract_id = x.extract_id where p.id < 200""")
+select p.id as plan_id, x.extract_id, x.fiscal_year, a.seq, a.asset_class, a.actual_bp from plan p left join (select * from x where n = 1) x on x.plan_id = p.id left join alloc a on a.extract_id = x.extract_id""")
 def entity_detail(v: Views) -> DataFrame:
-    plans = v.plan.filter("id < 200").select(F.col("id").alias("plan_id"))
+    plans = v.plan.select(F.col("id").alias("plan_id"))
     extracts = v.doc.filter("doc_type = 'cafr'").select("plan_id", F.col("id").alias("extract_id"), "fiscal_year")
     return op.entity_detail(plans, extracts, v.alloc.select("extract_id", "seq", "asset_class", "actual_bp"), "plan_id", "extract_id", [F.col("fiscal_year").desc_nulls_last(), F.col("extract_id").desc()])
 

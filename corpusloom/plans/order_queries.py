@@ -13,9 +13,9 @@ def topk_nulls_last(v: Views) -> DataFrame:
     return op.topk_nulls_last(v.doc.select("id", "plan_id", "meeting_date"), "meeting_date", "id", 50)
 
 
-@query("select id, meeting_date, downloaded_on from doc where plan_id < 50")
+@query("select id, meeting_date, downloaded_on from doc")
 def multi_nulls_last(v: Views) -> DataFrame:
-    return op.multi_nulls_last(v.doc.filter("plan_id < 50").select("id", "meeting_date", "downloaded_on"), "meeting_date", "downloaded_on", "id")
+    return op.multi_nulls_last(v.doc.select("id", "meeting_date", "downloaded_on"), "meeting_date", "downloaded_on", "id")
 
 
 @query("select id, entity_id, ts from ev order by ts desc, id desc limit 25")
@@ -50,11 +50,11 @@ def last_k_period_asc(v: Views) -> DataFrame:
     return op.last_k_ascending(v.doc.select("id", "downloaded_on", "status"), within, "downloaded_on", "id", 12)
 
 
-@query("""with l as (select asset_class as label from act union all select manager from act union all select segment from plan union all select props from ev where id % 10 = 0 union all select concat(' ', asset_class, ' ') from alloc)
+@query("""with l as (select asset_class as label from act union all select manager from act union all select segment from plan union all select props from ev union all select concat(' ', asset_class, ' ') from alloc)
 select distinct trim(label) as label from l where trim(label) <> ''""")
 def label_union(v: Views) -> DataFrame:
     inner = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit("}"))
-    return op.label_union((v.act, F.col("asset_class")), (v.act, F.col("manager")), (v.plan, F.col("segment")), (v.ev.filter("id % 10 = 0"), inner), (v.alloc, F.concat(F.lit(" "), "asset_class", F.lit(" "))))
+    return op.label_union((v.act, F.col("asset_class")), (v.act, F.col("manager")), (v.plan, F.col("segment")), (v.ev, inner), (v.alloc, F.concat(F.lit(" "), "asset_class", F.lit(" "))))
 
 
 @query("select distinct manager as label from act where manager is not null and manager not in (select concat('S', cast(id as varchar)) from plan where id < 40) order by 1 limit 20")
