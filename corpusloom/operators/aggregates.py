@@ -205,8 +205,12 @@ def url_mining_counts(rows: DataFrame, keys: Sequence[str], url: str, doc: str)
 
 
 def run_membership(rows: DataFrame, runs: DataFrame, run: str, start: str, end: str, at: str, key: str) -> DataFrame:
-    """Per run the sorted ids created from its start to its end, and its seconds."""
-    inside = rows.join(runs, (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)))
-    made = inside.groupBy(run).agg(F.sort_array(F.collect_list(key)).alias("ids"))
+    """(run, key, n, seconds): the ids created from a run's start to its end, the run's size and its seconds; one row with
+    a null id for a run without any. Runs may overlap; they are matched by the days that they touch, so no task
+    compares all rows with all runs."""
+    day = lambda c: F.to_date(c)
+    days = runs.withColumn("_day", F.explode(F.sequence(day(F.col(start)), day(F.col(end)))))
+    inside = rows.select(key, at, day(F.col(at)).alias("_day")).join(days, "_day").filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).select(run, key)
+    n = inside.groupBy(run).agg(F.count("*").alias("n"))
     seconds = F.timestamp_diff("SECOND", F.col(start), F.col(end))
-    return runs.join(made, run, "left").select(run, F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"), seconds.alias("seconds"))
+    return runs.select(run, seconds.alias("seconds")).join(n, run, "left").join(inside, run, "left").select(run, key, F.coalesce("n", F.lit(0)).alias("n"), "seconds")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Letters with accents and what they fold to.
@@ -15,11 +16,45 @@ def folded(text: Column) -> Column:
     return F.translate(F.lower(text), _ACCENTED, _PLAIN)
 
 
-def postings(docs: DataFrame, key: str, *texts: str) -> DataFrame:
-    """(key, term, position): every token of the texts, folded. Tokens are runs of letters and digits."""
-    joined = folded(F.concat_ws(" ", *texts))
-    tokens = F.filter(F.split(joined, r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    return docs.select(key, F.posexplode(tokens).alias("position", "term"))
+@dataclass(frozen=True)
+class Index:
+    """postings: (key, term, tf, positions, length of the document); stats: one row (n_docs, average) over documents with a
+    token; buckets: of a stored index, the number of parts that terms are dealt over."""
+
+    postings: DataFrame
+    stats: DataFrame
+    buckets: int | None = None
+
+    def of(self, terms: Sequence[str]) -> DataFrame:
+        """The terms' postings. Of a stored index only the terms' own parts are read."""
+        rows = self.postings.filter(F.col("term").isin(*terms))
+        return rows if self.buckets is None else rows.filter(F.col("bucket").isin(*(_bucket(F.lit(t), self.buckets) for t in terms)))
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def postings(docs: DataFrame, key: str, *texts: str) -> Index:
+    """The index of the texts, folded. Tokens are runs of letters and digits."""
+    tokens = F.filter(F.split(folded(F.concat_ws(" ", *texts)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    rows = docs.select(key, tokens.alias("_tokens")).filter(F.size("_tokens") > 0)
+    stats = rows.agg(F.count("*").alias("n_docs"), F.avg(F.size("_tokens")).alias("average"))
+    each = rows.select(key, F.size("_tokens").alias("length"), F.posexplode("_tokens").alias("position", "term"))
+    grouped = each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"), F.first("length").alias("length"))
+    return Index(grouped, stats)
+
+
+def save_index(index: Index, folder: str, buckets: int = 64) -> None:
+    """Writes the postings dealt by the terms' hashes and sorted by term, so that a query reads the row groups of its terms."""
+    rows = index.postings.withColumn("bucket", _bucket(F.col("term"), buckets))
+    rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    index.stats.withColumn("buckets", F.lit(buckets)).write.parquet(f"{folder}/stats")
+
+
+def open_index(spark: SparkSession, folder: str) -> Index:
+    stats = spark.read.parquet(f"{folder}/stats")
+    return Index(spark.read.parquet(f"{folder}/postings"), stats.drop("buckets"), stats.first()["buckets"])
 
 
 def query_terms(query: str) -> list[str]:
@@ -30,40 +65,37 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(t for t in re.split(r"[^\w]+|_", query.lower().translate(table)) if t))
 
 
-def matching(index: DataFrame, key: str, terms: Sequence[str]) -> DataFrame:
+def matching(index: Index, key: str, terms: Sequence[str]) -> DataFrame:
     """Keys of the documents that hold all terms; none for no terms."""
     if not terms:
-        return index.select(key).limit(0)
-    hits = index.filter(F.col("term").isin(*terms)).select(key, "term").distinct()
-    return hits.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") == len(terms)).select(key)
-
+        return index.postings.select(key).limit(0)
+    return index.of(terms).groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") == len(terms)).select(key)
 
-def search_bm25(index: DataFrame, key: str, query: str, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of the documents with all terms, best first, ties by key.
 
-    Only the query's terms leave the postings; lengths and the average come from one aggregate.
-    """
+def search_bm25(index: Index, key: str, query: str, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, score) of the documents with all terms, best first, ties by key. Only the query's terms leave the postings."""
     terms = query_terms(query)
-    lengths = index.groupBy(key).agg(F.count("*").alias("length"))
-    corpus = lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("average"))  # one row
-    counts = index.filter(F.col("term").isin(*terms)).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    both = counts.join(matching(index, key, terms), key, "left_semi").join(F.broadcast(df), "term").join(lengths, key).crossJoin(F.broadcast(corpus))
+    hits = index.of(terms)
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row a term
+    both = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(index.stats))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average")))
-    return both.groupBy(key).agg(F.round(F.sum(idf * gain), 6).alias("score")).orderBy(F.col("score").desc(), key).limit(limit)
+    scored = both.groupBy(key).agg(F.round(F.sum(idf * gain), 6).alias("score"), F.count("*").alias("n")).filter(F.col("n") == len(terms))
+    return scored.select(key, "score").orderBy(F.col("score").desc(), key).limit(limit)
 
 
-def search_phrase(index: DataFrame, key: str, phrase: str, excluded: Sequence[str] = ()) -> DataFrame:
-    """Keys of the documents with the words in a row and none of the excluded words."""
+def search_phrase(index: Index, key: str, phrase: str, excluded: Sequence[str] = ()) -> DataFrame:
+    """Keys of the documents with the words in a row and none of the excluded words, all of them folded."""
     words = query_terms_in_order(phrase)
     if not words:
-        return index.select(key).limit(0)
-    hits = index.filter(F.col("term") == words[0]).select(key, F.col("position").alias("_start"))
-    for i, w in enumerate(words[1:], 1):
-        hits = hits.join(index.filter(F.col("term") == w).select(key, (F.col("position") - i).alias("_start")), [key, "_start"], "left_semi")
-    found = hits.select(key).distinct()
-    return found if not excluded else found.join(index.filter(F.col("term").isin(*excluded)).select(key).distinct(), key, "left_anti")
+        return index.postings.select(key).limit(0)
+    places = {w: [i for i, x in enumerate(words) if x == w] for w in words}
+    offsets = F.create_map(*(c for w, at in places.items() for c in (F.lit(w), F.array(*map(F.lit, at)))))
+    starts = F.flatten(F.transform(offsets[F.col("term")], lambda o: F.transform("positions", lambda p: p - o)))
+    runs = index.of(list(places)).select(key, F.explode(starts).alias("_start")).groupBy(key, "_start").agg(F.count("*").alias("n"))
+    found = runs.filter(F.col("n") == len(words)).select(key).distinct()
+    without = query_terms(" ".join(excluded))
+    return found if not without else found.join(index.of(without).select(key).distinct(), key, "left_anti")
 
 
 def query_terms_in_order(phrase: str) -> list[str]:
@@ -86,7 +118,8 @@ def search_substring(docs: DataFrame, text: Sequence[str], needle: str, order: S
 def page_split(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, page, text) from ``[Page N]`` markers; what stands before the first marker is dropped."""
     numbers = F.transform(F.regexp_extract_all(text, F.lit(r"\[Page ([0-9]+)\]"), F.lit(1)), lambda x: x.cast("int"))
-    bodies = F.slice(F.split(text, r"\[Page [0-9]+\]", -1), 2, 1_000_000)
+    parts = F.split(text, r"\[Page [0-9]+\]", -1)
+    bodies = F.slice(parts, F.lit(2), F.size(parts))
     pages = docs.select(key, F.explode(F.arrays_zip(numbers.alias("page"), bodies.alias("text"))).alias("p"))
     return pages.select(key, F.col("p.page").alias("page"), F.trim("p.text").alias("text"))
 
@@ -143,9 +176,13 @@ def keyword_excerpt(docs: DataFrame, key: str, text: str, pattern: str, radius:
     """
     size = F.length(text)
     between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rows = docs.withColumn("_b", between).withColumn("_h", hits).select(key, text, F.posexplode("_h").alias("_i", "_hit"), "_b", "_h")
-    at = F.expr("aggregate(slice(_b, 1, _i + 1), 0, (s, x) -> s + length(x)) + aggregate(slice(_h, 1, _i), 0, (s, x) -> s + length(x))")
-    spots = rows.select(key, F.greatest(at - radius, F.lit(head)).alias("a"), F.least(at + F.length("_hit") + radius, F.length(text) - tail).alias("b")).filter("a < b")
+    steps = F.arrays_zip(F.transform(between, F.length).alias("b"), F.transform(hits, F.length).alias("h"))
+    rows = docs.select(key, size.alias("_size"), F.slice(steps, F.lit(1), F.size(hits)).alias("_steps")).filter(F.size("_steps") > 0)
+    # only lengths leave the row; a running sum gives the offsets
+    each = rows.select(key, "_size", F.posexplode("_steps").alias("_i", "_s"))
+    end = F.sum(F.col("_s.b") + F.col("_s.h")).over(Window.partitionBy(key).orderBy("_i"))
+    spots = each.select(key, "_size", end.cast("int").alias("_end"), F.col("_s.h").alias("_h"))
+    spots = spots.select(key, F.greatest(F.col("_end") - F.col("_h") - radius, F.lit(head)).alias("a"), F.least(F.col("_end") + radius, F.col("_size") - tail).alias("b")).filter("a < b")
     w = Window.partitionBy(key).orderBy("a", "b")
     new = (F.col("a") > F.coalesce(F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int")
     islands = spots.withColumn("_n", new).withColumn("_g", F.sum("_n").over(w)).groupBy(key, "_g").agg(F.min("a").alias("a"), F.max("b").alias("b"))

@@ -78,12 +78,13 @@ def retention_keep(rows: DataFrame, key: str, at: str, tie: str, newest: int) ->
     return rows.withColumn("keep", (recent <= newest) | (monthly == 1))
 
 
-def running_budget(rows: DataFrame, length: str, order: Sequence[Column], budget: int, parts: int = 16) -> DataFrame:
+def running_budget(rows: DataFrame, length: str, order: Sequence[Column], budget: int, parts: int | None = None) -> DataFrame:
     """Rows in order while their total length is within the budget.
 
     Two phases, so that no task holds all rows: totals within range partitions of the order, then
-    the totals of the partitions before (one row each).
+    the totals of the partitions before (one row each). There are as many partitions as shuffles have, unless ``parts`` says.
     """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
     own = F.sum(length).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     summed = dealt.withColumn("_own", own)
@@ -104,7 +105,8 @@ def rank_sources(*sources: tuple[DataFrame, int], key: str, url: str, order: Seq
 
 
 def trailing_batch(rows: DataFrame, at: str, key: str, seconds: int) -> DataFrame:
-    """Start, end and ids of the rows within the seconds before the newest row."""
+    """(started, ended, n, key): the rows within the seconds before the newest row, with the batch's start, end and size."""
     newest = rows.agg(F.max(at).alias("_end"))  # one row
     last = rows.crossJoin(F.broadcast(newest)).filter(F.col(at) >= F.col("_end") - F.expr(f"interval {seconds} seconds"))
-    return last.agg(F.min(at).alias("started"), F.max(at).alias("ended"), F.sort_array(F.collect_list(key)).alias("ids"))
+    facts = last.agg(F.min(at).alias("started"), F.max(at).alias("ended"), F.count("*").alias("n"))  # one row
+    return last.select(key).crossJoin(F.broadcast(facts))

@@ -240,12 +240,11 @@ def url_mining_counts(v: Views) -> DataFrame:
 
 
 @query("""with r as (select cast(i as bigint) as run_id, timestamp '2024-01-01' + to_hours(cast(i * 24 as int)) as s, timestamp '2024-01-01' + to_hours(cast(i * 24 + 6 as int)) as e from range(0, 10) t(i))
-select run_id, count(ev.id) as n, min(ev.id) as first_id, cast(21600 as bigint) as seconds from r left join ev on ts >= s and ts < e group by 1""")
+select run_id, ev.id, count(ev.id) over (partition by run_id) as n, cast(21600 as bigint) as seconds from r left join ev on ts >= s and ts < e""")
 def run_membership(v: Views) -> DataFrame:
     day = F.lit("2024-01-01").cast("timestamp_ntz")
     runs = v.spark.range(10).select(F.col("id").alias("run_id"), (day + F.make_dt_interval(F.col("id").cast("int"))).alias("s"), (day + F.make_dt_interval(F.col("id").cast("int"), F.lit(6))).alias("e"))
-    made = op.run_membership(v.ev, runs, "run_id", "s", "e", "ts", "id")
-    return made.select("run_id", F.size("ids").cast("bigint").alias("n"), F.get("ids", F.lit(0)).alias("first_id"), "seconds")
+    return op.run_membership(v.ev, runs, "run_id", "s", "e", "ts", "id")
 
 
 @query("""with a as (select plan_id, case when length(trim(manager)) <= 2 then 'short' else trim(manager) end as name, coalesce(action, '') as action, meeting_date, doc_id, ord from act join doc on doc.id = act.doc_id where trim(manager) <> '' and trim(manager) <> 'N/A'),

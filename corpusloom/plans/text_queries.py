@@ -7,22 +7,42 @@ from corpusloom.operators import textsearch as op
 from corpusloom.plans.registry import query
 from corpusloom.plans.views import Views
 from corpusloom.sources import links
+from corpusloom.sources.tables import shared_folder
 
 _TOKENS = """with tok as (select id, unnest(list_filter(regexp_split_to_array(translate(lower(concat_ws(' ', text, source)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) as term from txt),
 tf as (select id, term, count(*) as tf from tok group by 1, 2), len as (select id, count(*) as length from tok group by 1),
 m as (select id from tf where term in ('the', 'with', 'src5') group by 1 having count(*) = 3)"""
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(v: Views, fresh: bool = False) -> op.Index:
+    """The stored index of a folder's texts: made by the application's first search of it, then read."""
+    place = v.spark.sparkContext.applicationId, v.dir
+    if fresh or place not in _INDEXES:
+        folder = shared_folder(v.spark)
+        op.save_index(op.postings(v.txt, "id", "text", "source"), folder)
+        _INDEXES[place] = folder
+    return op.open_index(v.spark, _INDEXES[place])
+
+
+@query(_TOKENS + " select term, count(*) as df, cast(sum(tf) as bigint) as occurrences, min(id) as first_id from tf group by 1")
+def search_index(v: Views) -> DataFrame:
+    rows = _index(v, fresh=True).postings
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("occurrences"), F.min("id").alias("first_id"))
+
+
 @query(_TOKENS + """, df as (select term, count(*) as df from tf where term in ('the', 'with', 'src5') group by 1), s as (select tf.id,
 round(sum(ln(1 + ((select count(*) from len) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (select avg(length) from len)))), 6) as score
 from tf join df on df.term = tf.term join len on len.id = tf.id where tf.id in (select id from m) group by 1) select id, score from s order by score desc, id limit 20""")
 def search_bm25(v: Views) -> DataFrame:
-    return op.search_bm25(op.postings(v.txt, "id", "text", "source"), "id", "the WITH (src5)", 20)
+    return op.search_bm25(_index(v), "id", "the WITH (src5)", 20)
 
 
 @query("select id from txt where regexp_matches(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '(^|[^\\p{L}\\p{N}])of[^\\p{L}\\p{N}]+the([^\\p{L}\\p{N}]|$)') and not regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])what([^\\p{L}\\p{N}]|$)')")
 def search_phrase(v: Views) -> DataFrame:
-    return op.search_phrase(op.postings(v.txt, "id", "text"), "id", '"of the"', ["what"])
+    return op.search_phrase(_index(v), "id", '"Of the"', ["-What"])
 
 
 @query("select id, lang from txt where contains(lower(text), 'tion an') or contains(lower(source), 'tion an')")
@@ -32,7 +52,7 @@ def search_substring(v: Views) -> DataFrame:
 
 @query(_TOKENS + " select count(*) as n from m")
 def search_count(v: Views) -> DataFrame:
-    return op.matching(op.postings(v.txt, "id", "text", "source"), "id", ["the", "with", "src5"]).agg(F.count("*").alias("n"))
+    return op.matching(_index(v), "id", ["the", "with", "src5"]).agg(F.count("*").alias("n"))
 
 
 @query("with l as (select id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as page from txt) select id, cast(page as int) as page, trim(line, ' ') as text from l")

@@ -102,6 +102,6 @@ def rank_sources(v: Views) -> DataFrame:
     return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query("with e as (select max(ts) as t from ev), r as (select ev.* from ev, e where ts >= t - interval 1 hour) select min(ts) as started, max(ts) as ended, count(*) as n, min(id) as first_id from r")
+@query("with e as (select max(ts) as t from ev), r as (select ev.* from ev, e where ts >= t - interval 1 hour) select id, min(ts) over () as started, max(ts) over () as ended, count(*) over () as n from r")
 def trailing_batch(v: Views) -> DataFrame:
-    return op.trailing_batch(v.ev, "ts", "id", 3600).select("started", "ended", F.size("ids").cast("bigint").alias("n"), F.col("ids")[0].alias("first_id"))
+    return op.trailing_batch(v.ev, "ts", "id", 3600)

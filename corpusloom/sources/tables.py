@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, or a temporary one where that is unset, as in tests."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/scratch-{uuid.uuid4().hex}"
+    """A new folder that all executors see, under spark.checkpoint.dir. A local session without it, as in tests, gets a
+    temporary one; on a cluster that would be another one on each machine, so there it is an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{shared or tempfile.gettempdir()}/scratch-{uuid.uuid4().hex}"
 
 
 def scan_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
