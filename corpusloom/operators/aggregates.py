@@ -76,7 +76,7 @@ def freshness_buckets(entities: DataFrame, latest: DataFrame, key: str, current:
 def gaps_first(entities: DataFrame, latest: DataFrame, key: str, name: str, current: int) -> DataFrame:
     """Entities without a year first, then stale ones by year, then current ones."""
     state = F.when(F.col("latest_year").isNull(), 0).when(F.col("latest_year") < current - 1, 1).otherwise(2)
-    return entities.join(latest, key, "left").withColumn("state", state).orderBy("state", F.col("latest_year").asc_nulls_first(), name)
+    return entities.join(latest, key, "left").withColumn("state", state).orderBy("state", F.col("latest_year").asc_nulls_first(), name, key)
 
 
 def year_range(rows: DataFrame, year: str) -> DataFrame:

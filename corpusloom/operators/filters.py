@@ -35,8 +35,8 @@ def pattern_filter(rows: DataFrame, label: str, like: Sequence[str], unlike: Seq
     return rows.filter(found)
 
 
-def nonempty_json(rows: DataFrame, payload: str, date: str, cutoff: Column) -> DataFrame:
-    return rows.filter(F.col(payload).isNotNull() & (F.col(payload) != "[]") & (F.col(date) >= cutoff)).orderBy(F.col(date).desc_nulls_last())
+def nonempty_json(rows: DataFrame, payload: str, date: str, cutoff: Column, key: str = "id") -> DataFrame:
+    return rows.filter(F.col(payload).isNotNull() & (F.col(payload) != "[]") & (F.col(date) >= cutoff)).orderBy(F.col(date).desc_nulls_last(), F.col(key).desc())
 
 
 def action_split(rows: DataFrame, action: str, deployed: Sequence[str]) -> DataFrame:

@@ -76,7 +76,7 @@ def freshness_buckets(v: Views) -> DataFrame:
     return op.freshness_buckets(v.plan.select("id"), _years(v), "id", 2001)
 
 
-@query(_FRESH + "select id, name, latest_year, case when latest_year is null then 0 when latest_year < 2000 then 1 else 2 end as state from y")
+@query(_FRESH + "select id, name, latest_year, case when latest_year is null then 0 when latest_year < 2000 then 1 else 2 end as state from y order by state, latest_year nulls first, name, id")
 def gaps_first_detail(v: Views) -> DataFrame:
     return op.gaps_first(v.plan.select("id", "name"), _years(v), "id", "name", 2001)
 

@@ -42,7 +42,7 @@ def pattern_filter(v: Views) -> DataFrame:
 
 
 @query("""with p as (select id, meeting_date, case when id % 13 = 0 then null when id % 7 = 0 then '[]' else concat('[{"n":', cast(id as varchar), '}]') end as payload from doc)
-select id, meeting_date, payload from p where payload is not null and payload <> '[]' and meeting_date >= date '1999-01-01'""")
+select id, meeting_date, payload from p where payload is not null and payload <> '[]' and meeting_date >= date '1999-01-01' order by meeting_date desc, id desc""")
 def nonempty_json(v: Views) -> DataFrame:
     payload = F.when(F.col("id") % 13 == 0, None).when(F.col("id") % 7 == 0, "[]").otherwise(F.concat(F.lit('[{"n":'), F.col("id").cast("string"), F.lit("}]")))
     return op.nonempty_json(v.doc.select("id", "meeting_date", payload.alias("payload")), "payload", "meeting_date", F.lit("1999-01-01").cast("date"))
@@ -97,12 +97,12 @@ def signup_throttle(v: Views) -> DataFrame:
     return op.signup_throttle(rows, rows, "email", "ts", stamp(), 86_400, 3)
 
 
-@query("select id, name, segment from plan where segment = 'BUILDING'")
+@query("select id, name, segment from plan where segment = 'BUILDING' order by name, id")
 def entity_list(v: Views) -> DataFrame:
     return op.entity_list(v.plan, "name", "id", key="segment", value="BUILDING").select("id", "name", "segment")
 
 
-@query("select id, status, meeting_date from doc where status in ('done', 'pending') and doc_type = 'agenda'")
+@query("select id, status, meeting_date from doc where status in ('done', 'pending') and doc_type = 'agenda' order by meeting_date desc nulls last, id desc")
 def publications_by_status(v: Views) -> DataFrame:
     return op.publications_by_status(v.doc.filter("doc_type = 'agenda'"), "status", ["done", "pending"], "meeting_date").select("id", "status", "meeting_date")
 

@@ -171,7 +171,8 @@ def truncate_words(v: Views) -> DataFrame:
     return v.txt.select("id", fn.truncate_words("text", 12).alias("words"))
 
 
-@query()
+@query(r"""with c as (select id, text, left(text, 700) as cut, regexp_extract(left(text, 700), '(?s)^(.*[.!?])(?:\s|$)', 1) as sentence from txt)
+select id, case when length(text) <= 700 then text when length(sentence) >= 420 then sentence else rtrim(cut, ' ') || '…' end as preview from c""")
 def preview(v: Views) -> DataFrame:
     return v.txt.select("id", fn.preview("text").alias("preview"))
 

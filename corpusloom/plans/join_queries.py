@@ -129,16 +129,22 @@ def mapping_join(v: Views) -> DataFrame:
     return op.mapping_join(v.act, "asset_class", _mapping(v), ["brass", "promo", "steel", "small"]).select("doc_id", "ord", "canonical")
 
 
-@query("select id, name, coalesce(size, 0) as size from plan where id not in (select plan_id from doc where status = 'done')")
+@query("select id, name, coalesce(size, 0) as size from plan where id not in (select plan_id from doc where status = 'done') order by coalesce(size, 0) desc, id")
 def coverage_gap(v: Views) -> DataFrame:
     active = v.doc.filter("status = 'done'").select(F.col("plan_id").alias("id"))
     return op.coverage_gap(v.plan.select("id", "name", "size"), "id", active, "size").withColumn("size", F.coalesce("size", F.lit(0.0)))
 
 
-@query("select item_id, exists (select 1 from txt where contains(txt.text, substr(bench.text, 1, 60)) or contains(txt.text, substr(bench.text, 30, 60))) as supported from bench")
+# the four quarters of an item are its claims; the last has the rest
+@query("""with q as (select item_id, i, length(text) // 4 as n, text from bench, (select unnest([0, 1, 2, 3]) as i) t),
+c as (select concat(item_id, ':', i) as claim, case when i < 3 then substr(text, i * n + 1, n) else substr(text, 3 * n + 1) end as part from q)
+select claim, exists (select 1 from txt where contains(txt.text, c.part)) as supported from c""")
 def claim_check(v: Views) -> DataFrame:
-    claims = v.bench.select("item_id", F.array(F.substring("text", 1, 60), F.substring("text", 30, 60)).alias("variants"))
-    return op.claim_check(claims, "item_id", "variants", v.txt, "text")
+    n = F.floor(F.length("text") / 4).cast("int")
+    quarters = [F.substring("text", i * n + 1, n) for i in range(3)] + [F.substring("text", 3 * n + 1, F.length("text"))]
+    parts = v.bench.select("item_id", F.posexplode(F.array(*quarters)).alias("i", "part"))
+    claims = parts.select(F.concat_ws(":", "item_id", "i").alias("claim"), F.array("part").alias("variants"))
+    return op.claim_check(claims, "claim", "variants", v.txt, "text")
 
 
 @query("""select 'doc' as table_name, 'plan_id' as column_name, id from doc where plan_id is not null and plan_id not in (select id from plan where id % 50 <> 0)

@@ -13,7 +13,7 @@ def topk_nulls_last(v: Views) -> DataFrame:
     return op.topk_nulls_last(v.doc.select("id", "plan_id", "meeting_date"), "meeting_date", "id", 50)
 
 
-@query("select id, meeting_date, downloaded_on from doc")
+@query("select id, meeting_date, downloaded_on from doc order by meeting_date desc nulls last, downloaded_on desc nulls last, id desc")
 def multi_nulls_last(v: Views) -> DataFrame:
     return op.multi_nulls_last(v.doc.select("id", "meeting_date", "downloaded_on"), "meeting_date", "downloaded_on", "id")
 
@@ -28,13 +28,13 @@ def distinct_topk(v: Views) -> DataFrame:
     return op.distinct_topk(v.doc.select("id", "downloaded_on"), "downloaded_on", 12)
 
 
-@query("select d.id, p.name, d.meeting_date from doc d join plan p on p.id = d.plan_id order by meeting_date desc nulls last, d.id desc limit 30")
+@query("select * from (select d.id, p.name, d.meeting_date from doc d join plan p on p.id = d.plan_id order by meeting_date desc nulls last, d.id desc limit 30) t order by lower(name), id")
 def resort_limited(v: Views) -> DataFrame:
     rows = v.doc.join(v.plan.select(F.col("id").alias("plan_id"), "name"), "plan_id").select("id", "name", "meeting_date")
     return op.resort_limited(rows, [F.col("meeting_date").desc_nulls_last(), F.col("id").desc()], 30, [F.lower("name"), F.col("id")])
 
 
-@query("select id, name, concat(name, ' ($', cast(cast(floor(coalesce(size, 0)) as bigint) as varchar), ')') as label from plan")
+@query("select id, name, concat(name, ' ($', cast(cast(floor(coalesce(size, 0)) as bigint) as varchar), ')') as label from plan order by coalesce(size, 0) desc, name")
 def size_order(v: Views) -> DataFrame:
     return op.size_order(v.plan.select("id", "name", "size"), "size", "name").select("id", "name", "label")
 
@@ -44,7 +44,7 @@ def paged_results(v: Views) -> DataFrame:
     return op.paged_results(v.doc.filter("doc_type = 'minutes'").select("id", "meeting_date"), [F.col("meeting_date").desc_nulls_last(), F.col("id").desc()], 20)
 
 
-@query("select id, downloaded_on, status from doc where status in ('done', 'pending') and downloaded_on between date '1998-01-01' and date '1998-12-31' order by downloaded_on desc, id desc limit 12")
+@query("select * from (select id, downloaded_on, status from doc where status in ('done', 'pending') and downloaded_on between date '1998-01-01' and date '1998-12-31' order by downloaded_on desc, id desc limit 12) t order by downloaded_on, id")
 def last_k_period_asc(v: Views) -> DataFrame:
     within = F.col("status").isin("done", "pending") & F.col("downloaded_on").between("1998-01-01", "1998-12-31")
     return op.last_k_ascending(v.doc.select("id", "downloaded_on", "status"), within, "downloaded_on", "id", 12)

@@ -16,7 +16,7 @@ def scan_table(v: Views) -> DataFrame:
 @query("select id, name from plan where segment = 'BUILDING'")
 def scan_json_registry(v: Views) -> DataFrame:
     path = src.shared_folder(v.spark)
-    objects = v.plan.select(F.struct("id", "name", F.initcap("segment").alias("segment")).alias("o"), (F.col("id") % 4).alias("file"))
+    objects = v.plan.select(F.struct("id", "name", F.initcap("segment").alias("segment")).alias("o"), F.floor(F.col("id") / 1000).alias("file"))  # a file has at most 1000 objects, however many there are
     objects.groupBy("file").agg(F.to_json(F.collect_list("o")).alias("value")).write.partitionBy("file").text(path)
     return src.scan_json_registry(v.spark, path, "id bigint, name string, segment string", "segment", "building").select("id", "name")
 
@@ -71,7 +71,7 @@ def sink_report_rows(v: Views) -> DataFrame:
     return v.spark.read.parquet(folder)
 
 
-@query("select segment as title, date '2024-01-01' + cast(length(segment) % 9 as int) as generated from (select distinct segment from plan) p")
+@query("select segment as title, date '2024-01-01' + cast(length(segment) % 9 as int) as generated from (select distinct segment from plan) p order by generated desc, title")
 def note_index(v: Views) -> DataFrame:
     day = F.date_add(F.lit("2024-01-01").cast("date"), F.length("segment") % 9).cast("string")
     notes = v.plan.select("segment").distinct().select("segment", F.concat(F.lit("# "), "segment", F.lit("\n\nGenerated: "), day).alias("value"))

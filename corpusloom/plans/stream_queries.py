@@ -33,7 +33,11 @@ def stream_snapshot_on_change(v: Views) -> DataFrame:
     return op.run_once(op.snapshot_on_change(_events(v), "user_id", "event_id", "event_type", "ts"), shared_folder(v.spark))
 
 
-@query()
+@query("""with recursive e as (select user_id, event_id, event_type, row_number() over (partition by user_id order by ts, event_id) as n from events),
+r as (select user_id, event_id, n, event_type as status, true as accepted from e where n = 1
+union all select e.user_id, e.event_id, e.n, case when concat(r.status, '>', e.event_type) in ('view>click', 'click>purchase', 'click>view', 'purchase>view') then e.event_type else r.status end,
+concat(r.status, '>', e.event_type) in ('view>click', 'click>purchase', 'click>view', 'purchase>view') from r join e on e.user_id = r.user_id and e.n = r.n + 1)
+select user_id as entity, event_id as id, status, accepted from r""")
 def stream_status_transition(v: Views) -> DataFrame:
     allowed = {"view": ["click"], "click": ["purchase", "view"], "purchase": ["view"]}
     return op.run_once(op.status_transition(_events(v), "user_id", "event_id", "event_type", "ts", allowed), shared_folder(v.spark))

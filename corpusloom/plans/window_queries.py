@@ -50,7 +50,7 @@ def representative_doc(v: Views) -> DataFrame:
     return op.representative_doc(v.doc, ["plan_id", "meeting_date"], "doc_type", "id", "agenda", ["board_pack", "minutes"])
 
 
-@query("""select plan_id, meeting_date, count(*) as n_docs, count(s.id) as n_summaries, min(d.id) as first_doc from doc d left join summ s on s.document_id = d.id where doc_type not in ('cafr', 'performance') group by 1, 2""")
+@query("""select plan_id, meeting_date, count(*) as n_docs, count(s.id) as n_summaries, min(d.id) as first_doc from doc d left join summ s on s.document_id = d.id where doc_type not in ('cafr', 'performance') group by 1, 2 order by coalesce(meeting_date, date '1900-01-01') desc, plan_id desc""")
 def meeting_assembly(v: Views) -> DataFrame:
     made = op.meeting_assembly(v.doc.filter("doc_type not in ('cafr', 'performance')"), v.summ, "plan_id", "meeting_date")
     return made.select("plan_id", "meeting_date", F.size("documents").cast("bigint").alias("n_docs"), F.col("n_summaries").cast("bigint").alias("n_summaries"), F.col("documents")[0]["id"].alias("first_doc"))
