@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -63,3 +63,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     got = {value: sum(r[2] == value for r in rows) for value in totals}
     share = {value: totals[value] / sum(totals.values()) / (got[value] / len(rows)) for value in totals if got[value]}
     return [(text, value, share[value]) for _, text, value in rows]
+
+
+def ranked(rows: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """``rows`` with their place (0 on) in the given order within each group; no task holds a whole group.
+
+    The rows are dealt by ranges of group and order, and kept with their place in the partition; a row for each
+    partition and group then says how many of the group's rows come before. ``order`` should leave no ties.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    keys = [*(F.col(g) for g in group), *order]
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)).checkpoint()
+    parts = dealt.groupBy("_part", *group).agg(F.min("_at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = parts.select("_part", *group, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("_shift"))
+    return dealt.join(shifts, ["_part", *group]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
