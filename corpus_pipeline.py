@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontamination, language_id, near_dedup, packing, pii
-from corpusloom.llm.shared import ensure_checkpoint_dir
+from corpusloom.llm.shared import ensure_checkpoint_dir, fresh
 
 #: A language below this probability is as good as unknown.
 MIN_LANGUAGE_SCORE = 0.5
@@ -26,8 +26,9 @@ MIN_LANGUAGE_SCORE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, and those in none of the languages learned with a fair probability."""
-    found = language_id.identify(docs, language_id.training_rows(docs), names=("_language", "_score"))
-    return found.filter((F.col("_language") != "und") & (F.col("_score") >= MIN_LANGUAGE_SCORE)).drop("_language", "_score")
+    names = fresh(docs.columns, "language", "probability")
+    found = language_id.identify(docs, language_id.training_rows(docs), names=tuple(names))
+    return found.filter((F.col(names[0]) != "und") & (F.col(names[1]) >= MIN_LANGUAGE_SCORE)).drop(*names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

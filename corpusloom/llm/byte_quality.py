@@ -11,7 +11,8 @@ size. Without a labelled row the network stays as it was drawn.
 
 Rows: null and empty texts are scored as one blank chunk. Blanks follow every
 text, whatever text is next to it, so a row's score is its own (but for the
-rounding of float32 products); columns beyond doc_id and text are ignored.
+rounding of float32 products); columns beyond doc_id and text are ignored. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,9 +32,8 @@ STRIDE = 4
 EMBED = 8
 FILTERS = 24
 HIDDEN = 12
-#: Labelled rows that are trained on, at most (about), the characters of each at most, and the updates made.
+#: Labelled rows that are trained on, at most (about), and the updates made.
 TRAIN_ROWS = 3000
-TRAIN_CHARS = 20_000
 STEPS = 1000
 _POSITIONS = BLOCK // STRIDE
 
@@ -81,23 +81,25 @@ class ByteNet:
         z = np.hstack([top, mean]) @ self.p["wo"] + self.p["bo"]
         return hidden, top, mean, 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        flat, first = _blocks(texts)
-        step, most = 1024, []
-        for at in range(0, first[-1], step):  # bounded memory for a text of any length
+    def _parts(self, flat: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+        """Responses of a bounded number of blocks at a time, for texts of any length."""
+        step = 1024
+        for at in range(0, first[-1], step):
             to = min(at + step, first[-1])
             last = first[1:] - 1
             last = last[(last >= at) & (last < to)] - at
-            most.append(self._conv(flat[at * BLOCK : to * BLOCK + 2 * STRIDE], last).max(1))
-        blocks = np.maximum(np.concatenate(most) + self.p["b"], 0)
+            yield self._conv(flat[at * BLOCK : to * BLOCK + 2 * STRIDE], last)
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        flat, first = _blocks(texts)
+        blocks = np.maximum(np.concatenate([x.max(1) for x in self._parts(flat, first)]) + self.p["b"], 0)
         left, right, starts = _chunks(first)
         return self._head(np.maximum(blocks[left], blocks[right]), starts)[-1]
 
     def _gradients(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
         flat, first = _blocks(texts)
-        conv = self._conv(flat, first[1:] - 1)
-        where, most = conv.argmax(1), conv.max(1)
+        where, most = (np.concatenate(x) for x in zip(*((x.argmax(1), x.max(1)) for x in self._parts(flat, first)), strict=True))
         left, right, starts = _chunks(first)
         use_right = most[right] > most[left]
         pooled = np.maximum(np.where(use_right, most[right], most[left]) + p["b"], 0)
@@ -162,7 +164,7 @@ def score_quality(docs: DataFrame, sample: list[tuple[str, int, float]]) -> Data
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sample = labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", 5, 0, TRAIN_ROWS, TRAIN_CHARS)
+    sample = labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", 5, 0, TRAIN_ROWS)
     found = score_quality(docs, sample)
     return found.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textarrays as ta
+from corpusloom.llm.shared import ensure_checkpoint_dir
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
@@ -158,7 +159,8 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, min_match: int = M
     side = lambda rows, name: rows.select(F.col(name).cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key")).filter("text is not null")
     items = side(benchmark, "item_id").distinct().mapInArrow(lambda it: _seeds(it, min_match, None), _SEEDS)
     bitmap = sc.broadcast(_bitmap(items))
-    found = side(docs, "doc_id").mapInArrow(lambda it: _seeds(it, min_match, bitmap), _SEEDS)
+    ensure_checkpoint_dir(docs.sparkSession)
+    found = side(docs, "doc_id").mapInArrow(lambda it: _seeds(it, min_match, bitmap), _SEEDS).checkpoint()  # it is joined and counted
     left = found.select(F.col("id").alias("doc_id"), F.col("text_key").alias("doc_key"), "seed", F.col("places").alias("in_doc"))
     right = items.select(F.col("id").alias("item_id"), F.col("text_key").alias("item_key"), F.col("n_words").alias("n_item"), "seed", F.col("places").alias("in_item"))
     # a seed that many documents hold is dealt over several tasks, and its items go to those that have it

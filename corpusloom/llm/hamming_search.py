@@ -18,7 +18,8 @@ many codes share is cut into shares of about ``SHARE`` codes.
 Rows: a null or empty embedding has no code and takes no part; a null element
 counts as not positive; a null id takes no part. Rows that share an id and a
 code count once. Ties go to the smaller id. Tables with fewer than k vectors
-return them all. An empty table gives an empty result.
+return them all. An empty table gives an empty result; columns beyond the id and
+embedding are ignored.
 """
 
 from __future__ import annotations
@@ -77,13 +78,14 @@ def _part(code: str, at: int, size: int) -> str:
     return f"(shiftrightunsigned({code}, {at}) & {(1 << size) - 1}L)"
 
 
-def _index(codes: DataFrame, segments: list[tuple[int, int]]) -> DataFrame:
-    """(segment, value, share, codes): the codes (code, least, n) that hold the value, in shares of bounded size."""
+def _index(codes: DataFrame, segments: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+    """(segment, value, share, codes): the codes (code, least, n) that hold the value, in shares of bounded size;
+    and (segment, value, shares) of the values that have several."""
     parts = F.array(*(F.expr(_part("code", a, n)) for a, n in segments))
     held = codes.select(F.struct("code", "least", "n").alias("c"), F.posexplode(parts).alias("segment", "value"))
-    shares = held.groupBy("segment", "value").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")).filter("shares > 1")
+    shares = held.groupBy("segment", "value").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")).filter("shares > 1").checkpoint()
     held = held.join(shares, ["segment", "value"], "left").withColumn("share", F.pmod(F.xxhash64("c.code"), F.coalesce("shares", F.lit(1))).cast("int"))
-    return held.groupBy("segment", "value", "share").agg(F.collect_list("c").alias("codes"))
+    return held.groupBy("segment", "value", "share").agg(F.collect_list("c").alias("codes")), shares
 
 
 def _nearest(found: DataFrame, k: int) -> DataFrame:
@@ -99,7 +101,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     entries = _entries(codes, k).checkpoint()
     segments = _segments(entries.count(), k)
     m = len(segments)
-    index = _index(entries.select("code", F.col("ids")[0].alias("least"), F.size("ids").alias("n")), segments).checkpoint()
+    index, shares = _index(entries.select("code", F.col("ids")[0].alias("least"), F.size("ids").alias("n")), segments)
+    index = index.checkpoint()
     parts = [f"bit_count({_part('(query ^ c.code)', a, n)})" for a, n in segments]
     least = f"least({', '.join(parts)})"
     first = f"array_position(array({', '.join(parts)}), {least}) - 1"
@@ -124,7 +127,9 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         # a code that several segments find is taken from the first of its closest segments only
         near = f"""slice(array_sort(transform(filter(codes, c -> bit_count(query ^ c.code) <= limit and {least} = {radius} and {first} = segment),
             c -> struct(bit_count(query ^ c.code) as distance, c.least as least, c.code as code, c.n as n))), 1, {k})"""
-        hits = asked.join(index, ["segment", "value"]).select("query", F.expr(near).alias("near")).filter(F.size("near") > 0)
+        # every share of a frequent value is looked up under a key of its own
+        asked = asked.join(shares, ["segment", "value"], "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+        hits = asked.join(index, ["segment", "value", "share"]).select("query", F.expr(near).alias("near")).filter(F.size("near") > 0)
         hits = hits.select("query", F.inline("near")).select("query", "distance", "code", "least", "n")
         found = _nearest(found.unionByName(hits), k).checkpoint()
         known = found.groupBy("query").agg(F.sum("n").alias("known"), F.sum(F.when(F.col("distance") <= m * (radius + 1) - 1, F.col("n"))).alias("covered"), F.max("distance").alias("farthest"))

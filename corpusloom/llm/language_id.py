@@ -4,15 +4,17 @@ Training counts the hashed n-grams of a bounded sample of labelled rows in
 Spark, chosen by language, so that rare languages are learned from all their
 rows however large the table; the priors are the languages' shares in all
 labelled rows. The log-probability matrix has a fixed number of buckets for each
-language and is broadcast. A batch is scored sparsely in numpy: the matrix rows
-of the n-grams that a text holds, summed by document.
-
-Of over ``MAX_LANGUAGES`` values of lang the most frequent are learned, ties by name.
-An empty table gives an empty result; without a training row all texts are ``und``.
+language and is broadcast, in blocks of ``BLOCK`` languages: where there are more,
+the rows go through one block after another with their best language so far, so that
+neither the driver nor a task holds more than a block, and every language is learned.
+A batch is scored sparsely in numpy: the matrix rows of the n-grams that a text
+holds, summed by document, a bounded number of n-grams at a time.
 
 Rows: null text, and text without a letter, is ``und`` with score 0. A null
 doc_id is not held out and never trained on. Rows are scored one by one, so
-repeated rows get equal results; columns beyond doc_id, text and lang are ignored.
+repeated rows get equal results. Very long texts are read as a whole. Columns pass
+through, but for those named like the new ones, which are replaced. An empty table
+gives an empty result; without a training row all texts are ``und``.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import textarrays as ta
-from corpusloom.llm.shared import fold
+from corpusloom.llm.shared import ensure_checkpoint_dir, fold, fresh
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -34,8 +36,10 @@ ORDERS = (1, 2, 3)
 TRAIN_ROWS = 12_000
 #: Added to each count.
 SMOOTHING = 0.5
-#: The most frequent values of lang that are learned; each has a column of the broadcast matrix.
-MAX_LANGUAGES = 1000
+#: Languages of one broadcast matrix.
+BLOCK = 512
+#: Languages up to which their shares of the sample are broadcast.
+_SHARES = 100_000
 _STEP = 1 << 19
 
 
@@ -75,23 +79,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class NaiveBayes:
-    """Languages, and the log-probability of each bucket (rows) in each of them (columns)."""
+    """Languages, the log-probability of each bucket (rows) in each of them (columns), and their priors' logs.
+    docs: the languages' numbers of rows, of ``total`` in all, which other blocks may hold a part of."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray, docs: np.ndarray):
+    def __init__(self, languages: list[str], counts: np.ndarray, docs: np.ndarray, total: float | None = None):
         self.languages = languages
         smooth = counts + SMOOTHING
         self.logs = np.log(smooth / smooth.sum(0)).astype(np.float32)
-        self.priors = np.log(docs / docs.sum()) if len(docs) else np.zeros(0)
+        self.priors = np.log(docs / (docs.sum() if total is None else total)) if len(docs) else np.zeros(0)
 
-    def predict(self, texts: list[str]) -> tuple[list[int], list[float]]:
+    def joint(self, texts: list[str]) -> np.ndarray:
+        """ln of prior times likelihood, texts by languages."""
         sums = np.tile(self.priors, (len(texts), 1))
         for buckets, rows in _grams(texts):
             at = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else []
             if len(at):
                 sums[rows[at]] += np.add.reduceat(self.logs[buckets], at, axis=0, dtype=np.float64)
-        best = sums.argmax(1)
-        sums -= sums.max(1, keepdims=True)
-        return best.tolist(), (1 / np.exp(sums).sum(1)).tolist()
+        return sums
+
+    def predict(self, texts: list[str]) -> tuple[list[int], list[float], list[float]]:
+        """The best language, its joint, and the ln of all joints' sum."""
+        sums = self.joint(texts)
+        top = sums.max(1)
+        return sums.argmax(1).tolist(), top.tolist(), (top + np.log(np.exp(sums - top[:, None]).sum(1))).tolist()
 
 
 def _most(counts: list[int], bound: int) -> int:
@@ -105,44 +115,61 @@ def _most(counts: list[int], bound: int) -> int:
     return most
 
 
-def train(docs: DataFrame, bound: int = TRAIN_ROWS) -> NaiveBayes:
+def train(docs: DataFrame, bound: int = TRAIN_ROWS) -> Iterator[NaiveBayes]:
     """Fits text -> lang on about ``bound`` of the rows that ``docs`` has with a doc_id, a text and a lang: all
-    rows of rare languages, and about as many of each other language, chosen by a hash of the doc_id."""
+    rows of rare languages, and about as many of each other language, chosen by a hash of the doc_id. Gives the
+    model in blocks of languages, by name."""
     rows = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).dropna()
-    by_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect()}
+    by_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     languages = sorted(by_lang)
     most, full = _most(list(by_lang.values()), bound), 1 << 20
-    # at most MAX_LANGUAGES rows
     shares = docs.sparkSession.createDataFrame([(x, n <= most, most / n) for x, n in by_lang.items()], "lang string, all boolean, share double")
     chosen = F.col("all") | (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(full)) < F.col("share") * full)
-    sample = rows.join(F.broadcast(shares), "lang").filter(chosen).select("lang", "text")
+    sample = rows.join(F.broadcast(shares) if len(languages) <= _SHARES else shares, "lang").filter(chosen).select("lang", "text")
     counted = sample.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counts = np.zeros((BUCKETS, len(languages)))
-    at = {x: i for i, x in enumerate(languages)}
-    # at most BUCKETS rows a language
-    for r in counted.collect():
-        counts[r["bucket"], at[r["lang"]]] = r["n"]
-    return NaiveBayes(languages, counts, np.array([by_lang[x] for x in languages], float))
-
-
-def _predict(batches: Iterator[pa.RecordBatch], model, text: str, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    if len(languages) > BLOCK:
+        ensure_checkpoint_dir(docs.sparkSession)
+        counted = counted.checkpoint()
+    for first in range(0, len(languages), BLOCK):
+        own = languages[first : first + BLOCK]
+        counts, at = np.zeros((BUCKETS, len(own))), {x: i for i, x in enumerate(own)}
+        for r in counted.filter(F.col("lang").between(own[0], own[-1])).collect():  # at most BUCKETS rows a language of the block
+            counts[r["bucket"], at[r["lang"]]] = r["n"]
+        yield NaiveBayes(own, counts, np.array([by_lang[x] for x in own], float), float(sum(by_lang.values())))
+
+
+def _predict(batches: Iterator[pa.RecordBatch], model, text: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Adds, or updates, the columns ``names``: the best language, its joint, and the ln of all joints' sum."""
     languages = model.value.languages
     for whole in batches:
         for part in ta.slices(whole, text, 1 << 20):
-            texts = [t if t is not None and any(map(str.isalpha, t)) else None for t in part.column(text).to_pylist()]
-            own = [t for t in texts if t is not None and languages]
-            found = iter(zip(*model.value.predict(own), strict=True)) if own else iter(())
-            got = [("und", 0.0) if t is None or not languages else (languages[(f := next(found))[0]], f[1]) for t in texts]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*part.schema.names, *names])
+            texts = part.column(text).to_pylist()
+            at = [i for i, t in enumerate(texts) if t is not None and any(map(str.isalpha, t))]
+            lang, top, total = (part.column(c).to_pylist() if c in part.schema.names else [x] * len(texts) for c, x in zip(names, ("und", None, None), strict=True))
+            for i, best, own, all_own in zip(at, *model.value.predict([texts[i] for i in at]), strict=True) if at else ():
+                if top[i] is None or own > top[i]:
+                    lang[i], top[i] = languages[best], own
+                total[i] = all_own if total[i] is None else float(np.logaddexp(total[i], all_own))
+            new = [pa.array(lang, pa.string()), pa.array(top, pa.float64()), pa.array(total, pa.float64())]
+            keep = [c for c in part.schema.names if c not in names]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *new], names=[*keep, *names])
 
 
 def identify(docs: DataFrame, training: DataFrame, bound: int = TRAIN_ROWS, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with two columns more, the predicted language and its probability, by a model fitted
     on ``training`` (doc_id, text, lang). ``names`` are the new columns' names; columns that have them are replaced."""
     docs = docs.drop(*names)
-    model = docs.sparkSession.sparkContext.broadcast(train(training, bound))
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return docs.mapInArrow(lambda it: _predict(it, model, "text", names), schema)
+    state = [names[0], *fresh([*docs.columns, *names], "top", "total")]
+    schema = T.StructType([*docs.schema.fields, T.StructField(state[0], T.StringType()), *(T.StructField(c, T.DoubleType()) for c in state[1:])])
+    found, blocks = None, 0
+    for model in train(training, bound):
+        if blocks:
+            found = found.checkpoint()  # so that the block before it is needed no more
+        shared, blocks = docs.sparkSession.sparkContext.broadcast(model), blocks + 1
+        found = (docs if found is None else found).mapInArrow(lambda it, shared=shared: _predict(it, shared, "text", state), schema)
+    if found is None:
+        return docs.withColumns({names[0]: F.lit("und"), names[1]: F.lit(0.0)})
+    return found.withColumn(names[1], F.coalesce(F.exp(F.col(state[1]) - F.col(state[2])), F.lit(0.0))).drop(*state[1:])
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import textarrays as ta
 from corpusloom.llm.graph import components
-from corpusloom.llm.shared import ensure_checkpoint_dir
+from corpusloom.llm.shared import ensure_checkpoint_dir, fresh
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -354,16 +354,18 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def one_of_each_class(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without near-duplicates: of each class the row with the least doc_id stays, once. Rows with null text stay."""
+    """``docs`` without near-duplicates: of each class the row with the least doc_id stays, once. Rows with null text stay.
+    Columns pass through, whatever their names."""
+    own, doc, key = fresh(docs.columns, "own", "least", "digest")
     classes = near_classes(docs, similarity).select("doc_id", "node", "class_node").checkpoint()
     node = F.unhex(F.md5(F.col("text").cast("string").cast("binary")))
-    kept = classes.filter("class_node is not null").groupBy("class_node").agg(F.min_by(F.struct("doc_id", "node"), F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias("_doc"), F.col("k.node").alias("_node"))
-    rows = docs.withColumn("_own", node)
-    same = rows["doc_id"].cast("long").eqNullSafe(kept["_doc"]) & (rows["_own"] == kept["_node"])
+    kept = classes.filter("class_node is not null").groupBy("class_node").agg(F.min_by(F.struct("doc_id", "node"), F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias(doc), F.col("k.node").alias(key))
+    rows = docs.withColumn(own, node)
+    same = rows["doc_id"].cast("long").eqNullSafe(kept[doc]) & (rows[own] == kept[key])
     once = rows.filter("text is not null").join(kept, same, "left_semi")
     if not classes.filter("class_node is not null").groupBy("doc_id", "node").count().filter("count > 1").isEmpty():
-        once = once.dropDuplicates(["doc_id", "_own"])
-    return once.unionByName(rows.filter("text is null")).drop("_own")
+        once = once.dropDuplicates(["doc_id", own])
+    return once.unionByName(rows.filter("text is null")).drop(own)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

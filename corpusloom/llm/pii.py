@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import ensure_checkpoint_dir
+from corpusloom.llm.shared import ensure_checkpoint_dir, fresh
 
 #: Java patterns. Guards and possessive loops keep them linear; they match what the plain forms match.
 KINDS = {
@@ -84,9 +84,9 @@ def _let(name: str, value: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _cut(start: str, end: str) -> str:
+def _cut(start: str, end: str, chunks: str = "chunks") -> str:
     """SQL of the characters from ``start`` up to ``end`` of the text in ``chunks``."""
-    return f"substring(array_join(slice(chunks, int({start} div {_CHUNK}) + 1, int(greatest({end} - 1, 0) div {_CHUNK} - {start} div {_CHUNK}) + 1), ''), int({start} % {_CHUNK}) + 1, int(greatest({end} - {start}, 0)))"
+    return f"substring(array_join(slice({chunks}, int({start} div {_CHUNK}) + 1, int(greatest({end} - 1, 0) div {_CHUNK} - {start} div {_CHUNK}) + 1), ''), int({start} % {_CHUNK}) + 1, int(greatest({end} - {start}, 0)))"
 
 
 def _chunks() -> Column:
@@ -203,19 +203,20 @@ def _written(name: str) -> Column:
 
 def masked(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with the found spans of each text replaced by their kind in angle brackets. Overlapping spans are one."""
-    spans = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "spans").dropDuplicates(["_doc", "_key"])
+    doc, key, cut, chunks = fresh(docs.columns, "doc", "hash", "cut", "chunks")
+    spans = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias(doc), F.col("key").alias(key), "spans").dropDuplicates([doc, key])
     starts = "filter(sequence(0, size(spans) - 1), i -> i = 0 or get(spans, i).start >= get(r, i - 1))"
     islands = """transform(f, (i, n) -> named_struct('start', get(spans, i).start, 'kind', get(spans, i).kind,
         'end', get(r, coalesce(get(f, n + 1), size(spans)) - 1)))"""
     islands = _let("r", _running("transform(spans, s -> s.end)", "0L", "greatest(a, b)"), _let("f", starts, islands))
-    spans = spans.select("_doc", "_key", F.expr(islands).alias("_cut"))
-    rows = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(spans["_doc"]) & (F.xxhash64(docs["text"].cast("string")) == spans["_key"]), "left")
-    rows = rows.withColumn("chunks", F.when(F.col("_cut").isNotNull(), F.regexp_extract_all(docs["text"], F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))))
+    spans = spans.select(doc, key, F.expr(islands).alias(cut))
+    rows = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(spans[doc]) & (F.xxhash64(docs["text"].cast("string")) == spans[key]), "left")
+    rows = rows.withColumn(chunks, F.when(F.col(cut).isNotNull(), F.regexp_extract_all(docs["text"], F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))))
     text = F.expr(f"""concat(
-        array_join(transform(_cut, (s, i) -> concat({_cut("if(i = 0, 0L, get(_cut, i - 1).end)", "s.start")}, '<', upper(s.kind), '>')), ''),
-        {_cut("element_at(_cut, -1).end", "bigint(greatest(size(chunks), 1)) * " + str(_CHUNK))})""")
-    masked_text = F.when(F.col("_cut").isNull(), docs["text"]).otherwise(text)
-    return rows.select(*(masked_text.alias("text") if c == "text" else docs[c] for c in docs.columns))
+        array_join(transform({cut}, (s, i) -> concat({_cut(f"if(i = 0, 0L, get({cut}, i - 1).end)", "s.start", chunks)}, '<', upper(s.kind), '>')), ''),
+        {_cut(f"element_at({cut}, -1).end", f"bigint(greatest(size({chunks}), 1)) * " + str(_CHUNK), chunks)})""")
+    masked_text = F.when(F.col(cut).isNull(), docs["text"]).otherwise(text)
+    return rows.select(*(masked_text.alias(c) if c == "text" else docs[c] for c in docs.columns))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

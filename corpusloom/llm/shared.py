@@ -8,10 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-#: Passages that stand for a text that is too long to be trained on as a whole.
-PASSAGES = 4
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Checkpoints go where spark.checkpoint.dir says. A local session without it, as in tests, gets a folder of
     its own; on a cluster that would be another one on each machine, so there it is an error."""
@@ -23,6 +19,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no taken name equals it in any case."""
+    lower, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in lower:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def fold(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id's decimal text modulo n; null for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -35,13 +41,12 @@ def thinned(rows: DataFrame, key: str, total: int, bound: int, seed: int) -> Dat
     return rows.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, bound: int, max_chars: int, seed: int = 7) -> list[tuple[str, int, float]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, bound: int, seed: int = 7) -> list[tuple[str, int, float]]:
     """(text, label, weight) of at most about ``bound`` labelled training rows, half of each class where there are so many.
 
-    Rows of the held-out fold are never read. Of a text of over ``max_chars`` characters ``PASSAGES`` passages
-    that are spread evenly over it are taken, so that the sample is bounded in bytes and long texts are in it like
-    others. Rows that share a doc_id count once, with the least of their texts. The weights give the classes
-    their shares in all labelled rows.
+    Rows of the held-out fold are never read. Texts are whole, so that what a label is due to is in the sample
+    wherever it stands. Rows that share a doc_id count once, with the least of their texts. The weights give the
+    classes their shares in all labelled rows.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold("doc_id", folds) != held))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
@@ -54,10 +59,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         return []
     # some 12 bytes for each of the bounded number of rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size, part = F.length("text"), max_chars // PASSAGES
-    spread = [F.substring("text", (F.floor((size - part) * i / (PASSAGES - 1)) + 1).cast("int"), F.lit(part)) for i in range(PASSAGES)]
     own = texts.filter("text is not null").join(F.broadcast(chosen), "doc_id")
-    own = own.withColumn("text", F.when(size <= max_chars, F.col("text")).otherwise(F.concat_ws(" ", *spread)))
     rows = own.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).select("doc_id", "text", "label").collect()
     rows = sorted((r["doc_id"], r["text"], r["label"]) for r in rows)
     got = {value: sum(r[2] == value for r in rows) for value in totals}

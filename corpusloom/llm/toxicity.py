@@ -7,14 +7,15 @@ attention pools a window's states into one score. Windows overlap and cover the
 whole text; a document's score is that of its most toxic window.
 
 The network is trained by back-propagation through time and Adam on a bounded
-sample of labelled rows: of each document, its highest-scoring window.
+sample of labelled rows: of each document its highest-scoring window, looked for in
+the whole text in every third reading and among the highest ones of that in the others.
 
 Training makes ``STEPS`` updates, whatever the number of rows. Without a labelled
 row the network stays as it was drawn.
 
 Rows: null and empty texts are scored as a window without words. Rows are
 scored one by one, so repeated rows get equal scores; columns beyond doc_id and
-text are ignored.
+text are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,10 +38,12 @@ DIM = 8
 WORD_ROWS = 1 << 13
 CHAR_ROWS = 1 << 13
 GRAMS = (3, 4, 5)
-#: Labelled rows that are trained on, at most (about), the characters of each at most, and the updates made.
+#: Labelled rows that are trained on, at most (about), and the updates made.
 TRAIN_ROWS = 2400
-TRAIN_CHARS = 8_000
 STEPS = 300
+#: Of every so many readings of a text in training one is in full; the others are of its ``TOP`` highest windows in that one.
+FULL = 3
+TOP = 4
 _BATCH = 1 << 18
 f32 = np.float32
 
@@ -52,6 +55,7 @@ class Vocabulary:
         buf, offs = ta.utf8(texts)
         buf = ta.LOWER[buf]
         starts, ends, first = ta.word_bounds(buf, offs, ta.ALNUM)
+        self.buf, self.starts, self.ends = buf, starts, ends
         hashes, at, self.index = np.unique(ta.word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
         self.word_row = (hashes & ta.U64(WORD_ROWS - 1)).astype(np.int64)
         # the distinct words side by side, each between two zero bytes
@@ -86,6 +90,13 @@ class Vocabulary:
         self.window_start = first[self.window_text] + nth * step
         self.window_size = np.clip(first[self.window_text + 1] - self.window_start, 0, WINDOW)
 
+    def highest(self, text: int, logit: np.ndarray, n: int) -> list[str]:
+        """The n windows of the text with the highest log-odds, as texts of one window each."""
+        at = np.arange(self.text_start[text], self.text_start[text + 1])
+        at = at[np.argsort(-logit[at], kind="stable")[:n]]
+        at = at[self.window_size[at] > 0]
+        return [bytes(self.buf[self.starts[w] : self.ends[w + k - 1]]).decode() for w, k in zip(self.window_start[at], self.window_size[at], strict=True)]
+
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers (windows x WINDOW) and which of them are there."""
         there = np.arange(WINDOW) < self.window_size[chosen][:, None]
@@ -199,19 +210,26 @@ class GatedNet:
     def fit(self, rows: list[tuple[str, int, float]], steps: int = STEPS, size: int = 64, rate: float = 0.02, seed: int = 13) -> GatedNet:
         rng = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
-        t, steps = 0, steps if rows else 0
+        t, steps, reading = 0, steps if rows else 0, 0
+        highest: list[list[str]] = [[] for _ in rows]
         while t < steps:
-            order = rng.permutation(len(rows))
+            order, full = rng.permutation(len(rows)), reading % FULL == 0
+            reading += 1
             for i in range(0, len(order), size):
                 part = [rows[j] for j in order[i : i + size]]
                 if t == steps:
                     break
-                vocabulary = Vocabulary(pa.array([x[0] for x in part], pa.string()))
+                texts = [[x[0]] if full else highest[j] or [""] for j, x in zip(order[i : i + size], part, strict=True)]
+                vocabulary = Vocabulary(pa.array([x for own in texts for x in own], pa.string()))
                 if not len(vocabulary.word_row):
                     steps -= 1  # a part without a word teaches nothing
                     continue
                 logit = self.logits(vocabulary)
-                chosen = np.array([a + int(logit[a:b].argmax()) for a, b in zip(vocabulary.text_start, vocabulary.text_start[1:], strict=False)])
+                cuts = vocabulary.text_start[np.r_[0, np.cumsum([len(own) for own in texts])]]
+                chosen = np.array([a + int(logit[a:b].argmax()) for a, b in zip(cuts, cuts[1:], strict=False)])
+                if full:
+                    for k, j in enumerate(order[i : i + size]):
+                        highest[j] = vocabulary.highest(k, logit, TOP)
                 g = self._gradients(vocabulary, chosen, np.array([x[1] for x in part], f32), np.array([x[2] for x in part], f32))
                 t += 1
                 lr = rate * (1 - t / (steps + 1))
@@ -238,7 +256,7 @@ def score_toxicity(docs: DataFrame, sample: list[tuple[str, int, float]]) -> Dat
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sample = labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", 5, 0, TRAIN_ROWS, TRAIN_CHARS)
+    sample = labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", 5, 0, TRAIN_ROWS)
     found = score_toxicity(docs, sample)
     return found.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

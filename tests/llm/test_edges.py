@@ -25,19 +25,19 @@ def test_fold_is_crc32_of_the_decimal_text(spark):
 def test_labelled_sample(spark):
     rows = [(i, f"text {i}") for i in range(400)] + [(7, "aaa"), (7, "zzz"), (500, None), (None, "x"), (501, "".join(chr(97 + i // 1000) for i in range(10_000)))]
     labels = spark.createDataFrame([(i, int(i % 4 == 0), "t") for i in [*range(400), 500, 501]] + [(None, 1, "t")] + [(3, None, "t"), (9, 5, "t")], "doc_id long, toxic int, text string")
-    sample = shared.labelled_sample(docs(spark, rows), labels, "toxic", 5, 0, 60, 400)
-    every = shared.labelled_sample(docs(spark, rows), labels, "toxic", 5, 0, 10_000, 400)
+    sample = shared.labelled_sample(docs(spark, rows), labels, "toxic", 5, 0, 60)
+    every = shared.labelled_sample(docs(spark, rows), labels, "toxic", 5, 0, 10_000)
     texts = [t for t, _, _ in every]
     wanted = {i for i in [*range(400), 501] if zlib.crc32(str(i).encode()) % 5}
     assert len(texts) == len(set(texts)) == len(wanted)  # no held-out row, no null text, each doc_id once
     assert {t for t in texts if t.startswith("text ")} == {f"text {i}" for i in wanted if i not in (7, 501)} and ("aaa" in texts) == (7 in wanted)
     long = [t for t in texts if len(t) > 100]
-    assert (501 in wanted) == bool(long) and all(len(t) == 403 and t[0] == "a" and t[-1] == "j" for t in long)
+    assert (501 in wanted) == bool(long) and all(t == rows[-1][1] for t in long)  # whole, however long
     of = Counter(y for _, y, _ in sample)
     assert 10 <= of[0] <= 50 and 10 <= of[1] <= 50
     share = sum(w for _, y, w in sample if y) / sum(w for _, _, w in sample)
     assert abs(share - sum(i % 4 == 0 for i in wanted) / len(wanted)) < 0.02
-    assert shared.labelled_sample(docs(spark, rows), labels.limit(0), "toxic", 5, 0, 60, 400) == []
+    assert shared.labelled_sample(docs(spark, rows), labels.limit(0), "toxic", 5, 0, 60) == []
 
 
 # --- 5
@@ -48,7 +48,8 @@ def test_naive_bayes_scores_by_hand():
     rng = np.random.default_rng(1)
     counts = rng.integers(0, 9, (language_id.BUCKETS, 3)).astype(float)
     model = language_id.NaiveBayes(["x", "y", "z"], counts, np.array([1.0, 2.0, 5.0]))
-    best, score = model.predict(texts)
+    best, top, total = model.predict(texts)
+    score = np.exp(np.array(top) - total)
     sums = [[math.log(n / 8) for n in (1, 2, 5)] for _ in texts]
     totals = (counts + language_id.SMOOTHING).sum(0)
     for buckets, rows in language_id._grams(texts):
@@ -59,13 +60,26 @@ def test_naive_bayes_scores_by_hand():
         assert best[i] == s.index(max(s)) and abs(score[i] - 1 / sum(math.exp(x - max(s)) for x in s)) < 1e-4
 
 
-def test_more_languages_than_are_learned(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
-    rows = [(i, "aaa bbb", "a") for i in range(6)] + [(i, "ccc ddd", "b") for i in range(6, 10)] + [(20, "xxx", "c")]
-    out = language_id.identify(docs(spark, rows), docs(spark, rows)).collect()
-    assert {r.lang_pred for r in out} == {"a", "b"} and all(r.lang_pred == r.lang for r in out if r.lang != "c")
-    assert language_id.identify(docs(spark, []), docs(spark, [])).count() == 0
-    assert [r.lang_pred for r in language_id.identify(docs(spark, rows[:1]), docs(spark, [])).collect()] == ["und"]
+@pytest.mark.parametrize("block", [1, 2, 4])
+def test_languages_in_blocks_equal_one_matrix(spark, monkeypatch, block):
+    rng = random.Random(8)
+    rows = [(i, " ".join(words(rng, 20, 30)) + " " + x * 3, x) for i, x in enumerate(rng.choice("abcdefg") for _ in range(150))] + [(900, None, "a"), (901, "123", "b")]
+    table = docs(spark, rows)
+    whole = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(table, table).collect()}
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    parts = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(table, table).collect()}
+    assert {d: x for d, (x, _) in whole.items()} == {d: x for d, (x, _) in parts.items()}
+    assert all(abs(parts[d][1] - s) < 1e-6 for d, (_, s) in whole.items()) and parts[900] == parts[901] == ("und", 0.0)
+
+
+def test_a_thousand_and_one_languages(spark):
+    """Each has one row and a word of its own; none is left out."""
+    word = lambda i: "".join(chr(0x3400 + i * 7 + k) for k in range(6))
+    table = docs(spark, [(i, f"{word(i)} {word(i)}", f"l{i:04}") for i in range(1001)])
+    out = language_id.identify(table, table).collect()
+    assert len(out) == 1001 and all(r.lang_pred == r.lang for r in out)
+    assert language_id.identify(table.limit(0), table.limit(0)).count() == 0
+    assert [r.lang_pred for r in language_id.identify(table.limit(1), table.limit(0)).collect()] == ["und"]
 
 
 # --- 6

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_quality, language_id, near_dedup, packing
-from tests.llm.test_operators import docs
+import pyarrow as pa
+from corpusloom.llm import byte_quality, language_id, near_dedup, packing, shared
+from tests.llm.test_operators import docs, words
 
 # --- 3, packing
 
@@ -62,7 +63,7 @@ def test_rare_languages_are_learned_whatever_the_table_size(spark):
     make = lambda lang: " ".join("".join(rng.choice(alphabets[lang]) for _ in range(6)) for _ in range(15))
     rows = [(i, make(lang), lang) for i, lang in enumerate(["xx"] * 5000 + ["yy"] * 1000 + ["zz"] * 6)]
     unseen = [(10_000 + i, make("zz" if i % 2 else "xx")) for i in range(40)]
-    model = language_id.train(docs(spark, rows), 200)
+    [model] = language_id.train(docs(spark, rows), 200)
     assert model.languages == ["xx", "yy", "zz"]
     assert np.allclose(model.priors, np.log(np.array([5000, 1000, 6]) / 6006))
     # all six rows of zz are counted: no bucket of theirs is at the smoothing alone
@@ -121,3 +122,40 @@ def test_byte_net_gradients_stop_at_a_texts_end():
             down = loss()
             flat[i] = old
             assert abs((up - down) / (2 * e) - g[name].reshape(-1)[i]) < 1e-4 + 0.02 * abs(g[name].reshape(-1)[i]), name
+
+
+# --- long texts and clashing columns
+
+
+def test_a_cause_in_the_middle_of_a_long_text_is_sampled(spark):
+    """The only toxic words of the toxic texts stand near their middle, among 9,000 characters; whole texts are sampled."""
+    rng = random.Random(31)
+    long = lambda n, cause: " ".join(words(rng, n, 200)) + f" {cause} " + " ".join(words(rng, n, 200))
+    rows = [(i, long(1100, "zzqxj zzqxj zzqxj" if i % 2 else "w1 w2 w3")) for i in range(1, 60)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    sample = shared.labelled_sample(docs(spark, rows), labels, "toxic", 5, 0, 1000)
+    assert {t for t, _, _ in sample} <= {t for _, t in rows} and all(("zzqxj" in t) == (y == 1) for t, y, _ in sample)
+    assert max(len(t) for t, _, _ in sample) > 8_000
+    fresh = [long(9000, "zzqxj"), long(9000, "w4")]
+    assert np.allclose(byte_quality.ByteNet().score([t.encode() for t in fresh]), [byte_quality.ByteNet().score([t.encode()])[0] for t in fresh], atol=1e-5)
+
+
+def test_stages_pass_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(32)
+    text = lambda i: " ".join(words(rng, 60, 2000)) + f" mail a{i}@example.org phone +1 555 010 0{i:03}"
+    names = "chunks _cut cut _own own _doc _key hash digest least _score _language language probability top total node key spans seed salt class Chunks2".split()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names)
+    rows = [(i, text(i), "en", "s", 9, *(f"{c}{i}" for c in names)) for i in range(40)]
+    rows += [(90, rows[3][1], "en", "s", 9, *("copy" for _ in names)), (91, None, "en", "s", 0, *("x" for _ in names))]
+    spark.createDataFrame([(1, " ".join(words(rng, 30)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    table, at = spark.createDataFrame(rows, schema), None
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, table if at is None else at, str(tmp_path)).checkpoint()
+        assert at.columns == table.columns, name
+    out = {r.doc_id: r for r in at.collect()}
+    assert set(out) == set(range(40))
+    for r in rows[:40]:
+        assert out[r[0]][5:] == r[5:] and "<EMAIL>" in out[r[0]].text
+    assert corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).count() >= 40
