@@ -1,110 +1,12 @@
-"""Full-text search over a postings table, and page and section location."""
+"""Substring search, page and section location."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Letters with accents and what they fold to.
-_ACCENTED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-
-
-def folded(text: Column) -> Column:
-    return F.translate(F.lower(text), _ACCENTED, _PLAIN)
-
-
-@dataclass(frozen=True)
-class Index:
-    """postings: (key, term, tf, positions, length of the document); stats: one row (n_docs, average) over documents with a
-    token; buckets: of a stored index, the number of parts that terms are dealt over."""
-
-    postings: DataFrame
-    stats: DataFrame
-    buckets: int | None = None
-
-    def of(self, terms: Sequence[str]) -> DataFrame:
-        """The terms' postings. Of a stored index only the terms' own parts are read."""
-        rows = self.postings.filter(F.col("term").isin(*terms))
-        return rows if self.buckets is None else rows.filter(F.col("bucket").isin(*(_bucket(F.lit(t), self.buckets) for t in terms)))
-
-
-def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-def postings(docs: DataFrame, key: str, *texts: str) -> Index:
-    """The index of the texts, folded. Tokens are runs of letters and digits."""
-    tokens = F.filter(F.split(folded(F.concat_ws(" ", *texts)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    rows = docs.select(key, tokens.alias("_tokens")).filter(F.size("_tokens") > 0)
-    stats = rows.agg(F.count("*").alias("n_docs"), F.avg(F.size("_tokens")).alias("average"))
-    each = rows.select(key, F.size("_tokens").alias("length"), F.posexplode("_tokens").alias("position", "term"))
-    grouped = each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"), F.first("length").alias("length"))
-    return Index(grouped, stats)
-
-
-def save_index(index: Index, folder: str, buckets: int = 64) -> None:
-    """Writes the postings dealt by the terms' hashes and sorted by term, so that a query reads the row groups of its terms."""
-    rows = index.postings.withColumn("bucket", _bucket(F.col("term"), buckets))
-    rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
-    index.stats.withColumn("buckets", F.lit(buckets)).write.parquet(f"{folder}/stats")
-
-
-def open_index(spark: SparkSession, folder: str) -> Index:
-    stats = spark.read.parquet(f"{folder}/stats")
-    return Index(spark.read.parquet(f"{folder}/postings"), stats.drop("buckets"), stats.first()["buckets"])
-
-
-def query_terms(query: str) -> list[str]:
-    """Distinct folded tokens of a query; special characters part them."""
-    import re
-
-    table = str.maketrans(_ACCENTED, _PLAIN)
-    return list(dict.fromkeys(t for t in re.split(r"[^\w]+|_", query.lower().translate(table)) if t))
-
-
-def matching(index: Index, key: str, terms: Sequence[str]) -> DataFrame:
-    """Keys of the documents that hold all terms; none for no terms."""
-    if not terms:
-        return index.postings.select(key).limit(0)
-    return index.of(terms).groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") == len(terms)).select(key)
-
-
-def search_bm25(index: Index, key: str, query: str, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of the documents with all terms, best first, ties by key. Only the query's terms leave the postings."""
-    terms = query_terms(query)
-    hits = index.of(terms)
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row a term
-    both = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(index.stats))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average")))
-    scored = both.groupBy(key).agg(F.round(F.sum(idf * gain), 6).alias("score"), F.count("*").alias("n")).filter(F.col("n") == len(terms))
-    return scored.select(key, "score").orderBy(F.col("score").desc(), key).limit(limit)
-
-
-def search_phrase(index: Index, key: str, phrase: str, excluded: Sequence[str] = ()) -> DataFrame:
-    """Keys of the documents with the words in a row and none of the excluded words, all of them folded."""
-    words = query_terms_in_order(phrase)
-    if not words:
-        return index.postings.select(key).limit(0)
-    places = {w: [i for i, x in enumerate(words) if x == w] for w in words}
-    offsets = F.create_map(*(c for w, at in places.items() for c in (F.lit(w), F.array(*map(F.lit, at)))))
-    starts = F.flatten(F.transform(offsets[F.col("term")], lambda o: F.transform("positions", lambda p: p - o)))
-    runs = index.of(list(places)).select(key, F.explode(starts).alias("_start")).groupBy(key, "_start").agg(F.count("*").alias("n"))
-    found = runs.filter(F.col("n") == len(words)).select(key).distinct()
-    without = query_terms(" ".join(excluded))
-    return found if not without else found.join(index.of(without).select(key).distinct(), key, "left_anti")
-
-
-def query_terms_in_order(phrase: str) -> list[str]:
-    import re
-
-    table = str.maketrans(_ACCENTED, _PLAIN)
-    return [t for t in re.split(r"[^\w]+|_", phrase.lower().translate(table)) if t]
-
-
 def search_substring(docs: DataFrame, text: Sequence[str], needle: str, order: Sequence[Column]) -> DataFrame:
     """Documents any of whose columns contains the needle, whatever the case; none for a blank needle."""
     if not needle.strip():

@@ -3,46 +3,74 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators import searchindex as search
 from corpusloom.operators import textsearch as op
 from corpusloom.plans.registry import query
 from corpusloom.plans.views import Views
 from corpusloom.sources import links
 from corpusloom.sources.tables import shared_folder
 
-_TOKENS = """with tok as (select id, unnest(list_filter(regexp_split_to_array(translate(lower(concat_ws(' ', text, source)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) as term from txt),
-tf as (select id, term, count(*) as tf from tok group by 1, 2), len as (select id, count(*) as length from tok group by 1),
-m as (select id from tf where term in ('the', 'with', 'src5') group by 1 having count(*) = 3)"""
+_FOLD = "translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
+_COLUMNS = ("text", "source", "lang", "n_chars")
+_TOKENS = "with tok as (" + " union all ".join(
+    f"select id, {i} as col, unnest(w) as term, generate_subscripts(w, 1) as pos from (select id, regexp_extract_all({_FOLD.format(f'cast({c} as varchar)')}, '[\\p{{L}}\\p{{N}}]+') as w from txt)" for i, c in enumerate(_COLUMNS)
+) + """),
+tf as (select id, term, count(*) as tf from tok group by 1, 2), len as (select id, count(*) as length from tok group by 1), size as (select count(*) as n, avg(length) as average from len)"""
+#: The documents have no date; this stands for one.
+_DAY = "case when id % 7 = 0 then null else id % 50 end"
 
+_INDEXES: dict[tuple[str, str, int, int], str] = {}
 
-_INDEXES: dict[tuple[str, str], str] = {}
 
-
-def _index(v: Views, fresh: bool = False) -> op.Index:
-    """The stored index of a folder's texts: made by the application's first search of it, then read."""
-    place = v.spark.sparkContext.applicationId, v.dir
-    if fresh or place not in _INDEXES:
-        folder = shared_folder(v.spark)
-        op.save_index(op.postings(v.txt, "id", "text", "source"), folder)
-        _INDEXES[place] = folder
-    return op.open_index(v.spark, _INDEXES[place])
+def _index(v: Views, fresh: bool = False) -> search.Index:
+    """The stored index of a folder's texts: made by the application's first search of them, then read as long as the table stays as it is."""
+    path = v.spark._jvm.org.apache.hadoop.fs.Path(f"{v.dir}/documents.parquet")
+    files = path.getFileSystem(v.spark.sparkContext._jsc.hadoopConfiguration())
+    place = v.spark.sparkContext.applicationId, v.dir, files.getFileStatus(path).getModificationTime(), files.getContentSummary(path).getLength()
+    if not fresh and place in _INDEXES:
+        return search.open_index(v.spark, _INDEXES[place])
+    _INDEXES[place] = shared_folder(v.spark)
+    return search.save_index(v.txt, _INDEXES[place], "id", *_COLUMNS)
 
 
 @query(_TOKENS + " select term, count(*) as df, cast(sum(tf) as bigint) as occurrences, min(id) as first_id from tf group by 1")
 def search_index(v: Views) -> DataFrame:
-    rows = _index(v, fresh=True).postings
-    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("occurrences"), F.min("id").alias("first_id"))
+    blocks = _index(v, fresh=True).blocks.filter("term != ''")
+    return blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("occurrences").alias("occurrences"), F.min(F.array_min("keys")).alias("first_id"))
+
+
+_BM25 = """, hits as (select id, term as part, tf from tf where term in ('the', 'with', 'er') union all
+  select a.id, 'of the', count(*) from tok a join tok b on b.id = a.id and b.col = a.col and b.pos = a.pos + 1 where a.term = 'of' and b.term = 'the' group by 1),
+df as (select part, count(*) as df from hits group by 1), m as (select id from hits group by 1 having count(*) = 4)"""
 
 
-@query(_TOKENS + """, df as (select term, count(*) as df from tf where term in ('the', 'with', 'src5') group by 1), s as (select tf.id,
-round(sum(ln(1 + ((select count(*) from len) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (select avg(length) from len)))), 6) as score
-from tf join df on df.term = tf.term join len on len.id = tf.id where tf.id in (select id from m) group by 1) select id, score from s order by score desc, id limit 20""")
+@query(_TOKENS + _BM25 + f""", s as (select hits.id, round(sum(greatest(ln(((select n from size) - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (select average from size)))), 6) as score
+from hits join df on df.part = hits.part join len on len.id = hits.id where hits.id in (select id from m) group by 1)
+select txt.id, score, {_DAY} as day from s join txt on txt.id = s.id where lang = 'en' order by score desc, day desc nulls last, txt.id limit 20""".replace("id % 7", "txt.id % 7").replace("else id", "else txt.id"))
 def search_bm25(v: Views) -> DataFrame:
-    return op.search_bm25(_index(v), "id", "the WITH (src5)", 20)
+    docs = v.txt.withColumn("day", F.expr(_DAY))
+    found = search.search_bm25(_index(v), "the WITH of-the (er)", 20, docs, "id", "lang", "en", "day")
+    return found.select(F.col("key").alias("id"), "score", F.col("date").alias("day"))
+
+
+# the forms of the query's stems; every end of a shortest stretch is a word of it, its start the last place by which both have come
+_STEMS = r"""with w as (select id, regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{L}\p{N}]+') as w from txt),
+t as (select id, unnest(w) as term, generate_subscripts(w, 1) as pos from w),
+c as (select id, pos, case when regexp_matches(term, '^an(e|es|ed|ing|ingly|edly|ee)$') then 'ane' when regexp_matches(term, '^ha(ed|ing|edly|ingly)?$') then 'ha'
+  when regexp_matches(term, '^on(e|es|ed|ing|ingly|edly|ee)$') then 'one' when regexp_matches(term, '^ea(ed|ing|edly|ingly)?$') then 'ea' when regexp_matches(term, '^re(ing|ingly)?$') then 're' end as stem from t),
+near as (select a.id, a.stem, b.stem as next from c a join c b on b.id = a.id and b.pos = a.pos + 1),
+p as (select id, pos, max(case when stem = 'ane' then pos end) over w as x, max(case when stem = 'ha' then pos end) over w as y from c where stem in ('ane', 'ha') window w as (partition by id order by pos)),
+b as (select id, pos, least(x, y) as start, lag(least(x, y)) over (partition by id order by pos) as before from p where x is not null and y is not null),
+one as (select id, sum(0.1 / (1 + pos - start + 1 - 2)) as score from b where before is null or start > before group by 1),
+r as (select id, score from one where id not in (select id from near where stem = 'ea' and next = 're') union all select id, 0.1 * count(*) from near where stem = 'one' and next = 'one' group by 1),
+best as (select id, round(max(cast(score as double)), 6) as score from r group by 1)"""
 
 
-@query("select id from txt where regexp_matches(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '(^|[^\\p{L}\\p{N}])of[^\\p{L}\\p{N}]+the([^\\p{L}\\p{N}]|$)') and not regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])what([^\\p{L}\\p{N}]|$)')")
+@query(_STEMS + f" select id, score, day from (select txt.id, score, {_DAY.replace('id %', 'txt.id %')} as day from best join txt on txt.id = best.id) order by score desc, day desc nulls last, id limit 200")
 def search_phrase(v: Views) -> DataFrame:
-    return op.search_phrase(_index(v), "id", '"Of the"', ["-What"])
+    docs = v.txt.withColumn("day", F.expr(_DAY))
+    found = search.search_web(_index(v), 'aned the -"EA re" HAING or "oned one" or -', 200, docs, "id", date="day")
+    return found.select(F.col("key").alias("id"), "score", F.col("date").alias("day"))
 
 
 @query("select id, lang from txt where contains(lower(text), 'tion an') or contains(lower(source), 'tion an')")
@@ -50,9 +78,9 @@ def search_substring(v: Views) -> DataFrame:
     return op.search_substring(v.txt, ["text", "source"], "TION an", [F.col("n_chars").desc(), F.col("id")]).select("id", "lang")
 
 
-@query(_TOKENS + " select count(*) as n from m")
+@query(_TOKENS + _BM25 + " select count(*) as n from m join txt on txt.id = m.id where lang = 'en'")
 def search_count(v: Views) -> DataFrame:
-    return op.matching(_index(v), "id", ["the", "with", "src5"]).agg(F.count("*").alias("n"))
+    return search.count_matches(_index(v), search.plain_query("the WITH of-the (er)"), v.txt, "id", "lang", "en")
 
 
 @query("with l as (select id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as page from txt) select id, cast(page as int) as page, trim(line, ' ') as text from l")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import expressions as fn
 from corpusloom.operators import aggregates, incremental, joins, windows
+from corpusloom.operators import searchindex as ranked
 from corpusloom.operators import textsearch as search
 from corpusloom.sources import links
 
@@ -55,12 +56,12 @@ def test_keyword_excerpt_merges_windows(spark):
     assert by[1] == "a" * 50 + "\n…\n" + "xxxxxKEYyyyyyyyyyyKEYzzzzz" + "\n…\n" + "b" * 50 and by[2] == "short"
 
 
-def test_search_needs_all_terms_and_folds_accents(spark):
+def test_search_needs_all_terms_and_folds_accents(spark, tmp_path):
     docs = spark.createDataFrame([(1, "Pension réform vote"), (2, "pension vote vote"), (3, "reform"), (4, None)], "id long, t string")
-    index = search.postings(docs, "id", "t")
-    assert [r.id for r in search.search_bm25(index, "id", "VOTE (pension)", 10).collect()] == [2, 1]
-    assert [r.id for r in search.search_phrase(index, "id", "pension reform").collect()] == [1]
-    assert search.search_phrase(index, "id", "vote", ["reform"]).count() == 1 and search.search_bm25(index, "id", " ", 5).count() == 0
+    index = ranked.save_index(docs, str(tmp_path / "index"), "id", "t")
+    assert [r.key for r in ranked.search_bm25(index, "VOTE (pension)", 10).collect()] == [2, 1]
+    assert [r.key for r in ranked.search_web(index, '"pension reform"', 10).collect()] == [1]
+    assert ranked.search_web(index, "vote -reform", 10).count() == 1 and ranked.search_bm25(index, " ", 5).count() == 0
 
 
 def test_drift_and_range(spark):
