@@ -98,25 +98,6 @@ def coverage_gap(entities: DataFrame, key: str, active: DataFrame, size: str) ->
     return entities.join(active.select(key), key, "left_anti").orderBy(F.coalesce(size, F.lit(0.0)).desc(), key)
 
 
-def claim_check(claims: DataFrame, claim: str, variants: str, corpus: DataFrame, text: str) -> DataFrame:
-    """(claim, supported): whether any variant of a claim is a substring of any text.
-
-    A text that holds a variant holds the variant's inner words as words, so texts are joined to
-    variants on the longest of these and only then searched. Variants of fewer than three words
-    have no inner word; they are compared with every text, by a nested loop over the variants.
-    """
-    probes = claims.select(claim, F.explode(variants).alias("_variant")).distinct()
-    inner = F.expr("slice(split(_variant, '[ \\t\\n\\r]+'), 2, greatest(size(split(_variant, '[ \\t\\n\\r]+')) - 2, 0))")
-    probes = probes.withColumn("_word", F.array_max(F.transform(F.filter(inner, lambda w: w != ""), lambda w: F.struct(F.length(w), w.alias("w"))))["w"])
-    texts = corpus.select(F.col(text).alias("_text")).filter("_text is not null")
-    keyed = probes.filter("_word is not null")
-    words = texts.select("_text", F.explode(F.array_distinct(F.split("_text", "[ \\t\\n\\r]+"))).alias("_word"))
-    found = words.join(keyed, "_word").filter(F.contains("_text", "_variant")).select(claim)
-    short = probes.filter("_word is null")
-    found = found.unionByName(short.join(texts, F.contains("_text", "_variant"), "left_semi").select(claim)).distinct().withColumn("_hit", F.lit(True))
-    return claims.select(claim).distinct().join(found, claim, "left").select(claim, F.coalesce("_hit", F.lit(False)).alias("supported"))
-
-
 def orphan_check(children: Sequence[tuple[str, DataFrame, str, str, DataFrame, str]]) -> DataFrame:
     """(table, column, id) of every child row whose non-null parent is missing.
 

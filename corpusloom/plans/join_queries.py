@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators import claims
 from corpusloom.operators import joins as op
 from corpusloom.plans.registry import query
 from corpusloom.plans.views import Views
@@ -135,16 +136,19 @@ def coverage_gap(v: Views) -> DataFrame:
     return op.coverage_gap(v.plan.select("id", "name", "size"), "id", active, "size").withColumn("size", F.coalesce("size", F.lit(0.0)))
 
 
-# the four quarters of an item are its claims; the last has the rest
+# the four quarters of an item are its claims, the last with the rest, some letters in capitals; so is its first word, and one word of the corpus in another's place
 @query("""with q as (select item_id, i, length(text) // 4 as n, text from bench, (select unnest([0, 1, 2, 3]) as i) t),
-c as (select concat(item_id, ':', i) as claim, case when i < 3 then substr(text, i * n + 1, n) else substr(text, 3 * n + 1) end as part from q)
-select claim, exists (select 1 from txt where contains(txt.text, c.part)) as supported from c""")
+c as (select concat(item_id, ':', i) as claim, case when i < 3 then substr(text, i * n + 1, n) else substr(text, 3 * n + 1) end as part from q
+  union all select concat(item_id, ':word'), split_part(text, ' ', 1) from bench union all select concat(item_id, ':pair'), concat(split_part(text, ' ', 2), ' ', split_part(text, ' ', 1)) from bench)
+select claim, exists (select 1 from txt where contains(lower(txt.text), lower(c.part))) as supported from c""")
 def claim_check(v: Views) -> DataFrame:
     n = F.floor(F.length("text") / 4).cast("int")
     quarters = [F.substring("text", i * n + 1, n) for i in range(3)] + [F.substring("text", 3 * n + 1, F.length("text"))]
-    parts = v.bench.select("item_id", F.posexplode(F.array(*quarters)).alias("i", "part"))
-    claims = parts.select(F.concat_ws(":", "item_id", "i").alias("claim"), F.array("part").alias("variants"))
-    return op.claim_check(claims, "claim", "variants", v.txt, "text")
+    word = F.split("text", " ")
+    parts = [*((F.lit(str(i)), F.translate(x, "abcdefgh", "ABCDEFGH")) for i, x in enumerate(quarters)), (F.lit("word"), word[0]), (F.lit("pair"), F.concat_ws(" ", word[1], word[0]))]
+    each = v.bench.select("item_id", F.explode(F.array(*(F.struct(k.alias("kind"), x.alias("part")) for k, x in parts))).alias("p"))
+    rows = each.select(F.concat_ws(":", "item_id", "p.kind").alias("claim"), F.array("p.part").alias("variants"))
+    return claims.claim_check(rows, "claim", "variants", v.txt, "text")
 
 
 @query("""select 'doc' as table_name, 'plan_id' as column_name, id from doc where plan_id is not null and plan_id not in (select id from plan where id % 50 <> 0)

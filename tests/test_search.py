@@ -120,7 +120,7 @@ def test_pruned_ranking_equals_scoring_everything(spark, corpus, tmp_path, monke
 def test_few_segments_are_read_where_lengths_differ(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(search, "SEGMENT", 8)
     monkeypatch.setattr(search, "FIRST", 2)
-    docs = spark.createDataFrame([(i, "vote " + "filler " * (i % 100)) for i in range(400)], "id long, text string").repartition(1)
+    docs = spark.createDataFrame([(i, "vote " * (i % 4 == 0) + "filler " * (1 + i % 100)) for i in range(400)], "id long, text string").repartition(1)
     index = search.save_index(docs, str(tmp_path / "index"), "id", "text")
     read, plain = [], search.matching
     monkeypatch.setattr(search, "matching", lambda i, q, s=None: read.append(s.count()) or plain(i, q, s))
