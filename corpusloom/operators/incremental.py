@@ -33,6 +33,20 @@ def batch_triggers(batch: DataFrame, title: str, keywords: Sequence[str], volume
     return facts.crossJoin(late.agg(F.count("*").alias("n_reappear")))
 
 
+def trigger_reasons(batch: DataFrame, title: str, keywords: Sequence[str], volume: int, last_seen: DataFrame, entity: str = "entity_id", at: str = "ts", days: int = 30, order: Sequence[Column] = ()) -> DataFrame:
+    """(reason): ``volume:n`` for a batch of more rows than allowed, ``keyword:k`` for the first row in order that names a keyword
+    (literally, whatever the case; the first such keyword), and ``reappear:e`` for each entity whose row in ``last_seen``
+    (entity, at) is before the whole batch and over so many days before its newest row. No row for an empty batch."""
+    low = F.lower(title)
+    named = F.coalesce(*(F.when(low.contains(k.lower()), F.lit(k.lower())) for k in keywords)) if keywords else F.lit(None).cast("string")
+    facts = batch.agg(F.count("*").alias("n"), F.min(at).alias("began"), F.max(at).alias("ended"))
+    loud = facts.filter(F.col("n") > volume).select(F.concat(F.lit("volume:"), "n").alias("reason"))
+    hit = batch.withColumn("_k", named).filter("_k is not null").orderBy(*(order or [F.col(entity), F.col(at).desc()])).limit(1).select(F.concat(F.lit("keyword:"), "_k").alias("reason"))
+    seen = last_seen.select(entity, F.col(at).alias("_last")).join(batch.select(entity).distinct(), entity).crossJoin(F.broadcast(facts))  # facts: one row
+    late = seen.filter((F.col("_last") < F.col("began")) & (F.col("_last") < F.col("ended") - F.expr(f"interval {days} days")))
+    return loud.unionByName(hit).unionByName(late.select(F.concat(F.lit("reappear:"), F.col(entity).cast("string")).alias("reason")))
+
+
 def digest_rows(batch: DataFrame, key: str, line: Column, order: Sequence[str], quiet: str = "No new documents.") -> DataFrame:
     """One text per entity with a line for each document; one row with a null key that says so for an empty batch."""
     lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, line.alias("_line")))), lambda x: x["_line"]), "\n")

@@ -1,20 +1,30 @@
-"""The incremental operators over streams of files. Each run takes what is new and stops (``availableNow``)."""
+"""The incremental operators over streams of files. Each run takes what is new and stops (``availableNow``).
+
+Two ways keep state. Where an entity's rows must be taken in the order of their event times, rows wait in
+the entity's state until the watermark has passed them, so that late and unordered files give the result
+that all rows together would give; an entity that stays silent for long enough is forgotten. Where a batch is
+judged as a whole, what earlier batches decided lies in tables with a part for each batch: a batch reads the
+parts before its own and overwrites its own, so that a batch that is run again changes nothing.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corpusloom.operators.incremental import batch_triggers
+from corpusloom.operators.incremental import content_version, ingest_dedupe, trigger_reasons
 
 
-def read_files(spark: SparkSession, path: str, schema: str, at: str) -> DataFrame:
-    """A stream of Parquet files; the event time becomes an instant, as watermarks need one."""
-    return spark.readStream.schema(schema).parquet(path).withColumn(at, F.col(at).cast("timestamp"))
+def read_files(spark: SparkSession, path: str, schema: str, at: str, most: int | None = None) -> DataFrame:
+    """A stream of Parquet files, at most so many a batch; the event time becomes an instant, as watermarks need one."""
+    reader = spark.readStream.schema(schema)
+    if most:
+        reader = reader.option("maxFilesPerTrigger", most)
+    return reader.parquet(path).withColumn(at, F.col(at).cast("timestamp"))
 
 
 def run_once(rows: DataFrame, out: str, mode: str = "append") -> DataFrame:
@@ -38,43 +48,157 @@ def new_since(rows: DataFrame, at: str, now: Column) -> DataFrame:
     return rows.filter(F.col(at) < now)
 
 
-def trigger_batches(rows: DataFrame, title: str, keywords: list[str], volume: int, sink: Callable[[DataFrame, int], None], state: str) -> None:
-    """Hands the sink each batch's triggers with the batch's number."""
-    query = rows.writeStream.foreachBatch(lambda batch, n: sink(batch_triggers(batch, title, keywords, volume), n)).option("checkpointLocation", state).trigger(availableNow=True).start()
-    query.awaitTermination()
-
+# --- rows in the order of their event times
 
-def _changes(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(parts)).sort_values(["at", "id"])
-    last = state.get[0] if state.exists else None
-    before = rows["value"].shift()
-    before.iloc[0] = last
-    changed = rows[(rows["value"] != before) | before.isna()]
-    state.update((rows["value"].iloc[-1],))
-    yield pd.DataFrame({"entity": key[0], "id": changed["id"], "value": changed["value"]})
 
+_WAITING = "last string, ats array<long>, ids array<long>, waiting array<string>"
 
-def snapshot_on_change(rows: DataFrame, entity: str, key: str, value: str, at: str) -> DataFrame:
-    """(entity, id, value) of the rows whose value is not that of the entity's row before, across batches."""
-    shaped = rows.select(F.col(entity).cast("long").alias("entity"), F.col(key).cast("long").alias("id"), F.col(value).cast("string").alias("value"), F.col(at).alias("at"))
-    return shaped.groupBy("entity").applyInPandasWithState(_changes, "entity long, id long, value string", "value string", "append", GroupStateTimeout.NoTimeout)
 
+def _in_order(take: Callable[[str | None, list[str]], tuple[str | None, pd.DataFrame]], forget_ms: int) -> Callable:
+    """The state function of an entity: rows wait until the watermark has passed them and are then taken by time and id.
+    ``take`` gets the last value and the values now due, and gives the new last value and columns for the output."""
 
-def _transitions(allowed: dict[str, list[str]]) -> Callable:
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["at", "id"])
-        now, out = state.get[0] if state.exists else None, []
-        for i, wanted in zip(rows["id"], rows["wanted"], strict=True):
-            ok = now is None or wanted in allowed.get(now, ())
-            now = wanted if ok else now
-            out.append((key[0], i, now, ok))
-        state.update((now,))
-        yield pd.DataFrame(out, columns=["entity", "id", "status", "accepted"])
+        last, ats, ids, waiting = state.get if state.exists else (None, [], [], [])
+        held = pd.DataFrame({"at": ats, "id": ids, "value": waiting}).astype({"at": "int64", "id": "int64", "value": "object"})
+        if not state.hasTimedOut:
+            held = pd.concat([held, *(p[["at", "id", "value"]] for p in parts)])
+        mark = state.getCurrentWatermarkMs() * 1000
+        held = held.sort_values(["at", "id"], kind="stable")
+        due, held = held[held["at"] < mark], held[held["at"] >= mark]
+        if len(due):
+            last, columns = take(last, due["value"].tolist())
+            columns.insert(0, "id", due["id"].to_numpy()[columns.pop("row")])
+            columns.insert(0, "entity", key[0])
+            yield columns
+        elif state.hasTimedOut and not len(held):
+            state.remove()  # silent for as long as it is remembered
+            return
+        state.update((last, held["at"].tolist(), held["id"].tolist(), held["value"].tolist()))
+        wake = int(held["at"].min() // 1000) if len(held) else state.getCurrentWatermarkMs() + forget_ms
+        state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
 
     return step
 
 
-def status_transition(rows: DataFrame, entity: str, key: str, wanted: str, at: str, allowed: dict[str, list[str]]) -> DataFrame:
-    """(entity, id, status, accepted): each request against the status that the ones before it left; the first is accepted."""
-    shaped = rows.select(F.col(entity).cast("long").alias("entity"), F.col(key).cast("long").alias("id"), F.col(wanted).cast("string").alias("wanted"), F.col(at).alias("at"))
-    return shaped.groupBy("entity").applyInPandasWithState(_transitions(allowed), "entity long, id long, status string, accepted boolean", "status string", "append", GroupStateTimeout.NoTimeout)
+def _ordered(rows: DataFrame, entity: str, key: str, value: str, at: str, delay: str, forget_days: int, take: Callable, out: str) -> DataFrame:
+    shaped = rows.withWatermark(at, delay).select(F.col(entity).cast("long").alias("entity"), F.col(key).cast("long").alias("id"), F.col(value).cast("string").alias("value"), F.unix_micros(at).alias("at"), F.col(at).alias("_event"))
+    return shaped.groupBy("entity").applyInPandasWithState(_in_order(take, forget_days * 86_400_000), out, _WAITING, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _changed(last: str | None, values: list[str]) -> tuple[str | None, pd.DataFrame]:
+    now = pd.Series(values, dtype=object)
+    before = now.shift()
+    before.iloc[0] = last
+    at = now.index[(now != before) | before.isna()]
+    return values[-1], pd.DataFrame({"row": at, "value": now[at].to_numpy()})
+
+
+def snapshot_on_change(rows: DataFrame, entity: str, key: str, value: str, at: str, delay: str = "7 days", forget_days: int = 3650) -> DataFrame:
+    """(entity, id, value) of the rows whose value is not that of the entity's row before, by event time, across batches.
+    Rows wait ``delay`` for late ones; an entity without a row for ``forget_days`` starts anew."""
+    return _ordered(rows, entity, key, value, at, delay, forget_days, _changed, "entity long, id long, value string")
+
+
+def status_transition(rows: DataFrame, entity: str, key: str, wanted: str, at: str, allowed: dict[str, list[str]], delay: str = "7 days", forget_days: int = 3650) -> DataFrame:
+    """(entity, id, status, accepted): each request, by event time, against the status that the ones before it left; the first is accepted."""
+
+    def judged(now: str | None, values: list[str]) -> tuple[str | None, pd.DataFrame]:
+        status, accepted = [], []
+        for value in values:
+            accepted.append(now is None or value in allowed.get(now, ()))
+            now = value if accepted[-1] else now
+            status.append(now)
+        return now, pd.DataFrame({"row": range(len(values)), "status": status, "accepted": accepted})
+
+    return _ordered(rows, entity, key, wanted, at, delay, forget_days, judged, "entity long, id long, status string, accepted boolean")
+
+
+# --- batches with kept tables
+
+
+class BatchTable:
+    """A table with a part for each batch. Where ``every`` is given, the part of each so-manyth batch holds all that
+    ``merge`` makes of the parts before it, so that a batch reads few parts however many there were."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, every: int | None = None, merge: Callable[[DataFrame], DataFrame] | None = None):
+        self.spark, self.folder, self.schema, self.every, self.merge = spark, folder, schema, every, merge
+
+    def before(self, batch: int) -> DataFrame:
+        rows = self.all()
+        start = (batch - 1) // self.every * self.every if self.every else 0
+        return rows.filter((F.col("batch") >= start) & (F.col("batch") < batch)).drop("batch")
+
+    def all(self) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        rows = self.spark.read.schema(f"{self.schema}, batch long").parquet(self.folder) if there else self.spark.createDataFrame([], f"{self.schema}, batch long")
+        return rows
+
+    def write(self, rows: DataFrame, batch: int) -> None:
+        if self.every and batch % self.every == 0 and batch:
+            rows = self.merge(self.before(batch).unionByName(rows))
+        rows.write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
+
+
+def in_batches(rows: DataFrame, handle: Callable[[DataFrame, int], None], state: str) -> None:
+    """Hands each batch with its number to ``handle`` until nothing new is left."""
+    query = rows.writeStream.foreachBatch(handle).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def trigger_batches(rows: DataFrame, folder: str, title: str, keywords: Sequence[str], volume: int, days: int, entity: str = "entity_id", at: str = "ts", order: Sequence[Column] = ()) -> DataFrame:
+    """(batch, reason) of each batch's triggers. An entity reappears if its newest row of earlier batches is over ``days`` before
+    the batch's newest row; the newest row of each entity is kept, and no other row of earlier batches is read."""
+    kind = dict(rows.dtypes)[entity]
+    newest = lambda x: x.groupBy(entity).agg(F.max(at).alias(at))
+    seen = BatchTable(rows.sparkSession, f"{folder}/seen", f"{entity} {kind}, {at} timestamp", 16, newest)
+    found = BatchTable(rows.sparkSession, f"{folder}/triggers", "reason string")
+
+    def handle(batch: DataFrame, n: int) -> None:
+        batch = batch.persist()
+        found.write(trigger_reasons(batch, title, keywords, volume, newest(seen.before(n)), entity, at, days, order), n)
+        seen.write(newest(batch), n)
+        batch.unpersist()
+
+    in_batches(rows, handle, f"{folder}/state")
+    return found.all()
+
+
+def ingest_batches(rows: DataFrame, folder: str, key: str, url: str, order: str, existing: DataFrame, tombstones: Callable[[], DataFrame], most: int) -> DataFrame:
+    """The new urls of each batch, with ``batch``: the first ``most`` candidates of each entity and batch, without those that exist, that an
+    earlier batch took, or that are pruned by then (``tombstones`` is asked at each batch, as it grows)."""
+    kinds = dict(rows.dtypes)
+    taken = BatchTable(rows.sparkSession, f"{folder}/taken", ", ".join(f"{c} {kinds[c]}" for c in rows.columns))
+
+    def handle(batch: DataFrame, n: int) -> None:
+        first = batch.groupBy(key, url).agg(F.min_by(F.struct(*batch.columns), order).alias("_r")).select("_r.*")
+        known = existing.select(url).unionByName(taken.before(n).select(url))
+        taken.write(ingest_dedupe(first, key, url, order, known, tombstones(), most).select(*rows.columns), n)
+
+    in_batches(rows, handle, f"{folder}/state")
+    return taken.all()
+
+
+def version_batches(rows: DataFrame, folder: str, key: str, digest: str, order: Sequence[str]) -> DataFrame:
+    """Each row's outcome (new, already_have) against all earlier batches and rows, and the entity's version number that it made or
+    has, with ``batch``. Versions count on over batches."""
+    kinds = dict(rows.dtypes)
+    versions = BatchTable(rows.sparkSession, f"{folder}/versions", f"{key} {kinds[key]}, {digest} {kinds[digest]}, version long")
+    outcomes = BatchTable(rows.sparkSession, f"{folder}/outcomes", ", ".join(f"{c} {kinds[c]}" for c in rows.columns) + ", outcome string, version long")
+
+    def handle(batch: DataFrame, n: int) -> None:
+        from pyspark.sql import Window
+
+        stored = versions.before(n)
+        judged = content_version(batch, stored, [key, digest], [F.col(c) for c in order]).persist()
+        last = stored.groupBy(key).agg(F.max("version").alias("_last"))
+        new = judged.filter("outcome = 'new'").join(last, key, "left")
+        number = F.row_number().over(Window.partitionBy(key).orderBy(*order)) + F.coalesce("_last", F.lit(0))
+        versions.write(new.select(key, digest, number.cast("long").alias("version")), n)
+        known = versions.all().filter(F.col("batch") <= n).drop("batch")
+        outcomes.write(judged.join(known, [key, digest], "left").select(*rows.columns, "outcome", "version"), n)
+        judged.unpersist()
+
+    in_batches(rows, handle, f"{folder}/state")
+    return outcomes.all()
