@@ -93,15 +93,33 @@ def focus_exclude(text: Column | str, focus: Sequence[str], excluded: Sequence[s
     return has(focus) & ~has(excluded)
 
 
+#: Extensions of documents, extensions and names of last segments that say nothing about a document.
+DOCUMENT_EXTENSIONS = ["pdf", "docx", "doc", "xlsx"]
+HANDLER_EXTENSIONS = ["ashx", "aspx", "php", "cgi", "jsp", "do", "action"]
+ROUTER_NAMES = ["open", "download", "view", "file", "default", "page", "show", "documentdownload", "getdocument", "documents"]
+
+
 def make_filename(url: Column | str, link_text: Column | str) -> Column:
-    """A slug with an extension: from the url's last segment, else its parent, else the link's text, else the url's digest."""
-    path = F.regexp_replace(F.regexp_replace(_col(url), r"^[a-z]+://[^/?#]*", ""), r"[?#].*$", "")
-    slug = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9._-]+", "_"), r"^[_.-]+|[_.-]+$", "")
-    base = F.nullif(slug(F.regexp_extract(path, r"([^/]*)/?$", 1)), F.lit(""))
-    vague = F.lower(base).rlike(r"^(download|view|file|document|index|default)(\.[a-z]+)?$")
-    parent = F.nullif(slug(F.regexp_extract(path, r"([^/]+)/[^/]*/?$", 1)), F.lit(""))
-    name = F.coalesce(F.when(~vague, base), parent, F.nullif(slug(F.coalesce(_col(link_text), F.lit(""))), F.lit("")), F.left(F.md5(_col(url)), F.lit(12)))
-    return F.when(name.rlike(r"\.(pdf|docx?|xlsx?)$"), name).otherwise(F.concat(name, F.lit(".pdf")))
+    """A document's file name: the url's last segment where that is a document's; else a slug of it, of its parent where it is
+    a handler or a router, of the link's text where there is no parent, or the url's digest. The extension is the one that
+    the link's text names, else ``.pdf``."""
+    path = F.regexp_replace(F.regexp_replace(_col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"(?s)[?#].*$", "")
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    text = F.coalesce(_col(link_text), F.lit(""))
+    stem = lambda c: F.regexp_replace(c, r"^(.+)\.[^.]+$", "$1")
+    name = F.coalesce(F.get(parts, F.size(parts) - 1), F.lit(""))
+    extension = F.lower(F.regexp_extract(name, r"^.+\.([^.]+)$", 1))
+    vague = extension.isin(*HANDLER_EXTENSIONS) | F.lower(stem(name)).isin("", *ROUTER_NAMES)
+    source = F.when(~vague, stem(name)).when(F.size(parts) >= 2, stem(F.get(parts, F.size(parts) - 2))).otherwise(_stripped(text))
+    slug = F.regexp_replace(F.left(F.regexp_replace(source, r"(?U)[^\w\-]", "-"), F.lit(60)), "^-+|-+$", "")
+    named = F.nullif(F.lower(F.regexp_extract(text, r"(?i)\.(pdf|docx?|xlsx?)\b", 1)), F.lit(""))
+    made = F.concat(F.coalesce(F.nullif(slug, F.lit("")), F.left(F.md5(_col(url)), F.lit(12))), F.lit("."), F.coalesce(named, F.lit("pdf")))
+    return F.when(extension.isin(*DOCUMENT_EXTENSIONS), name).otherwise(made)
+
+
+def _stripped(c: Column) -> Column:
+    """Without blanks of any kind at the ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 _MONTHS = "january february march april may june july august september october november december".split()
@@ -174,9 +192,10 @@ def date_repair(stored: Column | str, name: Column | str, loaded: Column | str)
     return date, F.when(~late, "kept").when(again.isNull(), "cleared").otherwise("updated")
 
 
-def year_from_url(url: Column | str) -> Column:
-    """The greatest plausible year in the string."""
-    return F.array_max(F.transform(F.regexp_extract_all(_col(url), F.lit(r"(?<![0-9])(20[0-3][0-9])(?![0-9])"), F.lit(1)), lambda x: x.cast("int")))
+def year_from_url(url: Column | str, last: int | Column = 2039) -> Column:
+    """The greatest year from 1990 to ``last`` among the string's runs that read as a year of this or the last century, wherever they stand."""
+    years = F.transform(F.regexp_extract_all(_col(url), F.lit(r"(20[0-3][0-9]|19[0-9]{2})"), F.lit(1)), lambda x: x.cast("int"))
+    return F.array_max(F.filter(years, lambda y: y.between(1990, last)))
 
 
 def year_infer(name: Column | str, meeting_date: Column | str | None = None) -> Column:
@@ -208,10 +227,11 @@ def prior_period(day: Column | str, unit: str) -> tuple[Column, Column]:
 
 
 def period_label(start: Column | str, end: Column | str) -> Column:
-    """``Jan 3-9, 2024``; both months, or both years, where they differ."""
+    """``Jan 3–9, 2024``; both months, or both years, where they differ, with blanks around the dash."""
     a, b = _col(start), _col(end)
     same_month = F.date_format(a, "yyyy-MM") == F.date_format(b, "yyyy-MM")
-    return F.when(same_month, F.concat(F.date_format(a, "MMM d"), F.lit("-"), F.date_format(b, "d, yyyy"))).when(F.year(a) == F.year(b), F.concat(F.date_format(a, "MMM d"), F.lit(" - "), F.date_format(b, "MMM d, yyyy"))).otherwise(F.concat(F.date_format(a, "MMM d, yyyy"), F.lit(" - "), F.date_format(b, "MMM d, yyyy")))
+    first = F.when(same_month | (F.year(a) == F.year(b)), F.date_format(a, "MMM d")).otherwise(F.date_format(a, "MMM d, yyyy"))
+    return F.when(same_month, F.concat(first, F.lit("–"), F.date_format(b, "d, yyyy"))).otherwise(F.concat(first, F.lit(" – "), F.date_format(b, "MMM d, yyyy")))
 
 
 def duration_text(seconds: Column | str) -> Column:
@@ -233,29 +253,51 @@ def dollars(amount: Column | str, unit: str = "") -> Column:
 
 
 def excerpt(text: Column | str, chars: int) -> Column:
-    """At most so many characters, with an ellipsis if cut."""
-    return F.when(F.length(_col(text)) > chars, F.concat(F.rtrim(F.left(_col(text), F.lit(chars))), F.lit("…"))).otherwise(_col(text))
+    """At most so many characters on one line, with an ellipsis if cut; blank for null."""
+    line = _stripped(F.replace(F.coalesce(_col(text), F.lit("")), F.lit("\n"), F.lit(" ")))
+    return F.when(F.length(line) > chars, F.concat(F.regexp_replace(F.left(line, F.lit(chars)), r"(?U)\s+$", ""), F.lit("…"))).otherwise(line)
 
 
 def truncate_words(text: Column | str, words: int) -> Column:
-    """At most so many words, joined by single spaces."""
-    parts = F.split(F.trim(_col(text)), r"[ \t\n\r]+")
-    return F.array_join(F.slice(parts, 1, words), " ")
+    """(text, cut): the text itself if it has so many words at most, else its first ones, joined by single spaces, with an ellipsis."""
+    parts = F.filter(F.split(_col(text), r"(?U)\s+"), lambda w: w != "")
+    cut = F.size(parts) > words
+    return F.struct(F.when(cut, F.concat(F.array_join(F.slice(parts, 1, words), " "), F.lit("…"))).otherwise(_col(text)).alias("text"), cut.alias("cut"))
+
+
+#: Headings of a note's own summary.
+SUMMARY_HEADINGS = ["TL;DR", "Summary", "Overview"]
 
 
 def preview(text: Column | str, chars: int = 700) -> Column:
-    """A cut that ends at a sentence, if one ends past 60 % of it."""
-    cut = F.left(_col(text), F.lit(chars))
-    sentence = F.regexp_extract(cut, r"(?s)^(.*[.!?])(?:\s|$)", 1)
-    return F.when(F.length(_col(text)) <= chars, _col(text)).when(F.length(sentence) >= int(0.6 * chars), sentence).otherwise(F.concat(F.rtrim(cut), F.lit("…")))
+    """Plain text from a note: its summary section if it has one, else what follows title, date line and rules; cut at
+    ``chars``, after the last sentence that ends past 60 % of it, and marked as cut. Blank for null."""
+    note = F.coalesce(_col(text), F.lit(""))
+    section = F.regexp_extract(note, rf"(?mis)^##\s+(?:{'|'.join(SUMMARY_HEADINGS)})\s*$\s*(.+?)(?=^##\s|\z)", 1)
+    line = r"# [^\n]*|---|\*\*\*|___|\*?_?generated:[^\n]*"
+    body = F.regexp_replace(note, rf"(?i)\A(?:[^\S\n]*(?:{line})?[^\S\n]*\n)*+(?:[^\S\n]*(?:{line})?[^\S\n]*\z)?", "")
+    plain = strip_markup(F.when(_stripped(section) != "", _stripped(section)).otherwise(body))
+    return F.get(F.transform(F.array(plain), lambda whole: _cut_at_sentence(whole, chars)), F.lit(0))
+
+
+def _cut_at_sentence(plain: Column, chars: int) -> Column:
+    cut = F.left(plain, F.lit(chars))
+    # up to the blank after the last full stop, question or exclamation mark
+    sentence = F.length(F.regexp_extract(cut, r"(?s)^(.*(?:\.[ \n]|[?!] ))", 1)) - 2
+    ended = F.when(sentence > 0.6 * chars, F.substring(cut, F.lit(1), sentence + 1)).otherwise(cut)
+    return F.when(F.length(plain) <= chars, plain).otherwise(F.concat(F.regexp_replace(ended, r"(?U)\s+$", ""), F.lit(" …")))
 
 
 def strip_markup(text: Column | str) -> Column:
-    """Markdown without headings, emphasis, links, code marks and bullets, on one line."""
+    """Markdown without the marks of headings, bullets, numbered items, links, emphasis and code; at most one blank line in a row."""
     out = _col(text)
-    for pattern, by in ((r"(?m)^#+\s*", ""), (r"!?\[([^\]]*)\]\([^)]*\)", "$1"), (r"[*_`]{1,3}", ""), (r"(?m)^\s*[-+]\s+", ""), (r"\s+", " ")):
+    steps = [
+        (r"(?m)^#{1,6}\s+", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*[0-9]+\.\s+", ""), (r"\[([^\]]+)\]\([^)]+\)", "$1"),
+        (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"`([^`]+)`", "$1"), (r"\n{3,}", "\n\n"),
+    ]
+    for pattern, by in steps:
         out = F.regexp_replace(out, pattern, by)
-    return F.trim(out)
+    return _stripped(out)
 
 
 def highlight(text: Column | str, term: str) -> Column:
@@ -273,24 +315,57 @@ def rewrite_citations(text: Column | str, base: str) -> Column:
     return F.array_join(F.transform(F.arrays_zip(between.alias("b"), linked.alias("l")), lambda p: F.concat(p["b"], F.coalesce(p["l"], F.lit("")))), "")
 
 
+#: What messages of passing and of lasting failures say.
+PASSING = ["rate-limited", "try again later"]
+LASTING = ["private video", "video unavailable", "has been removed", "account associated with this video has been terminated"]
+
+
 def error_class(message: Column | str) -> Column:
-    """transient before gone: a message that says both is transient."""
-    return ladder(F.coalesce(_col(message), F.lit("")), [(["timeout", "timed out", "rate limit", "temporarily"], "transient"), (["not found", "404", "removed", "private"], "gone")], "unknown")
+    """gone for a lasting failure, else transient. A message that also speaks of a passing one is transient."""
+    return ladder(F.coalesce(_col(message), F.lit("")), [(PASSING, "transient"), (LASTING, "gone")], "transient")
+
 
+#: Statuses of a block, and what headers or bodies of blocking services say, with their labels, in order.
+BLOCKED = [403, 429, 503]
+FINGERPRINTS = {
+    "cloudflare-ray": "cf-ray header", "just a moment": "Cloudflare 'Just a moment' challenge", "attention required": "Cloudflare 'Attention Required' challenge",
+    "access denied": "generic access-denied page", "recaptcha": "recaptcha challenge", "akamai": "Akamai bot mitigation", "incapsula": "Imperva/Incapsula",
+    "perimeterx": "PerimeterX", "datadome": "DataDome",
+}
 
-def block_detect(status: Column | str, body: Column | str) -> Column:
-    return F.coalesce(_col(status).isin(403, 429, 503) & F.lower(_col(body)).rlike("captcha|cloudflare|access denied|unusual traffic"), F.lit(False))
+
+def block_detect(status: Column | str, headers: Column | str, body: Column | str) -> Column:
+    """Why a response counts as blocked: its status and the first fingerprint in the headers (a map) or the body's first 4,000
+    characters, or that there is none; null for any other status."""
+    pairs = F.transform(F.map_entries(_col(headers)), lambda e: F.concat_ws(":", e["key"], e["value"]))
+    hay = F.lower(F.concat_ws(" ", pairs, F.lit("\n"), F.left(F.coalesce(_col(body), F.lit("")), F.lit(4000))))
+    label = F.coalesce(*(F.when(hay.contains(mark), F.lit(said)) for mark, said in FINGERPRINTS.items()), F.lit("no WAF fingerprint, but blocked status"))
+    return F.when(_col(status).isin(*BLOCKED), F.concat(F.lit("HTTP "), _col(status).cast("string"), F.lit(" ("), label, F.lit(")")))
+
+
+#: Names of files without content; a dot stands for any character.
+CONTENTLESS = ["attendance", "building", "map", "calendar", "cover.?page", "direction", "notice.only", "parking", "visitor", "hotel", "travel", "biography", "bio", "headshot"]
 
 
 def skip_reason(text: Column | str, name: Column | str) -> Column:
     """Why a text is not summarised; null if it is."""
-    return F.when(F.length(F.trim(_col(text))) < 100, "too short").when(F.lower(_col(name)).rlike("calendar|roster|sign-?in"), "no content")
+    short = F.length(_stripped(F.coalesce(_col(text), F.lit("")))) < 100
+    named = F.coalesce(_col(name), F.lit("")).rlike("(?i)" + "|".join(CONTENTLESS))
+    return F.when(short, "insufficient text").when(named, F.concat(F.lit("non-substantive filename ("), _col(name), F.lit(")")))
+
+
+#: What texts worth the large tier speak of; a dot stands for any character.
+VALUABLE = [
+    "investment", "portfolio", "allocation", "return", "performance", "manager", "mandate", "commitment", "private.equity", "real.estate", "infrastructure",
+    "hedge", "fixed.income", "equity", "emerging.market", "asset.class", "benchmark", "alpha", "risk",
+]
 
 
-def route_by_size(chars: Column | str, kind: Column | str) -> Column:
-    """The tier by size and kind."""
-    c = _col(chars)
-    return F.when(_col(kind).isin("cafr", "performance"), "large").when(c > 60_000, "large").when(c > 8_000, "medium").otherwise("small")
+def route_by_size(text: Column | str) -> Column:
+    """The tier: large for a text from 20,000 characters on whose first 5,000 name something valuable, else small. Agendas and minutes
+    have no rule of their own: theirs end below that size."""
+    t = F.coalesce(_col(text), F.lit(""))
+    return F.when((F.length(t) >= 20_000) & F.left(t, F.lit(5000)).rlike("(?i)" + "|".join(VALUABLE)), "large").otherwise("small")
 
 
 def placeholder_only(text: Column | str) -> Column:
@@ -298,8 +373,18 @@ def placeholder_only(text: Column | str) -> Column:
     return F.coalesce(_col(text).rlike(r"\A(?:\s*\[Page [0-9]+\]\s*)+\z"), F.lit(False))
 
 
+#: What titles of meetings' recordings say.
+MEETING_TITLES = [
+    "board meeting", "board of administration", "board of trustees", "board of directors", "board of managers", "board of education", "investment committee",
+    "audit committee", "finance committee", "executive committee", "governance committee", "trustee meeting", "trustees meeting", "retirement board", "pension board",
+    "regular meeting", "special meeting", "quarterly meeting", "annual meeting", "committee meeting", "public meeting",
+]
+
+
 def title_match(title: Column | str) -> Column:
-    return F.coalesce(_col(title).rlike(r"(?i)\b(board|committee|trustees?)\b.*\bmeeting\b|\bmeeting of\b"), F.lit(False))
+    """Whether a recording's title is a meeting's, with any blanks between the words."""
+    words = F.regexp_replace(F.lower(F.coalesce(_col(title), F.lit(""))), r"(?U)\s+", " ")
+    return words.rlike("|".join(MEETING_TITLES))
 
 
 #: Fixed values: (platform, kind, pattern of the whole url, canonical url with the id as ``{id}``), in order. A directory
@@ -340,13 +425,17 @@ def url_for_year(template: Column | str, linked: Column | str, static: Column |
 
 
 def video_url(platform: Column | str, key: Column | str, raw: Column | str) -> Column:
-    return F.when(_col(platform) == "youtube", F.concat(F.lit("https://www.youtube.com/watch?v="), _col(key))).when(_col(platform) == "vimeo", F.concat(F.lit("https://vimeo.com/"), _col(key))).otherwise(_col(raw))
+    """The viewer's url; of other platforms the raw one, or the id where there is none."""
+    own = F.when(_col(platform) == "youtube", F.concat(F.lit("https://www.youtube.com/watch?v="), _col(key))).when(_col(platform) == "vimeo", F.concat(F.lit("https://vimeo.com/"), _col(key)))
+    return F.coalesce(own, F.nullif(_col(raw), F.lit("")), _col(key))
 
 
-def safe_path(entity: Column | str, date: Column | str, key: Column | str) -> Column:
-    """entity/date/id with nothing but word characters in the entity."""
-    name = F.regexp_replace(F.lower(_col(entity)), r"[^a-z0-9]+", "-")
-    return F.concat_ws("/", name, F.coalesce(_col(date).cast("string"), F.lit("undated")), _col(key).cast("string"))
+def safe_path(entity: Column | str, key: Column | str, meeting: Column | str, published: Column | str, extension: Column | str) -> Column:
+    """entity/date_id.extension: the meeting's date, else that of publication, else ``undated``; blanks become underscores, and
+    other characters than letters, digits, dots, underscores and hyphens go. What is left blank is ``x``."""
+    part = lambda c: F.coalesce(F.nullif(F.regexp_replace(F.replace(_stripped(c), F.lit(" "), F.lit("_")), r"[^A-Za-z0-9._\-]+", ""), F.lit("")), F.lit("x"))
+    day = F.coalesce(F.date_format(F.coalesce(_col(meeting).cast("date"), _col(published).cast("date")), "yyyy-MM-dd"), F.lit("undated"))
+    return F.concat(part(_col(entity).cast("string")), F.lit("/"), day, F.lit("_"), part(_col(key).cast("string")), F.lit("."), F.regexp_replace(_col(extension), r"^\.+", ""))
 
 
 def utc_stamp(text: Column | str) -> Column:
@@ -370,11 +459,23 @@ def date_from_title(title: Column | str) -> Column:
     return first_date(_col(title), TITLE_DATES, 2000, 2100)
 
 
-def fiscal_year_text(text: Column | str) -> Column:
-    """The year of ``fiscal year ended Month D, YYYY``, else of ``for the year ended ...``, else the greatest year of the first 5,000 characters."""
-    c = _col(text)
-    year = lambda p: F.nullif(F.regexp_extract(c, p, 1), F.lit("")).cast("int")
-    return F.coalesce(year(r"(?i)fiscal years? end(?:ed|ing)\s+[a-z]+\s+[0-9]{1,2},?\s+(20[0-9]{2})"), year(r"(?i)for the year ended\s+[a-z]+\s+[0-9]{1,2},?\s+(20[0-9]{2})"), year_from_url(F.substring(c, 1, 5000)))
+#: Names of the report whose fiscal year is looked for.
+REPORT_NAMES = ["annual comprehensive financial report", "comprehensive annual financial report"]
+REPORT_SHORT = ["acfr", "cafr"]
+
+
+def fiscal_year_text(text: Column | str, first: int = 2000, last: int = 2099) -> Column:
+    """The fiscal year of a report's first pages by the first rule that gives one from ``first`` to ``last``: ``fiscal year ended Month D,
+    YYYY``, ``fiscal year YYYY``, ``FY YYYY``, the report's name with a year up to 40 characters after, or before it; else
+    the greatest such year of the first 5,000 characters."""
+    year = "(20[0-9]{2})"
+    names = "|".join([*(n.replace(" ", r"\s+") for n in REPORT_NAMES), *(rf"\b{n}\b" for n in REPORT_SHORT)])
+    rules = [
+        rf"fiscal\s+year\s+end(?:ed|ing)\s+(?:{_LONG})\s+[0-9]{{1,2}},?\s+{year}", rf"\bfiscal\s+year\s+{year}\b", rf"\bfy\s*{year}\b",
+        rf"(?:{names})[\s\S]{{0,40}}?{year}", rf"{year}[\s\S]{{0,40}}?(?:{names})",
+    ]
+    plausible = lambda c, p: F.filter(F.transform(F.regexp_extract_all(c, F.lit(f"(?i){p}"), F.lit(1)), lambda x: x.cast("int")), lambda y: y.between(first, last))
+    return F.coalesce(*(F.get(plausible(_col(text), p), F.lit(0)) for p in rules), F.array_max(plausible(F.substring(_col(text), 1, 5000), rf"\b{year}\b")))
 
 
 #: Kinds of checkable claims and their patterns.

@@ -235,7 +235,8 @@ def _attributes(docs: DataFrame, key: str, entity: str | None, wanted: object, d
 def _top(scored: DataFrame, attributes: DataFrame | None, limit: int | None) -> DataFrame:
     rows = scored if attributes is None else scored.join(attributes, "key")
     order = [F.col("score").desc(), *([F.col("date").desc_nulls_last()] if attributes is not None else []), F.col("key")]
-    return rows.orderBy(*order) if limit is None else rows.orderBy(*order).limit(limit)
+    best = rows.orderBy(*order) if limit is None else rows.orderBy(*order).limit(limit)
+    return best.withColumn("score", F.round("score", 6))
 
 
 def _gain(tf: Column, length: Column, average: float, k1: float, b: float) -> Column:
@@ -256,7 +257,7 @@ def search_bm25(index: Index, text: str, limit: int, docs: DataFrame | None = No
         counted = _documents(index, query, None).agg(*(F.count(F.when(F.size(_starts(p)) > 0, 1)).alias(f"n{i}") for i, p in enumerate(phrases))).first()
         held = [counted[i] if n is None else n for i, n in enumerate(held)]
     idf = [max(float(np.log((index.n_docs - n + 0.5) / (n + 0.5))), 1e-6) for n in held]
-    score = F.round(sum((w * _gain(F.size(_starts(p)).cast("double"), F.col("length"), index.average, k1, b) for p, w in zip(phrases, idf, strict=True)), F.lit(0.0)), 6).alias("score")
+    score = F.round(sum((w * _gain(F.size(_starts(p)).cast("double"), F.col("length"), index.average, k1, b) for p, w in zip(phrases, idf, strict=True)), F.lit(0.0)), 12).alias("score")
 
     def scored(segments: DataFrame | None) -> DataFrame:
         return matching(index, query, segments).select("key", score)
@@ -309,7 +310,7 @@ def search_web(index: Index, text: str, limit: int | None, docs: DataFrame | Non
     if not query.alternatives:
         return _top(rows.limit(0).select("key", F.lit(0.0).alias("score")), attributes, limit)
     each = [F.when(_holds(a), density(a[0])) for a in query.alternatives]
-    return _top(rows.select("key", F.round(F.greatest(*each) if len(each) > 1 else each[0], 6).alias("score")), attributes, limit)
+    return _top(rows.select("key", F.round(F.greatest(*each) if len(each) > 1 else each[0], 12).alias("score")), attributes, limit)
 
 
 def count_matches(index: Index, query: Query, docs: DataFrame | None = None, key: str = "id", entity: str | None = None, wanted: object = None) -> DataFrame:

@@ -49,13 +49,17 @@ def section_range_ranked(pages: DataFrame, key: str, strong: str, weak: str, end
     return rows.groupBy(key).agg(F.first("first").alias("first"), F.coalesce(stop - 1, F.least(F.max("page"), F.first("first") + most - 1)).alias("last"))
 
 
-def phrase_span(pages: DataFrame, key: str, phrase: str, around: int, most: int) -> DataFrame:
-    """(key, first, last) hit page; a single hit gets pages around it; at most ``most`` pages."""
-    hits = pages.filter(F.col("text").contains(phrase)).groupBy(key).agg(F.min("page").alias("a"), F.max("page").alias("b"), F.count("*").alias("n"))
+def phrase_span(pages: DataFrame, key: str, phrase: str, around: int, most: int, front: int = 1) -> DataFrame:
+    """(key, first, last) page with the phrase, whatever the case and the blanks between its words; a single hit gets pages around
+    it; at most ``most`` pages. Pages before ``front`` are not searched in documents that go beyond it: a contents page names the phrase."""
+    words = [F.lower(F.lit(w)) for w in phrase.split()]
+    low = F.regexp_replace(F.lower("text"), r"\s+", " ")
     ends = pages.groupBy(key).agg(F.max("page").alias("end"))
+    hits = pages.filter(low.contains(F.concat_ws(" ", *words))).join(ends, key).filter((F.col("page") >= front) | (F.col("end") <= front))
+    hits = hits.groupBy(key).agg(F.min("page").alias("a"), F.max("page").alias("b"), F.count("*").alias("n"), F.first("end").alias("end"))
     one = F.col("n") == 1
-    first, last = F.when(one, F.greatest(F.col("a") - around, F.lit(1))).otherwise(F.col("a")), F.when(one, F.least(F.col("b") + around, F.col("end"))).otherwise(F.col("b"))
-    return hits.join(ends, key).select(key, first.alias("first"), last.alias("last")).withColumn("last", F.least("last", F.col("first") + most - 1))
+    first, last = F.when(one, F.greatest(F.col("a") - around, F.lit(1))).otherwise(F.col("a")), F.when(one, F.col("b") + around).otherwise(F.col("b"))
+    return hits.select(key, first.alias("first"), F.least(last, F.col("end")).alias("last")).withColumn("last", F.least("last", F.col("first") + most - 1))
 
 
 def text_density(pages: DataFrame, ranges: DataFrame, key: str, per_page: int) -> DataFrame:
@@ -71,28 +75,34 @@ def section_concat(pages: DataFrame, ranges: DataFrame, key: str, cap: int) -> D
     return whole.select(key, F.md5("_t").alias("digest"), F.left("_t", F.lit(cap)).alias("text"))
 
 
-def keyword_excerpt(docs: DataFrame, key: str, text: str, pattern: str, radius: int, head: int, tail: int, budget: int) -> DataFrame:
-    """Long texts as head, merged windows around keyword hits in order up to a budget, and tail; short ones whole.
+def keyword_excerpt(docs: DataFrame, key: str, text: str, pattern: str, window: int, head: int, tail: int, target: int) -> DataFrame:
+    """(key, excerpt): texts of over ``target`` characters as head, merged windows around the keywords between, and tail; others whole.
 
-    Offsets come from the text between hits, so everything stays in expressions.
+    A window reaches half its size to both sides of a keyword's start. Windows are taken in order while they
+    fit into what head and tail leave; the first one that does not is cut there and is the last.
     """
     size = F.length(text)
-    between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    middle = F.substring(text, F.lit(head + 1), size - head - tail)
+    long = docs.filter(size > target).select(key, middle.alias("_middle"))
+    between, hits = F.split("_middle", pattern, -1), F.regexp_extract_all("_middle", F.lit(pattern), F.lit(0))
     steps = F.arrays_zip(F.transform(between, F.length).alias("b"), F.transform(hits, F.length).alias("h"))
-    rows = docs.select(key, size.alias("_size"), F.slice(steps, F.lit(1), F.size(hits)).alias("_steps")).filter(F.size("_steps") > 0)
+    rows = long.select(key, F.length("_middle").alias("_size"), F.slice(steps, F.lit(1), F.size(hits)).alias("_steps")).filter(F.size("_steps") > 0)
     # only lengths leave the row; a running sum gives the offsets
     each = rows.select(key, "_size", F.posexplode("_steps").alias("_i", "_s"))
     end = F.sum(F.col("_s.b") + F.col("_s.h")).over(Window.partitionBy(key).orderBy("_i"))
-    spots = each.select(key, "_size", end.cast("int").alias("_end"), F.col("_s.h").alias("_h"))
-    spots = spots.select(key, F.greatest(F.col("_end") - F.col("_h") - radius, F.lit(head)).alias("a"), F.least(F.col("_end") + radius, F.col("_size") - tail).alias("b")).filter("a < b")
+    start = (end - F.col("_s.h")).cast("int")
+    spots = each.select(key, F.greatest(start - window // 2, F.lit(0)).alias("a"), F.least(start + window // 2, F.col("_size")).alias("b"))
     w = Window.partitionBy(key).orderBy("a", "b")
     new = (F.col("a") > F.coalesce(F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int")
     islands = spots.withColumn("_n", new).withColumn("_g", F.sum("_n").over(w)).groupBy(key, "_g").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    total = F.sum(F.col("b") - F.col("a")).over(Window.partitionBy(key).orderBy("a"))
-    kept = islands.withColumn("_t", total).filter(F.col("_t") <= budget).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_spans"))
-    middle = F.expr(f"array_join(transform(coalesce(_spans, array()), s -> substring({text}, s.a + 1, s.b - s.a)), '\n…\n')")
-    cut = F.concat_ws("\n…\n", F.left(text, F.lit(head)), F.nullif(middle, F.lit("")), F.right(text, F.lit(tail)))
-    return docs.join(kept, key, "left").select(key, F.when(size <= head + tail, F.col(text)).otherwise(cut).alias("excerpt"))
+    room = target - head - tail
+    used = F.coalesce(F.sum(F.col("b") - F.col("a")).over(Window.partitionBy(key).orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fitting = islands.withColumn("_used", used).filter(F.col("_used") <= room).withColumn("b", F.least(F.col("b"), (F.col("a") + room - F.col("_used")).cast("int")))
+    kept = fitting.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_spans"))
+    mark = "\n\n[...]\n\n"
+    chunks = F.transform("_spans", lambda s: F.substring(text, s["a"] + head + 1, s["b"] - s["a"]))
+    cut = F.concat_ws(mark, F.left(text, F.lit(head)), F.nullif(F.array_join(chunks, mark), F.lit("")), F.right(text, F.lit(tail)))
+    return docs.join(kept, key, "left").select(key, F.when(size <= target, F.col(text)).otherwise(cut).alias("excerpt"))
 
 
 def dedup_by_hash(docs: DataFrame, key: str, text: str) -> DataFrame:

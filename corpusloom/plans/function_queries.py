@@ -1,6 +1,6 @@
 """Queries for column expressions."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import expressions as fn
@@ -88,9 +88,37 @@ def is_doc_url(v: Views) -> DataFrame:
     return v.pg.select("id", F.lower("url").rlike(r"\.(html)([?#].*)?$").alias("is_page"), fn.is_doc_url(F.concat(F.lit("https://h/"), F.get(F.array(*map(F.lit, _DOC_URLS)), (F.col("id") % 6).cast("int")))).alias("is_doc"), fn.focus_exclude("url", ["/en/", "/de/"], ["utm_"]).alias("in_focus"))
 
 
-@query("select id, concat(cast(id % 9000 as varchar), '.pdf') as filename from doc")
+def _sql_list(values: list) -> str:
+    return "[" + ", ".join("null" if x is None else "'" + x.replace("'", "''") + "'" for x in values) + "]"
+
+
+def _case(values: list, key: str = "id") -> Column:
+    """The key's case among the values; ``#`` stands for the key."""
+    return F.replace(F.get(F.array(*map(F.lit, values)), (F.col(key) % len(values)).cast("int")), F.lit("#"), S(key))
+
+
+def _case_sql(values: list, key: str = "id") -> str:
+    return f"replace({_sql_list(values)}[{key} % {len(values)} + 1], '#', cast({key} as varchar))"
+
+
+_FILE_URLS = [
+    "https://h/#.pdf", "https://h/a/Board Pack #.DOCX?v=1", "https://h/files/governance/15-2025-acfr-#/open", "https://h/DocumentDownload.ashx?id=#", "https://h/reports/2026-q#/DocumentDownload.ashx",
+    "https://h/files/Default.aspx?id=#", "https://h/get-#.php", "https://h/files/april.board.#", "https://h/x/#/", "https://h/", "https://h", "https://h/view", "https://h/réport #/download#top",
+    "https://h/a.xls/#.tar.gz", "https://h/a/.hidden#", "https://h/" + "long-" * 20 + "#", "https://h/a/%%%/file", "https://h/DOWNLOAD.aspx", "https://h/a.b/page.html", "https://h/documents/#/download",
+]
+_LINK_TEXTS = ["", None, "March 2026 Board Materials", " April pack.XLSX ", "see a.docs", "???", "minutes.doc, page 2"]
+
+
+@query(f"""with c as (select id, {_case_sql(_FILE_URLS)} as url, coalesce({_sql_list(_LINK_TEXTS)}[id % {len(_LINK_TEXTS)} + 1], '') as said from doc),
+p as (select *, list_filter(string_split(regexp_replace(regexp_replace(url, '^https?://[^/?#]*', ''), '[?#].*$', ''), '/'), lambda x: x <> '') as parts from c),
+n as (select *, coalesce(parts[-1], '') as name, case when regexp_matches(parts[-1], '^.+\\.[^.]+$') then lower(regexp_extract(parts[-1], '\\.([^.]+)$', 1)) else '' end as ext from p),
+s as (select *, regexp_replace(name, '^(.+)\\.[^.]+$', '\\1') as stem, regexp_replace(parts[-2], '^(.+)\\.[^.]+$', '\\1') as parent, lower(regexp_extract(said, '(?i)\\.(pdf|docx?|xlsx?)\\b', 1)) as named from n),
+w as (select *, case when ext not in ('ashx', 'aspx', 'php', 'cgi', 'jsp', 'do', 'action') and lower(stem) not in ('', 'open', 'download', 'view', 'file', 'default', 'page', 'show', 'documentdownload', 'getdocument', 'documents') then stem
+  when len(parts) >= 2 then parent else trim(said) end as source from s),
+g as (select *, trim(left(regexp_replace(source, '[^\\p{{L}}\\p{{N}}_-]', '-', 'g'), 60), '-') as slug from w)
+select id, case when ext in ('pdf', 'docx', 'doc', 'xlsx') then name else concat(case when slug = '' then left(md5(url), 12) else slug end, '.', case when named = '' then 'pdf' else named end) end as filename from g""")
 def make_filename(v: Views) -> DataFrame:
-    return v.doc.select("id", fn.make_filename("url", F.lit("x")).alias("filename"))
+    return v.doc.select("id", fn.make_filename(_case(_FILE_URLS), F.get(F.array(*map(F.lit, _LINK_TEXTS)), (F.col("id") % len(_LINK_TEXTS)).cast("int"))).alias("filename"))
 
 
 @query(_NAMED + f"select id, {_KNOWN} as found from n")
@@ -124,10 +152,13 @@ def year_infer(v: Views) -> DataFrame:
     return v.doc.select("id", fn.year_infer(F.get(F.array(*map(F.lit, names)), (F.col("id") % 6).cast("int")), "meeting_date").alias("year"))
 
 
-@query("select id, case when year(downloaded_on) >= 2000 then cast(year(downloaded_on) as int) end as year from doc")
+_YEAR_URLS = ["https://h/files/2024/r_17.pdf", "https://h/1999-report-1985", "https://h/12021x", "https://h/r2031.pdf", "https://h/1989", "no year", "https://h/FY19992005_20319", None, "https://h/2040/2012"]
+
+
+@query(f"""with c as (select id, {_sql_list(_YEAR_URLS)}[id % {len(_YEAR_URLS)} + 1] as url from doc)
+select id, list_max(list_filter(list_transform(regexp_extract_all(url, '20[0-3][0-9]|19[0-9][0-9]'), lambda y: cast(y as int)), lambda y: y >= 1990 and y <= 2027)) as year from c""")
 def year_from_url(v: Views) -> DataFrame:
-    url = F.concat(F.lit("https://h/files/"), F.year("downloaded_on").cast("string"), F.lit("/r_17.pdf"))
-    return v.doc.select("id", fn.year_from_url(url).alias("year"))
+    return v.doc.select("id", fn.year_from_url(F.get(F.array(*map(F.lit, _YEAR_URLS)), (F.col("id") % len(_YEAR_URLS)).cast("int")), 2027).alias("year"))
 
 
 @query("select id, cast(year(downloaded_on) - case when strftime(downloaded_on, '%m-%d') < '06-30' then 1 else 0 end as int) as year from doc")
@@ -143,11 +174,11 @@ def period_bounds(v: Views) -> DataFrame:
     return v.doc.select("id", fn.week_end("downloaded_on").alias("week_end"), month[0].alias("month_start"), month[1].alias("month_end"), quarter[0].alias("quarter_start"))
 
 
-@query("""with p as (select id, downloaded_on as a, downloaded_on + 9 as b from doc)
-select id, case when strftime(a, '%Y%m') = strftime(b, '%Y%m') then concat(strftime(a, '%b %-d'), '-', strftime(b, '%-d, %Y')) when year(a) = year(b) then concat(strftime(a, '%b %-d'), ' - ', strftime(b, '%b %-d, %Y'))
-else concat(strftime(a, '%b %-d, %Y'), ' - ', strftime(b, '%b %-d, %Y')) end as label from p""")
+@query("""with p as (select id, downloaded_on as a, downloaded_on + cast(id % 40 as int) as b from doc)
+select id, case when year(a) <> year(b) then strftime(a, '%b %-d, %Y') || ' – ' || strftime(b, '%b %-d, %Y') when month(a) <> month(b) then strftime(a, '%b %-d') || ' – ' || strftime(b, '%b %-d, %Y')
+else strftime(a, '%b %-d') || '–' || strftime(b, '%-d, %Y') end as label from p""")
 def period_label(v: Views) -> DataFrame:
-    return v.doc.select("id", fn.period_label("downloaded_on", F.date_add("downloaded_on", 9)).alias("label"))
+    return v.doc.select("id", fn.period_label("downloaded_on", F.date_add("downloaded_on", (F.col("id") % 40).cast("int"))).alias("label"))
 
 
 @query("select id, case when id >= 3600 then concat(cast(id // 3600 as varchar), 'h', lpad(cast(id % 3600 // 60 as varchar), 2, '0'), 'm') else concat(cast(id // 60 as varchar), 'm ', cast(id % 60 as varchar), 's') end as duration from doc")
@@ -161,25 +192,44 @@ def number_format(v: Views) -> DataFrame:
     return v.alloc.select("extract_id", "seq", fn.signed_percent(F.col("actual_bp") - F.col("target_bp")).alias("shown"), fn.dollars((F.col("actual_bp") - F.col("target_bp")).cast("bigint") * 1000003, "m").alias("amount"))
 
 
-@query("select id, case when length(text) > 80 then concat(rtrim(left(text, 80), ' '), '…') else text end as excerpt from txt")
+@query(r"""with c as (select id, case when id % 9 <> 0 then concat(chr(10), ' ', text) end as text from txt), l as (select id, regexp_replace(replace(coalesce(text, ''), chr(10), ' '), '^\s+|\s+$', '', 'g') as line from c)
+select id, case when length(line) <= 80 then line else regexp_replace(left(line, 80), '\s+$', '') || '…' end as excerpt from l""")
 def excerpt(v: Views) -> DataFrame:
-    return v.txt.select("id", fn.excerpt("text", 80).alias("excerpt"))
+    text = F.when(F.col("id") % 9 != 0, F.concat(F.lit("\n "), "text"))
+    return v.txt.select("id", fn.excerpt(text, 80).alias("excerpt"))
 
 
-@query("select id, array_to_string(regexp_split_to_array(trim(text, ' '), '[ \\t\\n\\r]+')[1:12], ' ') as words from txt")
+@query(r"""with w as (select id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as words from txt)
+select id, case when len(words) > 90 then array_to_string(words[1:90], ' ') || '…' else text end as words, len(words) > 90 as cut from w""")
 def truncate_words(v: Views) -> DataFrame:
-    return v.txt.select("id", fn.truncate_words("text", 12).alias("words"))
+    return v.txt.select("id", fn.truncate_words("text", 90).alias("t")).select("id", F.col("t.text").alias("words"), F.col("t.cut").alias("cut"))
+
+
+_STRIPPED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '(?m)^#{{1,6}}\s+', '', 'g'), '(?m)^\s*[-*+]\s+', '', 'g'), '(?m)^\s*[0-9]+\.\s+', '', 'g'),
+'\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'), '\*([^*]+)\*', '\1', 'g'), '`([^`]+)`', '\1', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"""
 
+_TRIMMED = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
-@query(r"""with c as (select id, text, left(text, 700) as cut, regexp_extract(left(text, 700), '(?s)^(.*[.!?])(?:\s|$)', 1) as sentence from txt)
-select id, case when length(text) <= 700 then text when length(sentence) >= 420 then sentence else rtrim(cut, ' ') || '…' end as preview from c""")
+
+# notes of four kinds around a document's text: with a summary of its own, with a title and a date line, bare, and none
+@query("with n as (select id, case id % 4 when 0 then text when 1 then text when 2 then text end as body from txt), p as (select id, " + _TRIMMED.format(x=_STRIPPED.format(x="coalesce(body, '')")) + r""" as plain from n),
+c as (select id, plain, left(plain, 700) as cut, length(regexp_extract(left(plain, 700), '(?s)^(.*(?:\.[ \n]|[?!] ))', 1)) - 2 as spot from p)
+select id, case when length(plain) <= 700 then plain else regexp_replace(case when spot > 420 then left(cut, spot + 1) else cut end, '\s+$', '') || ' …' end as preview from c""")
 def preview(v: Views) -> DataFrame:
-    return v.txt.select("id", fn.preview("text").alias("preview"))
+    kind = F.col("id") % 4
+    own = F.concat(F.lit("# Title\n\nbefore\n\n## tl;dr \n\n"), "text", F.lit("\n## Next\nafter"))
+    dated = F.concat(F.lit("# Title\n\n*Generated: 2026-05-02*\n---\n  \n"), "text")
+    note = F.when(kind == 0, own).when(kind == 1, dated).when(kind == 2, F.col("text"))
+    return v.txt.select("id", fn.preview(note).alias("preview"))
+
+
+_MARKED = ["## Title #", "**one** and *two* of `three`", "- item [name #](http://x/y)", "  12. numbered #", "a\n\n\n\nb * c", "1.5 stays, **un*closed**", "+ plus\n* star\n###### deep", "####### not a heading"]
 
 
-@query("select id, concat('Title one name', cast(id as varchar), ' item') as plain from plan")
+@query(f"with m as (select id, concat({_case_sql(_MARKED)}, chr(10), {_case_sql(_MARKED[3:] + _MARKED[:3])}, chr(10), {_case_sql(_MARKED[5:])}) as text from plan) select id, ".replace("\n", "' || chr(10) || '") + _TRIMMED.format(x=_STRIPPED.format(x="text")) + " as plain from m")
 def strip_markup(v: Views) -> DataFrame:
-    return v.plan.select("id", fn.strip_markup(F.concat(F.lit("## Title\n\n**one** [name"), S("id"), F.lit("](http://x/y)\n- item"))).alias("plain"))
+    text = F.concat_ws("\n", _case(_MARKED), _case(_MARKED[3:] + _MARKED[:3]), _case(_MARKED[5:]))
+    return v.plan.select("id", fn.strip_markup(text).alias("plain"))
 
 
 @query("select id, regexp_replace(name, '(customer)', '<mark>\\1</mark>', 'gi') as shown from plan")
@@ -193,16 +243,28 @@ def rewrite_citations(v: Views) -> DataFrame:
     return v.plan.select("id", fn.rewrite_citations(F.concat(F.lit("see ["), i, F.lit("] and ["), i, F.lit(", 7]")), "/d").alias("linked"))
 
 
-@query("select id, case when id % 3 = 0 then 'transient' when id % 3 = 1 then 'gone' else 'unknown' end as class, id % 3 = 0 as blocked from plan")
+_MESSAGES = [
+    "ERROR: Video unavailable. This content isn't available, try again later. The session has been rate-limited.", "ERROR: [x] #: Video unavailable", "Private video. Sign in", "This video has been REMOVED by the uploader",
+    "HTTP Error 500", "404 Not Found", None, "the account associated with this video has been terminated", "it has been removed by the uploader; rate-limited",
+]
+
+
+@query(f"""with m as (select id, lower({_case_sql(_MESSAGES)}) as m from plan)
+select id, case when contains(m, 'rate-limited') or contains(m, 'try again later') then 'transient'
+when regexp_matches(m, 'private video|video unavailable|has been removed|account associated with this video has been terminated') then 'gone' else 'transient' end as class from m""")
 def error_class(v: Views) -> DataFrame:
-    message = F.when(F.col("id") % 3 == 0, "404 after Timeout").when(F.col("id") % 3 == 1, "Not Found")
-    return v.plan.select("id", fn.error_class(message).alias("class"), fn.block_detect(F.when(F.col("id") % 3 == 0, 403).otherwise(200), F.lit("Access denied")).alias("blocked"))
+    return v.plan.select("id", fn.error_class(_case(_MESSAGES)).alias("class"))
+
+
+_NAMES = ["Calendar #.pdf", "Board pack.pdf", None, "cover-page.pdf", "roadmap.pdf", "NOTICE_ONLY.pdf", "minutes #.pdf", "bios.doc"]
 
 
-@query("select id, case when length(trim(text, ' ')) < 100 then 'too short' when source = 'src3' then 'no content' end as reason, case when source = 'src1' or n_chars > 60000 then 'large' when n_chars > 8000 then 'medium' else 'small' end as tier from txt")
+@query(rf"""with n as (select id, case when id % 10 = 0 then concat(chr(10), left(text, 90), '      ', chr(9)) when id % 10 = 1 then null else text end as text, {_case_sql(_NAMES)} as name from txt)
+select id, case when length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) < 100 then 'insufficient text'
+when regexp_matches(lower(name), 'attendance|building|map|calendar|cover.?page|direction|notice.only|parking|visitor|hotel|travel|bio|headshot') then concat('non-substantive filename (', name, ')') end as reason from n""")
 def skip_reason(v: Views) -> DataFrame:
-    name, kind = F.when(F.col("source") == "src3", "Calendar.pdf").otherwise("x.pdf"), F.when(F.col("source") == "src1", "cafr").otherwise("minutes")
-    return v.txt.select("id", fn.skip_reason("text", name).alias("reason"), fn.route_by_size("n_chars", kind).alias("tier"))
+    text = F.when(F.col("id") % 10 == 0, F.concat(F.lit("\n"), F.left("text", F.lit(90)), F.lit("      \t"))).when(F.col("id") % 10 != 1, F.col("text"))
+    return v.txt.select("id", fn.skip_reason(text, _case(_NAMES)).alias("reason"))
 
 
 @query("select id, id % 3 = 0 as placeholder from plan")
@@ -211,9 +273,13 @@ def placeholder_only(v: Views) -> DataFrame:
     return v.plan.select("id", fn.placeholder_only(text).alias("placeholder"))
 
 
-@query("select id, id % 2 = 0 as matches from plan")
+_TITLES = ["Board of Trustees, March", "Investment  Committee #", "Regular\tMeeting", "Town hall", None, "Quick tip: plan benefits", "Trustee meeting", "trustees MEETING 4", "Pension Boards", "Meeting of the board", "board of regents", "Special meetings #"]
+
+
+@query(rf"""select id, coalesce(regexp_matches({_case_sql(_TITLES)},
+'(?i)board\s+(meeting|of\s+(administration|trustees|directors|managers|education))|(investment|audit|finance|executive|governance)\s+committee|trustees?\s+meeting|(retirement|pension)\s+board|(regular|special|quarterly|annual|committee|public)\s+meeting'), false) as matches from plan""")
 def title_match(v: Views) -> DataFrame:
-    return v.plan.select("id", fn.title_match(F.when(F.col("id") % 2 == 0, "Board of Trustees Meeting 3").otherwise("Town hall")).alias("matches"))
+    return v.plan.select("id", fn.title_match(_case(_TITLES)).alias("matches"))
 
 
 #: url, and its platform, kind, id and canonical url; ``#`` stands for a number.
@@ -254,10 +320,16 @@ def url_for_year(v: Views) -> DataFrame:
     return v.plan.select("id", template.alias("t"), linked.alias("l"), F.lit("https://s/2019.pdf").alias("s")).select("id", fn.url_for_year("t", "l", "s", 2024).alias("url"))
 
 
-@query("select d.id, concat(lower(replace(p.name, '#', '-')), '/', coalesce(cast(d.meeting_date as varchar), 'undated'), '/', cast(d.id as varchar)) as path from doc d join plan p on p.id = d.plan_id")
+_KEYS = ["a b/c#", "../x#", "###", "é#", "v_#-1.mp4"]
+
+
+@query(f"""with r as (select d.id, p.name, {_case_sql(_KEYS, 'd.id')} as key, case when d.id % 3 <> 0 then d.meeting_date end as met, case when d.id % 5 <> 0 then d.downloaded_on end as made from doc d join plan p on p.id = d.plan_id)
+select id, concat(regexp_replace(replace(name, ' ', '_'), '[^A-Za-z0-9._-]+', '', 'g'), '/', coalesce(cast(met as varchar), cast(made as varchar), 'undated'), '_',
+coalesce(nullif(regexp_replace(replace(key, ' ', '_'), '[^A-Za-z0-9._-]+', '', 'g'), ''), 'x'), '.mp4') as path from r""")
 def safe_path(v: Views) -> DataFrame:
     rows = v.doc.join(v.plan.select(F.col("id").alias("plan_id"), "name"), "plan_id")
-    return rows.select("id", fn.safe_path("name", "meeting_date", "id").alias("path"))
+    met, made = F.when(F.col("id") % 3 != 0, F.col("meeting_date")), F.when(F.col("id") % 5 != 0, F.col("downloaded_on"))
+    return rows.select("id", fn.safe_path("name", _case(_KEYS), met, made, F.lit(".mp4")).alias("path"))
 
 
 @query("select id, case when id % 2 = 0 then concat(cast(downloaded_on as varchar), 'T10:00:00Z') else concat(cast(downloaded_on as varchar), 'T10:00:00+00:00') end as stamp from doc")
@@ -296,11 +368,25 @@ def date_from_title(v: Views) -> DataFrame:
     return v.doc.select("id", fn.date_from_title(title).alias("found"))
 
 
-@query("select id, cast(case when id % 3 = 0 then 2000 + id % 30 when id % 3 = 1 then 2010 else 2031 end as int) as year from doc")
+_COVERS = [
+    "2031. For the Fiscal Year Ended June 30, 2024", "Fiscal Year 2024 ... target 2031", "2022 ACFR, target 2030", "FY2019 and 2025", "Annual Comprehensive\nFinancial Report for 2023, (c) 2026",
+    "Fiscal year ending December 31 2095. FY 2020", "2007 and 2026", "19 of 20", None, "for the year ended December 31, 2010, made 2012", "2018 x " + "y" * 50 + " CAFR", "acfrs 2011, 2009", "x" * 5000 + " 2015",
+]
+_REPORT = r"(annual\s+comprehensive\s+financial\s+report|comprehensive\s+annual\s+financial\s+report|\bacfr\b|\bcafr\b)"
+_YEAR_RULES = [
+    r"fiscal\s+year\s+end(ed|ing)\s+(january|february|march|april|may|june|july|august|september|october|november|december)\s+[0-9]{1,2},?\s+(20[0-9][0-9])", r"\bfiscal\s+year\s+(20[0-9][0-9])\b",
+    r"\bfy\s*(20[0-9][0-9])\b", _REPORT + r"(?s:.{0,40}?)(20[0-9][0-9])", r"(20[0-9][0-9])(?s:.{0,40}?)" + _REPORT,
+]
+
+
+def _years_sql(text: str, rule: str, group: int) -> str:
+    return f"list_filter(list_transform(regexp_extract_all({text}, '(?i){rule}', {group}), lambda y: cast(y as int)), lambda y: y between 2000 and 2027)"
+
+
+@query("with c as (select id, " + _case_sql(_COVERS).replace("\n", "' || chr(10) || '") + " as t from doc) select id, coalesce(" + ", ".join(f"{_years_sql('t', r, g)}[1]" for r, g in zip(_YEAR_RULES, (3, 1, 1, 2, 1), strict=True))
+       + ", list_max(" + _years_sql("left(t, 5000)", r"\b(20[0-9][0-9])\b", 1) + ")) as year from c")
 def fiscal_year_text(v: Views) -> DataFrame:
-    ended = F.concat(F.lit("2031. For the Fiscal Year Ended June 30, "), (2000 + F.col("id") % 30).cast("string"))
-    text = F.when(F.col("id") % 3 == 0, ended).when(F.col("id") % 3 == 1, "2035 report for the year ended December 31, 2010").otherwise("2007 and 2031")
-    return v.doc.select("id", fn.fiscal_year_text(text).alias("year"))
+    return v.doc.select("id", fn.fiscal_year_text(_case(_COVERS), 2000, 2027).alias("year"))
 
 
 _CLAIMS = {"id": "cast(id as varchar)", "dollars": "'$1,250.5 million'", "percent": "concat(cast(id as varchar), '.5%')", "bps": "concat(cast(id as varchar), ' basis points')", "vote": "'7-2'", "entity": "concat('Acme ', cast(id as varchar))"}
@@ -314,22 +400,32 @@ def claim_extract(v: Views) -> DataFrame:
     return claims.withColumn("variants", F.size(fn.claim_variants("kind", "value")).cast("bigint"))
 
 
-@query("select id, id % 4 = 0 as blocked from plan")
+_BODIES = ["<title>Just a moment...</title>", "Access Denied", "hello", None, "x" * 4000 + "recaptcha", "RECAPTCHA by DataDome"]
+_SERVERS = ["nginx", "AkamaiGHost", "cloudflare"]
+
+
+@query(f"""with r as (select id, [200, 403, 429, 503, 404][id % 5 + 1] as status, lower(concat('server:', {_sql_list(_SERVERS)}[id % 3 + 1], ' ', case when id % 4 = 0 then 'cloudflare-ray:1' else '' end, chr(10), left(coalesce({_sql_list(_BODIES)}[id % 6 + 1], ''), 4000))) as hay from doc)
+select id, case when status in (403, 429, 503) then concat('HTTP ', status, ' (', case when contains(hay, 'cloudflare-ray') then 'cf-ray header' when contains(hay, 'just a moment') then 'Cloudflare ''Just a moment'' challenge'
+when contains(hay, 'access denied') then 'generic access-denied page' when contains(hay, 'recaptcha') then 'recaptcha challenge' when contains(hay, 'akamai') then 'Akamai bot mitigation' else 'no WAF fingerprint, but blocked status' end, ')') end as reason from r""")
 def block_detect(v: Views) -> DataFrame:
-    body = F.when(F.col("id") % 4 == 0, "Please solve the CAPTCHA").otherwise("hello")
-    return v.plan.select("id", fn.block_detect(F.when(F.col("id") % 2 == 0, 429).otherwise(200), body).alias("blocked"))
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), (F.col("id") % n).cast("int"))
+    headers = F.when(F.col("id") % 4 == 0, F.create_map(F.lit("Server"), pick(_SERVERS, 3), F.lit("Cloudflare-Ray"), F.lit("1"))).otherwise(F.create_map(F.lit("Server"), pick(_SERVERS, 3)))
+    return v.doc.select("id", fn.block_detect(pick([200, 403, 429, 503, 404], 5), headers, pick(_BODIES, 6)).alias("reason"))
 
 
-@query("select id, case when source in ('src1', 'src2') or n_chars > 60000 then 'large' when n_chars > 8000 then 'medium' else 'small' end as tier from txt")
+@query(r"""with t as (select id, case when id % 3 = 0 then concat('Hedge  fund ', text) when id % 3 = 1 then concat(repeat('x', 5000), ' benchmark ', repeat('y', 15000)) else concat('Real-Estate ', repeat('z', cast(19988 + id % 2 as int))) end as text from txt)
+select id, case when length(text) >= 20000 and regexp_matches(lower(left(text, 5000)), 'investment|portfolio|allocation|return|performance|manager|mandate|commitment|private.equity|real.estate|infrastructure|hedge|fixed.income|equity|emerging.market|asset.class|benchmark|alpha|risk') then 'large' else 'small' end as tier from t""")
 def route_by_size(v: Views) -> DataFrame:
-    kind = F.when(F.col("source") == "src1", "cafr").when(F.col("source") == "src2", "performance")
-    return v.txt.select("id", fn.route_by_size("n_chars", kind).alias("tier"))
+    kind = F.col("id") % 3
+    middle = F.concat(F.repeat(F.lit("x"), F.lit(5000)), F.lit(" benchmark "), F.repeat(F.lit("y"), F.lit(15000)))
+    text = F.when(kind == 0, F.concat(F.lit("Hedge  fund "), "text")).when(kind == 1, middle).otherwise(F.concat(F.lit("Real-Estate "), F.repeat(F.lit("z"), (19988 + F.col("id") % 2).cast("int"))))
+    return v.txt.select("id", fn.route_by_size(text).alias("tier"))
 
 
-@query("select id, case when id % 3 = 0 then concat('https://www.youtube.com/watch?v=', cast(id as varchar)) when id % 3 = 1 then concat('https://vimeo.com/', cast(id as varchar)) else name end as url from plan")
+@query("select id, case id % 4 when 0 then 'https://www.youtube.com/watch?v=' || id when 1 then 'https://vimeo.com/' || id when 2 then 'https://g/' || id else cast(id as varchar) end as url from plan")
 def video_url(v: Views) -> DataFrame:
-    platform = F.when(F.col("id") % 3 == 0, "youtube").when(F.col("id") % 3 == 1, "vimeo")
-    return v.plan.select("id", fn.video_url(platform, F.col("id").cast("string"), "name").alias("url"))
+    platform = F.get(F.array(*map(F.lit, ["youtube", "vimeo", "granicus", "swagit"])), (F.col("id") % 4).cast("int"))
+    return v.plan.select("id", fn.video_url(platform, S("id"), F.when(F.col("id") % 4 == 3, "").otherwise(F.concat(F.lit("https://g/"), S("id")))).alias("url"))
 
 
 @query("select id, id as clip, concat('Board ', cast(id as varchar)) as title, date '2024-01-05' as day, 65 as minutes from plan")

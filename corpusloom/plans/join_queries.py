@@ -159,7 +159,8 @@ def orphan_check(v: Views) -> DataFrame:
 
 @query("""with b as (select id, plan_id, status, case when id % 9 = 0 then amount + 1 else amount + 0.00000001 end as amount from doc where id % 8 <> 0 union all select -id, plan_id, status, amount from doc where id % 100 = 0)
 select coalesce(d.id, b.id) as id, case when b.id is null then 'left_only' when d.id is null then 'right_only' else 'changed' end as change
-from doc d full join b on b.id = d.id where b.id is null or d.id is null or abs(b.amount - d.amount) > 0.000001""")
+from doc d full join b on b.id = d.id where b.id is null or d.id is null or abs(b.amount - d.amount) > 0.000001
+union all select null, 'count_differs' where (select count(*) from doc) <> (select count(*) from b)""")
 def dataset_diff(v: Views) -> DataFrame:
     left = v.doc.select("id", "plan_id", "status", "amount")
     right = left.filter("id % 8 <> 0").withColumn("amount", F.when(F.col("id") % 9 == 0, F.col("amount") + 1).otherwise(F.col("amount") + 1e-8))

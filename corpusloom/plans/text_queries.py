@@ -44,9 +44,9 @@ _BM25 = """, hits as (select id, term as part, tf from tf where term in ('the',
 df as (select part, count(*) as df from hits group by 1), m as (select id from hits group by 1 having count(*) = 4)"""
 
 
-@query(_TOKENS + _BM25 + f""", s as (select hits.id, round(sum(greatest(ln(((select n from size) - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (select average from size)))), 6) as score
+@query(_TOKENS + _BM25 + f""", s as (select hits.id, sum(greatest(ln(((select n from size) - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (select average from size)))) as raw
 from hits join df on df.part = hits.part join len on len.id = hits.id where hits.id in (select id from m) group by 1)
-select txt.id, score, {_DAY} as day from s join txt on txt.id = s.id where lang = 'en' order by score desc, day desc nulls last, txt.id limit 20""".replace("id % 7", "txt.id % 7").replace("else id", "else txt.id"))
+select txt.id, round(raw, 6) as score, {_DAY} as day from s join txt on txt.id = s.id where lang = 'en' order by round(raw, 12) desc, day desc nulls last, txt.id limit 20""".replace("id % 7", "txt.id % 7").replace("else id", "else txt.id"))
 def search_bm25(v: Views) -> DataFrame:
     docs = v.txt.withColumn("day", F.expr(_DAY))
     found = search.search_bm25(_index(v), "the WITH of-the (er)", 20, docs, "id", "lang", "en", "day")
@@ -104,13 +104,13 @@ def section_range_ranked(v: Views) -> DataFrame:
     return op.section_range_ranked(op.line_pages(v.txt, "id", "text"), "id", "^The ", "the", "^(And|Of) ", 3, 120, 10)
 
 
-_SPAN = """, h as (select id, min(page) as a, max(page) as b, count(*) as n from l where contains(line, 'tion of') group by 1), e as (select id, max(page) as z from l group by 1),
+_SPAN = """, h as (select id, min(page) as a, max(page) as b, count(*) as n from l join (select id as i, max(page) as z from l group by 1) q on q.i = l.id where contains(regexp_replace(lower(line), '\\s+', ' ', 'g'), 'tion of') and (page >= 2 or z <= 2) group by 1), e as (select id, max(page) as z from l group by 1),
 s as (select h.id, case when n = 1 then greatest(a - 3, 1) else a end as first, case when n = 1 then least(b + 3, z) else b end as last from h join e on e.id = h.id),
 r as (select id, first, least(last, first + 7) as last from s)"""
 
 
 def _span(v: Views) -> DataFrame:
-    return op.phrase_span(op.line_pages(v.txt, "id", "text"), "id", "tion of", 3, 8)
+    return op.phrase_span(op.line_pages(v.txt, "id", "text"), "id", "Tion  OF", 3, 8, 2)
 
 
 @query(_LINES + _SPAN + " select * from r")
@@ -128,17 +128,17 @@ def section_concat(v: Views) -> DataFrame:
     return op.section_concat(op.line_pages(v.txt, "id", "text"), _span(v), "id", 500)
 
 
-@query(r"""with s as (select id, text, length(text) as n, string_split_regex(text, '(?i)worthless|token') as parts, regexp_extract_all(text, '(?i)worthless|token') as hits from txt),
-h as (select id, n, unnest(hits) as hit, unnest(parts[1:len(hits)]) as part, generate_subscripts(hits, 1) as i from s),
-e as (select id, n, hit, sum(length(part) + length(hit)) over (partition by id order by i) as fin from h),
-w as (select id, greatest(fin - length(hit) - 200, 500) as a, least(fin + 200, n - 300) as b from e),
-g as (select id, a, b, coalesce(a > max(b) over (partition by id order by a, b rows between unbounded preceding and 1 preceding), true) as fresh from w where a < b),
+@query(r"""with s as (select id, text, length(text) as n, substr(text, 501, length(text) - 800) as mid from txt), t as (select *, string_split_regex(mid, '(?i)worthless|token') as parts, regexp_extract_all(mid, '(?i)worthless|token') as hits from s where n > 1500),
+h as (select id, length(mid) as n, unnest(hits) as hit, unnest(parts[1:len(hits)]) as part, generate_subscripts(hits, 1) as i from t),
+e as (select id, n, sum(length(part) + length(hit)) over (partition by id order by i) - length(hit) as start from h),
+w as (select id, greatest(start - 100, 0) as a, least(start + 100, n) as b from e),
+g as (select id, a, b, coalesce(a > max(b) over (partition by id order by a, b rows between unbounded preceding and 1 preceding), true) as fresh from w),
 k as (select id, a, b, sum(cast(fresh as int)) over (partition by id order by a, b rows unbounded preceding) as g from g),
-m as (select id, min(a) as a, max(b) as b from k group by id, g), c as (select id, a, b, sum(b - a) over (partition by id order by a) as total from m),
-x as (select c.id, string_agg(substr(text, cast(a as bigint) + 1, cast(b - a as bigint)), chr(10) || '…' || chr(10) order by a) as middle from c join s on s.id = c.id where total <= 2000 group by 1)
-select s.id, case when n <= 800 then text else concat_ws(chr(10) || '…' || chr(10), left(text, 500), middle, right(text, 300)) end as excerpt from s left join x on x.id = s.id""")
+m as (select id, min(a) as a, max(b) as b from k group by id, g), c as (select id, a, b, coalesce(sum(b - a) over (partition by id order by a rows between unbounded preceding and 1 preceding), 0) as used from m),
+x as (select c.id, string_agg(substr(mid, cast(a as bigint) + 1, cast(least(b - a, 700 - used) as bigint)), chr(10) || chr(10) || '[...]' || chr(10) || chr(10) order by a) as middle from c join t on t.id = c.id where used <= 700 group by 1)
+select s.id, case when n <= 1500 then text else concat_ws(chr(10) || chr(10) || '[...]' || chr(10) || chr(10), left(text, 500), nullif(middle, ''), right(text, 300)) end as excerpt from s left join x on x.id = s.id""")
 def keyword_excerpt(v: Views) -> DataFrame:
-    return op.keyword_excerpt(v.txt.select("id", "text"), "id", "text", "(?i)worthless|token", 200, 500, 300, 2000)
+    return op.keyword_excerpt(v.txt.select("id", "text"), "id", "text", "(?i)worthless|token", 200, 500, 300, 1500)
 
 
 @query("select id, md5(text) as digest, min(id) over (partition by md5(text)) as source, id <> min(id) over (partition by md5(text)) as reused from txt")

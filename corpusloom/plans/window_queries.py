@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.expressions import title_match
 from corpusloom.operators import windows as op
 from corpusloom.plans.registry import query
 from corpusloom.plans.views import Views
@@ -39,10 +40,14 @@ def latest_nonempty(v: Views) -> DataFrame:
     return op.latest_nonempty(rows, "plan_id", "text", "meeting_date", "id").select("plan_id", "id", "meeting_date")
 
 
-@query("""with r as (select plan_id, id, status, row_number() over (partition by plan_id order by coalesce(meeting_date, downloaded_on) desc nulls last, id desc) as n from doc where doc_type = 'board_pack')
-select plan_id, id, status from r where n = 1 and status in ('pending', 'failed')""")
+@query("""with t as (select *, case when doc_type = 'board_pack' then 'Board of Trustees' when doc_type = 'minutes' then 'Regular  Meeting' when id % 2 = 0 then 'Quick tip' end as title from doc),
+r as (select plan_id, id, status, row_number() over (partition by plan_id order by coalesce(meeting_date, downloaded_on) desc nulls last, id desc) as n from t where title in ('Board of Trustees', 'Regular  Meeting'))
+select plan_id, id, status from r where n = 1 and status in ('pending', 'failed') and id % 5 < 3""")
 def latest_meeting_recording(v: Views) -> DataFrame:
-    return op.latest_then_open(v.doc.filter("doc_type = 'board_pack'"), "plan_id", ["meeting_date", "downloaded_on"], "id", F.col("status").isin("pending", "failed")).select("plan_id", "id", "status")
+    title = F.when(F.col("doc_type") == "board_pack", "Board of Trustees").when(F.col("doc_type") == "minutes", "Regular  Meeting").when(F.col("id") % 2 == 0, "Quick tip")
+    rows = v.doc.withColumn("title", title).withColumn("attempts", F.col("id") % 5).filter(title_match("title"))
+    needed = F.col("status").isin("pending", "failed") & (F.coalesce("attempts", F.lit(0)) < 3)
+    return op.latest_then_open(rows, "plan_id", ["meeting_date", "downloaded_on"], "id", needed).select("plan_id", "id", "status")
 
 
 @query("""select plan_id, meeting_date, coalesce(max(case when doc_type = 'agenda' then id end), min(case when doc_type in ('board_pack', 'minutes') then id end)) as representative from doc group by 1, 2""")
