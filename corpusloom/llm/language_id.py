@@ -153,6 +153,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model, text: str, names: list[st
             new = [pa.array(lang, pa.string()), pa.array(top, pa.float64()), pa.array(total, pa.float64())]
             keep = [c for c in part.schema.names if c not in names]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *new], names=[*keep, *names])
+        ta.release()
 
 
 def identify(docs: DataFrame, training: DataFrame, bound: int = TRAIN_ROWS, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -106,6 +106,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total += np.bincount(_bucket(hashes), minlength=DF_BUCKETS)
             rows += part.num_rows
             salt = int(hashes[0]) % _SALTS if len(hashes) and not salt else salt
+        ta.release()
     if rows:
         chunks = total.reshape(-1, _CHUNK)
         at = np.flatnonzero(chunks.any(1))
@@ -190,6 +191,7 @@ def _sign(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.RecordBatch
                 key = ta.mix(key ^ bands[:, :, i]) * ta.U64(0x9E3779B97F4A7C15)
             keep = [part.column(c).take(pa.array(rows)) for c in ("node", "doc_id")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(weight), _lists(key.view(np.int64), pa.int64())], names=["node", "doc_id", "weight", "bands"])
+        ta.release()
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.RecordBatch]:
@@ -201,6 +203,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.RecordBat
             keep = [c for c in part.schema.names if c != "text"]
             short = (got[2] >> ta.U64(56)).astype(np.uint8).view(np.int8)
             yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(got[0])) for c in keep), _lists(short, pa.int8())], names=[*keep, "sketch"])
+        ta.release()
 
 
 def _similarity(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.RecordBatch]:
@@ -218,6 +221,7 @@ def _similarity(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.Recor
             least = np.bincount(rows[both], np.minimum(w[both], w[both + 1]), part.num_rows)
             total = np.bincount(rows, w, part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(least / np.maximum(total - least, 1e-12))], names=["a", "b", "similarity"])
+        ta.release()
 
 
 def _salt(node: str) -> Column:

@@ -7,6 +7,7 @@ task's memory follows the slice and not the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ LOWER[65:91] += 32
 _BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASE = 0xD1342543DE82EF95 | 1
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Of the C library, where it has it.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +73,14 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         at = to
 
 
+def release() -> None:
+    """Gives free memory back to the system. A worker is used again for other stages; what one of them has freed but still
+    holds would add to what the next ones need."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, one text after another, and the row offsets. Null is empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())
