@@ -74,7 +74,7 @@ def test_languages_in_blocks_equal_one_matrix(spark, monkeypatch, block):
 
 def test_a_thousand_and_one_languages(spark):
     """Each has one row and a word of its own; none is left out."""
-    word = lambda i: "".join(chr(0x3400 + i * 7 + k) for k in range(6))
+    word = lambda i: "".join(chr(0x4E00 + i * 7 + k) for k in range(6))
     table = docs(spark, [(i, f"{word(i)} {word(i)}", f"l{i:04}") for i in range(1001)])
     out = language_id.identify(table, table).collect()
     assert len(out) == 1001 and all(r.lang_pred == r.lang for r in out)
