@@ -7,6 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources.tables import shared_folder
+
+
+def first_few(rows: DataFrame, keys: Sequence[str], value: str, n: int, name: str) -> DataFrame:
+    """(keys, name): the n least values of each key, in order. The rows are cut to n a key before they are grouped."""
+    own = Window.partitionBy(*keys).orderBy(value)
+    few = rows.select(*keys, value).filter(F.col(value).isNotNull()).distinct().withColumn("_n", F.row_number().over(own)).filter(F.col("_n") <= n)
+    return few.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias(name))
+
 
 def latest_per_group(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each group by a full ordering. Spark cuts to one row a group and task before the shuffle."""
@@ -80,10 +89,24 @@ def asof_instant(snapshots: DataFrame, key: str, at: str, instant: Column, tie:
 
 
 def asof_many(probes: DataFrame, snapshots: DataFrame, key: str, at: str, tie: str, values: Sequence[str]) -> DataFrame:
-    """For each probe (key, at) the values of the newest snapshot at or before it; by one sorted pass, no range join."""
-    both = snapshots.select(key, at, tie, F.lit(0).alias("_probe"), F.struct(*values).alias("_v")).unionByName(probes.select(key, at, tie, F.lit(1).alias("_probe"), F.lit(None).cast(snapshots.select(F.struct(*values)).schema[0].dataType).alias("_v")))
-    w = Window.partitionBy(key).orderBy(at, "_probe", tie).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("_last", F.last("_v", ignorenulls=True).over(w)).filter("_probe = 1").select(key, at, tie, *(F.col("_last")[v].alias(v) for v in values))
+    """For each probe (key, at) the values of the newest snapshot at or before it; by one sorted pass, no range join.
+
+    The pass is cut by ranges of key and time, so that a key with very many rows is no single task's: each range
+    finds its own last values, and the last value that a key had before a range is carried over the cut.
+    """
+    spark = probes.sparkSession
+    empty = F.lit(None).cast(snapshots.select(F.struct(*values)).schema[0].dataType).alias("_v")
+    both = snapshots.select(key, at, tie, F.lit(0).alias("_probe"), F.struct(*values).alias("_v")).unionByName(probes.select(key, at, tie, F.lit(1).alias("_probe"), empty))
+    folder = shared_folder(spark)  # the cuts are chosen by samples: written once, they are the same for both steps
+    both.repartitionByRange(key, at, "_probe", tie).withColumn("_part", F.spark_partition_id()).write.parquet(folder)
+    dealt = spark.read.parquet(folder)
+    order = [at, "_probe", tie]
+    own = F.last("_v", ignorenulls=True).over(Window.partitionBy("_part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    ends = dealt.groupBy("_part", key).agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_end"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range that the key is in
+    carried = ends.select("_part", key, F.last("_end", ignorenulls=True).over(before).alias("_carried")).filter("_carried is not null")
+    last = dealt.withColumn("_last", own).filter("_probe = 1").join(carried, ["_part", key], "left").withColumn("_last", F.coalesce("_last", "_carried"))
+    return last.select(key, at, tie, *(F.col("_last")[v].alias(v) for v in values))
 
 
 def mapping_join(rows: DataFrame, raw: str, mapping: DataFrame, vocabulary: Sequence[str]) -> DataFrame:

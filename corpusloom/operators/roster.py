@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.joins import first_few
+
 #: Documents that are kept as evidence.
 EVIDENCE = 20
 
@@ -17,7 +19,8 @@ def from_actions(actions: DataFrame, mapping: DataFrame, now: Column, role: str
     """
     named = actions.withColumn("raw", F.trim("manager")).filter("raw <> '' and raw <> 'N/A'").join(mapping, "raw", "left").withColumn("name", F.coalesce("canonical", "raw"))
     dated = F.when(F.col("date").isNotNull(), F.struct("date", "doc_id", "ord", F.coalesce("action", F.lit("")).alias("action")))
-    grouped = named.groupBy("plan_id", "name").agg(F.max(dated).alias("last"), F.max("date").alias("last_seen"), F.count("*").alias("mentions"), F.slice(F.sort_array(F.collect_set("doc_id")), 1, EVIDENCE).alias("doc_ids"))
+    grouped = named.groupBy("plan_id", "name").agg(F.max(dated).alias("last"), F.max("date").alias("last_seen"), F.count("*").alias("mentions"))
+    grouped = grouped.join(first_few(named, ["plan_id", "name"], "doc_id", EVIDENCE, "doc_ids"), ["plan_id", "name"], "left")
     status = F.when(F.col("last.action") == "fire", "terminated").when(F.col("last_seen") >= F.date_sub(now, stale_days), "current").otherwise("unknown")
     return grouped.select("plan_id", "name", F.lit(role).alias("role"), status.alias("status"), "last_seen", "mentions", "doc_ids", F.when(F.col("mentions") >= 3, 0.9).otherwise(0.6).alias("confidence"))
 
@@ -29,7 +32,8 @@ def from_records(records: DataFrame, role: str = "manager") -> DataFrame:
     rank = F.when(status == "current", 0).otherwise(2)
     named = records.withColumn("name", F.trim("name")).filter("name <> '' and name <> 'N/A'")
     confidence = F.when(F.col("field") == "awarded", 0.8).otherwise(0.5)
-    return named.groupBy("plan_id", "name").agg(F.min_by(status, rank).alias("status"), F.count("*").alias("mentions"), F.slice(F.sort_array(F.collect_set("doc_id")), 1, EVIDENCE).alias("doc_ids"), F.max(confidence).alias("confidence")).withColumn("role", F.lit(role))
+    facts = named.groupBy("plan_id", "name").agg(F.min_by(status, rank).alias("status"), F.count("*").alias("mentions"), F.max(confidence).alias("confidence"))
+    return facts.join(first_few(named, ["plan_id", "name"], "doc_id", EVIDENCE, "doc_ids"), ["plan_id", "name"], "left").withColumn("role", F.lit(role))
 
 
 def roster_reconcile(first: DataFrame, second: DataFrame) -> DataFrame:

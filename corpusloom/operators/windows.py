@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.joins import latest_per_group
+from corpusloom.sources.tables import shared_folder
 
 
 def latest_by_year(rows: DataFrame, key: str, year: str, tie: str) -> DataFrame:
@@ -85,11 +86,14 @@ def running_budget(rows: DataFrame, length: str, order: Sequence[Column], budget
     the totals of the partitions before (one row each). There are as many partitions as shuffles have, unless ``parts`` says.
     """
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    folder = shared_folder(rows.sparkSession)  # the cuts are chosen by samples: written once, they are the same for both phases
+    rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).write.parquet(folder)
+    dealt = rows.sparkSession.read.parquet(folder)
     own = F.sum(length).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     summed = dealt.withColumn("_own", own)
     per_part = dealt.groupBy("_part").agg(F.sum(length).alias("_total"))
-    ahead = per_part.alias("a").join(per_part.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b._total"), F.lit(0)).alias("_before"))
+    before = F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # over a row a partition
+    ahead = per_part.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
     total = F.col("_own") + F.col("_before")
     return summed.join(F.broadcast(ahead), "_part").withColumn("running", total).filter(total <= budget).drop("_part", "_own", "_before")
 

@@ -248,12 +248,12 @@ def run_membership(v: Views) -> DataFrame:
 
 
 @query("""with a as (select plan_id, case when length(trim(manager)) <= 2 then 'short' else trim(manager) end as name, coalesce(action, '') as action, meeting_date, doc_id, ord from act join doc on doc.id = act.doc_id where trim(manager) <> '' and trim(manager) <> 'N/A'),
-f as (select plan_id, name, max((meeting_date, doc_id, ord, action)) filter (where meeting_date is not null) as last, max(meeting_date) as last_seen, count(*) as mentions from a group by 1, 2),
-f1 as (select plan_id, name, case when last[4] = 'fire' then 'terminated' when last_seen >= date '2000-01-01' - 730 then 'current' else 'unknown' end as status, last_seen, mentions, case when mentions >= 3 then 0.9 else 0.6 end as confidence from f),
-r as (select plan_id, trim(manager) as name, case when ord % 2 = 0 then 'awarded' else 'incumbent' end as field, case when doc.status = 'failed' then 'withdrawn' end as state from act join doc on doc.id = act.doc_id where doc_type = 'cafr' and trim(manager) <> '' and trim(manager) <> 'N/A'),
-f2 as (select plan_id, name, case when bool_or(not (field = 'awarded' and coalesce(state, '') = 'withdrawn')) then 'current' else 'unknown' end as status, count(*) as mentions, max(case when field = 'awarded' then 0.8 else 0.5 end) as confidence from r group by 1, 2)
+f as (select plan_id, name, max((meeting_date, doc_id, ord, action)) filter (where meeting_date is not null) as last, max(meeting_date) as last_seen, count(*) as mentions, list_sort(list_distinct(list(doc_id)))[1:20] as docs from a group by 1, 2),
+f1 as (select plan_id, name, case when last[4] = 'fire' then 'terminated' when last_seen >= date '2000-01-01' - 730 then 'current' else 'unknown' end as status, last_seen, mentions, docs, case when mentions >= 3 then 0.9 else 0.6 end as confidence from f),
+r as (select plan_id, trim(manager) as name, case when ord % 2 = 0 then 'awarded' else 'incumbent' end as field, case when doc.status = 'failed' then 'withdrawn' end as state, doc_id from act join doc on doc.id = act.doc_id where doc_type = 'cafr' and trim(manager) <> '' and trim(manager) <> 'N/A'),
+f2 as (select plan_id, name, case when bool_or(not (field = 'awarded' and coalesce(state, '') = 'withdrawn')) then 'current' else 'unknown' end as status, count(*) as mentions, max(case when field = 'awarded' then 0.8 else 0.5 end) as confidence, list_sort(list_distinct(list(doc_id)))[1:20] as docs from r group by 1, 2)
 select coalesce(f1.plan_id, f2.plan_id) as plan_id, coalesce(f1.name, f2.name) as name, coalesce(f1.status, f2.status) as status, f1.last_seen, coalesce(f1.mentions, 0) + coalesce(f2.mentions, 0) as mentions,
-cast(greatest(f1.confidence, f2.confidence) as double) as confidence from f1 full join f2 on f2.plan_id = f1.plan_id and f2.name = f1.name""")
+cast(greatest(f1.confidence, f2.confidence) as double) as confidence, array_to_string(list_sort(list_distinct(list_concat(coalesce(f1.docs, []), coalesce(f2.docs, []))))[1:20], ' ') as docs from f1 full join f2 on f2.plan_id = f1.plan_id and f2.name = f1.name""")
 def roster_reconcile(v: Views) -> DataFrame:
     from corpusloom.operators import roster
 
@@ -263,4 +263,4 @@ def roster_reconcile(v: Views) -> DataFrame:
     field = F.when(F.col("ord") % 2 == 0, "awarded").otherwise("incumbent")
     records = actions.filter("doc_type = 'cafr'").select("plan_id", F.col("manager").alias("name"), field.alias("field"), F.when(F.col("status") == "failed", "withdrawn").alias("state"), "doc_id")
     made = roster.roster_reconcile(roster.from_actions(actions, mapping, now()), roster.from_records(records))
-    return made.select("plan_id", "name", "status", "last_seen", "mentions", "confidence")
+    return made.select("plan_id", "name", "status", "last_seen", "mentions", "confidence", F.array_join(F.col("doc_ids").cast("array<string>"), " ").alias("docs"))

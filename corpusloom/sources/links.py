@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.expressions import url_classify
+from corpusloom.operators.joins import first_few
 
 
 class _Anchors(HTMLParser):
@@ -75,7 +76,11 @@ def mine_urls(rows: DataFrame, key: str, text: str, hints: Sequence[str] = ()) -
     return out if not hints else out.filter(F.lower("url").rlike("|".join(hints)))
 
 
-def harvest_media(pages: DataFrame, hint: str) -> DataFrame:
-    """Media urls of all pages by platform and id: pages, whether any link carries the hint, up to three samples."""
+def harvest_media(pages: DataFrame, hint: str, samples: int = 3) -> DataFrame:
+    """Media urls of all pages by platform and id: pages, whether any link carries the hint, and the first ids of pages as samples."""
     links = anchors(pages).withColumn("c", url_classify("target")).filter("c is not null")
-    return links.groupBy("c.platform", "c.kind", F.col("c.id").alias("media_id")).agg(F.countDistinct("id").alias("n_pages"), F.bool_or(F.lower("link_text").contains(hint)).alias("hinted"), F.slice(F.sort_array(F.collect_set("id")), 1, 3).alias("samples"))
+    links = links.select("c.platform", "c.kind", F.col("c.id").alias("media_id"), "id", F.lower("link_text").contains(hint).alias("hinted"))
+    keys = ["platform", "kind", "media_id"]
+    each = links.groupBy(*keys, "id").agg(F.bool_or("hinted").alias("hinted"))
+    facts = each.groupBy(*keys).agg(F.count("*").alias("n_pages"), F.bool_or("hinted").alias("hinted"))
+    return facts.join(first_few(each, keys, "id", samples, "samples"), keys)
