@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import incremental as op
 from corpusloom.plans.registry import query
+from corpusloom.sources.stored import StoredTable, prune
+from corpusloom.sources.tables import shared_folder
 from corpusloom.plans.views import Views
 
 
@@ -203,3 +205,25 @@ def cascade_rollup(v: Views) -> DataFrame:
     quarters = op.cascade_rollup(parts, F.trunc("start", "quarter"), approved)
     named = [x.select(F.lit(c).alias("cadence"), "period", F.array_join("sources", " ").alias("sources"), "n", "block") for c, x in (("month", months), ("quarter", quarters))]
     return named[0].unionByName(named[1])
+
+
+@query(_BOTH + """ m as (select coalesce(s.id, i.id) as id, coalesce(i.status, s.status) as status, coalesce(i.amount, s.amount) as amount from s full join (select * from i where id % 9 = 0) i on i.id = s.id) select * from m""")
+def upsert_partitions(v: Views) -> DataFrame:
+    stored, incoming = _both(v)
+    table = StoredTable(v.spark, shared_folder(v.spark), "id", 16).create(stored)
+    table.upsert(incoming.filter("id % 9 = 0"), ["status", "amount"])
+    return table.read()
+
+
+@query("""select 'doc' as kind, cast(id as varchar) as key, 1 as n from doc where downloaded_on >= date '1998-01-01' union all
+select 'summ', cast(document_id as varchar), count(*) from summ where document_id in (select id from doc where downloaded_on >= date '1998-01-01') group by 2 union all
+select 'stone', url, 1 from (select url from doc where downloaded_on < date '1998-01-01' union select 'https://h/1.pdf')""")
+def prune_partitions(v: Views) -> DataFrame:
+    docs = StoredTable(v.spark, shared_folder(v.spark), "id", 16).create(v.doc.select("id", "url", "downloaded_on"))
+    children = StoredTable(v.spark, shared_folder(v.spark), "document_id", 16).create(v.summ.select("document_id", "id"))
+    stones = StoredTable(v.spark, shared_folder(v.spark), "url", 16).create(v.spark.createDataFrame([("https://h/1.pdf",)], "url string"))
+    prune(docs, children, stones, F.col("downloaded_on") < F.lit("1998-01-01").cast("date"))
+    one = F.lit(1).cast("bigint").alias("n")
+    kept = docs.read().select(F.lit("doc").alias("kind"), F.col("id").cast("string").alias("key"), one)
+    held = children.read().groupBy("document_id").agg(F.count("*").alias("n")).select(F.lit("summ").alias("kind"), F.col("document_id").cast("string").alias("key"), "n")
+    return kept.unionByName(held).unionByName(stones.read().select(F.lit("stone").alias("kind"), F.col("url").alias("key"), one))

@@ -8,6 +8,7 @@ from corpusloom.operators import textsearch as op
 from corpusloom.plans.registry import query
 from corpusloom.plans.views import Views
 from corpusloom.sources import links
+from corpusloom.sources.stored import save_pages
 from corpusloom.sources.tables import shared_folder
 
 _FOLD = "translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
@@ -104,6 +105,17 @@ def section_range_ranked(v: Views) -> DataFrame:
     return op.section_range_ranked(op.line_pages(v.txt, "id", "text"), "id", "^The ", "the", "^(And|Of) ", 3, 120, 10)
 
 
+@query(_LINES + """, f as (select id, min(page) as first from l where regexp_matches(line, '(?i)^the ') group by 1),
+r as (select l.id, f.first, coalesce(min(case when page > f.first and regexp_matches(line, '(?i)^(and|of) ') then page end) - 1, max(page)) as last from l join f on f.id = l.id group by 1, 2)
+select r.id, cast(sum(length(line)) as bigint) as chars, count(*) as pages, md5(string_agg(line, chr(10) order by page)) as digest from r join l on l.id = r.id and page between first and last group by 1""")
+def stored_pages(v: Views) -> DataFrame:
+    """Sections, their density and their text from pages that are stored once, by document."""
+    pages = save_pages(op.line_pages(v.txt, "id", "text"), "id", 16)
+    found = op.section_range(pages, "id", "(?i)^the ", "(?i)^(and|of) ")
+    dense, whole = op.text_density(pages, found, "id", 150), op.section_concat(pages, found, "id", 1)
+    return dense.join(whole, "id").select("id", "chars", "pages", "digest")
+
+
 _SPAN = """, h as (select id, min(page) as a, max(page) as b, count(*) as n from l join (select id as i, max(page) as z from l group by 1) q on q.i = l.id where contains(regexp_replace(lower(line), '\\s+', ' ', 'g'), 'tion of') and (page >= 2 or z <= 2) group by 1), e as (select id, max(page) as z from l group by 1),
 s as (select h.id, case when n = 1 then greatest(a - 3, 1) else a end as first, case when n = 1 then least(b + 3, z) else b end as last from h join e on e.id = h.id),
 r as (select id, first, least(last, first + 7) as last from s)"""
