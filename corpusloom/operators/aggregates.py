@@ -85,13 +85,18 @@ def year_range(rows: DataFrame, year: str) -> DataFrame:
 
 
 def mention_rollup(actions: DataFrame, name: str, action: str, entity: str, doc: str, date: str) -> DataFrame:
-    """Per trimmed name: mentions, distinct entities, sorted document ids, histogram of actions, first and last date."""
+    """Per trimmed name: mentions, distinct entities and documents, histogram of actions, first and last date."""
     known = actions.withColumn("_name", F.trim(name)).filter(F.col("_name") != "").withColumn("_action", F.coalesce(F.lower(F.nullif(F.trim(action), F.lit(""))), F.lit("other")))
     histogram = known.groupBy("_name", "_action").agg(F.count("*").alias("n")).groupBy("_name").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_action", "n")))).alias("actions"))
-    facts = known.groupBy("_name").agg(F.count("*").alias("mentions"), F.countDistinct(entity).alias("n_entities"), F.sort_array(F.collect_set(doc)).alias("doc_ids"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
+    facts = known.groupBy("_name").agg(F.count("*").alias("mentions"), F.countDistinct(entity).alias("n_entities"), F.countDistinct(doc).alias("n_docs"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
     return facts.join(histogram, "_name").withColumnRenamed("_name", "name")
 
 
+def mention_documents(actions: DataFrame, name: str, doc: str) -> DataFrame:
+    """(name, document): the documents of each trimmed name, a row each, as a name may have any number."""
+    return actions.select(F.trim(name).alias("name"), doc).filter("name != ''").distinct()
+
+
 def canonical_rollup(actions: DataFrame, name: str, mapping: DataFrame, entity: str) -> DataFrame:
     """Variants under their canonical name, recounted from the rows: sums of distinct counts would count twice.
 
@@ -171,11 +176,15 @@ def run_outcomes(rows: DataFrame, run: str, status: str, saved: Sequence[str], f
 
 
 def failure_rollup(failures: DataFrame, skips: DataFrame, entity: str, doc: str) -> DataFrame:
-    """Per entity the sorted documents that failed and that were skipped, with totals."""
-    a = failures.groupBy(entity).agg(F.sort_array(F.collect_list(doc)).alias("failed"))
-    b = skips.groupBy(entity).agg(F.sort_array(F.collect_list(doc)).alias("skipped"))
-    both = a.join(b, entity, "full").withColumns({c: F.coalesce(c, F.array().cast("array<bigint>")) for c in ("failed", "skipped")})
-    return both.withColumn("n_failed", F.size("failed").cast("bigint")).withColumn("n_skipped", F.size("skipped").cast("bigint"))
+    """Per entity the numbers of documents that failed and that were skipped, with the first of each."""
+    rows = failure_documents(failures, skips, entity, doc)
+    of = lambda kind: F.when(F.col("kind") == kind, F.col(doc))
+    return rows.groupBy(entity).agg(*(f(of(k)).alias(f"{n}_{k}") for k in ("failed", "skipped") for n, f in (("n", F.count), ("first", F.min))))
+
+
+def failure_documents(failures: DataFrame, skips: DataFrame, entity: str, doc: str) -> DataFrame:
+    """(entity, kind, document): failed and skipped documents, a row each."""
+    return failures.select(entity, F.lit("failed").alias("kind"), doc).unionByName(skips.select(entity, F.lit("skipped").alias("kind"), doc))
 
 
 def first_match(*rules: tuple[Column, str], default: str) -> Column:

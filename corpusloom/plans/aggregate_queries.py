@@ -91,12 +91,12 @@ def _dated_actions(v: Views) -> DataFrame:
 
 
 @query("""with a as (select trim(manager) as name, coalesce(lower(nullif(trim(action), '')), 'other') as action, doc_id, plan_id, meeting_date from act join doc on doc.id = act.doc_id where trim(manager) <> '')
-select name, count(*) as mentions, count(distinct plan_id) as n_entities, array_to_string(list_sort(list_distinct(list(doc_id))), ' ') as docs, min(meeting_date) as first_date, max(meeting_date) as last_date,
+select name, count(*) as mentions, count(distinct plan_id) as n_entities, count(distinct doc_id) as n_docs, min(meeting_date) as first_date, max(meeting_date) as last_date,
 count(*) filter (where action = 'hire') as n_hire, count(*) filter (where action = 'other') as n_other from a group by 1""")
 def mention_rollup(v: Views) -> DataFrame:
     rolled = op.mention_rollup(_dated_actions(v), "manager", "action", "plan_id", "doc_id", "meeting_date")
     of = lambda a: F.coalesce(F.col("actions")[a], F.lit(0)).alias(f"n_{a}")
-    return rolled.select("name", "mentions", "n_entities", F.array_join(F.col("doc_ids").cast("array<string>"), " ").alias("docs"), "first_date", "last_date", of("hire"), of("other"))
+    return rolled.select("name", "mentions", "n_entities", "n_docs", "first_date", "last_date", of("hire"), of("other"))
 
 
 @query("""with a as (select trim(manager) as raw, plan_id from act join doc on doc.id = act.doc_id where trim(manager) <> ''),
@@ -189,11 +189,22 @@ def run_outcomes(v: Views) -> DataFrame:
     return op.run_outcomes(v.ev, "entity_id", "status", ["click", "view"], ["purchase", "error"])
 
 
-@query("""select plan_id, count(*) filter (where status = 'failed') as n_failed, count(*) filter (where id % 4 = 0) as n_skipped, coalesce(string_agg(case when status = 'failed' then cast(id as varchar) end, ' ' order by id), '') as failed
+@query("""select plan_id, count(*) filter (where status = 'failed') as n_failed, min(id) filter (where status = 'failed') as first_failed, count(*) filter (where id % 4 = 0) as n_skipped, min(id) filter (where id % 4 = 0) as first_skipped
 from doc group by 1 having count(*) filter (where status = 'failed' or id % 4 = 0) > 0""")
 def failure_rollup(v: Views) -> DataFrame:
     rows = v.doc.select("plan_id", "id", "status")
-    return op.failure_rollup(rows.filter("status = 'failed'"), rows.filter("id % 4 = 0"), "plan_id", "id").select("plan_id", "n_failed", "n_skipped", F.array_join(F.col("failed").cast("array<string>"), " ").alias("failed"))
+    return op.failure_rollup(rows.filter("status = 'failed'"), rows.filter("id % 4 = 0"), "plan_id", "id")
+
+
+@query("select plan_id, 'failed' as kind, id from doc where status = 'failed' union all select plan_id, 'skipped', id from doc where id % 4 = 0")
+def failure_documents(v: Views) -> DataFrame:
+    rows = v.doc.select("plan_id", "id", "status")
+    return op.failure_documents(rows.filter("status = 'failed'"), rows.filter("id % 4 = 0"), "plan_id", "id")
+
+
+@query("select distinct trim(manager) as name, doc_id from act join doc on doc.id = act.doc_id where trim(manager) <> ''")
+def mention_documents(v: Views) -> DataFrame:
+    return op.mention_documents(_dated_actions(v), "manager", "doc_id")
 
 
 @query("""select case when doc_type is null then 'untyped' when amount < 50000 then 'too small' when meeting_date is null then 'undated' else 'unknown' end as reason, count(*) as n from doc where status = 'failed' group by 1""")

@@ -62,13 +62,16 @@ def sink_table_copy(v: Views) -> DataFrame:
 
 @query("""with l as (select extract_id, seq, concat(cast(seq as varchar), ' ', asset_class, ' ', coalesce(cast(target_bp as varchar), '-')) as line, target_bp from alloc)
 select extract_id, concat('# ', cast(extract_id as varchar), chr(10), string_agg(line, chr(10) order by seq, line), chr(10),
-case when sum(target_bp) is null then 'no targets' when abs(sum(target_bp) - 1000) > 10 then concat('targets sum to ', cast(sum(target_bp) as varchar)) else 'targets sum up' end) as body from l group by 1""")
+case when sum(target_bp) is null then 'no targets' when abs(sum(target_bp) - 1000) > 10 then concat('targets sum to ', cast(sum(target_bp) as varchar)) else 'targets sum up' end) as body from l group by 1
+union all select extract_id, concat('| [Report ', cast(extract_id as varchar), '](', cast(extract_id as varchar), '.md) | ', count(*), ' | ', count(target_bp), ' |') from alloc group by 1""")
 def sink_report_rows(v: Views) -> DataFrame:
     line = F.concat_ws(" ", F.col("seq").cast("string"), "asset_class", F.coalesce(F.col("target_bp").cast("string"), F.lit("-")))
     rows = src.report_rows(v.alloc, "extract_id", "seq", line, "target_bp", 1000)
+    index = src.report_index(v.alloc, "extract_id", F.concat(F.lit("Report "), F.col("extract_id").cast("string")), "target_bp").withColumnRenamed("line", "body")
     folder = src.shared_folder(v.spark)
-    rows.write.parquet(folder)
-    return v.spark.read.parquet(folder)
+    rows.write.parquet(f"{folder}/part=body")
+    index.write.parquet(f"{folder}/part=index")
+    return v.spark.read.parquet(folder).drop("part")
 
 
 @query("select segment as title, date '2024-01-01' + cast(length(segment) % 9 as int) as generated from (select distinct segment from plan) p order by generated desc, title")

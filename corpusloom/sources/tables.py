@@ -77,6 +77,13 @@ def report_rows(rows: DataFrame, key: str, order: str, line: Column, target: str
     return rows.groupBy(key).agg(F.concat_ws("\n", F.concat(F.lit("# "), F.first(F.col(key).cast("string"))), lines, note).alias("body"))
 
 
+def report_index(rows: DataFrame, key: str, label: Column, target: str) -> DataFrame:
+    """(key, line): beside the bodies a row of a Markdown table for each entity, a link to its report, its lines and those with a target."""
+    facts = rows.groupBy(key, label.alias("_label")).agg(F.count("*").alias("n"), F.count(target).alias("n_targets"))
+    cells = [F.concat(F.lit("["), "_label", F.lit("]("), F.col(key).cast("string"), F.lit(".md)")), F.col("n").cast("string"), F.col("n_targets").cast("string")]
+    return facts.select(key, F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
 def note_index(spark: SparkSession, path: str) -> DataFrame:
     """(name, title, generated) of text files: the title is the first heading, else the name; newest first."""
     files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("name"), F.col("value").alias("text"))
