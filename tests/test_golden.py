@@ -25,7 +25,7 @@ def test_tolerant_json(spark):
 def test_dates_and_names(spark):
     for name, day in {"a 2024-03-05.pdf": date(2024, 3, 5), "b_03-05-2024": date(2024, 3, 5), "20240305": date(2024, 3, 5), "03052024 x": date(2024, 3, 5), "March 5, 2024": date(2024, 3, 5), "2024-13-05": None, "1999-01-01": None, "none": None}.items():
         assert one(spark, fn.date_from_name("n"), n=name) == day, name
-    for url, want in {"https://h/x/Agenda.pdf?v=1": "Agenda.pdf", "https://h/doc/download": "doc.pdf", "https://h/a%20b.docx": "a_20b.docx", "https://h": "minutes_of_may.pdf"}.items():
+    for url, want in {"https://h/x/Agenda.pdf?v=1": "Agenda.pdf", "https://h/doc/download": "doc.pdf", "https://h/a%20b.docx": "a%20b.docx", "https://h": "Minutes-of-May.pdf"}.items():
         assert one(spark, fn.make_filename("u", "t"), u=url, t="Minutes of May") == want, url
 
 

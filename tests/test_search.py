@@ -108,7 +108,7 @@ def test_pruned_ranking_equals_scoring_everything(spark, corpus, tmp_path, monke
         for r in rows:
             if all(r[0] in h for h in hits):
                 size = len(tokens(r))
-                want[r[0]] = round(sum(max(math.log((n - len(h) + 0.5) / (len(h) + 0.5)), 1e-6) * h[r[0]] * 2.2 / (h[r[0]] + 1.2 * (0.25 + 0.75 * size / average)) for h in hits), 6)
+                want[r[0]] = round(sum(max(math.log((n - len(h) + 0.5) / (len(h) + 0.5)), 1e-6) * h[r[0]] * 2.2 / (h[r[0]] + 1.2 * (0.25 + 0.75 * size / average)) for h in hits), 12)
         for entity, limit, first in ((None, 10, 2), ("a", 10, 3), (None, 1000, 2), (None, 5, 1000)):
             monkeypatch.setattr(search, "FIRST", first)
             mine = search.search_bm25(index, text, limit, docs, "id", "plan", entity, "day").collect()
