@@ -13,27 +13,25 @@ def _salt(node: str) -> Column:
     return F.pmod(F.xxhash64(node), F.lit(_SALTS)).cast("int")
 
 
-def _spread(values: DataFrame, key: str, users: DataFrame) -> DataFrame:
-    """``values`` (one row a key), a row for each salt that occurs among the key's ``users``."""
-    used = users.groupBy(key).agg(F.expr("bit_or(shiftleft(1L, salt))").alias("mask"))
-    return values.join(used, key).withColumn("salt", F.explode(F.expr(f"filter(sequence(0, {_SALTS - 1}), i -> mask & shiftleft(1L, i) != 0)"))).drop("mask")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the edges (a, b); a component is named by its least node.
 
     Each round takes the least name among a node's neighbours and then the name of that
     name, so chains halve; it ends when no name changes. The state is checkpointed every round.
-    A node with many edges, or a component with many members, meets them in up to ``_SALTS`` tasks.
+    A node with many edges meets them in up to ``_SALTS`` tasks: its name goes to those that have any, which
+    its edges tell once for all rounds. Members of a component ask for its name's name in rows
+    of two names, which adaptive execution splits where a component has very many.
     """
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct().withColumn("salt", _salt("node")).checkpoint()
-    names = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")).checkpoint()
+    asked = F.expr("bit_or(shiftleft(1L, asking))").alias("mask")
+    names = both.withColumn("asking", _salt("other")).groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component"), asked).checkpoint()
+    each = F.explode(F.expr(f"filter(sequence(0, {_SALTS - 1}), i -> mask & shiftleft(1L, i) != 0)")).alias("salt")
     while True:
-        told = _spread(names.select(F.col("node").alias("other"), F.col("component").alias("heard")), "other", both)
+        told = names.select(F.col("node").alias("other"), F.col("component").alias("heard"), each)
         heard = both.join(told, ["other", "salt"]).groupBy("node").agg(F.min("heard").alias("heard"))
-        lower = names.join(heard, "node").select("node", F.col("component").alias("old"), F.least("component", "heard").alias("component"), _salt("node").alias("salt"))
-        of = _spread(names.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", lower)
-        moved = lower.join(of, ["component", "salt"], "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")).checkpoint()
-        names = moved.select("node", "component")
+        lower = names.join(heard, "node").select("node", "mask", F.col("component").alias("old"), F.least("component", "heard").alias("component"))
+        of = names.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        moved = lower.join(of, "component", "left").select("node", "mask", "old", F.least("component", F.coalesce("further", "component")).alias("component")).checkpoint()
+        names = moved.select("node", "component", "mask")
         if moved.filter("component != old").isEmpty():
-            return names
+            return names.select("node", "component")
