@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.joins import dealt
+
 
 def topk_nulls_last(rows: DataFrame, date: str, key: str, k: int) -> DataFrame:
     return rows.orderBy(F.col(date).desc_nulls_last(), F.col(key).desc()).limit(k)
@@ -59,9 +61,10 @@ def new_labels(labels: DataFrame, label: str, mapping: DataFrame, raw: str, k: i
 
 
 def key_symmetric_diff(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Keys that stand on one side only."""
-    a, b = left.select(key).distinct(), right.select(key).distinct()
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+    """Keys that stand on one side only, from one grouping of both sides."""
+    both = left.select(key, F.lit("left").alias("_side")).unionByName(right.select(key, F.lit("right").alias("_side")))
+    sides = dealt(both, key).groupBy(key).agg(F.min("_side").alias("side"), F.max("_side").alias("_last"))
+    return sides.filter("side = _last").select(key, "side")
 
 
 def table_counts_compare(left: dict[str, DataFrame], right: dict[str, DataFrame]) -> DataFrame:
