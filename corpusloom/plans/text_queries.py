@@ -110,7 +110,7 @@ r as (select l.id, f.first, coalesce(min(case when page > f.first and regexp_mat
 select r.id, cast(sum(length(line)) as bigint) as chars, count(*) as pages, md5(string_agg(line, chr(10) order by page)) as digest from r join l on l.id = r.id and page between first and last group by 1""")
 def stored_pages(v: Views) -> DataFrame:
     """Sections, their density and their text from pages that are stored once, by document."""
-    pages = save_pages(op.line_pages(v.txt, "id", "text"), "id", 16)
+    pages = save_pages(op.line_pages(v.txt, "id", "text"), "id")
     found = op.section_range(pages, "id", "(?i)^the ", "(?i)^(and|of) ")
     dense, whole = op.text_density(pages, found, "id", 150), op.section_concat(pages, found, "id", 1)
     return dense.join(whole, "id").select("id", "chars", "pages", "digest")

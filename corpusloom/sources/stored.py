@@ -72,15 +72,16 @@ def prune(docs: StoredTable, children: StoredTable, tombstones: StoredTable, old
     docs.remove(gone.select(docs.key))
 
 
-def save_pages(pages: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+def save_pages(pages: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
     """Pages (key, page, text) as a table bucketed and sorted by document: grouping by document and joins of per-document results with
-    it read it without a shuffle."""
+    it read it without a shuffle. A task reads a bucket, so there are as many as shuffles have partitions, unless ``buckets`` says."""
+    buckets = buckets or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     name = f"pages_{uuid.uuid4().hex}"
     pages.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key, "page").option("path", shared_folder(pages.sparkSession)).saveAsTable(name)
     return pages.sparkSession.table(name)
 
 
-def open_pages(spark: SparkSession, folder: str, key: str, buckets: int = 64) -> DataFrame:
+def open_pages(spark: SparkSession, folder: str, key: str, buckets: int) -> DataFrame:
     """Pages that another session saved at ``folder``, with the same number of buckets."""
     name, columns = f"pages_{uuid.uuid4().hex}", ", ".join(f"{c} {t}" for c, t in spark.read.parquet(folder).dtypes)
     spark.sql(f"create table {name} ({columns}) using parquet clustered by ({key}) sorted by ({key}, page) into {buckets} buckets location '{folder}'")
