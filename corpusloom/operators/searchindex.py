@@ -119,8 +119,9 @@ def posting_blocks(docs: DataFrame, key: str, *texts: str) -> DataFrame:
 
 
 def save_index(docs: DataFrame, folder: str, key: str, *texts: str) -> Index:
-    blocks = posting_blocks(docs, key, *texts).repartitionByRange("term", "segment").sortWithinPartitions("term", "segment")
-    blocks.write.parquet(f"{folder}/blocks")
+    # a number that is given stays: adaptive execution would make few large partitions, which the sort spills
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posting_blocks(docs, key, *texts).repartitionByRange(parts, "term", "segment").sortWithinPartitions("term", "segment").write.parquet(f"{folder}/blocks")
     stored = docs.sparkSession.read.parquet(f"{folder}/blocks")
     words = stored.filter(F.col("term") != _ALL).groupBy("term").agg(F.sum("n").alias("df"), F.sum("occurrences").alias("occurrences"))
     words = words.mapInArrow(_stems, "term string, df long, occurrences long, stem string")
