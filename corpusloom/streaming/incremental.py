@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -51,47 +52,73 @@ def new_since(rows: DataFrame, at: str, now: Column) -> DataFrame:
 # --- rows in the order of their event times
 
 
-_WAITING = "last string, ats array<long>, ids array<long>, waiting array<string>"
+#: Groups that entities are dealt into; a stream that goes on needs the same number.
+GROUPS = 1024
+_STATE = "known binary, waiting binary"
+_KNOWN = pa.schema({"entity": pa.int64(), "last": pa.string(), "until": pa.int64()})
+_WAITING = pa.schema({"entity": pa.int64(), "at": pa.int64(), "id": pa.int64(), "value": pa.string()})
 
 
-def _in_order(take: Callable[[str | None, list[str]], tuple[str | None, pd.DataFrame]], forget_ms: int) -> Callable:
-    """The state function of an entity: rows wait until the watermark has passed them and are then taken by time and id.
-    ``take`` gets the last value and the values now due, and gives the new last value and columns for the output."""
+def _packed(rows: pd.DataFrame, schema: pa.Schema) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as out:
+        out.write_table(pa.Table.from_pandas(rows[schema.names], schema, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def _in_order(take: Callable[[pd.DataFrame, pd.Series], pd.DataFrame], forget_ms: int) -> Callable:
+    """The state function of a group of entities, whose state lies together, as a call for each entity costs more than its rows. Rows
+    wait until the watermark has passed them and are then taken by entity, time and id. ``take`` gets the rows now due and, for
+    each, its entity's last value; it gives the output, and puts the value after each row into the column ``now`` of the due rows."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, ats, ids, waiting = state.get if state.exists else (None, [], [], [])
-        held = pd.DataFrame({"at": ats, "id": ids, "value": waiting}).astype({"at": "int64", "id": "int64", "value": "object"})
+        stored = [pa.ipc.open_stream(b).read_all().to_pandas() for b in state.get] if state.exists else [s.empty_table().to_pandas() for s in (_KNOWN, _WAITING)]
+        known, held = stored[0].set_index("entity"), stored[1]
         if not state.hasTimedOut:
-            held = pd.concat([held, *(p[["at", "id", "value"]] for p in parts)])
-        mark = state.getCurrentWatermarkMs() * 1000
-        held = held.sort_values(["at", "id"], kind="stable")
-        due, held = held[held["at"] < mark], held[held["at"] >= mark]
+            new = pd.concat([p[_WAITING.names] for p in parts])
+            fresh = pd.Index(new["entity"].unique())
+            held = pd.concat([held, new]) if len(held) else new
+        else:
+            fresh = pd.Index([], dtype="int64")
+        mark = state.getCurrentWatermarkMs()
+        held = held.astype({"entity": "int64", "value": "object"}).sort_values(["entity", "at", "id"], kind="stable", ignore_index=True)
+        ready = held["at"] < mark * 1000
+        due, held = held[ready].reset_index(drop=True), held[~ready]
+        # silent for as long as they are remembered
+        gone = known.index[(known["until"] < mark).to_numpy() & ~known.index.isin(fresh) & ~known.index.isin(due["entity"]) & ~known.index.isin(held["entity"])]
+        known = known.drop(gone)
         if len(due):
-            last, columns = take(last, due["value"].tolist())
-            columns.insert(0, "id", due["id"].to_numpy()[columns.pop("row")])
-            columns.insert(0, "entity", key[0])
-            yield columns
-        elif state.hasTimedOut and not len(held):
-            state.remove()  # silent for as long as it is remembered
+            yield take(due, due["entity"].map(known["last"]))
+        ends = due.drop_duplicates("entity", keep="last").set_index("entity")
+        touched = fresh.union(ends.index)
+        known = known.reindex(known.index.union(touched))
+        known.loc[ends.index, "last"] = ends["now"] if len(ends) else None
+        known.loc[touched, "until"] = mark + forget_ms
+        known = known.astype({"until": "int64", "last": "object"})
+        if not len(known) and not len(held):
+            state.remove()
             return
-        state.update((last, held["at"].tolist(), held["id"].tolist(), held["value"].tolist()))
-        wake = int(held["at"].min() // 1000) if len(held) else state.getCurrentWatermarkMs() + forget_ms
-        state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
+        state.update((_packed(known.rename_axis("entity").reset_index(), _KNOWN), _packed(held, _WAITING)))
+        idle = known["until"][~known.index.isin(held["entity"])]
+        wake = min([*([held["at"].min() // 1000] if len(held) else []), *([idle.min()] if len(idle) else [])])
+        state.setTimeoutTimestamp(int(max(wake, mark + 1)))
 
     return step
 
 
 def _ordered(rows: DataFrame, entity: str, key: str, value: str, at: str, delay: str, forget_days: int, take: Callable, out: str) -> DataFrame:
-    shaped = rows.withWatermark(at, delay).select(F.col(entity).cast("long").alias("entity"), F.col(key).cast("long").alias("id"), F.col(value).cast("string").alias("value"), F.unix_micros(at).alias("at"), F.col(at).alias("_event"))
-    return shaped.groupBy("entity").applyInPandasWithState(_in_order(take, forget_days * 86_400_000), out, _WAITING, "append", GroupStateTimeout.EventTimeTimeout)
+    none = F.lit(-(2**63))  # stands for the entity null inside the state
+    shaped = rows.withWatermark(at, delay).select(F.coalesce(F.col(entity).cast("long"), none).alias("entity"), F.col(key).cast("long").alias("id"), F.col(value).cast("string").alias("value"), F.unix_micros(at).alias("at"), F.col(at).alias("_event"))
+    grouped = shaped.withColumn("_group", F.pmod(F.xxhash64("entity"), F.lit(GROUPS))).groupBy("_group")
+    made = grouped.applyInPandasWithState(_in_order(take, forget_days * 86_400_000), out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return made.withColumn("entity", F.nullif("entity", none))
 
 
-def _changed(last: str | None, values: list[str]) -> tuple[str | None, pd.DataFrame]:
-    now = pd.Series(values, dtype=object)
-    before = now.shift()
-    before.iloc[0] = last
-    at = now.index[(now != before) | before.isna()]
-    return values[-1], pd.DataFrame({"row": at, "value": now[at].to_numpy()})
+def _changed(due: pd.DataFrame, last: pd.Series) -> pd.DataFrame:
+    first = due["entity"] != due["entity"].shift()
+    before = due["value"].shift().where(~first, last)
+    due["now"] = due["value"]
+    return due.loc[(due["value"] != before) | before.isna(), ["entity", "id", "value"]]
 
 
 def snapshot_on_change(rows: DataFrame, entity: str, key: str, value: str, at: str, delay: str = "7 days", forget_days: int = 3650) -> DataFrame:
@@ -103,13 +130,15 @@ def snapshot_on_change(rows: DataFrame, entity: str, key: str, value: str, at: s
 def status_transition(rows: DataFrame, entity: str, key: str, wanted: str, at: str, allowed: dict[str, list[str]], delay: str = "7 days", forget_days: int = 3650) -> DataFrame:
     """(entity, id, status, accepted): each request, by event time, against the status that the ones before it left; the first is accepted."""
 
-    def judged(now: str | None, values: list[str]) -> tuple[str | None, pd.DataFrame]:
-        status, accepted = [], []
-        for value in values:
+    def judged(due: pd.DataFrame, last: pd.Series) -> pd.DataFrame:
+        status, accepted, entity, now = [], [], object(), None
+        for e, value, stored in zip(due["entity"].tolist(), due["value"].tolist(), last.astype(object).where(last.notna(), None).tolist(), strict=True):
+            entity, now = e, (now if e == entity else stored)
             accepted.append(now is None or value in allowed.get(now, ()))
             now = value if accepted[-1] else now
             status.append(now)
-        return now, pd.DataFrame({"row": range(len(values)), "status": status, "accepted": accepted})
+        due["now"] = pd.Series(status, dtype=object)
+        return pd.DataFrame({"entity": due["entity"], "id": due["id"], "status": due["now"], "accepted": accepted})
 
     return _ordered(rows, entity, key, wanted, at, delay, forget_days, judged, "entity long, id long, status string, accepted boolean")
 
