@@ -20,7 +20,9 @@ nodes that agree on a whole band share a bucket. Links are looked for in two ste
    finer bands, made of the samples that the bands leave over: of the pairs at the
    similarity these miss one in 22,000, while 14 bands miss one in 1,600. Groups of
    over ``SPLIT`` nodes that agree on such a band are compared block by block, so
-   that no task holds more than the pairs of two blocks.
+   that no task holds more than the pairs of two blocks. What may be a link is
+   verified where its cell's texts meet, and a cell gives only links that join what
+   its links before have not: fewer than it has nodes, however many pairs are compared.
 
 Rows of a large bucket, and the pairs of a node with many partners, are dealt over
 ``_SALTS`` tasks before they are joined.
@@ -70,6 +72,7 @@ _TABLE_BITS = 13
 _TABLE = 1 << _TABLE_BITS
 _STEP = 1 << 20
 _tables: list[tuple[np.ndarray, ...]] = []
+_rng = np.random.default_rng(20)
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,22 +142,21 @@ def document_frequencies(texts: DataFrame) -> Weights:
     return Weights(texts.count(), df.ravel())
 
 
-def _draws() -> list[tuple[np.ndarray, ...]]:
-    """For each sample: an odd multiplier, and tables of r, 1/r, beta and ln c, looked up by the shingle's hash."""
-    if not _tables:
-        rng = np.random.default_rng(20)
-        for _ in range(SKETCH):
-            r, c = rng.gamma(2, 1, _TABLE), rng.gamma(2, 1, _TABLE)
-            f = np.float32
-            _tables.append((ta.U64(int(rng.integers(1 << 62)) * 2 + 1), r.astype(f), (1 / r).astype(f), rng.random(_TABLE).astype(f), np.log(c).astype(f)))
-    return _tables
+def _draws(n: int) -> list[tuple[np.ndarray, ...]]:
+    """For each of n samples: an odd multiplier, and tables of r, 1/r, beta and ln c, looked up by the shingle's hash.
+    A worker keeps no more of them than it has needed; all ``SKETCH`` take 67 MB."""
+    while len(_tables) < n:
+        r, c = _rng.gamma(2, 1, _TABLE), _rng.gamma(2, 1, _TABLE)
+        f = np.float32
+        _tables.append((ta.U64(int(_rng.integers(1 << 62)) * 2 + 1), r.astype(f), (1 / r).astype(f), _rng.random(_TABLE).astype(f), np.log(c).astype(f)))
+    return _tables[:n]
 
 
 def samples(hashes: np.ndarray, log_weights: np.ndarray, starts: np.ndarray, n: int = SKETCH) -> np.ndarray:
     """Each row's first n samples, one column each: the shingle and the quantised weight with the least ln a."""
     out = np.empty((len(starts), n), ta.U64)
     low = hashes >> ta.U64(32)
-    for i, (odd, r, inverse, beta, log_c) in enumerate(_draws()[:n]):
+    for i, (odd, r, inverse, beta, log_c) in enumerate(_draws(n)):
         at = (hashes * odd >> ta.U64(64 - _TABLE_BITS)).astype(np.int64)
         b = beta[at]
         ln_a = log_c[at] - r[at] * (np.floor(log_weights * inverse[at] + b) - b + np.float32(1))
@@ -254,18 +256,39 @@ def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
     return own.join(mixed.select("band", "key", "n", _salts().alias("salt")), ["band", "key", "salt"]).select("node", "class", "band", "key", "n")
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Of rows sorted by ``_CELL``, a table for each cell."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in _CELL])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+        if kept and any(kept[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in _CELL):
+            cuts = np.r_[0, cuts]
+        for at, to in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows], strict=True):
+            if to > at:
+                kept.append(batch.slice(at, to - at))
+            if to < batch.num_rows:  # the group ends here
+                if kept:
+                    yield pa.Table.from_batches(kept)
+                kept = []
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def _numbered(values: list[bytes]) -> np.ndarray:
+    numbers: dict[bytes, int] = {}
+    return np.array([numbers.setdefault(v, len(numbers)) for v in values], np.int64)
+
+
 def _likely(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by ``_CELL``, the pairs of each cell's nodes of blocks x and y that may be a link: of
-    different classes, of weights that allow the similarity, and of sketches that agree often enough. A pair of
-    two finer bands comes from the first of them."""
+    """Of rows sorted by ``_CELL``, the nodes of a cell that may have a link between its blocks x and y, with their
+    places in the cell and the places of their ``partners``: nodes of different classes, of weights that allow the similarity,
+    and of sketches that agree often enough. A pair is in one of its lists, and of two finer bands in the first."""
     need = int(SKETCH * similarity - SLACK * (SKETCH * similarity * (1 - similarity)) ** 0.5)
-
-    def pairs(part: pa.Table) -> pa.RecordBatch | None:
-        nodes, own = part.column("node").to_pylist(), part.column("own").to_numpy()
-        numbers: dict[bytes, int] = {}
-        classes = np.array([numbers.setdefault(c, len(numbers)) for c in part.column("class").to_pylist()])
-        w, x, y, fine = part.column("weight").to_numpy(), *(part.column(c)[0].as_py() for c in ("x", "y", "fine"))
-        sketch = pc.list_flatten(part.column("sketch").combine_chunks()).to_numpy().reshape(len(nodes), -1)
+    for cell in _cells(batches):
+        own, classes = cell.column("own").to_numpy(), _numbered(cell.column("class").to_pylist())
+        w, x, y, fine = cell.column("weight").to_numpy(), *(cell.column(c)[0].as_py() for c in ("x", "y", "fine"))
+        sketch = pc.list_flatten(cell.column("sketch").combine_chunks()).to_numpy().reshape(len(own), -1)
         left = np.flatnonzero(own == x)
         right = left if x == y else np.flatnonzero(own == y)
         may = (classes[left][:, None] != classes[right]) & (np.minimum(w[left][:, None], w[right]) >= similarity * np.maximum(w[left][:, None], w[right]))
@@ -278,30 +301,56 @@ def _likely(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
             ok[part_of] = same.sum(1) >= need
             if fine > 0:
                 ok[part_of] &= ~same[:, BANDS * ROWS : BANDS * ROWS + fine * FINE_ROWS].reshape(-1, fine, FINE_ROWS).all(2).any(1)
-        ok = np.flatnonzero(ok)
-        found = [(nodes[p], nodes[q]) if nodes[p] < nodes[q] else (nodes[q], nodes[p]) for p, q in zip(i[ok], j[ok], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"]) if found else None
-
-    kept: list[pa.RecordBatch] = []
-    for batch in batches:
-        keys = np.stack([batch.column(c).to_numpy() for c in _CELL])
-        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
-        if kept and any(kept[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in _CELL):
-            cuts = np.r_[0, cuts]
-        for at, to in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows], strict=True):
-            if to > at:
-                kept.append(batch.slice(at, to - at))
-            if to < batch.num_rows:  # the group ends here
-                if kept and (out := pairs(pa.Table.from_batches(kept))):
-                    yield out
-                kept = []
-    if kept and (out := pairs(pa.Table.from_batches(kept))):
-        yield out
+        i, j = i[ok], j[ok]  # by i
+        at = np.unique(np.r_[i, j])
+        if len(at):
+            partners = pa.ListArray.from_arrays(pa.array(np.r_[np.searchsorted(i, at), len(i)], pa.int32()), pa.array(j, pa.int32()))
+            rows = cell.select([*_CELL, "node", "class"]).take(pa.array(at)).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(at, pa.int32()), partners], names=[*rows.schema.names, "place", "partners"])
+
+
+def _linked(batches: Iterator[pa.RecordBatch], weights, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of rows of ``_likely`` with their texts, sorted by ``_CELL``, the pairs (a, b) of classes that verified links of a cell's
+    nodes join: a link whose classes the links before have joined is left out."""
+    for cell in _cells(batches):
+        names, parts, done = cell.column("class").to_pylist(), [], 0
+        for batch in cell.select(["text"]).to_batches():
+            for part in ta.slices(batch, limit=_STEP):
+                rows, hashes, counts = shingles(part.column("text"))
+                parts.append((rows + done, hashes, weights.value(hashes, counts)))
+                done += part.num_rows
+        rows, hashes, w = (np.concatenate(c) for c in zip(*parts, strict=True))
+        w = w.astype(np.float64)
+        different, ids = np.unique(hashes, return_inverse=True)
+        first = np.searchsorted(rows, np.arange(len(names) + 1))
+        total, mine = np.add.reduceat(w, first[:-1]), np.zeros(len(different))
+        classes, where = _numbered(names), {p: k for k, p in enumerate(cell.column("place").to_pylist())}
+        found: list[tuple[bytes, bytes]] = []
+        for i, partners in enumerate(cell.column("partners").to_pylist()):
+            others = np.array([where[p] for p in partners], np.int64)
+            own = slice(first[i], first[i + 1])
+            mine[ids[own]] = w[own]
+            while len(others := others[classes[others] != classes[i]]):
+                # as many at a time as have about _STEP shingles
+                sizes = first[others + 1] - first[others]
+                n = max(1, int(np.searchsorted(np.cumsum(sizes), _STEP, "right")))
+                now, others, sizes = others[:n], others[n:], sizes[:n]
+                ends = np.cumsum(sizes)
+                at = np.arange(ends[-1]) + np.repeat(first[now] - (ends - sizes), sizes)
+                least = np.add.reduceat(np.minimum(mine[ids[at]], w[at]), ends - sizes)
+                for j in now[least / np.maximum(total[i] + total[now] - least, 1e-12) >= similarity]:
+                    if classes[j] != classes[i]:
+                        classes[classes == classes[j]] = classes[i]
+                        found.append((names[i], names[j]))
+            mine[ids[own]] = 0
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+        ta.release()
 
 
-def _rest(mixed: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes of different classes that share a bucket, or in large buckets a finer band, and whose
-    samples and weights allow a link. sketched: (node, class, weight, sketch) of every node of ``mixed``."""
+def _candidates(mixed: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """By cell, the nodes that share a bucket, or in large buckets a finer band, with nodes of other classes whose
+    samples and weights allow a link; see ``_likely``. sketched: (node, class, weight, sketch) of every node of ``mixed``."""
     small = mixed.filter(F.col("n") <= SPLIT).select("node", F.xxhash64("band", "key").alias("cell"), F.lit(-1).alias("fine"), *(F.lit(0).alias(c) for c in ("x", "y", "own")))
     keys = F.transform(F.sequence(F.lit(0), F.lit(FINE - 1)), lambda i: F.xxhash64(i, F.slice("sketch", i * FINE_ROWS + BANDS * ROWS + 1, FINE_ROWS)))
     large = mixed.filter(F.col("n") > SPLIT).select("node").distinct().join(sketched, "node")
@@ -313,7 +362,21 @@ def _rest(mixed: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame
     fine = fine.select("node", "fine", "cell", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("node", "cell", "fine", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own")
     cells = small.unionByName(fine).join(sketched, "node").select("cell", "fine", "x", "y", "own", "node", "class", "weight", "sketch")
     dealt = cells.repartition(*_CELL).sortWithinPartitions(*_CELL)
-    return dealt.mapInArrow(lambda it: _likely(it, similarity), "a binary, b binary").distinct()
+    return dealt.mapInArrow(lambda it: _likely(it, similarity), "cell long, fine int, x int, y int, node binary, class binary, place int, partners array<int>")
+
+
+def _rest(mixed: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of ``_candidates``, a row each: what ``_links`` compares without making rows of it."""
+    likely = _candidates(mixed, sketched, similarity).withColumn("row", F.struct(*_CELL))
+    pairs = likely.select("row", "node", F.explode("partners").alias("place")).join(likely.select("row", "place", F.col("node").alias("other")), ["row", "place"])
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _links(candidates: DataFrame, texts: DataFrame, weights, similarity: float) -> DataFrame:
+    """Pairs (a, b) of classes that join all that verified links of the candidates join, fewer than a cell has nodes."""
+    rows = candidates.join(texts, "node").select(*_CELL, "class", "place", "partners", "text")
+    dealt = rows.repartition(*_CELL).sortWithinPartitions(*_CELL)
+    return dealt.mapInArrow(lambda it: _linked(it, weights, similarity), "a binary, b binary")
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -346,12 +409,12 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     mixed = _mixed(members, classes).checkpoint()
     unsure = mixed.select("node", "class").distinct().join(nodes.select("node", "weight"), "node").join(texts, "node").select("node", "class", "weight", "text")
     sketched = unsure.mapInArrow(lambda it: _sketch(it, weights), "node binary, class binary, weight double, sketch array<tinyint>").checkpoint()
-    more = _verified(_rest(mixed, sketched, similarity), texts, weights, similarity).select("a", "b").checkpoint()
-    if not more.isEmpty():
-        classes = components(links.unionByName(more)).withColumnRenamed("component", "class")
+    more = _links(_candidates(mixed, sketched, similarity), texts, weights, similarity).checkpoint()
 
     ids = rows.select("doc_id", "node")
     least = ids.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    if not more.isEmpty():  # classes become one by few links between them
+        least = least.join(components(more).withColumnRenamed("node", "class"), "class", "left").select("node", "least", F.coalesce("component", "class").alias("class"))
     named = least.groupBy("class").agg(F.min("least").alias("class_id"))
     named = least.select("node", "class").join(named, "class").select("node", "class_id", F.col("class").alias("class_node"))
     return ids.join(named, "node", "left").select("doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"), "class_node")

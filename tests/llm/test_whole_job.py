@@ -53,6 +53,39 @@ def test_pairs_with_one_common_band_in_a_large_bucket(spark):
     assert len(want) >= 290 and len(got) == len(set(got)) and set(got) == want
 
 
+def rows_made(spark, node, seen=-1):
+    """(most rows that an operator of the name put out in one execution after ``seen``, the last execution)."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for i in range(runs.size()):
+        if (run := runs.apply(i).executionId()) > seen:
+            values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+            for n in (nodes.apply(k) for k in range(nodes.size())):
+                for m in (n.metrics().apply(k) for k in range(n.metrics().size()) if n.name() == node):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most, max([seen, *(runs.apply(i).executionId() for i in range(runs.size()))])
+
+
+def test_near_copies_just_below_the_similarity_do_not_become_pairs(spark):
+    """100 texts of one origin, some 0.75 alike, and for every tenth a copy with one word changed: each has links with its copies only,
+    and no step has more rows than the 14 bands of all nodes."""
+    rng = random.Random(41)
+    base, rows = [f"w{rng.randrange(5000)}" for _ in range(1200)], []
+    for i in range(100):
+        copy = list(base)
+        for at in rng.sample(range(1200), 17):
+            copy[at] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+        if i % 10 == 0:
+            rows.append((1000 + i, " ".join([*copy[:-1], "end"])))
+    _, seen = rows_made(spark, "MapInArrow")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d % 1000 for d, _ in rows}
+    assert 0 < rows_made(spark, "MapInArrow", seen)[0] <= near_dedup.BANDS * len(rows)
+
+
 # --- 5, language
 
 
