@@ -31,15 +31,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm import textarrays as ta
 from corpusloom.llm.shared import ensure_checkpoint_dir
 
 CAPACITY = 2048
 END_ID = 0
 #: Distinct words a task remembers the ids of.
 CACHE_WORDS = 100_000
+#: Bytes of text whose distinct words are encoded together, and how many words at a time.
+SLICE = 1 << 22
+TOGETHER = 1 << 15
 _SPACE_RUN = re.compile(r"\s ")
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
@@ -66,6 +71,8 @@ class _WordIds(dict):
 
         with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.sizes[list(ranks.values())] = list(map(len, ranks))
         self.encode = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, word: str) -> bytes:
@@ -92,6 +99,52 @@ class _WordIds(dict):
         return (self[head] if head else b"") + b"".join(map(self.__getitem__, map(" ".__add__, rest)))
 
 
+    def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first of each word, how many) of blank-led words, encoded as one text: its tokens end where words end, unless
+        a word ends in a blank. Words that do are encoded by themselves."""
+        odd = [k for k, w in enumerate(words) if w[-1].isspace()]
+        order = np.r_[np.delete(np.arange(len(words)), odd), np.array(odd, np.int64)]
+        parts, counts = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for at in range(0, len(words) - len(odd), TOGETHER):
+            own = [words[k] for k in order[at : min(at + TOGETHER, len(words) - len(odd))]]
+            ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in own])
+            parts.append(np.array(self.encode("".join(own)), "<u4"))
+            stops = np.cumsum(self.sizes[parts[-1]])
+            last = np.searchsorted(stops, ends)
+            if not np.array_equal(stops[last], ends):
+                raise ValueError("a token spans two words")
+            counts.append(np.diff(last, prepend=-1))
+        parts += [np.frombuffer(self[words[k]], "<u4") for k in odd]
+        counts.append(np.array([len(x) for x in parts[len(parts) - len(odd) :]], np.int64))
+        first, n = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        n[order] = in_order = np.concatenate(counts)
+        first[order] = np.cumsum(in_order) - in_order
+        return np.concatenate(parts), first, n
+
+    def texts(self, column: pa.Array, added: dict[str, int]) -> list[bytes]:
+        """Ids of whole texts, as ``whole`` gives them; each distinct word is encoded once."""
+        values = [v or "" for v in column.to_pylist()]
+        plain = [i for i, v in enumerate(values) if v and not _SPACE_RUN.search(v) and not any(t in v for t in added)]
+        out = [b""] * len(values)
+        for i in set(range(len(values))).difference(plain):
+            out[i] = self.whole(values[i], added)
+        lists = pc.split_pattern(column.take(pa.array(plain, pa.int64())), " ")
+        first = lists.offsets.to_numpy().astype(np.int64)
+        heads = lists.values.take(pa.array(first[:-1])).to_pylist()
+        kept = np.ones(len(lists.values), bool)
+        kept[first[:-1]] = False  # a text's first word has no blank before it
+        words = lists.values.filter(pa.array(kept)).dictionary_encode()
+        code = words.indices.to_numpy()
+        ids, start, count = self.joined([" " + w for w in words.dictionary.to_pylist()])
+        n = count[code]
+        ends = np.cumsum(n)
+        tokens = ids[np.arange(n.sum()) + np.repeat(start[code] - (ends - n), n)]
+        cuts = np.r_[0, ends][first - np.arange(len(first))]
+        for k, i in enumerate(plain):
+            out[i] = (self[heads[k]] if heads[k] else b"") + tokens[cuts[k] : cuts[k + 1]].tobytes()
+        return out
+
+
 _encoders: dict[str | None, _WordIds] = {}
 
 
@@ -99,10 +152,10 @@ def _tokenise(batches: Iterator[pa.RecordBatch], capacity: int, ranks_path: str
     if ranks_path not in _encoders:
         _encoders[ranks_path] = _WordIds(ranks_path)
     words, end = _encoders[ranks_path], np.array([END_ID], "<u4").tobytes()
-    for batch in batches:
+    for part in (part for batch in batches for part in ta.slices(batch, limit=SLICE)):
         rows: list[tuple] = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            ids = words.whole(text.as_py() or "", added) + end
+        for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.texts(part.column("text"), added), strict=True):
+            ids += end
             n = len(ids) // 4
             first = (n - 1) % capacity + 1
             for piece, start in enumerate([0, *range(first, n, capacity)]):

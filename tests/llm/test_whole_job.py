@@ -30,6 +30,21 @@ def test_packing_finds_added_tokens_as_the_tokenizers_file_does(spark, tmp_path)
     assert {r.doc_id: (r.length, r.ids_crc32) for r in packing.op3_bin_packing(spark, str(tmp_path)).collect()} == want
 
 
+def test_distinct_words_are_encoded_together(monkeypatch):
+    """Texts of 3,000 distinct words take some calls of the encoder, not one a word, and ids are those of whole texts."""
+    rng, words = random.Random(51), packing._WordIds(None)
+    names = ["".join(rng.choice("abcdeé1'.-\n\u00a0\u4e2d") for _ in range(rng.randrange(1, 9))).strip() or "x" for _ in range(3000)]
+    texts = [" ".join(rng.choices(names, k=200)) for _ in range(60)] + [" ".join(names), "", None, " lead", "trail ", "a\n b", "tail\n", " ", "a  b", "x\u00a0", "a <|endoftext|> b"]
+    plain, calls = words.encode, []
+    want = [np.array(plain(t or ""), "<u4").tobytes() for t in texts]
+    monkeypatch.setattr(words, "encode", lambda t: calls.append(t) or plain(t))
+    assert words.texts(pa.array(texts), {}) == want
+    assert len(calls) < 100
+    assert words.texts(pa.array([], pa.string()), {}) == [] and words.texts(pa.array([None, ""], pa.string()), {}) == [b"", b""]
+    monkeypatch.setattr(packing, "TOGETHER", 7)
+    assert packing._WordIds.texts(words, pa.array(texts), {}) == want
+
+
 # --- 9, near-duplicates
 
 
