@@ -1,5 +1,7 @@
 """Roll-ups give the whole lists behind their counts."""
 
+import duckdb
+
 from corpusloom.operators import aggregates as op
 from corpusloom.plans import catalog
 
@@ -23,3 +25,19 @@ def test_the_queries_return_the_lists(spark):
     sf = "/root/testdata/sf0.001"
     assert all(len(r.docs.split()) == r.n_docs for r in catalog.QUERIES["mention_rollup"](spark, sf).collect())
     assert all(len(r.failed.split()) == r.n_failed for r in catalog.QUERIES["failure_rollup"](spark, sf).collect())
+
+
+def test_the_failure_query_lists_failed_and_skipped_documents(spark, tmp_path):
+    orders = [(k, 1, "P" if k % 3 == 0 else "F") for k in range(40, 0, -1)] + [(8, 1, "P"), (100, 2, "P"), (101, 2, "P"), (16, 3, "O"), (9, 4, "F"), (4, None, "P"), (6, None, "P")]
+    con = duckdb.connect()
+    con.execute("create table orders (o_orderkey bigint, o_custkey bigint, o_orderstatus varchar, o_totalprice double, o_orderdate timestamp, o_orderpriority varchar)")
+    con.executemany("insert into orders values (?, ?, ?, 1.0, '1999-01-02', '2-HIGH')", orders)
+    con.execute(f"copy orders to '{tmp_path}/orders.parquet'")
+    ids = lambda plan, kept: " ".join(str(k) for k in sorted(k for k, p, s in orders if p == plan and kept(k, s)))
+    want = {p: (ids(p, lambda k, s: s == "P"), ids(p, lambda k, s: k % 4 == 0)) for p in (1, 2, 3, None)}
+    assert want[1][1] == "4 8 8 12 16 20 24 28 32 36 40" and want[3] == ("", "16") and want[None] == ("4 6", "4")
+    rows = catalog.QUERIES["failure_rollup"](spark, str(tmp_path))
+    assert {r.plan_id: (r.failed, r.skipped) for r in rows.collect()} == want
+    assert all(len(r.skipped.split()) == r.n_skipped and len(r.failed.split()) == r.n_failed for r in rows.collect())
+    theirs = con.sql(catalog.ORACLE["failure_rollup"])
+    assert sorted(theirs.fetchall(), key=str) == sorted(map(tuple, rows.select(*theirs.columns).collect()), key=str)
